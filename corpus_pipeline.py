@@ -8,14 +8,14 @@ from pyspark.sql import functions as F
 from quern.llm import decontamination, language, secrets, segmentation, simhash
 from quern.sources.tables import table, written
 
-#: Bits a character above which no learned language fits a text: phrases of under 2.7 characters.
-REJECT_BITS = 6.0
+#: Bits a symbol above which no learned language fits a text (phrases of under 2.7 symbols), if it has so many symbols.
+REJECT_BITS, LEAST_SYMBOLS = 6.0, 40
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with letters that one of the languages fits. Rows of a rejected doc_id go; null doc_ids stay."""
     found = language.identify(docs)
-    bad = found.where((F.col("lang_pred") == language.UNKNOWN) | (F.col("bits") > REJECT_BITS)).select(F.col("doc_id").alias("_doc")).distinct()
+    bad = found.where((F.col("lang_pred") == language.UNKNOWN) | ((F.col("bits") > REJECT_BITS) & (F.col("symbols") >= LEAST_SYMBOLS))).select(F.col("doc_id").alias("_doc")).distinct()
     return docs.join(bad, F.col("doc_id") == F.col("_doc"), "left_anti")
 
 

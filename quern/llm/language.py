@@ -17,8 +17,8 @@ from quern.llm.labels import held_out
 ROWS, ROW_CHARS, CHARS = 64, 4_000, 60_000
 #: A text is parsed in blocks of so many characters; a phrase ends with its block.
 BLOCK = 128
-SYMBOLS = 60  # the sample's most frequent characters; all others are one symbol that matches nothing
-OTHER, PAD, BREAK = SYMBOLS, SYMBOLS + 1, SYMBOLS + 2
+#: Symbols: the sample's most frequent letters; the space between words; any other letter, which matches nothing; no character; the sample's text ends.
+SPACE, OTHER, PAD, BREAK = 60, 61, 62, 63
 UNKNOWN = "und"
 
 
@@ -78,15 +78,15 @@ class Model:
 
     def __init__(self, texts: dict[str, str]):
         self.names = sorted(texts)
-        common = Counter("".join(texts.values()))
-        common.pop("\0", None)
+        common = Counter(c for c in "".join(texts.values()) if c.isalpha())
         self.codes = np.full(0x110000, OTHER, np.uint8)
-        for k, (c, _) in enumerate(sorted(common.items(), key=lambda x: (-x[1], x[0]))[:SYMBOLS]):
+        self.codes[[c for c in range(0x3000) if not chr(c).isalpha()]] = SPACE  # what parts words, where these languages have it
+        for k, (c, _) in enumerate(sorted(common.items(), key=lambda x: (-x[1], x[0]))[:SPACE]):
             self.codes[ord(c)] = k
         self.codes[0] = BREAK
         self.tables = [automaton(self.code(texts[n]).tolist()) for n in self.names]
         self.bits = [float(np.log2(max(2, len(texts[n])))) for n in self.names]
-        self.codes[0] = OTHER
+        self.codes[0] = SPACE
 
     @classmethod
     def of(cls, texts: dict[str, str]) -> Model:
@@ -96,10 +96,12 @@ class Model:
         return cls.built[key]
 
     def code(self, text: str) -> np.ndarray:
-        return self.codes[np.frombuffer(text.encode("utf-32-le", "replace"), np.uint32)]
+        """Symbols of a text: letters, and one for whatever stands between words."""
+        c = self.codes[np.frombuffer(text.encode("utf-32-le", "replace"), np.uint32)]
+        return c[~((c == SPACE) & (np.concatenate([[0], c[:-1]]) == SPACE))]
 
-    def entropies(self, texts: list[str]) -> np.ndarray:
-        """Bits a character by text and language: phrases of the parse, times what it takes to point at one."""
+    def entropies(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Bits a symbol by text and language (phrases of the parse, times what it takes to point at one); symbols by text."""
         coded = [self.code(t.lower()) for t in texts]
         blocks = np.array([-(-len(c) // BLOCK) for c in coded], np.int64)
         grid = np.full(int(blocks.sum()) * BLOCK, PAD, np.uint8)
@@ -117,7 +119,8 @@ class Model:
                 phrases += failed
                 state = np.where(failed, start[row], to)
             out[:, k] = np.bincount(owner, phrases, len(texts)) * self.bits[k]
-        return out / np.maximum(1, [len(c) for c in coded])[:, None]
+        size = np.array([len(c) for c in coded])
+        return out / np.maximum(1, size)[:, None], size
 
 
 LETTER = re.compile(r"[^\W\d_]")
@@ -132,20 +135,20 @@ def _predict(texts: dict[str, str]):
                 if not len(part):
                     continue
                 own = b.iloc[part]
-                names, scores, bits = np.full(len(part), UNKNOWN, object), np.zeros(len(part)), np.zeros(len(part))
+                names, scores, bits, size = np.full(len(part), UNKNOWN, object), np.zeros(len(part)), np.zeros(len(part)), np.zeros(len(part), np.int32)
                 known = [i for i, t in enumerate(own["text"]) if model and t and LETTER.search(t)]
                 if known:
-                    e = model.entropies([own["text"].iloc[i] for i in known])
+                    e, size[known] = model.entropies([own["text"].iloc[i] for i in known])
                     share = (e.min(axis=1, keepdims=True) / e) ** 4
                     names[known] = np.array(model.names, object)[e.argmin(axis=1)]
                     scores[known], bits[known] = 1 / share.sum(axis=1), e.min(axis=1)
-                yield pd.DataFrame({**{c: own[c].to_numpy() for c in own.columns if c != "text"}, "lang_pred": names, "score": scores, "bits": bits})
+                yield pd.DataFrame({**{c: own[c].to_numpy() for c in own.columns if c != "text"}, "lang_pred": names, "score": scores, "bits": bits, "symbols": size})
 
     return run
 
 
 def identify(documents: DataFrame, train: DataFrame | None = None) -> DataFrame:
-    """One row per row of `documents`: doc_id, held_out, lang_pred, score (0 to 1), bits (a character).
+    """One row per row of `documents`: doc_id, held_out, lang_pred, score (0 to 1), bits (a symbol), symbols.
 
     Of the languages of `train` (`documents` itself if None) the one needing fewest phrases, normalised by sample size, wins;
     ties go to the first name. `und`, score 0: null text, no letters, or nothing to learn from. Whole texts are parsed;
@@ -154,4 +157,4 @@ def identify(documents: DataFrame, train: DataFrame | None = None) -> DataFrame:
     texts = labelled(train if train is not None else documents)
     kind = documents.schema["doc_id"].dataType.simpleString()
     rows = documents.select("doc_id", held_out("doc_id", 4, 2).alias("held_out"), "text")
-    return rows.mapInPandas(_predict(texts), f"doc_id {kind}, held_out boolean, lang_pred string, score double, bits double")
+    return rows.mapInPandas(_predict(texts), f"doc_id {kind}, held_out boolean, lang_pred string, score double, bits double, symbols int")
