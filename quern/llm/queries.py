@@ -4,10 +4,19 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quern.llm import decontamination, language, licenses, quality, secrets, segmentation, simhash, toxicity
+from quern.llm import decontamination, language, licenses, quality, repeats, search, secrets, segmentation, simhash, toxicity
 from quern.sources.tables import table
 
 
+def op1_search(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents")
+    return search.top_k(docs, search.every_twentieth(docs))
+
+
+def op2_repeats(spark: SparkSession, d: str) -> DataFrame:
+    return repeats.deduplicate(table(spark, d, "documents"))
+
+
 def op3_licenses(spark: SparkSession, d: str) -> DataFrame:
     return licenses.scan(table(spark, d, "documents"))
 
@@ -40,7 +49,7 @@ def op10_quality(spark: SparkSession, d: str) -> DataFrame:
     return quality.classify(table(spark, d, "documents"), table(spark, d, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op3_licenses, op4_segmentations, op5_secrets, op6_decontamination, op7_simhash, op8_language, op9_toxicity, op10_quality)}
+QUERIES = {f.__name__: f for f in (op1_search, op2_repeats, op3_licenses, op4_segmentations, op5_secrets, op6_decontamination, op7_simhash, op8_language, op9_toxicity, op10_quality)}
 
 _WORDS = r"list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda w: w <> '')"
 ORACLES: dict[str, str] = {}
