@@ -9,7 +9,7 @@ from quern.sources.tables import written
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(node, root) of every node with an edge; root is the smallest node reachable.
+    """(node, root) of every node that can reach a smaller one; root is the smallest it can reach.
 
     edges: a, b of one type that can be ordered; loops and repeated edges don't matter. Each round hooks every node to its smallest
     neighbour, follows two parents, and contracts the edges, so rounds grow with the logarithm of the longest path.

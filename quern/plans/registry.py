@@ -2,5 +2,290 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
+
+from quern.functions import text as T
+from quern.operators import chunks, confidence, coverage, keywords, profile, vectors
+from quern.sources.tables import table
+from quern.streaming import events as E
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLES: dict[str, str] = {}
+STOP = ["the", "and", "of", "to", "in", "is", "that", "it", "for", "de", "la", "der", "die", "und"]
+IMPORTANT = ["license", "License", "token", "that"]
+
+
+def query(sql: str | None = None):
+    def keep(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return keep
+
+
+def _docs(s: SparkSession, d: str) -> DataFrame:
+    return table(s, d, "documents")
+
+
+def _best(s: SparkSession, d: str) -> DataFrame:
+    v = table(s, d, "embeddings")
+    return vectors.best(v.where("vec_id % 2 = 0"), v.where("vec_id % 2 = 1"))
+
+
+_VEC = "SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings"
+_BEST = f"(SELECT a.vec_id, max(round(list_cosine_similarity(a.e, b.e), 6)) AS best FROM ({_VEC}) a, ({_VEC}) b WHERE a.vec_id % 2 = 0 AND b.vec_id % 2 = 1 GROUP BY 1)"
+_NEAR = f"SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY sim DESC, vec_id) AS rank, vec_id, sim FROM (SELECT q.vec_id AS query_id, p.vec_id, round(list_cosine_similarity(q.e, p.e), 6) AS sim FROM ({_VEC}) q, ({_VEC}) p WHERE q.vec_id % 20 = 0)"
+
+
+def _levels(profile_name: str) -> str:
+    rows = ", ".join(f"('{k}', {v}::DOUBLE)" for k, v in coverage.PROFILES[profile_name].items())
+    return f"SELECT level, threshold, count(*) FILTER (best >= threshold) AS covered, count(*) AS total, round(avg((best >= threshold)::INT::DOUBLE), 6) AS rate FROM {_BEST}, (VALUES {rows}) t(level, threshold) GROUP BY 1, 2"
+
+
+@query(_levels("rule"))
+def coverage_levels(s, d):
+    return coverage.levels(_best(s, d), "rule")
+
+
+@query(_levels("default"))
+def coverage_levels_default(s, d):
+    return coverage.levels(_best(s, d), "default")
+
+
+@query(f"SELECT vec_id, best, round(0.35 - best, 6) AS gap FROM {_BEST} WHERE best < 0.35")
+def coverage_uncovered(s, d):
+    return coverage.uncovered(_best(s, d), 0.35)
+
+
+@query(f"SELECT CASE WHEN best >= 0.9 THEN 'excellent' WHEN best >= 0.8 THEN 'good' WHEN best >= 0.7 THEN 'fair' WHEN best >= 0.6 THEN 'poor' ELSE 'uncovered' END AS grade, count(*) AS chunks FROM {_BEST} GROUP BY 1")
+def coverage_grades(s, d):
+    return coverage.grades(_best(s, d))
+
+
+@query(f"SELECT round(avg(best), 6) AS mean, round(median(best), 6) AS median, min(best) AS least, max(best) AS most, round(avg(best) * 0.4 + avg((best >= 0.4)::INT::DOUBLE) * 0.3 + greatest(0, 1 - stddev_pop(best)) * 0.3, 6) AS quality FROM {_BEST}")
+def coverage_quality(s, d):
+    return coverage.quality(_best(s, d), 0.4)
+
+
+@query(f"SELECT CASE WHEN vec_id % 3 = 0 THEN 'short' WHEN vec_id % 3 = 1 THEN 'medium' ELSE 'long' END AS class, count(*) AS chunks, count(*) FILTER (best >= 0.4) AS covered, round(avg((best >= 0.4)::INT::DOUBLE), 6) AS rate FROM {_BEST} GROUP BY 1")
+def coverage_by_class(s, d):
+    m = F.col("vec_id") % 3
+    return coverage.by_class(_best(s, d), F.when(m == 0, "short").when(m == 1, "medium").otherwise("long"), 0.4)
+
+
+@query(f"SELECT * FROM ({_NEAR}) WHERE rank <= 5")
+def dense_top_k(s, d):
+    v = table(s, d, "embeddings")
+    return vectors.top_k(v, v.where("vec_id % 20 = 0"), 5)
+
+
+@query(f"""WITH near AS ({_NEAR}), lists AS (SELECT * FROM near WHERE rank <= 10 UNION ALL SELECT n.query_id, row_number() OVER (PARTITION BY n.query_id ORDER BY label DESC, sim DESC, n.vec_id), n.vec_id, sim FROM near n JOIN embeddings USING (vec_id) WHERE rank <= 10),
+total AS (SELECT query_id, vec_id, round(sum(1.0 / (60 + rank)::DOUBLE), 9) AS score FROM lists GROUP BY 1, 2), r AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank, vec_id, score FROM total) SELECT * FROM r WHERE rank <= 5""")
+def rank_fusion(s, d):
+    v = table(s, d, "embeddings")
+    near = vectors.top_k(v, v.where("vec_id % 20 = 0"), 10)
+    other = near.join(v.select(F.col("vec_id").alias("k"), "label"), F.col("vec_id") == F.col("k"))
+    again = other.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("label"), F.desc("sim"), "vec_id")))
+    return vectors.fuse([near, again], 5)
+
+
+@query("SELECT doc_id, trim(regexp_replace(coalesce(text, ''), '\\s+', ' ', 'g')) AS cleaned FROM documents")
+def clean_text(s, d):
+    return _docs(s, d).select("doc_id", T.clean(F.col("text")).alias("cleaned"))
+
+
+_OTHER = "length(regexp_replace(text, '[\\x00-\\x7F]', '', 'g'))"
+_TOKENS = f"CASE WHEN length(coalesce(text, '')) = 0 THEN 0 ELSE greatest(trunc({_OTHER} * 0.5 + (length(text) - {_OTHER}) * 0.25)::INT, 1) END"
+
+
+@query(f"SELECT doc_id, {_TOKENS} AS tokens, round(({_TOKENS})::DOUBLE / 1000 * 0.1 + 100 / 1000.0::DOUBLE * 0.4, 6) AS price FROM documents")
+def token_estimates(s, d):
+    n = T.estimated_tokens(F.col("text"))
+    return _docs(s, d).select("doc_id", n.alias("tokens"), F.round(T.cost(n, F.lit(100), 0.1, 0.4), 6).alias("price"))
+
+
+@query("SELECT doc_id, CASE WHEN length(text) > 100 THEN substr(text, 1, 100) || '...' ELSE text END AS preview FROM documents")
+def truncated_text(s, d):
+    return _docs(s, d).select("doc_id", T.truncated(F.col("text"), 50).alias("preview"))
+
+
+@query("SELECT doc_id, len(list_filter(string_split_regex(text, '\\n\\s*\\n'), lambda x: trim(x, ' \t\n\r') <> '')) AS n_paragraphs FROM documents")
+def paragraph_counts(s, d):
+    return _docs(s, d).select("doc_id", F.size(T.paragraphs(F.col("text"))).cast("bigint").alias("n_paragraphs"))
+
+
+@query()
+def sentence_rows(s, d):
+    return _docs(s, d).select("doc_id", F.posexplode(T.sentences(F.col("text"))).alias("i", "sentence"))
+
+
+_WORDS = "list_filter(string_split_regex(text, '\\s+'), lambda w: w <> '')"
+
+
+@query(f"SELECT doc_id, length(text) AS chars, len({_WORDS}) AS words, round(list_avg(list_transform({_WORDS}, lambda w: length(w))), 2) AS mean_word FROM documents")
+def text_statistics(s, d):
+    w = T.plain_words(F.col("text"))
+    mean = F.aggregate(w, F.lit(0).cast("bigint"), lambda a, x: a + F.length(x)) / F.size(w)
+    return _docs(s, d).select("doc_id", F.length("text").cast("bigint").alias("chars"), F.size(w).cast("bigint").alias("words"), F.round(F.when(F.size(w) > 0, mean), 2).alias("mean_word"))
+
+
+_TERMS = "(SELECT doc_id, term, count(*) AS n, min(pos) AS pos FROM (SELECT doc_id, unnest(t) AS term, generate_subscripts(t, 1) - 1 AS pos FROM (SELECT doc_id, regexp_extract_all(text, '[ァ-ヴー]{2,}|[一-龥]{2,}|[A-Za-z]{2,}[A-Za-z0-9]*') AS t FROM documents)) GROUP BY 1, 2)"
+_STOPPED = f"lower(term) NOT IN ({', '.join(repr(x) for x in STOP)}) AND length(term) > 1"
+
+
+@query(f"SELECT doc_id, rank, term, n FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, pos) AS rank FROM {_TERMS} WHERE {_STOPPED}) WHERE rank <= 10")
+def keywords_by_frequency(s, d):
+    return keywords.by_frequency(_docs(s, d), "doc_id", "text", 10, STOP)
+
+
+_SCORE = f"round(least(n / 3, 1.0) * 0.3::DOUBLE + least(length(term) / 8, 1.0) * 0.3::DOUBLE + CASE WHEN term IN ({', '.join(repr(x) for x in IMPORTANT)}) THEN 0.5::DOUBLE ELSE 0 END + CASE WHEN regexp_matches(term, '^[ァ-ヴー]{{3,}}$') THEN 0.2::DOUBLE WHEN regexp_matches(term, '^[A-Z]{{2,}}') THEN 0.3 WHEN regexp_matches(term, '^[一-龥]{{4,}}$') THEN 0.2 ELSE 0 END, 6)"
+
+
+@query(f"SELECT doc_id, rank, term, score FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, pos) AS rank FROM (SELECT *, {_SCORE} AS score FROM {_TERMS} WHERE {_STOPPED})) WHERE rank <= 10")
+def keywords_by_score(s, d):
+    return keywords.by_score(_docs(s, d), "doc_id", "text", 10, STOP, IMPORTANT)
+
+
+@query(f"WITH k AS (SELECT doc_id, rank, term, n FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, pos) AS rank FROM {_TERMS} WHERE {_STOPPED}) WHERE rank <= 10) SELECT * FROM k WHERE NOT EXISTS (SELECT 1 FROM k j WHERE j.doc_id = k.doc_id AND contains(j.term, k.term) AND length(j.term) > length(k.term))")
+def keywords_without_contained(s, d):
+    return keywords.without_contained(keywords_by_frequency(s, d), "doc_id")
+
+
+@query()
+def text_complexity(s, d):
+    return _docs(s, d).select("doc_id", T.complexity(F.col("text")).alias("level"))
+
+
+@query()
+def packed_chunks(s, d):
+    return chunks.chunked(_docs(s, d))
+
+
+@query()
+def merged_chunks(s, d):
+    return chunks.merged_small(chunks.chunked(_docs(s, d)))
+
+
+_WIN = "(SELECT doc_id, n, greatest(ceil((n - 300) / 250.0), 0)::INT AS last FROM (SELECT doc_id, len(" + _WORDS + ") AS n FROM documents) WHERE n > 0)"
+
+
+@query(f"SELECT doc_id, i::INT AS chunk_idx, (i * 250)::INT AS first, least(300, n - i * 250)::INT AS words, CASE WHEN last = 0 THEN 'full' WHEN i = 0 THEN 'start' WHEN i = last THEN 'end' ELSE 'middle' END AS position FROM (SELECT *, unnest(range(last + 1)) AS i FROM {_WIN})")
+def token_window_chunks(s, d):
+    return chunks.token_windows(_docs(s, d), "doc_id", "text")
+
+
+@query(f"SELECT doc_id, CASE WHEN t < 50 THEN 2 WHEN t < 100 THEN 3 WHEN t < 200 THEN 4 WHEN t < 300 THEN 5 ELSE 6 END + CASE WHEN doc_id % 8 >= 5 THEN 1 ELSE 0 END AS n FROM (SELECT doc_id, {_TOKENS} AS t FROM documents)")
+def question_counts(s, d):
+    return _docs(s, d).select("doc_id", T.qa_count(T.estimated_tokens(F.col("text")), F.col("doc_id") % 8).alias("n"))
+
+
+@query("SELECT 'c_mktsegment' AS \"column\", count(*) AS rows, count(*) FILTER (trim(c_mktsegment) = '' OR c_mktsegment IS NULL) AS empty, count(DISTINCT c_mktsegment) AS \"distinct\" FROM customer UNION ALL SELECT 'c_nationkey', count(*), count(*) FILTER (c_nationkey IS NULL), count(DISTINCT c_nationkey) FROM customer")
+def column_profile(s, d):
+    return profile.columns(table(s, d, "customer").select("c_mktsegment", "c_nationkey"))
+
+
+@query("SELECT * FROM documents QUALIFY row_number() OVER (PARTITION BY text ORDER BY doc_id) = 1")
+def first_of_each_text(s, d):
+    return profile.first_of(_docs(s, d), ["text"], ["doc_id"])
+
+
+@query("SELECT round(avg(length(text)), 6) AS mean, max(length(text)) AS most, min(length(text)) AS least, round(quantile_cont(length(text), 0.25), 6) AS q1, round(quantile_cont(length(text), 0.5), 6) AS q2, round(quantile_cont(length(text), 0.75), 6) AS q3 FROM documents")
+def length_statistics(s, d):
+    return profile.lengths(_docs(s, d), "text")
+
+
+@query("SELECT doc_id, text, lang, source, n_chars FROM documents WHERE doc_id % 10 <> 0 UNION ALL SELECT doc_id, upper(lang), lang, source, 0 FROM documents WHERE doc_id % 10 = 0")
+def upserted_rows(s, d):
+    docs = _docs(s, d)
+    new = docs.where("doc_id % 10 = 0").select("doc_id", F.upper("lang").alias("text"), "lang", "source", F.lit(0).cast("bigint").alias("n_chars"))
+    return profile.upserted(docs, new, "doc_id")
+
+
+@query("SELECT source_collection, count(*) AS n, count(DISTINCT original_id) AS ids FROM (SELECT 'docs' AS source_collection, doc_id AS original_id FROM documents UNION ALL SELECT 'pages', page_id FROM pages) GROUP BY 1")
+def merged_collections(s, d):
+    parts = {"docs": _docs(s, d).select(F.col("doc_id").alias("id"), "text"), "pages": table(s, d, "pages").select(F.col("page_id").alias("id"), "url")}
+    return profile.merged(parts, "id").groupBy("source_collection").agg(F.count("*").alias("n"), F.count_distinct("original_id").alias("ids"))
+
+
+@query("SELECT source, count(*) AS n, round(count(*) * 100.0::DOUBLE / sum(count(*)) OVER (), 6) AS percent FROM documents GROUP BY 1")
+def source_distribution(s, d):
+    docs = _docs(s, d)
+    share = F.round(F.col("n") * 100.0 / F.sum("n").over(W.partitionBy(F.lit(1))), 6)
+    return docs.groupBy("source").agg(F.count("*").alias("n")).withColumn("percent", share)
+
+
+_SCORES = "(SELECT event_id, user_id, ts, value / (1 + abs(value)) AS c FROM events)"
+
+
+def _scored(s, d):
+    return table(s, d, "events").withColumn("c", F.col("value") / (1 + F.abs("value")))
+
+
+@query("WITH e AS (SELECT user_id, event_id, value / (1 + abs(value)) AS c FROM events), n AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS i FROM e) SELECT user_id, round(avg(c), 6) AS mean, round(min(c), 6) AS least, round(sum(c * i) / sum(i), 6) AS weighted, round(avg(c) * CASE WHEN bool_or(c < 0.3) THEN 0.7::DOUBLE ELSE 1 END, 6) AS checked, bool_or(c < 0.3) AS critical FROM n GROUP BY 1")
+def confidence_aggregates(s, d):
+    return confidence.aggregated(_scored(s, d), "user_id", "event_id", "c")
+
+
+@query(f"SELECT event_id, CASE WHEN c >= 0.9 THEN 'silent' WHEN c >= 0.7 THEN 'notify' WHEN c >= 0.4 THEN 'confirm' ELSE 'escalate' END AS action FROM {_SCORES}")
+def confidence_actions(s, d):
+    return _scored(s, d).select("event_id", T.action(F.col("c")).alias("action"))
+
+
+@query(f"SELECT user_id, round(CASE WHEN max(c) >= 0.6 THEN max(c) ELSE greatest(0, max(c) * 0.7::DOUBLE + avg(c) * 0.3::DOUBLE - least(0.15::DOUBLE, var_pop(c) * 0.3::DOUBLE)) END, 6) AS quality FROM {_SCORES} GROUP BY 1")
+def search_quality(s, d):
+    one = _scored(s, d).groupBy("user_id").agg(F.max("c").alias("m"), F.avg("c").alias("a"), F.var_pop("c").alias("v"))
+    return one.select("user_id", F.round(T.search_quality(F.col("m"), F.col("a"), F.col("v")), 6).alias("quality"))
+
+
+@query()
+def adjusted_thresholds(s, d):
+    fed = _scored(s, d).select("user_id", "ts", F.col("c").alias("confidence"), (F.col("event_type") == "purchase").alias("was_correct"))
+    return confidence.thresholds(fed)
+
+
+@query("SELECT o_orderkey AS plan_id, l_linenumber AS step_id, coalesce(lag(flag = 'N') OVER (PARTITION BY o_orderkey ORDER BY l_linenumber), true) AS ready FROM (SELECT o_orderkey, l_linenumber, min(l_returnflag) AS flag FROM orders JOIN lineitem ON l_orderkey = o_orderkey GROUP BY 1, 2)")
+def steps_ready(s, d):
+    both = table(s, d, "orders").join(table(s, d, "lineitem"), F.col("o_orderkey") == F.col("l_orderkey"))
+    lines = both.groupBy(F.col("o_orderkey").alias("plan_id"), F.col("l_linenumber").alias("step_id")).agg(F.min("l_returnflag").alias("flag"))
+    before = F.lag("step_id").over(W.partitionBy("plan_id").orderBy("step_id"))
+    steps = lines.withColumn("p", before).select("plan_id", "step_id", F.when(F.col("p").isNotNull(), F.array("p")).otherwise(F.array().cast(f"array<{dict(lines.dtypes)['step_id']}>")).alias("depends_on"))
+    return confidence.ready(steps, lines.select("plan_id", "step_id", F.when(F.col("flag") == "N", "success").otherwise("failed").alias("status")))
+
+
+@query("SELECT source AS category, lang, count(*) AS cases, round(avg(quality), 6) AS accuracy FROM documents JOIN labels USING (doc_id) GROUP BY ROLLUP (source, lang)")
+def evaluation_report(s, d):
+    rows = _docs(s, d).join(table(s, d, "labels"), "doc_id")
+    return rows.rollup(F.col("source").alias("category"), "lang").agg(F.count("*").alias("cases"), F.round(F.avg("quality"), 6).alias("accuracy"))
+
+
+@query("SELECT conv_id, turn, question, answer FROM (SELECT conv_id, turn, role, text AS question, lead(role) OVER w AS r, lead(text) OVER w AS answer FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)) WHERE role = 'user' AND r = 'assistant'")
+def question_pairs(s, d):
+    w = W.partitionBy("conv_id").orderBy("turn")
+    c = table(s, d, "conversations").select("conv_id", "turn", "role", F.col("text").alias("question"), F.lead("role").over(w).alias("r"), F.lead("text").over(w).alias("answer"))
+    return c.where("role = 'user' AND r = 'assistant'").select("conv_id", "turn", "question", "answer")
+
+
+@query("SELECT time_bucket(INTERVAL 1 hour, ts) AS start, event_type, count(*) AS n, round(sum(value), 6) AS total FROM events GROUP BY 1, 2")
+def tumbling_counts(s, d):
+    return E.tumbling(table(s, d, "events")).select(F.col("window.start").alias("start"), "event_type", "n", "total")
+
+
+@query("WITH e AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 30 minutes THEN 0 ELSE 1 END AS new FROM events), r AS (SELECT user_id, ts, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM e) SELECT min(ts) AS start, user_id, count(*) AS n FROM r GROUP BY user_id, k")
+def session_counts(s, d):
+    return E.sessions(table(s, d, "events")).select(F.col("session.start").alias("start"), "user_id", "n")
+
+
+@query()
+def sliding_rates(s, d):
+    return E.rates(table(s, d, "events"), 3).select(F.col("window.start").alias("start"), "event_type", "n", "over")
+
+
+@query("SELECT event_type, mode_n AS n, top FROM (SELECT event_type, count(*) AS mode_n, arg_max(user_id, value) AS top FROM events GROUP BY 1)")
+def top_of_each(s, d):
+    return table(s, d, "events").groupBy("event_type").agg(F.count("*").alias("n"), F.max_by("user_id", "value").alias("top"))
