@@ -14,10 +14,10 @@ from quern.sources.tables import written
 
 LENGTH = 100  # bytes of a string
 GRAM = 32  # bytes of an anchor; each string has one, the gram in it with the least hash, so equal strings have equal anchors
-SUB = 8_000_000  # bytes taken together in a task
+SUB = 1_500_000  # bytes taken together in a task
 INDEX_BITS = 27
 #: Segments in a group of the suffix sort; anchors in more segments than HOT are compared string by string, by combinable minima.
-GROUP, HOT = 20_000, 4_000
+GROUP, HOT = 4_000, 4_000
 _RNG = np.random.default_rng(20_240_229)
 TABLES = _RNG.integers(1, 2**63, (2, 256), dtype=np.int64).astype(np.uint64) * np.uint64(2) + np.uint64(1)
 BASES = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93))
