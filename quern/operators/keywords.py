@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from quern.functions.keywords import occurrences as places
 from quern.functions.text import terms
 
 
@@ -36,3 +37,16 @@ def without_contained(found: DataFrame, key: str) -> DataFrame:
     """`found` (key, term) without terms that a longer term of the same key contains. A key's terms are few: a top-n."""
     longer = found.select(F.col(key).alias("k"), F.col("term").alias("whole"))
     return found.join(longer, (F.col(key) == F.col("k")) & F.col("whole").contains(F.col("term")) & (F.length("whole") > F.length("term")), "left_anti")
+
+
+def enough(ranked: DataFrame, key: str, text: str, target: float, least: int = 3) -> DataFrame:
+    """(key, n, covered): how few of the ranked terms (key, rank, term, text), at least `least`, cover that share of the text; all if none do.
+
+    Terms that overlap count each.
+    """
+    part = F.length("term") * places(F.col(text), F.col("term"))
+    so_far = F.sum(part).over(W.partitionBy(key).orderBy("rank")) / F.length(text)
+    each = ranked.select(key, "rank", so_far.alias("_c"))
+    met = F.when((F.col("rank") >= least) & (F.col("_c") >= target), F.struct("rank", "_c"))
+    one = each.groupBy(key).agg(F.coalesce(F.min(met), F.max(F.struct("rank", "_c"))).alias("_b"))
+    return one.select(key, F.col("_b.rank").alias("n"), F.round("_b._c", 6).alias("covered"))

@@ -8,8 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from quern.functions import keywords as K
 from quern.functions import text as T
-from quern.operators import chunks, confidence, coverage, keywords, profile, vectors
+from quern.operators import chunks, confidence, coverage, keywords, profile, questions, results, vectors
 from quern.sources.tables import table
 from quern.streaming import events as E
 
@@ -289,3 +290,106 @@ def sliding_rates(s, d):
 @query("SELECT event_type, mode_n AS n, top FROM (SELECT event_type, count(*) AS mode_n, arg_max(user_id, value) AS top FROM events GROUP BY 1)")
 def top_of_each(s, d):
     return table(s, d, "events").groupBy("event_type").agg(F.count("*").alias("n"), F.max_by("user_id", "value").alias("top"))
+
+
+_TOP = f"(SELECT doc_id, rank, term, n FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, pos) AS rank FROM {_TERMS} WHERE {_STOPPED}) WHERE rank <= 10)"
+_PARTS = "list_filter(list_transform(string_split_regex(text, '[。！？.!?]+'), lambda x: trim(x, ' \t\n\r')), lambda x: x <> '')"
+
+
+def _lists(s, d):
+    """Each document's top terms in order, beside its text."""
+    top = keywords_by_frequency(s, d).groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("rank", "term"))).alias("l")).select("doc_id", F.col("l.term").alias("t"))
+    return top.join(_docs(s, d).select(F.col("doc_id").alias("k"), "text"), F.col("doc_id") == F.col("k")).drop("k")
+
+
+@query(f"""WITH k AS {_TOP}, l AS (SELECT doc_id, list(term ORDER BY rank) AS t FROM k GROUP BY 1),
+p AS (SELECT a.doc_id, count(*) AS shared FROM k a JOIN k b ON a.doc_id = b.doc_id AND a.rank < b.rank AND list_has_any(list_transform(range(1, length(a.term)), lambda i: substr(a.term, i, 2)), list_transform(range(1, length(b.term)), lambda i: substr(b.term, i, 2))) GROUP BY 1),
+m AS (SELECT doc_id, len(list_filter(t, lambda x: contains(text, x)))::DOUBLE / len(t) AS coverage, list_aggregate(list_transform(t, lambda x: length(x)), 'stddev_samp') AS sd, len(t) AS n,
+least(1, list_sum(list_transform(t, lambda x: CASE WHEN regexp_matches(x, '^[A-Z]{{2,}}[A-Z0-9]*$') THEN 1.2::DOUBLE WHEN regexp_matches(x, '^[ァ-ヴー]{{3,}}$') THEN 1 WHEN regexp_matches(x, '^[一-龥]{{4,}}$') THEN 0.9 WHEN regexp_matches(x, '^[A-Za-z]+[A-Za-z0-9]*$') THEN 0.8 ELSE 0 END)) / len(t)) AS technicality,
+len(list_filter(t, lambda x: length(x) BETWEEN 2 AND 8))::DOUBLE / len(t) AS length_balance FROM l JOIN documents USING (doc_id)),
+q AS (SELECT doc_id, coverage, CASE WHEN n < 2 THEN 0.5::DOUBLE ELSE least(1, CASE WHEN sd < 3 THEN sd / 3 ELSE (6 - sd) / 3 END) END AS diversity, technicality, CASE WHEN n < 2 THEN 0::DOUBLE ELSE coalesce(shared, 0)::DOUBLE / (n * (n - 1) / 2) END AS coherence, length_balance FROM m LEFT JOIN p USING (doc_id))
+SELECT doc_id, round(coverage, 6) AS coverage, round(diversity, 6) AS diversity, round(technicality, 6) AS technicality, round(coherence, 6) AS coherence, round(length_balance, 6) AS length_balance, round(least(1, coverage * 0.25::DOUBLE + diversity * 0.15::DOUBLE + technicality * 0.25::DOUBLE + coherence * 0.2::DOUBLE + length_balance * 0.15::DOUBLE), 6) AS total FROM q""")
+def keyword_metrics(s, d):
+    m = K.metrics(F.col("t"), F.col("text"))
+    return _lists(s, d).select("doc_id", *[F.round(c, 6).alias(k) for k, c in m.items()], F.round(K.total(m), 6).alias("total"))
+
+
+@query("SELECT doc_id, (CASE WHEN n < 100 THEN 3 WHEN n < 300 THEN 5 WHEN n < 500 THEN CASE WHEN len(regexp_extract_all(text, '[ァ-ヴー]{3,}|[A-Z]{2,}|[一-龥]{4,}')) / (n / 100.0::DOUBLE) > 2 THEN 9 ELSE 7 END WHEN n < 1000 THEN CASE WHEN len(string_split_regex(text, '[。！？.!?]+')) > 10 THEN 12 ELSE 10 END WHEN n < 2000 THEN 15 ELSE least(20 + floor(log2(n / 2000.0::DOUBLE)), 30) END)::INT AS n_keywords FROM (SELECT doc_id, text, length(text) AS n FROM documents)")
+def keyword_counts(s, d):
+    return _docs(s, d).select("doc_id", K.auto_count(F.col("text")).alias("n_keywords"))
+
+
+_HITS = "len(string_split(text, term)) - 1"
+
+
+@query(f"WITH k AS (SELECT doc_id, term, {_HITS} AS c, contains(text, term || 'とは') OR (contains(text, term || 'は') AND contains(text, 'である')) OR contains(text, term || '（') AS told FROM {_TOP} JOIN documents USING (doc_id)) SELECT doc_id, term, CASE WHEN told AND c >= 3 THEN 'basic' WHEN NOT told AND regexp_matches(term, '^[A-Z]{{2,}}[A-Z0-9]*$') THEN 'advanced' WHEN length(term) >= 8 OR c = 1 THEN 'advanced' WHEN c >= 5 THEN 'basic' ELSE 'intermediate' END AS difficulty, CASE WHEN regexp_matches(term, '^[A-Z]{{2,}}[A-Z0-9]*$') THEN 'technical_term' ELSE 'other' END AS category FROM k")
+def keyword_levels(s, d):
+    t = F.col("term")
+    return _lists(s, d).select("doc_id", "text", F.explode("t").alias("term")).select("doc_id", "term", K.difficulty(t, F.col("text")).alias("difficulty"), K.category(t).alias("category"))
+
+
+@query(f"WITH c AS (SELECT doc_id, rank, sum(length(term) * ({_HITS})) OVER (PARTITION BY doc_id ORDER BY rank)::DOUBLE / length(text) AS covered FROM {_TOP} JOIN documents USING (doc_id)) SELECT doc_id, coalesce(min(rank) FILTER (rank >= 3 AND covered >= 0.3), max(rank)) AS n, round(coalesce(arg_min(covered, rank) FILTER (rank >= 3 AND covered >= 0.3), arg_max(covered, rank)), 6) AS covered FROM c GROUP BY 1")
+def keywords_by_coverage(s, d):
+    both = keywords_by_frequency(s, d).join(_docs(s, d).select(F.col("doc_id").alias("k"), "text"), F.col("doc_id") == F.col("k"))
+    return keywords.enough(both, "doc_id", "text", 0.3)
+
+
+@query()
+def keyword_sentences(s, d):
+    return questions.best_sentences(_docs(s, d), keywords_by_frequency(s, d), "doc_id", "text")
+
+
+@query(f"""WITH p AS (SELECT doc_id, text, {_PARTS} AS t FROM documents), m AS (SELECT doc_id, text, len(t) AS n, list_transform(t, lambda x: length(x)::DOUBLE) AS z FROM p)
+SELECT doc_id, n AS sentences, round(least(1, CASE WHEN n > 1 THEN least(1, list_aggregate(z, 'stddev_pop') / list_avg(z)) * 0.3::DOUBLE ELSE 0 END + least(1, len(regexp_extract_all(text, '[ァ-ヴー]{{3,}}|[A-Z]{{2,}}[A-Z0-9]*|[一-龥]{{4,}}')) / greatest(1, length(text) / 100.0::DOUBLE) / 5) * 0.4::DOUBLE + least(1, len(regexp_extract_all(text, '[、；：「」『』（）\\[\\]]')) / greatest(n, 1)::DOUBLE) * 0.3::DOUBLE), 6) AS difficulty FROM m""")
+def text_difficulties(s, d):
+    t = F.col("text")
+    return _docs(s, d).select("doc_id", F.size(K.sentence_parts(t)).cast("bigint").alias("sentences"), F.round(K.text_difficulty(t), 6).alias("difficulty"))
+
+
+@query("WITH q AS (SELECT min(conv_id * 1000 + turn) AS id, text, list_distinct(list_filter(string_split_regex(text, '\\s+'), lambda w: w <> '')) AS w FROM conversations WHERE role = 'user' GROUP BY text), p AS (SELECT a.id AS a, b.id AS b, len(list_intersect(a.w, b.w))::DOUBLE / len(list_distinct(list_concat(a.w, b.w))) AS s FROM q a JOIN q b ON a.id < b.id WHERE len(a.w) > 0 AND len(b.w) > 0) SELECT a, b, round(s, 6) AS similarity FROM p WHERE s > 0.7")
+def questions_asked_twice(s, d):
+    asked = table(s, d, "conversations").where("role = 'user'").select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), "text")
+    return questions.asked_twice(asked, "id", "text")
+
+
+@query("SELECT conv_id, turn, round(least(1, CASE WHEN length(answer) BETWEEN 20 AND 200 THEN 0.2::DOUBLE WHEN length(answer) BETWEEN 10 AND 300 THEN 0.1 ELSE 0 END + CASE WHEN contains(question, 'what') OR contains(question, 'how') THEN 0.2::DOUBLE ELSE 0 END + 0.2::DOUBLE + least(0.2, len(regexp_extract_all(question, '[ァ-ヴー]{2,}|[一-龥]{2,}|[A-Za-z]{2,}[A-Za-z0-9]*')) * 0.1)::DOUBLE + 0.1::DOUBLE), 6) AS quality FROM (SELECT conv_id, turn, role, text AS question, lead(role) OVER w AS r, lead(text) OVER w AS answer FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)) WHERE role = 'user' AND r = 'assistant'")
+def question_quality(s, d):
+    q = F.col("question")
+    score = K.pair_quality(q, F.col("answer"), F.lit("basic"), F.size(T.terms(q)), F.lit("user"), ["what", "how"])
+    return question_pairs(s, d).select("conv_id", "turn", F.round(score, 6).alias("quality"))
+
+
+@query("SELECT doc_id FROM documents WHERE contains(text, 'license') OR contains(text, 'token')")
+def rows_with_any_word(s, d):
+    return _docs(s, d).where(K.contains_any(F.col("text"), "license a token")).select("doc_id")
+
+
+def _labelled(s, d):
+    v = table(s, d, "embeddings")
+    near = vectors.top_k(v, v.where("vec_id % 20 = 0"), 10)
+    return near.join(v.select(F.col("vec_id").alias("k"), "label"), F.col("vec_id") == F.col("k")).drop("k")
+
+
+_LABELLED = f"(SELECT n.*, e.label FROM ({_NEAR}) n JOIN embeddings e USING (vec_id) WHERE rank <= 10)"
+
+
+@query(f"SELECT query_id, rank, vec_id, sim, label FROM (SELECT *, dense_rank() OVER (PARTITION BY query_id ORDER BY CASE label WHEN 2 THEN 1 WHEN 0 THEN 2 ELSE 3 END, label) AS k FROM {_LABELLED}) WHERE k = 1")
+def first_collection_with_results(s, d):
+    return results.first_collection(_labelled(s, d), "query_id", "label", [2, 0])
+
+
+@query(f"SELECT query_id, rank, vec_id, sim, label FROM (SELECT *, max(sim) OVER (PARTITION BY query_id) AS top FROM {_LABELLED}) WHERE rank = 1 OR top < 0.98")
+def confident_results(s, d):
+    return results.confident_only(_labelled(s, d), "query_id", "sim", ["vec_id"])
+
+
+@query("SELECT c_custkey, count(value) AS n, round(coalesce(avg(value), 0), 6) AS mean, round(coalesce(var_pop(value), 1), 6) AS variance, coalesce(max(value), 0) AS most, coalesce(min(value), 0) AS least FROM customer LEFT JOIN events ON user_id = c_custkey GROUP BY 1")
+def score_statistics(s, d):
+    found = table(s, d, "events").select(F.col("user_id").alias("c_custkey"), "value")
+    one = results.score_statistics(table(s, d, "customer"), found, "c_custkey", "value")
+    return one.withColumns({c: F.round(c, 6) for c in ("mean", "variance")})
+
+
+@query(f"WITH v AS (SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings), p AS (SELECT a.label, avg(list_cosine_similarity(a.e, b.e)) AS m FROM v a JOIN v b ON a.label = b.label AND a.vec_id < b.vec_id GROUP BY 1) SELECT label, n, round(coalesce(m, 1), 6) AS agreement FROM (SELECT label, count(*) AS n FROM v GROUP BY 1) LEFT JOIN p USING (label)")
+def source_agreement(s, d):
+    return results.agreement(table(s, d, "embeddings"), "label", "embedding").withColumn("agreement", F.round("agreement", 6))
