@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from quern.functions.text import strip
+from quern.functions.text import estimated_tokens, strip
 
 # Patterns, weights and words that scores and classes must agree on.
 TECHNICAL = r"[ァ-ヴー]{3,}|[A-Z]{2,}|[一-龥]{4,}"
@@ -142,3 +142,29 @@ def contains_any(content: Column, asked: str) -> Column:
     """Whether content has any of the question's words of two or more characters; true if there are none."""
     words = [w for w in asked.split() if len(w) >= 2]
     return F.exists(F.array(*map(F.lit, words)), lambda w: content.contains(w)) if words else F.lit(True)
+
+
+def question_budget(text: Column) -> Column:
+    """How many questions a document deserves: by its length, more where dense and difficult, averaged with what its tokens need; 3 to 50."""
+    n = F.length(text)
+    base = F.when(n < 500, 3).when(n < 1000, 5).when(n < 2000, 8).when(n < 5000, 12).when(n < 10000, 18).otherwise(F.least(F.lit(30), 18 + F.floor(F.log2(n / 10000) * 3)))
+    dense = F.regexp_count(text, F.lit(TECHNICAL_LONG)) / F.greatest(F.lit(1.0), n / 100)
+
+    def count(hard: Column) -> Column:
+        more = F.when((dense > 4) & (hard > 0.7), 1.5).when((dense > 2.5) | (hard > 0.5), 1.2).when((dense < 1) & (hard < 0.3), 0.7).otherwise(1.0)
+        needed = F.floor(F.floor(estimated_tokens(text) / 150) * 0.7 / 2.5)
+        own = F.greatest(F.lit(3), F.floor(base * more))
+        return F.greatest(F.lit(3), F.least(F.lit(50), F.floor((own + needed) / 2))).cast("int")
+
+    return _let(text_difficulty(text), count)
+
+
+def json_object(answer: Column) -> Column:
+    """The JSON object in a model's answer, from its first brace to its last; null if there is none."""
+    return F.nullif(F.regexp_extract(answer, r"(?s)\{.*\}", 0), F.lit(""))
+
+
+def final_answer(answer: Column) -> Column:
+    """What follows `Final Answer:`, else `Answer:`; without a leading `Thought:`."""
+    after = F.when(answer.contains("Final Answer:"), F.element_at(F.split(answer, "Final Answer:", 2), 2)).when(answer.contains("Answer:"), F.element_at(F.split(answer, "Answer:", 2), 2)).otherwise(answer)
+    return strip(F.regexp_replace(after, r"^\s*Thought:", ""))

@@ -85,6 +85,23 @@ def merged_small(chunks: DataFrame, small: int = 150, most: int = 400) -> DataFr
     return chunks.groupBy("doc_id").applyInPandas(fold, "doc_id bigint, chunk_idx_first int, tokens int, text string, original_chunks array<int>")
 
 
+def merged_forward(chunks: DataFrame, small: int = 50, most: int = 600) -> DataFrame:
+    """Each chunk under `small` tokens takes in those after it, in its document, as long as both fit in `most`."""
+
+    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
+        out: list[list] = []
+        for r in pdf.sort_values("chunk_idx").itertuples():
+            if out and out[-1][2] < small and out[-1][2] + r.tokens <= most:
+                out[-1][2] += int(r.tokens)
+                out[-1][3] = f"{out[-1][3]} {r.text}"
+                out[-1][4] = int(r.chunk_idx)
+            else:
+                out.append([r.doc_id, int(r.chunk_idx), int(r.tokens), r.text, int(r.chunk_idx)])
+        return pd.DataFrame(out, columns=["doc_id", "chunk_idx", "tokens", "text", "last_idx"])
+
+    return chunks.groupBy("doc_id").applyInPandas(fold, "doc_id bigint, chunk_idx int, tokens int, text string, last_idx int")
+
+
 def token_windows(df: DataFrame, key: str, text: str, size: int = 300, overlap: int = 50) -> DataFrame:
     """(key, chunk_idx, first, words, position): windows of words, the last one ending with the text."""
     words = df.select(key, F.filter(F.split(text, r"\s+"), lambda w: w != "").alias("w")).where(F.size("w") > 0)

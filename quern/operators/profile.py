@@ -40,3 +40,12 @@ def merged(parts: dict[str, DataFrame], key: str) -> DataFrame:
     for df in each[1:]:
         out = out.unionByName(df, allowMissingColumns=True)
     return out.withColumn(key, F.xxhash64("source_collection", "original_id").bitwiseAND(F.lit(2**63 - 1)))
+
+
+def newest(df: DataFrame, at: str, ties: list, n: int = 100, ttl: str | None = None) -> DataFrame:
+    """The n newest rows, of those no older than `ttl` before the newest of all."""
+    top = df.orderBy(F.desc(at), *ties).limit(n)
+    if not ttl:
+        return top
+    last = F.max(at).over(W.partitionBy(F.lit(1)))  # over n rows, the newest of all among them
+    return top.withColumn("_last", last).where(F.col(at) >= F.col("_last") - F.expr(f"INTERVAL {ttl}")).drop("_last")

@@ -13,6 +13,16 @@ DEFINED = r"([^。]+)とは([^。]+)(?:である|です)"
 NAMED = r"([^。]+)は([^。]+)と呼ばれ"
 LISTED = r"([^。]+)(?:には|に|では)、([^。]+(?:、[^。]+)+)が(?:ある|あります|含まれ|存在)"
 
+# Questions by difficulty and category ("" is any other category), and how long an answer should be.
+TEMPLATES = [
+    ("basic", "", ["{}とは何ですか？", "{}について説明してください。"]),
+    ("intermediate", "core_concept", ["{}の仕組みを説明してください。", "{}の特徴は何ですか？"]),
+    ("intermediate", "", ["{}はどのように使われますか？", "{}の利点は何ですか？"]),
+    ("advanced", "technical_term", ["{}の技術的な詳細を説明してください。", "{}と他の手法との違いは何ですか？"]),
+    ("advanced", "", ["{}の応用例を挙げてください。", "{}の課題と解決策は何ですか？"]),
+]
+LENGTHS = {"basic": "1-2文", "intermediate": "2-3文", "advanced": "3-5文"}
+
 
 def _matches(text: str, pattern: str):
     both = F.arrays_zip(F.regexp_extract_all(text, F.lit(pattern), F.lit(1)).alias("a"), F.regexp_extract_all(text, F.lit(pattern), F.lit(2)).alias("b"))
@@ -60,3 +70,16 @@ def asked_twice(df: DataFrame, key: str, text: str, least: float = 0.7) -> DataF
     both = pairs.join(of("a", "wa"), F.col("a") == F.col("_a")).join(of("b", "wb"), F.col("b") == F.col("_b"))
     s = F.size(F.array_intersect("wa", "wb")) / F.size(F.array_union("wa", "wb"))
     return both.select("a", "b", s.alias("_s")).where(F.col("_s") > least).select("a", "b", F.round("_s", 6).alias("similarity"))
+
+
+def by_template(levels: DataFrame, key: str) -> DataFrame:
+    """(key, term, question, answer_length): two questions for each of `levels` (key, term, difficulty, category)."""
+    same = lambda level, kind: (F.col("difficulty") == level) & ((F.col("category") == kind) if kind else F.lit(True))
+    asked = F.coalesce(*[F.when(same(level, kind), F.array(*[F.replace(F.lit(q), F.lit("{}"), F.col("term")) for q in qs])) for level, kind, qs in sorted(TEMPLATES, key=lambda t: t[1] == "")])
+    length = F.coalesce(*[F.when(F.col("difficulty") == k, v) for k, v in LENGTHS.items()], F.lit("2-3文"))
+    return levels.select(key, "term", F.explode(asked).alias("question"), length.alias("answer_length"))
+
+
+def negated(pairs: DataFrame) -> DataFrame:
+    """(question, answer) turned into its opposite, to test a system that answers."""
+    return pairs.withColumns({"question": F.replace("question", F.lit("何ですか"), F.lit("何ではありませんか")), "answer": F.concat("answer", F.lit("ではないものを指します。"))})

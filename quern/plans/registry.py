@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from quern.functions import keywords as K
 from quern.functions import text as T
-from quern.operators import chunks, confidence, coverage, keywords, profile, questions, results, vectors
+from quern.operators import chunks, confidence, coverage, keywords, models, profile, questions, results, vectors
 from quern.sources.tables import table
 from quern.streaming import events as E
 
@@ -393,3 +393,52 @@ def score_statistics(s, d):
 @query(f"WITH v AS (SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings), p AS (SELECT a.label, avg(list_cosine_similarity(a.e, b.e)) AS m FROM v a JOIN v b ON a.label = b.label AND a.vec_id < b.vec_id GROUP BY 1) SELECT label, n, round(coalesce(m, 1), 6) AS agreement FROM (SELECT label, count(*) AS n FROM v GROUP BY 1) LEFT JOIN p USING (label)")
 def source_agreement(s, d):
     return results.agreement(table(s, d, "embeddings"), "label", "embedding").withColumn("agreement", F.round("agreement", 6))
+
+
+_HARD = ORACLES["text_difficulties"]
+
+
+@query(f"""WITH h AS (SELECT doc_id, difficulty AS hard FROM ({_HARD})), m AS (SELECT doc_id, hard, length(text) AS n, ({_TOKENS}) AS t, len(regexp_extract_all(text, '[ァ-ヴー]{{3,}}|[A-Z]{{2,}}[A-Z0-9]*|[一-龥]{{4,}}')) / greatest(1, length(text) / 100.0::DOUBLE) AS dense FROM documents JOIN h USING (doc_id)),
+b AS (SELECT *, CASE WHEN n < 500 THEN 3 WHEN n < 1000 THEN 5 WHEN n < 2000 THEN 8 WHEN n < 5000 THEN 12 WHEN n < 10000 THEN 18 ELSE least(30, 18 + floor(log2(n / 10000.0::DOUBLE) * 3)) END AS base, CASE WHEN dense > 4 AND hard > 0.7 THEN 1.5::DOUBLE WHEN dense > 2.5 OR hard > 0.5 THEN 1.2 WHEN dense < 1 AND hard < 0.3 THEN 0.7 ELSE 1 END AS more FROM m)
+SELECT doc_id, greatest(3, least(50, floor((greatest(3, floor(base * more)) + floor(floor(t / 150) * 0.7::DOUBLE / 2.5)) / 2)))::INT AS questions FROM b""")
+def question_budgets(s, d):
+    return _docs(s, d).select("doc_id", K.question_budget(F.col("text")).alias("questions"))
+
+
+@query(f"""SELECT doc_id, term, unnest(CASE difficulty WHEN 'basic' THEN [term || 'とは何ですか？', term || 'について説明してください。'] WHEN 'intermediate' THEN [term || 'はどのように使われますか？', term || 'の利点は何ですか？'] ELSE CASE category WHEN 'technical_term' THEN [term || 'の技術的な詳細を説明してください。', term || 'と他の手法との違いは何ですか？'] ELSE [term || 'の応用例を挙げてください。', term || 'の課題と解決策は何ですか？'] END END) AS question, CASE difficulty WHEN 'basic' THEN '1-2文' WHEN 'intermediate' THEN '2-3文' ELSE '3-5文' END AS answer_length FROM ({ORACLES["keyword_levels"]})""")
+def question_templates(s, d):
+    return questions.by_template(keyword_levels(s, d), "doc_id")
+
+
+_SPLIT = "list_distinct(list_filter(string_split_regex(lower({}), '\\s+'), lambda w: w <> ''))"
+_PAIRED = "SELECT a.conv_id, a.turn, b.turn AS other, len(list_intersect(a.w, b.w))::DOUBLE / len(a.w) AS score FROM c a JOIN c b ON a.conv_id = b.conv_id AND a.role = 'user' AND b.role = 'assistant' WHERE len(a.w) > 0"
+
+
+@query(f"WITH c AS (SELECT conv_id, turn, role, {_SPLIT.format('text')} AS w FROM conversations), p AS ({_PAIRED}), r AS (SELECT conv_id, turn, other, score, row_number() OVER (PARTITION BY conv_id, turn ORDER BY score DESC, other) AS rank FROM p WHERE score >= 0.05) SELECT conv_id, turn, other, round(score, 6) AS score, rank FROM r WHERE rank <= 3")
+def reordered_answers(s, d):
+    c = table(s, d, "conversations")
+    asked, told = c.where("role = 'user'").select("conv_id", "turn", F.col("text").alias("q")), c.where("role = 'assistant'").select(F.col("conv_id").alias("k"), F.col("turn").alias("other"), F.col("text").alias("a"))
+    pairs = asked.join(told, F.col("conv_id") == F.col("k")).withColumn("query", F.struct("conv_id", "turn"))
+    best = models.reordered(pairs, "query", models.shared_words(F.col("q"), F.col("a")), ["other"], 3, 0.05)
+    return best.select("conv_id", "turn", "other", F.round("score", 6).alias("score"), "rank")
+
+
+@query("SELECT event_id, user_id FROM events WHERE ts >= (SELECT max(ts) FROM events) - INTERVAL 1 hour ORDER BY ts DESC, event_id LIMIT 100")
+def newest_events(s, d):
+    return profile.newest(table(s, d, "events"), "ts", ["event_id"], 100, "1 hour").select("event_id", "user_id")
+
+
+@query()
+def hashed_vectors(s, d):
+    return models.embedded(table(s, d, "benchmark"), "item_id", "text")
+
+
+@query(f"SELECT doc_id, sum(n)::DOUBLE AS total FROM {_TERMS} GROUP BY 1")
+def sparse_weights(s, d):
+    w = models.sparse(_docs(s, d), "doc_id", "text").select("doc_id", F.map_values("weights").alias("w")).where(F.size("w") > 0)
+    return w.select("doc_id", F.aggregate("w", F.lit(0.0), lambda a, x: a + x).alias("total"))
+
+
+@query()
+def forward_chunks(s, d):
+    return chunks.merged_forward(chunks.chunked(_docs(s, d)))
