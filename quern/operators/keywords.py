@@ -9,6 +9,9 @@ from pyspark.sql import functions as F
 from quern.functions.keywords import occurrences as places
 from quern.functions.text import terms
 
+# Terms that mean the same, the shorter one first.
+SYNONYMS = {"AI": "人工知能", "ML": "機械学習", "DL": "深層学習", "NLP": "自然言語処理", "DX": "デジタルトランスフォーメーション"}
+
 
 def occurrences(df: DataFrame, key: str, text: str) -> DataFrame:
     """(key, term, n, at): candidate terms, how often and where first."""
@@ -50,3 +53,37 @@ def enough(ranked: DataFrame, key: str, text: str, target: float, least: int = 3
     met = F.when((F.col("rank") >= least) & (F.col("_c") >= target), F.struct("rank", "_c"))
     one = each.groupBy(key).agg(F.coalesce(F.min(met), F.max(F.struct("rank", "_c"))).alias("_b"))
     return one.select(key, F.col("_b.rank").alias("n"), F.round("_b._c", 6).alias("covered"))
+
+
+def without_synonyms(found: DataFrame, key: str) -> DataFrame:
+    """`found` (key, term) without short terms whose long form the same key has; follows `without_contained`."""
+    long = F.coalesce(*[F.when(F.col("term") == a, b) for a, b in SYNONYMS.items()])
+    there = found.select(F.col(key).alias("_k"), F.col("term").alias("_t"))
+    return found.withColumn("_long", long).join(there, (F.col(key) == F.col("_k")) & (F.col("_long") == F.col("_t")), "left_anti").drop("_long")
+
+
+def only_new(new: DataFrame, old: DataFrame, key: str) -> DataFrame:
+    """`new` (key, term) without the terms of `old` and their synonyms."""
+    either = F.coalesce(*[F.when(F.col("term") == a, b).when(F.col("term") == b, a) for a, b in SYNONYMS.items()])
+    known = old.select(F.col(key).alias("_k"), F.explode(F.array_compact(F.array("term", either))).alias("_t"))
+    return new.join(known, (F.col(key) == F.col("_k")) & (F.col("term") == F.col("_t")), "left_anti")
+
+
+def covered_share(df: DataFrame, found: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, covered): the share of a text's characters that places of its terms (key, term) cover; a character counts once.
+
+    A text is cut before every place of a term, those that overlap included, so its pieces give where the places start.
+    Empty and null texts and texts without terms give 0.
+    """
+    rows = df.select(F.col(key).alias("_k"), F.coalesce(text, F.lit("")).alias("_text"))
+    both = found.select(key, "term").where("term <> ''").join(rows, F.col(key) == F.col("_k"))
+    before = F.concat(F.lit("(?=\\Q"), F.replace("term", F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit("\\E)"))
+    size = F.length("term")
+    cut = both.select("_k", "term", F.col("_text").startswith(F.col("term")).alias("_first"), F.posexplode(F.split("_text", before, -1)).alias("_i", "_piece"))
+    so_far = F.sum(F.length("_piece")).over(W.partitionBy("_k", "term").orderBy("_i"))
+    places_ = cut.withColumn("_s", so_far - F.length("_piece")).where((F.col("_i") > 0) | F.col("_first")).select("_k", "_s", (F.col("_s") + size).alias("_e"))
+    reached = F.max("_e").over(W.partitionBy("_k").orderBy("_s", "_e").rowsBetween(W.unboundedPreceding, -1))
+    fresh = places_.select("_k", F.greatest(F.lit(0), F.col("_e") - F.greatest("_s", F.coalesce(reached, F.lit(0)))).alias("_n"))
+    n = fresh.groupBy("_k").agg(F.sum("_n").alias("_n"))
+    out = df.select(key, F.length(F.coalesce(text, F.lit(""))).alias("_size")).join(n, F.col(key) == F.col("_k"), "left")
+    return out.select(key, F.round(F.coalesce(F.col("_n") / F.nullif("_size", F.lit(0)), F.lit(0.0)), 6).alias("covered"))

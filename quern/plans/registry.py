@@ -442,3 +442,14 @@ def sparse_weights(s, d):
 @query()
 def forward_chunks(s, d):
     return chunks.merged_forward(chunks.chunked(_docs(s, d)))
+
+
+@query()
+def keyword_coverage(s, d):
+    return keywords.covered_share(_docs(s, d), keywords_by_frequency(s, d), "doc_id", "text")
+
+
+@query(f"SELECT doc_id, rank, term, n FROM {_TOP} WHERE rank > 5")
+def keywords_only_new(s, d):
+    found = keywords_by_frequency(s, d)
+    return keywords.only_new(found, found.where("rank <= 5"), "doc_id")

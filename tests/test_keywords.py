@@ -117,3 +117,28 @@ def test_any_word(spark):
     df = spark.createDataFrame([("the licence",), ("none",)], "t string")
     assert df.where(K.contains_any(F.col("t"), "a licence x")).count() == 1
     assert df.where(K.contains_any(F.col("t"), "a")).count() == 2
+
+
+def test_covered_share_against_marks(spark):
+    import random
+
+    rng = random.Random(5)
+    texts = ["".join(rng.choice("ab.c") for _ in range(rng.randint(0, 30))) for _ in range(40)] + [None, "", "aaaa", "猫𝄞猫"]
+    asked = ["aa", "aba", "a.", "b", "\\E", "猫"]
+    want = []
+    for t in texts:
+        t = t or ""
+        marks = {j for k in asked for i in range(len(t)) if t.startswith(k, i) for j in range(i, i + len(k))}
+        want.append(round(len(marks) / len(t), 6) if t else 0.0)
+    df = spark.createDataFrame(list(enumerate(texts)), "k int, t string")
+    found = df.select("k", F.explode(F.array(*map(F.lit, asked))).alias("term"))
+    got = {r.k: r.covered for r in keywords.covered_share(df, found, "k", "t").collect()}
+    assert [got[i] for i in range(len(texts))] == want
+
+
+def test_synonyms(spark):
+    df = spark.createDataFrame([(1, "AI"), (1, "人工知能"), (2, "AI"), (2, "ML")], "k int, term string")
+    assert sorted((r.k, r.term) for r in keywords.without_synonyms(df, "k").collect()) == [(1, "人工知能"), (2, "AI"), (2, "ML")]
+    new = spark.createDataFrame([(1, "人工知能"), (1, "本"), (1, "AI"), (2, "AI")], "k int, term string")
+    old = spark.createDataFrame([(1, "AI"), (2, "本")], "k int, term string")
+    assert sorted((r.k, r.term) for r in keywords.only_new(new, old, "k").collect()) == [(1, "本"), (2, "AI")]
