@@ -71,6 +71,11 @@ def _entropy(hit: Column, least: float) -> Column:
     return F.aggregate(F.sequence(F.lit(1), F.length(hit)), first, step, lambda a: F.struct(a["lo"].alias("lo"), a["hi"].alias("hi")))
 
 
+def _dense(least: float):
+    """What finds a candidate's dense part. F.transform takes a second argument, even one with a default, for the index."""
+    return lambda x: let(_entropy(x["hit"], least), lambda w: F.struct((x["start"] + w["lo"]).alias("start"), (x["start"] + w["hi"]).alias("end"), w["lo"].alias("lo")))
+
+
 def with_spans(df: DataFrame, text: str = "text") -> DataFrame:
     """`df` and array<struct<start,kind,end>> `secret_spans`: kind is the index in KINDS; sorted by start, then kind. A null text has none."""
     t = F.coalesce(F.col(text), F.lit(""))
@@ -80,7 +85,7 @@ def with_spans(df: DataFrame, text: str = "text") -> DataFrame:
     own = []
     for k, (pattern, least) in enumerate(CLASSES):
         out = out.withColumn(f"_d{k}", F.filter(_places(t, pattern), lambda x: ~x["hit"].rlike(ALLOWED)))
-        dense = F.transform(F.col(f"_d{k}"), lambda x, b=least: let(_entropy(x["hit"], b), lambda w: F.struct((x["start"] + w["lo"]).alias("start"), (x["start"] + w["hi"]).alias("end"), w["lo"].alias("lo"))))
+        dense = F.transform(F.col(f"_d{k}"), _dense(least))
         own.append(F.transform(F.filter(dense, lambda x: x["lo"] >= 0), lambda x: span(3, x["start"], x["end"])))
     kept = F.filter("_a", lambda x: F.length(F.regexp_extract(x["hit"], ASSIGN, 2)) >= 6)
     spans = F.array_sort(F.array_distinct(F.concat(plain(kept, 0), plain(F.col("_b"), 1), plain(F.col("_c"), 2), *own)))
@@ -109,7 +114,8 @@ def scan(documents: DataFrame) -> DataFrame:
 
 def masked(documents: DataFrame, mask: str = "<secret>") -> DataFrame:
     """`documents` with each secret of `text` (overlapping spans as one) replaced by `mask`; n_chars, if there, follows."""
-    found = with_spans(documents)
+    packed = documents.select(F.struct(*[F.col(f"`{c}`") for c in documents.columns]).alias("row"), "text")  # other columns can't clash
+    found = with_spans(packed)
 
     def step(a: Column, x: Column) -> Column:
         new = x["start"] >= a["at"]
@@ -117,7 +123,8 @@ def masked(documents: DataFrame, mask: str = "<secret>") -> DataFrame:
         return F.struct(F.when(new, F.concat(a["out"], gap, F.lit(mask))).otherwise(a["out"]).alias("out"), F.greatest(a["at"], x["end"]).alias("at"))
 
     done = F.aggregate("secret_spans", F.struct(F.lit("").alias("out"), F.lit(0).alias("at")), step, lambda a: F.concat(a["out"], F.substr(F.col("text"), a["at"] + 1, F.length("text"))))
-    out = found.withColumn("text", F.when(F.size("secret_spans") > 0, done).otherwise(F.col("text")))
+    has = F.size("secret_spans") > 0
+    new = {"text": F.when(has, done).otherwise(F.col("text"))}
     if "n_chars" in documents.columns:
-        out = out.withColumn("n_chars", F.when(F.size("secret_spans") > 0, F.length("text").cast(documents.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return out.select(*documents.columns)
+        new["n_chars"] = F.when(has, F.length(done).cast(documents.schema["n_chars"].dataType)).otherwise(F.col("row.n_chars"))
+    return found.select(*[new.get(c, F.col("row").getField(c)).alias(c) for c in documents.columns])
