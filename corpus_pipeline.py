@@ -15,8 +15,8 @@ REJECT_BITS, LEAST_SYMBOLS = 6.0, 40
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with letters that one of the languages fits. Rows of a rejected doc_id go; null doc_ids stay."""
     found = language.identify(docs)
-    bad = found.where((F.col("lang_pred") == language.UNKNOWN) | ((F.col("bits") > REJECT_BITS) & (F.col("symbols") >= LEAST_SYMBOLS))).select(F.col("doc_id").alias("_doc")).distinct()
-    return docs.join(bad, F.col("doc_id") == F.col("_doc"), "left_anti")
+    bad = found.where((F.col("lang_pred") == language.UNKNOWN) | ((F.col("bits") > REJECT_BITS) & (F.col("symbols") >= LEAST_SYMBOLS))).select("doc_id").distinct()
+    return docs.join(bad, "doc_id", "left_anti").select(*[f"`{c}`" for c in docs.columns])
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -62,5 +62,5 @@ def _against(docs: DataFrame, tests: DataFrame) -> DataFrame:
 
 def clean(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
     """`documents` without those that overlap a benchmark item; rows with a null doc_id stay."""
-    found = overlaps(documents, benchmark).select(F.col("doc_id").alias("_doc")).distinct()
-    return documents.join(found, F.col("doc_id") == F.col("_doc"), "left_anti")
+    found = overlaps(documents, benchmark).select("doc_id").distinct()
+    return documents.join(found, "doc_id", "left_anti").select(*[f"`{c}`" for c in documents.columns])

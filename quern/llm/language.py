@@ -24,7 +24,7 @@ UNKNOWN = "und"
 
 def labelled(documents: DataFrame) -> dict[str, str]:
     """Text by language: of each, ROWS learnable rows at most, those whose ids hash lowest, cut to the bounds above."""
-    can = documents.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & ~held_out("doc_id", 4, 2))
+    can = documents.select("doc_id", "text", "lang").where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & ~held_out("doc_id", 4, 2))
     rank = F.row_number().over(W.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
     ids = can.select("lang", "doc_id").withColumn("r", rank).where(F.col("r") <= ROWS).select(F.col("doc_id").alias("k"), F.col("lang").alias("l"), "r")
     texts = can.join(F.broadcast(ids), (F.col("doc_id") == F.col("k")) & (F.col("lang") == F.col("l")))

@@ -52,4 +52,38 @@ def op10_quality(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (op1_search, op2_repeats, op3_licenses, op4_segmentations, op5_secrets, op6_decontamination, op7_simhash, op8_language, op9_toxicity, op10_quality)}
 
 _WORDS = r"list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda w: w <> '')"
-ORACLES: dict[str, str] = {}
+_TEMPLATES = ", ".join(f"({i}, '{label}', string_split('{words}', ' '))" for i, (label, words) in enumerate(licenses.TEMPLATES))
+_PHRASES = ", ".join(f"('{label}', string_split('{words}', ' '))" for words, label in licenses.PHRASES.items())
+_LICENSES = f"""WITH d AS (SELECT row_number() OVER () AS row, doc_id, {_WORDS} AS w FROM documents),
+t(template, label, w) AS (VALUES {_TEMPLATES}), p(label, w) AS (VALUES {_PHRASES}),
+tg AS (SELECT template, label, len(w) AS size, w, unnest(range(1, len(w) - 1)) AS place FROM t),
+dg AS (SELECT row, w, unnest(range(1, len(w) - 1)) AS pos FROM d),
+v AS (SELECT row, template, label, size, pos - place AS diagonal, count(*) AS votes, min(pos) AS lo, max(pos) AS hi FROM dg JOIN tg ON dg.w[pos] = tg.w[place] AND dg.w[pos + 1] = tg.w[place + 1] AND dg.w[pos + 2] = tg.w[place + 2] GROUP BY ALL),
+n AS (SELECT *, CASE WHEN diagonal - lag(diagonal) OVER (PARTITION BY row, template ORDER BY diagonal) <= {licenses.GAP} THEN 0 ELSE 1 END AS new FROM v),
+r AS (SELECT *, sum(new) OVER (PARTITION BY row, template ORDER BY diagonal) AS run FROM n),
+m AS (SELECT row, label, size, max(hi) + 3 - min(lo) AS wide, least(sum(votes) + 2 * count(*), max(hi) + 3 - min(lo)) AS matched FROM r GROUP BY row, template, label, size, run),
+f AS (SELECT row, label, least(matched / size, 1) AS share FROM m WHERE matched >= {licenses.LEAST_SHARE}::DOUBLE * least(size, greatest(wide, 16))),
+b AS (SELECT row, label, pos - 1 AS pos FROM (SELECT row, w, unnest(range(1, len(w) + 1)) AS pos FROM d) x, p WHERE x.w[pos] = p.w[1] AND x.w[pos : pos + len(p.w) - 1] = p.w),
+k AS (SELECT row, count(*) AS n_base, min(pos) AS first_word, max(pos) AS last_word, string_agg(DISTINCT label, ',' ORDER BY label) AS base_labels FROM b GROUP BY 1),
+a AS (SELECT row, string_agg(DISTINCT label, ',' ORDER BY label) AS labels, max(share) AS share FROM (SELECT row, label, share FROM f UNION ALL SELECT row, label, 1 FROM b) GROUP BY 1)
+SELECT doc_id, len(w) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word, coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, round(coalesce(share, 0)::DOUBLE, 6) AS score
+FROM d LEFT JOIN k USING (row) LEFT JOIN a USING (row)"""
+
+
+def _found(kind: str, pattern: str) -> str:
+    gaps = f"string_split_regex(text, '{pattern}')"
+    return f"SELECT row, {kind} AS kind, hit[i] AS hit, list_sum(list_transform(gap[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(hit[1:i - 1], lambda x: length(x))), 0) AS s FROM (SELECT row, {gaps} AS gap, regexp_extract_all(text, '{pattern}') AS hit, unnest(range(1, len(hit) + 1)) AS i FROM d)"
+
+
+_BASE = " UNION ALL ".join(_found(str(k), p) for k, p in enumerate((secrets.ASSIGN, secrets.ACCESS, secrets.HEX)))
+_DENSE = " UNION ALL ".join(_found(f"{least}::DOUBLE", p) for p, least in secrets.CLASSES)
+_SECRETS = f"""WITH d AS (SELECT row_number() OVER () AS row, doc_id, coalesce(text, '') AS text FROM documents),
+b AS ({_BASE}), c AS ({_DENSE}),
+w AS (SELECT row, s, kind AS least, hit, unnest(range(1, length(hit) - {secrets.WINDOW - 2})) AS i FROM c WHERE regexp_matches(hit, '[0-9]') AND regexp_matches(hit, '[A-Za-z]') AND NOT regexp_matches(hit, '{secrets.ALLOWED.split("|(.)")[0]}')
+AND len(list_filter(range(1, length(hit) - 4), lambda j: substr(lower(hit), j, 6) = repeat(substr(lower(hit), j, 1), 6))) = 0),
+e AS (SELECT row, least, s, min(i) - 1 AS lo, max(i) + {secrets.WINDOW - 1} AS hi FROM w WHERE list_aggregate(string_split(substr(hit, i, {secrets.WINDOW}), ''), 'entropy') >= least GROUP BY ALL),
+x AS (SELECT row, kind, s, s + length(hit) AS e FROM b WHERE kind <> 0 OR length(regexp_extract(hit, '{secrets.ASSIGN}', 2)) >= 6 UNION SELECT row, 3, s + lo, s + hi FROM e),
+y AS (SELECT *, ({list(secrets.KINDS)})[kind + 1] || ':' || s || ':' || e AS t FROM x),
+g AS (SELECT row, count(*) FILTER (kind = 0) AS a, count(*) FILTER (kind = 1) AS b, count(*) FILTER (kind = 2) AS c, string_agg(t, ',' ORDER BY s, kind, e) FILTER (kind < 3) AS base, string_agg(t, ',' ORDER BY s, kind, e) AS spans FROM y GROUP BY 1)
+SELECT doc_id, coalesce(a, 0) AS n_assign, coalesce(b, 0) AS n_access, coalesce(c, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM d LEFT JOIN g USING (row)"""
+ORACLES: dict[str, str] = {"op3_licenses": _LICENSES, "op5_secrets": _SECRETS}

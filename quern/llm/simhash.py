@@ -93,5 +93,5 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
 
 def one_of_each(documents: DataFrame) -> DataFrame:
     """`documents` without those that have a component of a smaller doc_id. Null doc_ids stay."""
-    gone = near_duplicates(documents).where("doc_id <> component_id").select(F.col("doc_id").alias("_doc")).distinct()
-    return documents.join(gone, F.col("doc_id") == F.col("_doc"), "left_anti")
+    gone = near_duplicates(documents).where("doc_id <> component_id").select("doc_id").distinct()
+    return documents.join(gone, "doc_id", "left_anti").select(*[f"`{c}`" for c in documents.columns])

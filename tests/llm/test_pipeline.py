@@ -1,4 +1,11 @@
+import hashlib
+
 import corpus_pipeline
+import numpy as np
+from pyspark.sql import functions as F
+
+from quern.llm import language, segmentation
+from tests.llm import plain
 
 D = "/root/testdata/sf0.001"
 
@@ -6,3 +13,39 @@ D = "/root/testdata/sf0.001"
 def test_run(spark):
     got = corpus_pipeline.run(spark, D).toPandas()
     assert got.round_trip.all() and 0 < got.doc_id.nunique() < spark.read.parquet(f"{D}/documents.parquet").count()
+
+
+def test_against_brute_force(spark, tmp_path):
+    folder = str(tmp_path)
+    some = spark.read.parquet(f"{D}/documents.parquet").where(F.length("text") < 900)
+    item = spark.read.parquet(f"{D}/benchmark.parquet").orderBy(F.length("text").desc()).first().text
+    extra = [(9001, "", "en"), (9002, None, "en"), (9003, "1234 !? 99", None), (9004, "wkqz pvxj mmkk zzzt qqwj " * 10, None), (9005, f"some words before it {item}", "en"), (None, "the house of the man is here", "en")]
+    docs = some.unionByName(spark.createDataFrame(extra, "doc_id bigint, text string, lang string"), allowMissingColumns=True)
+    docs.write.parquet(f"{folder}/documents.parquet")
+    spark.read.parquet(f"{D}/benchmark.parquet").write.parquet(f"{folder}/benchmark.parquet")
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    tests = [r.text for r in spark.read.parquet(f"{folder}/benchmark.parquet").collect()]
+
+    left = [(r.doc_id, r.text) for r in docs.collect()]
+    model = plain.model_of(language.labelled(docs))
+
+    def fits(text):
+        if not text or not language.LETTER.search(text):
+            return False
+        (bits, _), n = plain.bits_of(model, text)
+        return not (bits > corpus_pipeline.REJECT_BITS and n >= corpus_pipeline.LEAST_SYMBOLS)
+
+    left = [(i, t) for i, t in left if i is None or fits(t)]
+    first = dict(enumerate(sorted((x for x in left if x[0] is not None))))
+    root = plain.roots({k: plain.fingerprint(t) for k, (_, t) in first.items()})
+    left = [x for k, x in first.items() if root[k] == k] + [x for x in left if x[0] is None]
+    left = [(i, t) for i, t in left if i is None or not any(plain.leaks(t, x) for x in tests)]
+    want = {i: plain.masked(t) for i, t in left}
+
+    got = corpus_pipeline.run(spark, folder).collect()
+    assert {r.doc_id for r in got} == set(want) and None in want and 9005 not in want and 9004 not in want
+    assert all(r.round_trip for r in got)
+    rows = segmentation.encode(spark.createDataFrame(list(want.items()), "doc_id bigint, text string")).collect()
+    assert all(r.decoded == want[r.doc_id] for r in rows)
+    digest = lambda ids: hashlib.sha256(np.array(ids, "<i4").tobytes()).hexdigest()
+    assert {(r.doc_id, r.sample, r.ids_sha256) for r in got} == {(r.doc_id, r.sample, digest(r.ids)) for r in rows}
