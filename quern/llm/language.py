@@ -15,6 +15,8 @@ from quern.llm.labels import held_out
 
 #: Bounds of the labelled sample: rows a language, characters of each, characters of a language in all.
 ROWS, ROW_CHARS, CHARS = 64, 4_000, 60_000
+#: A language with less text counts as having so much: pointing into a tiny sample would else be so cheap that it wins where nothing matches.
+LEAST_CHARS = 4_096
 #: A text is parsed in blocks of so many characters; a phrase ends with its block.
 BLOCK = 128
 #: Symbols: the sample's most frequent letters; the space between words; any other letter, which matches nothing; no character; the sample's text ends.
@@ -85,7 +87,7 @@ class Model:
             self.codes[ord(c)] = k
         self.codes[0] = BREAK
         self.tables = [automaton(self.code(texts[n]).tolist()) for n in self.names]
-        self.bits = [float(np.log2(max(2, len(texts[n])))) for n in self.names]
+        self.bits = [float(np.log2(max(LEAST_CHARS, len(texts[n])))) for n in self.names]
         self.codes[0] = SPACE
 
     @classmethod
