@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -46,3 +46,8 @@ def thresholds(feedback: DataFrame, key: str = "user_id", last: int = 10) -> Dat
         return pd.DataFrame({key: [pdf[key].iloc[0]], "silent": [round(a, 6)], "notify": [round(b, 6)], "confirm": [round(c, 6)]})
 
     return feedback.groupBy(key).applyInPandas(fold, f"{key} bigint, silent double, notify double, confirm double")
+
+
+def overridden(judged: Column, found: Column, searched: Column, sure: float = 0.9) -> Column:
+    """A judge's confidence, or a search's best score if that is higher and over `sure`."""
+    return F.when(searched & (found > sure), F.greatest(judged, found)).otherwise(judged)

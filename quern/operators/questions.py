@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quern.functions.keywords import importance
-from quern.functions.text import plain_words, sentences, strip
+from quern.functions.text import plain_words, sentences, strip, terms
 
 # What a definition, a naming and an enumeration look like, and the sentences made of them.
 DEFINED = r"([^。]+)とは([^。]+)(?:である|です)"
@@ -83,3 +84,87 @@ def by_template(levels: DataFrame, key: str) -> DataFrame:
 def negated(pairs: DataFrame) -> DataFrame:
     """(question, answer) turned into its opposite, to test a system that answers."""
     return pairs.withColumns({"question": F.replace("question", F.lit("何ですか"), F.lit("何ではありませんか")), "answer": F.concat("answer", F.lit("ではないものを指します。"))})
+
+
+# Signs of English and of Japanese text, a capitalised phrase, and the questions asked of a chunk.
+ENGLISH = ("the ", "The ", " is ", " are ", " was ", " were ", " have ", " has ", "and ", "for ")
+JAPANESE = ("。", "は", "が", "を", "に", "で", "と", "の")
+PHRASE = r"\b[A-Z][a-z]+(?:\s+[A-Z][a-z]+)*\b"
+ASKED_EN = {
+    "whole": "What information is discussed in this section?",
+    "fact": "What specific information is provided about {}?",
+    "context": "What information is provided in the following context: {}?",
+    "relation": "How does {} relate to {}?",
+    "before": "How does the information '{}...' connect to the previous context?",
+    "about": "What is mentioned about {}?",
+    "theme": "What is the main theme related to {}?",
+    "themes": "What is the main theme discussed in this content?",
+}
+ASKED_JA = {
+    "whole": "このセクションにはどのような情報が含まれていますか？",
+    "fact": "「{}」について詳しく説明してください。",
+    "about": "「{}」について何が述べられていますか？",
+    "theme": "「{}」に関する主要テーマは何ですか？",
+    "themes": "この内容の主要テーマは何ですか？",
+}
+
+
+def english(text: Column) -> Column:
+    """Whether the head of a text has more signs of English than of Japanese."""
+    head = F.substring(text, 1, 200)
+    count = lambda signs: sum((F.contains(head, F.lit(x)).cast("int") for x in signs[1:]), F.contains(head, F.lit(signs[0])).cast("int"))
+    return count(ENGLISH) > count(JAPANESE)
+
+
+def by_chunk(df: DataFrame, key: str, text: str, n: int = 5) -> DataFrame:
+    """(key, i, question, answer, type): up to `n` questions on each chunk: on the whole, on each sentence (what it says, what it has
+    to do with the one before, what it names), and on the theme. Chunks without a sentence of over 20 characters give none."""
+    t = F.col(text)
+    parts = F.filter(F.transform(F.when(english(t), F.split(t, r"\. ")).otherwise(F.split(t, "。")), strip), lambda s: F.length(s) > 20)
+    rows = df.select(key, t.alias("_x"), english(t).alias("_en"), parts.alias("_s")).where(F.size("_s") > 0)
+    row = lambda q, a, kind: F.struct(q.alias("question"), a.alias("answer"), F.lit(kind).alias("type"))
+    ask = lambda q, *by: F.concat(*[x for k, p in enumerate(q.split("{}")) for x in ([F.lit(p)] if k == 0 else [by[k - 1], F.lit(p)])])
+    phrase = lambda c: F.nullif(F.regexp_extract(c, PHRASE, 0), F.lit(""))
+    none = F.array().cast("array<struct<question:string,answer:string,type:string>>")
+    some = lambda cond, *r: F.when(cond, F.array(*r)).otherwise(none)
+
+    def in_english(s: Column, i: Column) -> Column:
+        after, before = F.get("_s", i + 1), F.get("_s", i - 1)
+        head, last = phrase(F.substring(s, 1, 30)), phrase(F.substring(before, 1, 30))
+        fact = F.coalesce(ask(ASKED_EN["fact"], phrase(F.substring(s, 1, 50))), ask(ASKED_EN["context"], F.substring(s, 1, 50)))
+        link = F.coalesce(ask(ASKED_EN["relation"], head, last), ask(ASKED_EN["before"], F.substring(s, 1, 30)))
+        return F.concat(
+            F.array(row(fact, F.concat_ws(" ", s, after), "factual_detailed")),
+            some(i > 0, row(link, F.concat_ws(" ", before, s), "contextual")),
+            some(phrase(s).isNotNull(), row(ask(ASKED_EN["about"], phrase(s)), s, "keyword_based")),
+        )
+
+    def in_japanese(s: Column, i: Column) -> Column:
+        named = F.transform(F.slice(F.array_distinct(F.filter(terms(s), lambda w: F.length(w) > 1)), 1, 2), lambda w: row(ask(ASKED_JA["about"], w), s, "keyword_based"))
+        return F.concat(F.array(row(ask(ASKED_JA["fact"], F.substring(s, 1, 30)), F.concat_ws("。", s, F.get("_s", i + 1)), "factual_detailed")), named)
+
+    own = F.slice("_s", 1, n - 1)
+    each = F.flatten(F.when(F.col("_en"), F.transform(own, in_english)).otherwise(F.transform(own, in_japanese)))
+    x = F.col("_x")
+    whole = some(F.length(x) > 50, row(F.when(F.col("_en"), ASKED_EN["whole"]).otherwise(ASKED_JA["whole"]), F.substring(x, 1, 500), "comprehensive"))
+    named = F.when(F.col("_en"), ask(ASKED_EN["theme"], phrase(F.substring(F.get("_s", F.lit(0)), 1, 50)))).otherwise(ask(ASKED_JA["theme"], F.get(terms(F.substring(x, 1, 200)), F.lit(0))))
+    theme = some(F.length(x) > 100, row(F.coalesce(named, F.when(F.col("_en"), ASKED_EN["themes"]).otherwise(ASKED_JA["themes"])), F.substring(x, 1, 400), "thematic"))
+    return rows.select(key, F.posexplode(F.slice(F.concat(whole, each, theme), 1, n)).alias("i", "_q")).select(key, "i", "_q.*")
+
+
+def dealt(pairs: DataFrame, chunks: DataFrame) -> DataFrame:
+    """(batch, pos, chunk): a batch's pairs dealt out in order to its chunks, to each as many as were expected; what is over is left out.
+
+    pairs: batch, pos (from 0); chunks: batch, chunk, expected. A batch is a model's one answer, so small; batches are many.
+    """
+    before = F.coalesce(F.sum("expected").over(W.partitionBy("batch").orderBy("chunk").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    slots = chunks.withColumn("_from", before).where("expected > 0").select(F.col("batch").alias("_b"), "chunk", F.explode(F.sequence(F.col("_from"), F.col("_from") + F.col("expected") - 1)).alias("_pos"))
+    return pairs.join(slots, (F.col("batch") == F.col("_b")) & (F.col("pos") == F.col("_pos"))).select("batch", "pos", "chunk")
+
+
+def for_uncovered(chunks: DataFrame, uncovered: DataFrame, key: str, text: str, n: int = 5) -> DataFrame:
+    """(key, question, answer): a question on each of the `n` least covered chunks (key, gap), its text being the answer."""
+    worst = uncovered.orderBy(F.desc("gap"), key).limit(n).select(F.col(key).alias("_k"), "gap")
+    both = chunks.join(F.broadcast(worst), F.col(key) == F.col("_k"))  # n rows at most
+    about = F.coalesce(F.get(terms(F.col(text)), F.lit(0)), F.lit(""))
+    return both.select(key, F.when(about != "", F.concat(about, F.lit("について説明してください。"))).otherwise("この内容を説明してください。").alias("question"), F.col(text).alias("answer"))

@@ -46,3 +46,19 @@ def agreement(vectors: DataFrame, group: str, vector: str) -> DataFrame:
 def shortened(c: Column, most: int = 200) -> Column:
     """A preview of a long text, marked where cut."""
     return F.when(F.length(c) > most, F.concat(F.substring(c, 1, most), F.lit("..."))).otherwise(c)
+
+
+def sources(found: DataFrame, query: str, source: str) -> DataFrame:
+    """(query, sources): the distinct sources of each query's results, sorted; empty ones left out."""
+    own = F.when(F.col(source) != "", F.col(source))
+    return found.groupBy(query).agg(F.sort_array(F.collect_set(own)).alias("sources"))
+
+
+def as_text(rank: Column, score: Column, question: Column, answer: Column, source: Column) -> Column:
+    """A result as a block of text for a prompt."""
+    return F.format_string("--- Result %d [score: %.2f] ---\nQ: %s\nA: %s\nSource: %s\n", rank.cast("int"), score.cast("double"), question, answer, source)
+
+
+def status(n: Column, top: Column, least: float = 0.7) -> Column:
+    """no_result, low_score or found, of a query's number of results and best score."""
+    return F.when(F.coalesce(n, F.lit(0)) == 0, "no_result").when(top < least, "low_score").otherwise("found")

@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 from quern.functions import keywords as K
 from quern.functions import text as T
-from quern.operators import chunks, confidence, coverage, keywords, models, profile, questions, results, vectors
+from quern.operators import chunks, confidence, coverage, keywords, models, plans, profile, questions, relations, results, vectors
+from quern.sources import collections
 from quern.sources.tables import table
 from quern.streaming import events as E
 
@@ -453,3 +454,63 @@ def keyword_coverage(s, d):
 def keywords_only_new(s, d):
     found = keywords_by_frequency(s, d)
     return keywords.only_new(found, found.where("rank <= 5"), "doc_id")
+
+
+_PARTS_AT = f"(SELECT doc_id, generate_subscripts(p, 1) AS i, unnest(p) AS s, t FROM (SELECT d.doc_id, {_PARTS} AS p, t FROM documents d JOIN (SELECT doc_id, list(term ORDER BY rank) AS t FROM {_TOP} GROUP BY 1) USING (doc_id)))"
+_TOLD = "CASE " + " ".join(f"WHEN regexp_matches(s, '{p}') THEN '{r}'" for p, r in relations.PATTERNS) + " END"
+
+
+@query(f"""WITH s AS (SELECT doc_id, i, s, list_filter(t, lambda x: contains(s, x)) AS t, {_TOLD} AS r FROM {_PARTS_AT}),
+p AS (SELECT doc_id, i, s, r, t[a] AS a, t[b] AS b FROM (SELECT *, unnest(range(1, len(t))) AS a FROM s) x, LATERAL (SELECT unnest(range(x.a + 1, CASE WHEN x.r IS NULL THEN len(x.t) + 1 ELSE x.a + 2 END)) AS b)),
+o AS (SELECT doc_id, i, s, coalesce(r, 'co_occurs') AS relation, CASE WHEN r IS NULL OR instr(s, a) < instr(s, b) THEN a ELSE b END AS source, CASE WHEN r IS NULL OR instr(s, a) < instr(s, b) THEN b ELSE a END AS target FROM p)
+SELECT doc_id, source, target, relation, arg_min(s, i) AS context FROM o GROUP BY 1, 2, 3, 4""")
+def term_relations(s, d):
+    return relations.relations(_lists(s, d), "doc_id", "text", "t")
+
+
+@query()
+def chunk_questions(s, d):
+    return questions.by_chunk(_docs(s, d), "doc_id", "text")
+
+
+@query("WITH c AS (SELECT l_orderkey AS batch, l_linenumber AS chunk, (l_quantity % 4)::INT AS expected FROM lineitem), f AS (SELECT *, coalesce(sum(expected) OVER (PARTITION BY batch ORDER BY chunk ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS lo FROM c), p AS (SELECT l_orderkey AS batch, l_linenumber - 1 AS pos FROM lineitem) SELECT batch, pos, chunk FROM p JOIN f USING (batch) WHERE pos >= lo AND pos < lo + expected")
+def dealt_pairs(s, d):
+    l = table(s, d, "lineitem")  # noqa: E741
+    pairs = l.select(F.col("l_orderkey").alias("batch"), (F.col("l_linenumber") - 1).alias("pos"))
+    return questions.dealt(pairs, l.select(F.col("l_orderkey").alias("batch"), F.col("l_linenumber").alias("chunk"), (F.col("l_quantity") % 4).cast("bigint").alias("expected")))
+
+
+_STEPS = "SELECT event_id, CASE WHEN event_type = 'error' OR value < 0.05 THEN 'failed' ELSE 'success' END AS status, value / (1 + abs(value)) AS c, (user_id % 5) AS replans, (event_id % 7) + 1 AS step, CASE WHEN user_id % 2 = 0 THEN 'reasoning' END AS fallback FROM events"
+
+
+@query(f"WITH s AS ({_STEPS}), t AS (SELECT *, CASE WHEN replans < 3 THEN CASE WHEN status = 'failed' THEN 'step_failed' WHEN c < 0.4 THEN 'low_confidence' END END AS why FROM s) SELECT event_id, why, CASE WHEN replans >= 3 THEN 'abort' WHEN why = 'step_failed' AND fallback IS NOT NULL THEN 'fallback' WHEN step / 7 <= 0.34 THEN 'full' ELSE 'partial' END AS strategy FROM t")
+def replan_strategies(s, d):
+    failed = (F.col("event_type") == "error") | (F.col("value") < 0.05)
+    e = _scored(s, d).select("event_id", "c", (F.col("user_id") % 5).alias("replans"), (F.col("event_id") % 7 + 1).alias("step"), F.when(failed, "failed").otherwise("success").alias("status"), F.when(F.col("user_id") % 2 == 0, "reasoning").alias("fallback"))
+    why = e.withColumn("why", plans.trigger(F.col("status"), F.col("c"), F.col("replans")))
+    return why.select("event_id", "why", plans.strategy(F.col("why"), F.col("replans"), F.col("step"), F.lit(7), F.col("fallback")).alias("strategy"))
+
+
+@query("WITH l AS (SELECT l_orderkey AS plan_id, l_linenumber AS step_id, max(CASE WHEN l_returnflag = 'R' THEN 0 ELSE l_discount::DOUBLE * 10 END) AS c, any_value(l_linenumber % 2) AS n FROM lineitem GROUP BY 1, 2) SELECT a.plan_id, a.step_id, CASE WHEN a.n = 0 AND b.c > 0 THEN b.c ELSE a.c END AS confidence FROM l a LEFT JOIN l b ON a.plan_id = b.plan_id AND b.step_id = a.step_id - 1")
+def inherited_confidence(s, d):
+    l = table(s, d, "lineitem").select(F.col("l_orderkey").alias("plan_id"), F.col("l_linenumber").alias("step_id"), F.when(F.col("l_returnflag") == "R", 0.0).otherwise(F.col("l_discount").cast("double") * 10).alias("c"))  # noqa: E741
+    l = l.groupBy("plan_id", "step_id").agg(F.max("c").alias("confidence"))  # noqa: E741
+    steps = l.select("plan_id", "step_id", F.lit("reasoning").alias("action"), F.array(F.col("step_id") - 1).alias("depends_on"))
+    return plans.inherited(steps, l.withColumns({"status": F.lit("success"), "n_results": F.col("step_id") % 2}))
+
+
+@query(f"SELECT query_id, list_sort(list_distinct(list(label::VARCHAR)))::VARCHAR AS sources FROM {_LABELLED} GROUP BY 1")
+def result_sources(s, d):
+    one = results.sources(_labelled(s, d).withColumn("label", F.col("label").cast("string")), "query_id", "label")
+    return one.select("query_id", F.concat(F.lit("["), F.array_join("sources", ", "), F.lit("]")).alias("sources"))
+
+
+@query("SELECT doc_id, CASE WHEN contains(lower(source), 'cc_news') THEN 'cc_news' WHEN contains(lower(source), 'livedoor') THEN 'livedoor' ELSE 'custom' END AS domain, coalesce(regexp_matches(source, '^[a-zA-Z0-9_-]+$'), false) AS valid FROM documents")
+def source_domains(s, d):
+    return _docs(s, d).select("doc_id", collections.domain(F.col("source")).alias("domain"), collections.valid_name(F.col("source")).alias("valid"))
+
+
+@query(f"SELECT vec_id, answer FROM (SELECT vec_id, 'vector ' || vec_id AS answer, best FROM {_BEST} WHERE best < 0.9 ORDER BY round(0.9 - best, 6) DESC, vec_id LIMIT 5)")
+def questions_for_uncovered(s, d):
+    texts = table(s, d, "embeddings").select("vec_id", F.concat(F.lit("vector "), F.col("vec_id")).alias("text"))
+    return questions.for_uncovered(texts, coverage.uncovered(_best(s, d), 0.9), "vec_id", "text").select("vec_id", "answer")
