@@ -87,3 +87,12 @@ def covered_share(df: DataFrame, found: DataFrame, key: str, text: str) -> DataF
     n = fresh.groupBy("_k").agg(F.sum("_n").alias("_n"))
     out = df.select(key, F.length(F.coalesce(text, F.lit(""))).alias("_size")).join(n, F.col(key) == F.col("_k"), "left")
     return out.select(key, F.round(F.coalesce(F.col("_n") / F.nullif("_size", F.lit(0)), F.lit(0.0)), 6).alias("covered"))
+
+
+def progressive(ranked: DataFrame, key: str, text: str, ends: tuple[int, ...] = (5, 10, 20, 30, 40), least: float = 0.05) -> DataFrame:
+    """(key, rank, term) of `ranked` (key, rank, term, text) by batches up to these ranks, until one adds under `least` to the share of the text covered."""
+    own = F.length("term") * places(F.col(text), F.col("term")) / F.length(text)
+    shares = [F.coalesce(F.sum(F.when(F.col("rank") <= e, own)), F.lit(0.0)) for e in ends]
+    stop = F.coalesce(*[F.when(b - a < least, e) for a, b, e in zip([F.lit(0.0), *shares], shares, ends, strict=False)], F.lit(ends[-1]))
+    last = ranked.groupBy(F.col(key).alias("_k")).agg(stop.alias("_stop"))
+    return ranked.join(last, (F.col(key) == F.col("_k")) & (F.col("rank") <= F.col("_stop"))).select(key, "rank", "term")

@@ -168,3 +168,23 @@ def for_uncovered(chunks: DataFrame, uncovered: DataFrame, key: str, text: str,
     both = chunks.join(F.broadcast(worst), F.col(key) == F.col("_k"))  # n rows at most
     about = F.coalesce(F.get(terms(F.col(text)), F.lit(0)), F.lit(""))
     return both.select(key, F.when(about != "", F.concat(about, F.lit("について説明してください。"))).otherwise("この内容を説明してください。").alias("question"), F.col(text).alias("answer"))
+
+
+# Questions on a document, a paragraph and a name, and what names look like, in English and in Japanese.
+LAYERS_EN = ("What is the main content of this document?", "Explain the following: '{}...'", "What is mentioned about {}?", r"\b[A-Z][a-z]+(?:\s+[A-Z][a-z]+)*\b|[A-Z]{2,}")
+LAYERS_JA = ("この文書の主要な内容を要約してください", "「{}...」について説明してください", "「{}」について何が述べられていますか？", r"[ァ-ヴー]{3,}|[一-龥]{4,}")
+
+
+def layered(df: DataFrame, key: str, text: str, japanese: bool = False) -> DataFrame:
+    """(key, layer, question, answer): on the document (its first 500 characters), on up to four paragraphs of over 50 characters (without
+    blank lines: slices of 500 every 400), and on the first six names, answered by the first sentence with them. Null texts give none."""
+    whole, part, about, names = LAYERS_JA if japanese else LAYERS_EN
+    t = F.col(text)
+    row = lambda layer, q, a: F.struct(F.lit(layer).alias("layer"), q.alias("question"), a.alias("answer"))
+    ask = lambda q, x: F.concat(F.lit(q.split("{}")[0]), x, F.lit(q.split("{}")[1]))
+    slices = F.transform(F.filter(F.array(*[F.lit(k) for k in range(0, 1600, 400)]), lambda k: k < F.length(t)), lambda k: F.substr(t, k + 1, F.lit(500)))
+    paragraphs = F.slice(F.when(t.contains("\n\n"), F.split(t, "\n\n")).otherwise(slices), 1, 4)
+    second = F.transform(F.filter(paragraphs, lambda p: F.length(strip(p)) > 50), lambda p: row(2, ask(part, F.substring(p, 1, 30)), p))
+    found = F.slice(F.array_distinct(F.regexp_extract_all(t, F.lit(names), F.lit(0))), 1, 6)
+    third = F.transform(found, lambda e: row(3, ask(about, e), F.get(F.filter(F.split(t, "[。.!?]"), lambda s: F.contains(s, e)), F.lit(0))))
+    return df.where(t.isNotNull()).select(key, F.inline(F.concat(F.array(row(1, F.lit(whole), F.substring(t, 1, 500))), second, third)))

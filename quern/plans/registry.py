@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from quern.functions import keywords as K
 from quern.functions import text as T
-from quern.operators import chunks, confidence, coverage, keywords, models, plans, profile, questions, relations, results, vectors
+from quern.operators import chunks, confidence, coverage, feedback, keywords, models, plans, profile, questions, relations, results, vectors
 from quern.sources import collections
 from quern.sources.tables import table
 from quern.streaming import events as E
@@ -514,3 +514,24 @@ def source_domains(s, d):
 def questions_for_uncovered(s, d):
     texts = table(s, d, "embeddings").select("vec_id", F.concat(F.lit("vector "), F.col("vec_id")).alias("text"))
     return questions.for_uncovered(texts, coverage.uncovered(_best(s, d), 0.9), "vec_id", "text").select("vec_id", "answer")
+
+
+@query()
+def layered_questions(s, d):
+    return questions.layered(_docs(s, d), "doc_id", "text")
+
+
+_SHARES = ", ".join(f"coalesce(sum(CASE WHEN rank <= {e} THEN own END), 0) AS c{e}" for e in (3, 6, 10))
+
+
+@query(f"WITH k AS (SELECT doc_id, rank, term, length(term) * ({_HITS}) / length(text) AS own FROM {_TOP} JOIN documents USING (doc_id)), c AS (SELECT doc_id, {_SHARES} FROM k GROUP BY 1) SELECT doc_id, rank, term FROM k JOIN c USING (doc_id) WHERE rank <= CASE WHEN c3 < 0.05 THEN 3 WHEN c6 - c3 < 0.05 THEN 6 ELSE 10 END")
+def keywords_by_batches(s, d):
+    both = keywords_by_frequency(s, d).join(_docs(s, d).select(F.col("doc_id").alias("k"), "text"), F.col("doc_id") == F.col("k"))
+    return keywords.progressive(both, "doc_id", "text", (3, 6, 10))
+
+
+@query()
+def questions_until_covered(s, d):
+    tests = table(s, d, "benchmark").withColumnRenamed("item_id", "vec_id")
+    asked = tests.where("vec_id % 2 = 0").select(F.col("text").alias("question"), F.lit("").alias("answer"))
+    return feedback.until_covered(tests, asked, "vec_id", "text", 0.6)[0]

@@ -3,7 +3,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from quern.operators import confidence, plans, questions, relations, results
+from quern.operators import confidence, feedback, plans, questions, relations, results
 from quern.sources import collections
 
 STEP = "step_id int, action string, description string, depends_on array<int>, fallback string"
@@ -112,3 +112,29 @@ def test_collections(spark, tmp_path):
     merged = ask(spark, [('{"a":"1","b":"2"}', '{"b":"3"}'), ("no", None)], "x string, y string", collections.merged_maps(F.col("x"), F.col("y")))
     assert merged == [{"a": "1", "b": "3"}, {}]
     assert ask(spark, [([0.0] * 1536,), ([1.0],)], "v array<double>", collections.embedding_model(F.col("v"))) == ["text-embedding-3-small", "unknown-embedding-model"]
+
+
+def plain_layers(text):
+    out = [(1, questions.LAYERS_EN[0], text[:500])]
+    parts = text.split("\n\n") if "\n\n" in text else [text[i : i + 500] for i in range(0, len(text), 400)]
+    out += [(2, questions.LAYERS_EN[1].format(p[:30]), p) for p in parts[:4] if len(p.strip()) > 50]
+    for e in list(dict.fromkeys(re.findall(questions.LAYERS_EN[3], text, re.ASCII)))[:6]:
+        out.append((3, questions.LAYERS_EN[2].format(e), next(s for s in re.split("[。.!?]", text) if e in s)))
+    return out
+
+
+def test_layered_questions(spark):
+    texts = ["", "New York is far. NASA and Old\nTown! New York again", "word " * 330, "a " * 40 + "\n\n" + "b " * 20 + "\n\n" + "C d " * 30]
+    got = {}
+    for r in questions.layered(spark.createDataFrame([*enumerate(texts), (9, None)], "id int, text string"), "id", "text").collect():
+        got.setdefault(r.id, []).append((r.layer, r.question, r.answer))
+    assert {k: sorted(v) for k, v in got.items()} == {k: sorted(plain_layers(t)) for k, t in enumerate(texts)}
+
+
+def test_until_covered(spark):
+    chunks = spark.createDataFrame([(k, f"alpha{k} beta{k} gamma{k} delta{k}") for k in range(7)], "id bigint, text string")
+    none = chunks.limit(0).select(F.col("text").alias("question"), F.col("text").alias("answer"))
+    pairs, rate = feedback.until_covered(chunks, none, "id", "text", 0.7, target=1.0, n=3)
+    assert rate == 1.0 and sorted(r["round"] for r in pairs.collect()) == [1, 1, 1, 2, 2, 2, 3]
+    pairs, rate = feedback.until_covered(chunks, none, "id", "text", 0.7, rounds=1, n=3)
+    assert pairs.count() == 3 and 0.4 < rate < 0.5
