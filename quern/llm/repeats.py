@@ -88,22 +88,20 @@ def _parts(batch: pd.DataFrame):
             yield ids[a:e], texts[a:e]
 
 
-def _segments(repeated_here: bool):
-    """Rows of segments: those that are the first of their kind in the piece, or those that repeat one of it."""
-
-    def run(batches):
-        for b in batches:
-            for ids, texts in _parts(b):
-                text, lo, n, anchor, whole = _anchored(texts)
-                first = np.zeros(len(text), bool)
-                first[np.unique(_mix(anchor.view(np.uint64)) + whole.view(np.uint64), return_index=True)[1]] = True
-                on = ~first if repeated_here else first
-                yield pd.DataFrame({"anchor": anchor[on], "whole": whole[on], "doc_id": ids[text[on]], "lo": lo[on].astype(np.int32), "n": n[on].astype(np.int32)})
-
-    return run
+def _segments(batches):
+    """A row for each segment; without hashes if it repeats one of the piece."""
+    for b in batches:
+        for ids, texts in _parts(b):
+            text, lo, n, anchor, whole = _anchored(texts)
+            repeat = np.ones(len(text), bool)
+            repeat[np.unique(_mix(anchor.view(np.uint64)) + whole.view(np.uint64), return_index=True)[1]] = False
+            hashes = {"anchor": pd.array(anchor, "Int64"), "whole": pd.array(whole, "Int64")}
+            for x in hashes.values():
+                x[repeat] = pd.NA
+            yield pd.DataFrame({**hashes, "doc_id": ids[text], "lo": lo.astype(np.int32), "n": n.astype(np.int32), "is_repeat": repeat})
 
 
-SEGMENT = "anchor bigint, whole bigint, doc_id bigint, lo int, n int"
+SEGMENT = "anchor bigint, whole bigint, doc_id bigint, lo int, n int, is_repeat boolean"
 SLICE = "anchor bigint, doc_id bigint, lo int, data binary, w1 bigint, w2 bigint"
 
 
@@ -172,9 +170,10 @@ def repeated(documents: DataFrame) -> DataFrame:
     segments go string by string through a combinable minimum.
     """
     docs = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
-    here = docs.mapInPandas(_segments(True), SEGMENT).select("doc_id", "lo", "n")
+    segments = written(docs.mapInPandas(_segments, SEGMENT), "all-segments")  # pieces differ between evaluations: there is one
+    here = segments.where("is_repeat").select("doc_id", "lo", "n")
     by = W.partitionBy("anchor")
-    firsts = docs.mapInPandas(_segments(False), SEGMENT)
+    firsts = segments.where("NOT is_repeat").drop("is_repeat")
     met = firsts.select(
         "*", F.count("*").over(by).alias("c"), (F.min("whole").over(by) != F.max("whole").over(by)).alias("mixed"), F.min(F.struct("doc_id", "lo")).over(by).alias("first")
     ).where("c > 1")

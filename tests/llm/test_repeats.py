@@ -1,6 +1,9 @@
 import hashlib
 import random
 
+import numpy as np
+import pandas as pd
+
 from quern.llm import repeats
 
 
@@ -58,3 +61,23 @@ def test_edges(spark):
     got = {r.doc_id: r for r in repeats.deduplicate(df).collect()}
     assert got[None].n_removed == 0 and got[1].n_bytes == 0 and got[3].n_removed == 120
     assert repeats.deduplicate(df.limit(0)).collect() == []
+
+
+def test_pieces_that_differ_between_evaluations(spark):
+    """Two rows a piece, dealt anew whenever the documents are read."""
+
+    def dealt(batches):
+        for b in [pd.concat(batches)]:
+            yield b.iloc[np.random.default_rng().permutation(len(b))]
+
+    text = texts()[0][1]
+    rows = [(i, text) for i in range(40)]
+    size = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(1).mapInPandas(dealt, "doc_id bigint, text string")
+    before = spark.conf.get(size)
+    spark.conf.set(size, "2")
+    try:
+        got = repeats.deduplicate(docs).collect()
+    finally:
+        spark.conf.set(size, before)
+    assert {r.doc_id: tuple(r)[1:] for r in got} == brute(rows)
