@@ -8,37 +8,77 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.words import words
+from quern.llm.words import let, words
 
-#: Five words each, at these offsets; the positions between may differ. Either hits where every fifth word was changed.
-MASKS = ((0, 1, 3, 5, 6), (0, 1, 2, 4, 7))
+#: Five words each, at these offsets; the positions between may differ. At every place each is tried. Together they hit every stretch of up to
+#: 16 words that begins and ends with equal words and has LEAST_WORDS of them and LEAST_SHARE or more.
+MASKS = ((0, 1, 3, 5, 6), (0, 1, 2, 4, 7), (0, 1, 2, 3, 4), (0, 1, 4, 5, 6))
 SPAN = 1 + max(max(m) for m in MASKS)
+#: AROUND is the margin of the tests' narrower version.
 AROUND, LEAST_WORDS, LEAST_SHARE = 5, 8, 0.8
+#: A differing word takes away what so many equal ones add: a stretch of LEAST_SHARE weighs 0.
+COST = round(LEAST_SHARE / (1 - LEAST_SHARE))
 #: So many test seeds are held against all documents at once; more are taken in blocks.
 BLOCK_SEEDS = 50_000
 
 
-def seeds(tokens: Column) -> Column:
-    """array<bigint>: the seed at each place. The word there picks the mask, so that equal words pick equally on both sides."""
-    own = lambda i, k: F.xxhash64(F.lit(k), *[F.get(tokens, i + (o - 1)) for o in MASKS[k]])
-    at = lambda i: F.when(F.pmod(F.xxhash64(F.get(tokens, i - 1)), F.lit(2)) == 0, own(i, 0)).otherwise(own(i, 1))
-    return F.when(F.size(tokens) >= SPAN, F.transform(F.sequence(F.lit(1), F.size(tokens) - (SPAN - 1)), at)).otherwise(F.array().cast("array<bigint>"))
+def seeds(tokens: Column, k: int) -> Column:
+    """array<bigint>: the seed of mask k at each place where it fits."""
+    span = 1 + max(MASKS[k])
+    at = lambda i: F.xxhash64(F.lit(k), *[F.get(tokens, i + (o - 1)) for o in MASKS[k]])
+    return F.when(F.size(tokens) >= span, F.transform(F.sequence(F.lit(1), F.size(tokens) - (span - 1)), at)).otherwise(F.array().cast("array<bigint>"))
+
+
+def stretches(same: Column) -> Column:
+    """struct<at,w,low,equal,size,first,last> of an array<boolean> that says where aligned words are equal.
+
+    Looks at stretches that begin and end with an equal word, have LEAST_WORDS of them and LEAST_SHARE or more: equal words and size of the one
+    with most (of those the shortest), first and last place in any. equal is 0 if there are none. `low` has, by how far the weight of all words up to
+    there is under 0, the first place where a stretch can begin; so the longest stretch that ends at a place is looked up.
+    """
+
+    def step(a: Column, e: Column) -> Column:
+        deeper = F.greatest(1 - a["w"] - F.size(a["low"]), F.lit(0))
+        low = F.concat(a["low"], F.array_repeat(F.struct(a["at"].alias("at"), a["w"].alias("w")), deeper))
+
+        def longest(low: Column) -> Column:
+            return let(F.get(low, F.greatest(-1 - a["w"], F.lit(0))), lambda x: judged(low, x, a["at"] + 1 - x["at"]))
+
+        def judged(low: Column, x: Column, size: Column) -> Column:
+            def better(equal: Column) -> Column:
+                on = equal >= LEAST_WORDS
+                new = on & ((equal > a["equal"]) | ((equal == a["equal"]) & (size < a["size"])))
+                return F.struct(
+                    (a["at"] + 1).alias("at"), (a["w"] + 1).alias("w"), low.alias("low"),
+                    F.when(new, equal).otherwise(a["equal"]).alias("equal"), F.when(new, size).otherwise(a["size"]).alias("size"),
+                    F.when(on, F.least(a["first"], x["at"])).otherwise(a["first"]).alias("first"), F.when(on, a["at"]).otherwise(a["last"]).alias("last"),
+                )
+
+            return let(((size * COST + a["w"] + 1 - x["w"]) / (COST + 1)).cast("int"), better)
+
+        rest = [a[c].alias(c) for c in ("low", "equal", "size", "first", "last")]
+        return F.when(e, let(low, longest)).otherwise(F.struct((a["at"] + 1).alias("at"), (a["w"] - COST).alias("w"), *rest))
+
+    none = F.array().cast("array<struct<at:int,w:int>>")
+    zero = {"at": F.lit(0), "w": F.lit(0), "low": none, "equal": F.lit(0), "size": F.lit(0), "first": F.lit(2**31 - 1), "last": F.lit(-1)}
+    return F.aggregate(same, F.struct(*[v.alias(c) for c, v in zero.items()]), step)
 
 
 def overlaps(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
     """Verified overlaps of documents with benchmark items, those changed by substitutions included.
 
-    Both sides' seeds meet by an equality join; around each hit, from AROUND words before the seed to AROUND after it,
-    aligned words are compared: at least LEAST_WORDS and LEAST_SHARE of them must be equal. Test seeds are broadcast in
+    Both sides' seeds of all masks meet by an equality join. All words that a hit aligns are compared: a stretch of them
+    with LEAST_WORDS equal ones, at a share of LEAST_SHARE at least, is an overlap. Test seeds are broadcast in
     blocks of bounded size; a document's seeds that a block lacks are dropped in the row, before the join. Returns per
     (doc_id, item_id): words equal at best, their share, and the first and last word of the document concerned. Texts
-    that are null or have under 8 words have no seeds and so no rows; a null doc_id is kept; repeated rows give one
+    that are null or have under 8 words give no rows; a null doc_id is kept; repeated rows give one
     pair; without test seeds there are no rows; other columns are ignored.
     """
-    items = benchmark.select("item_id", words(F.col("text")).alias("b"))
-    tests = items.select("item_id", "b", F.posexplode(seeds(F.col("b"))).alias("j", "h"))
+    items = benchmark.select("item_id", words(F.col("text")).alias("b")).where(F.size("b") >= LEAST_WORDS)
+    placed = lambda k: F.transform(seeds(F.col("b"), k), lambda h, j: F.struct(F.lit(k).alias("k"), j.alias("j"), h.alias("h")))
+    tests = items.select("item_id", "b", F.inline(F.concat(*map(placed, range(len(MASKS))))))
     blocks = max(1, math.ceil(tests.count() / BLOCK_SEEDS))
-    docs = documents.select("doc_id", words(F.col("text")).alias("d")).select("*", seeds(F.col("d")).alias("s"))
+    docs = documents.select("doc_id", words(F.col("text")).alias("d")).select("*", *[seeds(F.col("d"), k).alias(f"s{k}") for k in range(len(MASKS))])
     found = [_against(docs, tests.where(F.pmod(F.hash("h"), F.lit(blocks)) == k)) for k in range(blocks)]
     return (
         reduce(DataFrame.unionAll, found)
@@ -47,16 +87,31 @@ def overlaps(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
     )
 
 
+def _hit(k: int, before: int = 0) -> Column:
+    """Whether mask k hits where the document's place `at` meets the item's place `j`, or so many places before."""
+    return F.coalesce(reduce(Column.__and__, [F.get("d", F.col("at") + (o - before)) == F.get("b", F.col("j") + (o - before)) for o in MASKS[k]]), F.lit(False))
+
+
 def _against(docs: DataFrame, tests: DataFrame) -> DataFrame:
-    hashes = [r.h for r in tests.select("h").distinct().collect()]  # about BLOCK_SEEDS at most
-    known = F.transform("s", lambda h, i: F.when(h.isin(hashes), F.struct(h.alias("h"), i.alias("at")))) if hashes else F.array().cast("array<struct<h:bigint,at:int>>")
-    hits = docs.select("doc_id", "d", F.inline(F.filter(known, lambda x: x.isNotNull()))).join(F.broadcast(tests), "h")
-    back = F.least(F.col("at"), F.col("j"), F.lit(AROUND))
-    size = F.least(back + SPAN + AROUND, F.size("d") - (F.col("at") - back), F.size("b") - (F.col("j") - back))
-    cut = hits.select("doc_id", "item_id", (F.col("at") - back).alias("first"), F.slice("d", F.col("at") - back + 1, size).alias("x"), F.slice("b", F.col("j") - back + 1, size).alias("y"))
-    same = F.size(F.filter(F.zip_with("x", "y", lambda p, q: p == q), lambda e: e))
-    return cut.select("doc_id", "item_id", "first", (F.col("first") + F.size("x") - 1).alias("last"), same.alias("equal"), (same / F.size("x")).alias("share")).where(
-        (F.col("equal") >= LEAST_WORDS) & (F.col("share") >= LEAST_SHARE)
+    hashes: dict[int, list[int]] = {k: [] for k in range(len(MASKS))}
+    for r in tests.select("k", "h").distinct().collect():  # about BLOCK_SEEDS at most
+        hashes[r.k].append(r.h)
+    none = F.array().cast("array<struct<h:bigint,at:int>>")
+    known = lambda k, own: F.filter(F.transform(f"s{k}", lambda h, i: F.when(h.isin(own), F.struct(h.alias("h"), i.alias("at")))), lambda x: x.isNotNull())
+    hits = docs.select("doc_id", "d", F.inline(F.concat(none, *[known(k, own) for k, own in hashes.items() if own]))).join(F.broadcast(tests), "h")
+    return _judged(hits)
+
+
+def _judged(hits: DataFrame) -> DataFrame:
+    # Of hits that follow each other on one diagonal, by any mask, the first is enough. Blocks part hits by hash, so it may be in another block.
+    again = reduce(Column.__or__, [_hit(k, 1) | ((F.col("k") > k) & _hit(k)) for k in range(len(MASKS))])
+    back = F.least("at", "j")
+    size = back + F.least(F.size("d") - F.col("at"), F.size("b") - F.col("j"))
+    same = F.zip_with(F.slice("d", F.col("at") - back + 1, size), F.slice("b", F.col("j") - back + 1, size), lambda p, q: p == q)
+    rows = hits.where(~again).select("doc_id", "item_id", (F.col("at") - back).alias("from"), same.alias("same")).where(F.size(F.filter("same", lambda e: e)) >= LEAST_WORDS)
+    best = rows.select("doc_id", "item_id", "from", F.inline(F.array(stretches(F.col("same")))))
+    return best.where(F.col("equal") >= LEAST_WORDS).select(
+        "doc_id", "item_id", (F.col("from") + F.col("first")).alias("first"), (F.col("from") + F.col("last")).alias("last"), "equal", (F.col("equal") / F.col("size")).alias("share")
     )
 
 

@@ -1,6 +1,7 @@
 import hashlib
 import random
 import re
+from itertools import combinations
 
 import xxhash
 from pyspark.sql import functions as F
@@ -103,3 +104,39 @@ def test_classifiers(spark):
         got = op.classify(docs, labels).toPandas()
         assert len(got) == docs.count() and got.score.between(0, 1).all()
         assert op.classify(edge, labels.limit(0)).count() == 4
+
+
+def stretches(d, b):
+    """Equal words and share at best, first and last word: every stretch of every diagonal, without masks."""
+    out = []
+    for c in range(1 - len(b), len(d)):
+        same = [d[i] == b[i - c] for i in range(max(0, c), min(len(d), len(b) + c))]
+        for s, e in combinations(range(len(same) + 1), 2):
+            n = sum(same[s:e])
+            if same[s] and same[e - 1] and n >= 8 and 5 * n >= 4 * (e - s):
+                out.append((n, s - e, max(0, c) + s, max(0, c) + e - 1))
+    return (max(out)[0], max(out)[0] / -max(out)[1], min(x[2] for x in out), max(x[3] for x in out)) if out else None
+
+
+def test_decontamination_without_masks(spark):
+    r = random.Random(5)
+    word = lambda: "".join(r.choice("abcdefgh") for _ in range(6))
+    items = {n: [word() for _ in range(n)] for n in (8, 9, 10, 16, 30)}
+    docs = {}
+    for n, item in items.items():
+        for k in range(60):
+            off = set(range(k % 5, n, 5)) if k < 5 else set(r.sample(range(n), r.randint(0, n // 4)))
+            part = item[: r.choice([n, n, n - 2])]
+            own = [word() if i in off else w for i, w in enumerate(part)]
+            docs[n * 100 + k] = [word() for _ in range(r.choice([0, 7]))] + own + [word() for _ in range(r.choice([0, 7]))]
+    want = {(i, n): s for i, d in docs.items() for n, b in items.items() if (s := stretches(d, b))}
+    tests = spark.createDataFrame([(n, " ".join(b)) for n, b in items.items()], "item_id bigint, text string")
+    got = decontamination.overlaps(frame(spark, [(i, " ".join(d)) for i, d in docs.items()]), tests).collect()
+    assert {(x.doc_id, x.item_id): tuple(x)[2:] for x in got} == want and len(want) > 150
+
+
+def test_masks_hit_all_short_stretches():
+    for n in range(8, 17):
+        for off in combinations(range(1, n - 1), n // 5):
+            places = [(m, s) for m in decontamination.MASKS for s in range(n - max(m))]
+            assert n - len(off) < 8 or any(all(s + o not in off for o in m) for m, s in places)
