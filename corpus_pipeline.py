@@ -10,12 +10,15 @@ from quern.sources.tables import table, written
 
 #: Bits a symbol above which no learned language fits a text (phrases of under 2.7 symbols), if it has so many symbols.
 REJECT_BITS, LEAST_SYMBOLS = 6.0, 40
+#: In a script of many letters, where a letter by itself takes more bits than REJECT_BITS less this, so many bits above those are allowed.
+OVER_LETTERS = 1.0
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with letters that one of the languages fits. Rows of a rejected doc_id go; null doc_ids stay."""
-    found = language.identify(docs)
-    bad = found.where((F.col("lang_pred") == language.UNKNOWN) | ((F.col("bits") > REJECT_BITS) & (F.col("symbols") >= LEAST_SYMBOLS))).select("doc_id").distinct()
+    found = language.identify(docs, letter_bits=True)
+    most = F.greatest(F.lit(REJECT_BITS), F.col("letter_bits") + OVER_LETTERS)
+    bad = found.where((F.col("lang_pred") == language.UNKNOWN) | ((F.col("bits") > most) & (F.col("symbols") >= LEAST_SYMBOLS))).select("doc_id").distinct()
     return docs.join(bad, "doc_id", "left_anti").select(*[f"`{c}`" for c in docs.columns])
 
 

@@ -19,8 +19,10 @@ ROWS, ROW_CHARS, CHARS = 64, 4_000, 60_000
 LEAST_CHARS = 4_096
 #: A text is parsed in blocks of so many characters; a phrase ends with its block.
 BLOCK = 128
-#: Symbols: the sample's most frequent letters; the space between words; any other letter, which matches nothing; no character; the sample's text ends.
-SPACE, OTHER, PAD, BREAK = 60, 61, 62, 63
+#: Symbols: the space between words, then every letter of the samples; any other letter, which matches nothing; no character; the sample's text ends.
+SPACE, OTHER, PAD, BREAK = 0, 0x30000, 0x30001, 0x30002
+#: Columns of a language's table: SPACE and its commonest letters; no character; all else, of which its rarer letters are looked up in a list.
+WIDTH = 64
 UNKNOWN = "und"
 
 
@@ -37,8 +39,8 @@ def labelled(documents: DataFrame) -> dict[str, str]:
     return out
 
 
-def automaton(symbols: list[int]) -> np.ndarray:
-    """The suffix automaton of a sequence: next state by state and symbol, -1 where there is none; state 0 is the start."""
+def automaton(symbols: list[int]) -> list[dict[int, int]]:
+    """The suffix automaton of a sequence: next states by symbol, of each state; state 0 is the start."""
     steps: list[dict[int, int]] = [{}]
     link, size, last = [-1], [0], 0
     for c in symbols:
@@ -64,13 +66,59 @@ def automaton(symbols: list[int]) -> np.ndarray:
                     p = link[p]
                 link[q] = link[new] = twin
         last = new
-    table = np.full((len(steps), BREAK), -1, np.int32)
-    for s, to in enumerate(steps):
-        for c, t in to.items():
-            if c < OTHER:
-                table[s, c] = t
-    table[:, PAD] = np.arange(len(steps))
-    return table
+    return steps
+
+
+class Table:
+    """A language's automaton over its own letters: a dense part for the commonest, a sorted list of transitions for the others."""
+
+    def __init__(self, symbols: np.ndarray, letters: int):
+        common = [c for c, _ in sorted(Counter(symbols[(symbols != SPACE) & (symbols < OTHER)].tolist()).items(), key=lambda x: (-x[1], x[0]))]
+        pad, rest = WIDTH - 2, WIDTH - 1
+        #: Column by symbol, those from OTHER on following the letters; from WIDTH on it is a rarer letter.
+        self.column = np.full(letters + 3, rest, np.int32)
+        self.column[[SPACE, letters + PAD - OTHER]] = 0, pad
+        self.column[common] = [k + 1 if k + 1 < pad else WIDTH + k + 1 - pad for k in range(len(common))]
+        steps = automaton(symbols.tolist())
+        self.rare = max(0, len(common) + 1 - pad)
+        dense, sparse = np.full((len(steps), WIDTH), -1, np.int32), {}
+        self.start = np.zeros(WIDTH + self.rare, np.int32)
+        column = self.column.tolist()
+        for s, to in enumerate(steps):
+            for c, t in to.items():
+                if c < OTHER:
+                    k = column[c]
+                    if k < WIDTH:
+                        dense[s, k] = t
+                    else:
+                        sparse[s * self.rare + k - WIDTH] = t
+                    if s == 0:
+                        self.start[k] = t
+        dense[:, pad] = np.arange(len(steps))
+        self.flat = dense.ravel()
+        self.keys = np.array(sorted(sparse), np.int64)
+        self.to = np.array([sparse[k] for k in self.keys.tolist()], np.int32)
+
+    def phrases(self, grid: np.ndarray) -> np.ndarray:
+        """Phrases of each column of a grid of symbols."""
+        state, phrases = np.zeros(grid.shape[1], np.int32), np.ones(grid.shape[1], np.int32)
+        for row in grid:
+            row = self.column[row]
+            to = self.flat[state * np.int32(WIDTH) + (np.minimum(row, np.int32(WIDTH - 1)) if self.rare else row)]
+            if self.rare:
+                seldom = np.flatnonzero(row >= WIDTH)
+                key = state[seldom].astype(np.int64) * self.rare + (row[seldom] - WIDTH)
+                at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+                to[seldom] = np.where(self.keys[at] == key, self.to[at], -1)
+            failed = to < 0
+            phrases += failed
+            state = np.where(failed, self.start[row], to)
+        return phrases
+
+
+def _entropy(symbols: np.ndarray) -> float:
+    share = np.unique(symbols, return_counts=True)[1] / max(1, len(symbols))
+    return float(-(share * np.log2(share)).sum())
 
 
 class Model:
@@ -80,13 +128,16 @@ class Model:
 
     def __init__(self, texts: dict[str, str]):
         self.names = sorted(texts)
-        common = Counter(c for c in "".join(texts.values()) if c.isalpha())
-        self.codes = np.full(0x110000, OTHER, np.uint8)
-        self.codes[[c for c in range(0x3000) if not chr(c).isalpha()]] = SPACE  # what parts words, where these languages have it
-        for k, (c, _) in enumerate(sorted(common.items(), key=lambda x: (-x[1], x[0]))[:SPACE]):
-            self.codes[ord(c)] = k
+        letters = sorted({c for c in "".join(texts.values()) if c.isalpha()})
+        self.codes = np.full(0x110000, OTHER, np.int32)
+        self.codes[[c for c in (*range(0x3040), *range(0xFF00, 0xFFF0)) if not chr(c).isalpha()]] = SPACE  # what parts words
+        self.codes[list(map(ord, letters))] = np.arange(1, len(letters) + 1)
+        self.letters = len(letters) + 1
         self.codes[0] = BREAK
-        self.tables = [automaton(self.code(texts[n]).tolist()) for n in self.names]
+        coded = [self.code(texts[n]) for n in self.names]
+        self.tables = [Table(c, self.letters) for c in coded]
+        #: Bits a symbol by the frequencies of the sample's symbols alone.
+        self.letter_bits = np.array([_entropy(c[c < OTHER]) for c in coded])
         self.bits = [float(np.log2(max(LEAST_CHARS, len(texts[n])))) for n in self.names]
         self.codes[0] = SPACE
 
@@ -100,27 +151,24 @@ class Model:
     def code(self, text: str) -> np.ndarray:
         """Symbols of a text: letters, and one for whatever stands between words."""
         c = self.codes[np.frombuffer(text.encode("utf-32-le", "replace"), np.uint32)]
-        return c[~((c == SPACE) & (np.concatenate([[0], c[:-1]]) == SPACE))]
+        again = c == SPACE
+        again[1:] &= again[:-1].copy()
+        again[:1] = False
+        return c[~again]
 
     def entropies(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Bits a symbol by text and language (phrases of the parse, times what it takes to point at one); symbols by text."""
-        coded = [self.code(t.lower()) for t in texts]
+        small = np.uint16 if self.letters + 3 <= 0x10000 else np.int32
+        coded = [np.where(c < OTHER, c, c - OTHER + self.letters).astype(small) for c in (self.code(t.lower()) for t in texts)]
         blocks = np.array([-(-len(c) // BLOCK) for c in coded], np.int64)
-        grid = np.full(int(blocks.sum()) * BLOCK, PAD, np.uint8)
+        grid = np.full(int(blocks.sum()) * BLOCK, self.letters + PAD - OTHER, small)
         for c, at in zip(coded, (np.cumsum(blocks) - blocks) * BLOCK, strict=True):
             grid[at : at + len(c)] = c
         grid = np.ascontiguousarray(grid.reshape(-1, BLOCK).T)
         owner = np.repeat(np.arange(len(texts)), blocks)
         out = np.zeros((len(texts), len(self.names)))
         for k, table in enumerate(self.tables):
-            flat, start = table.ravel(), np.maximum(table[0], 0)
-            state, phrases = np.zeros(grid.shape[1], np.int32), np.ones(grid.shape[1], np.int32)
-            for row in grid:
-                to = flat[state * np.int32(BREAK) + row]
-                failed = to < 0
-                phrases += failed
-                state = np.where(failed, start[row], to)
-            out[:, k] = np.bincount(owner, phrases, len(texts)) * self.bits[k]
+            out[:, k] = np.bincount(owner, table.phrases(grid), len(texts)) * self.bits[k]
         size = np.array([len(c) for c in coded])
         return out / np.maximum(1, size)[:, None], size
 
@@ -128,7 +176,7 @@ class Model:
 LETTER = re.compile(r"[^\W\d_]")
 
 
-def _predict(texts: dict[str, str]):
+def _predict(texts: dict[str, str], letter_bits: bool):
     def run(batches):
         model = Model.of(texts) if texts else None
         for b in batches:
@@ -138,25 +186,28 @@ def _predict(texts: dict[str, str]):
                     continue
                 own = b.iloc[part]
                 names, scores, bits, size = np.full(len(part), UNKNOWN, object), np.zeros(len(part)), np.zeros(len(part)), np.zeros(len(part), np.int32)
+                plain = np.zeros(len(part))
                 known = [i for i, t in enumerate(own["text"]) if model and t and LETTER.search(t)]
                 if known:
                     e, size[known] = model.entropies([own["text"].iloc[i] for i in known])
                     share = (e.min(axis=1, keepdims=True) / e) ** 4
                     names[known] = np.array(model.names, object)[e.argmin(axis=1)]
                     scores[known], bits[known] = 1 / share.sum(axis=1), e.min(axis=1)
-                yield pd.DataFrame({**{c: own[c].to_numpy() for c in own.columns if c != "text"}, "lang_pred": names, "score": scores, "bits": bits, "symbols": size})
+                    plain[known] = model.letter_bits[e.argmin(axis=1)]
+                yield pd.DataFrame({**{c: own[c].to_numpy() for c in own.columns if c != "text"}, "lang_pred": names, "score": scores, "bits": bits, "symbols": size, **({"letter_bits": plain} if letter_bits else {})})
 
     return run
 
 
-def identify(documents: DataFrame, train: DataFrame | None = None) -> DataFrame:
+def identify(documents: DataFrame, train: DataFrame | None = None, letter_bits: bool = False) -> DataFrame:
     """One row per row of `documents`: doc_id, held_out, lang_pred, score (0 to 1), bits (a symbol), symbols.
 
     Of the languages of `train` (`documents` itself if None) the one needing fewest phrases, normalised by sample size, wins;
     ties go to the first name. `und`, score 0: null text, no letters, or nothing to learn from. Whole texts are parsed;
-    repeated rows each get a row; other columns are ignored.
+    repeated rows each get a row; other columns are ignored. `letter_bits` adds a column: bits a symbol by the letter frequencies of that language.
     """
     texts = labelled(train if train is not None else documents)
     kind = documents.schema["doc_id"].dataType.simpleString()
     rows = documents.select("doc_id", held_out("doc_id", 4, 2).alias("held_out"), "text")
-    return rows.mapInPandas(_predict(texts), f"doc_id {kind}, held_out boolean, lang_pred string, score double, bits double, symbols int")
+    more = ", letter_bits double" if letter_bits else ""
+    return rows.mapInPandas(_predict(texts, letter_bits), f"doc_id {kind}, held_out boolean, lang_pred string, score double, bits double, symbols int{more}")

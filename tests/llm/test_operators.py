@@ -6,6 +6,7 @@ from itertools import combinations
 import xxhash
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from quern.llm import decontamination, language, licenses, quality, secrets, segmentation, simhash, toxicity
 from tests.llm import plain
 
@@ -140,3 +141,21 @@ def test_masks_hit_all_short_stretches():
         for off in combinations(range(1, n - 1), n // 5):
             places = [(m, s) for m in decontamination.MASKS for s in range(n - max(m))]
             assert n - len(off) < 8 or any(all(s + o not in off for o in m) for m, s in places)
+
+
+def test_languages_of_many_letters(spark):
+    """Three invented languages of 900 letters each, the first two of one script, beside the given ones."""
+    docs = spark.read.parquet(f"{D}/documents.parquet").select("doc_id", "text", "lang")
+    r = random.Random(6)
+    rows = []
+    for k, first in enumerate((0x4E00, 0x4E00, 0xAC00)):
+        script = [chr(first + i) for i in range(900)]
+        words = ["".join(r.choices(script, k=r.randint(1, 3))) for _ in range(700)]
+        share = [1 / (i + 1) for i in range(700)]
+        rows += [(10_000 * (k + 1) + i, "".join("".join(r.choices(words, share, k=9)) + "\u3002" for _ in range(40)), f"x{k}") for i in range(60)]
+    docs = docs.unionByName(spark.createDataFrame(rows, "doc_id bigint, text string, lang string"))
+    got = language.identify(docs).join(docs.select("doc_id", "lang"), "doc_id").where("held_out").toPandas()
+    own = got.lang.str.startswith("x", na=False)
+    assert own.sum() > 20 and (got.lang_pred == got.lang)[own].all() and (got.lang_pred == got.lang)[~own].mean() > 0.9
+    kept = corpus_pipeline.known_language(spark, docs, "")
+    assert kept.where("lang LIKE 'x%'").count() == len(rows)
