@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-BLOCK = 4_096  # vectors of one side that are sent to all tasks at once
+BLOCK = 4_096  # vectors of a pair of blocks, about, half of them from each side
 
 
 def _unit(rows) -> np.ndarray:
@@ -19,58 +19,57 @@ def _unit(rows) -> np.ndarray:
     return x / np.where(n == 0, 1, n)
 
 
-def _blocks(df: DataFrame, key: str, vector: str):
-    """(ids, unit vectors) of bounded parts of `df`, one after another."""
-    own = df.where(F.col(vector).isNotNull() & F.col(key).isNotNull()).select(key, vector)
-    parts = max(1, -(-own.count() // (BLOCK // 2)))
-    for k in range(parts):
-        got = own.where(F.pmod(F.xxhash64(key), F.lit(parts)) == k).toPandas()
-        if len(got):
-            yield got[key].to_numpy(), _unit(got[vector])
+def _pairs(left: DataFrame, right: DataFrame, left_key: str, key: str, product, schema: str) -> DataFrame | None:
+    """`product(left block, right block)` of all pairs of blocks, dealt to tasks by an equality of block numbers; None if a side is empty."""
+    n, m = (-(-side.count() // (BLOCK // 2)) for side in (left, right))
+    if not n or not m:
+        return None
+    number = lambda k, parts: F.pmod(F.xxhash64(k), F.lit(parts)).cast("int")
+    every = lambda parts: F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))
+    a = left.select("*", number(left_key, n).alias("_l"), every(m).alias("_r")).groupBy("_l", "_r")
+    b = right.select("*", every(n).alias("_l"), number(key, m).alias("_r")).groupBy("_l", "_r")
+
+    def run(x: pd.DataFrame, y: pd.DataFrame):
+        return product(x, y) if len(x) and len(y) else product(x[:0], y[:0])
+
+    return a.cogroup(b).applyInPandas(run, schema)
 
 
 def top_k(points: DataFrame, queries: DataFrame, k: int, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """(query_id, rank, key, sim): the k nearest points of each query by cosine; ties by the smaller id. A zero vector is at 0 from all.
 
-    Each block of queries is held against all points as one product; a task keeps the k best of its points, and the ranks are taken of those.
+    Blocks of queries meet blocks of points as products; each product keeps the k best of its points, and the ranks are taken of those.
     """
 
-    def against(ids, unit):
-        def run(batches):
-            for b in batches:
-                b = b[b[vector].notna()]
-                if not len(b):
-                    continue
-                sim = np.round(unit @ _unit(b[vector]).T, 6)
-                own = b[key].to_numpy()
-                for q, row in zip(ids, sim, strict=True):
-                    best = np.lexsort((own, -row))[:k]
-                    yield pd.DataFrame({"query_id": q, key: own[best], "sim": row[best]})
-
-        return points.select(key, vector).mapInPandas(run, f"query_id bigint, {key} bigint, sim double")
-
-    found = [against(*b) for b in _blocks(queries, key, vector)]
-    if not found:
+    def near(q: pd.DataFrame, p: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        if len(q):
+            own = p[key].to_numpy()
+            sim = np.round(_unit(q["_vector"]) @ _unit(p[vector]).T, 6)
+            for i, row in zip(q["query_id"], sim, strict=True):
+                best = np.lexsort((own, -row))[:k]
+                out.append(pd.DataFrame({"query_id": i, key: own[best], "sim": row[best]}))
+        return pd.concat(out) if out else pd.DataFrame({"query_id": [], key: [], "sim": []})
+
+    asked = queries.where(F.col(vector).isNotNull() & F.col(key).isNotNull()).select(F.col(key).alias("query_id"), F.col(vector).alias("_vector"))
+    found = _pairs(asked, points.where(F.col(vector).isNotNull()).select(key, vector), "query_id", key, near, f"query_id bigint, {key} bigint, sim double")
+    if found is None:
         return points.sparkSession.createDataFrame([], f"query_id bigint, rank int, {key} bigint, sim double")
     rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("sim"), key))
-    return reduce(DataFrame.unionAll, found).withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", key, "sim")
+    return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", key, "sim")
 
 
 def best(chunks: DataFrame, others: DataFrame, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
-    """(key, best): each chunk's greatest cosine with any of `others`, 0 without others."""
-
-    def against(unit):
-        def run(batches):
-            for b in batches:
-                if len(b):
-                    yield pd.DataFrame({key: b[key], "best": np.round((_unit(b[vector]) @ unit.T).max(axis=1), 6)})
+    """(key, best): each chunk's greatest cosine with any of `others`, 0 without others. Blocks of both meet as products."""
 
-        return chunks.select(key, vector).mapInPandas(run, f"{key} bigint, best double")
+    def most(c: pd.DataFrame, o: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({key: c[key], "best": np.round((_unit(c[vector]) @ _unit(o["_vector"]).T).max(axis=1), 6) if len(c) else []})
 
-    found = [against(u) for _, u in _blocks(others, key, vector)]
-    if not found:
+    other = others.where(F.col(vector).isNotNull() & F.col(key).isNotNull()).select(F.col(key).alias("_other"), F.col(vector).alias("_vector"))
+    found = _pairs(chunks.select(key, vector), other, key, "_other", most, f"{key} bigint, best double")
+    if found is None:
         return chunks.select(key, F.lit(0.0).alias("best"))
-    return found[0] if len(found) == 1 else reduce(DataFrame.unionAll, found).groupBy(key).agg(F.max("best").alias("best"))
+    return found.groupBy(key).agg(F.max("best").alias("best"))
 
 
 def fuse(lists: list[DataFrame], k: int, k0: int = 60, key: str = "vec_id") -> DataFrame:

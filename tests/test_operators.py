@@ -1,6 +1,7 @@
 import random
 import re
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -100,3 +101,18 @@ def test_upsert_stream(spark, tmp_path):
     run()
     assert sorted(tuple(r)[:2] for r in spark.read.parquet(str(tmp_path / "t/v=1")).collect()) == [(1, "a"), (2, "c"), (3, "d")]
     assert profile.merged({"a": rows((1, "x")), "b": rows((1, "y"))}, "id").select("id").distinct().count() == 2
+
+
+def test_vectors_stay_in_tasks(spark, monkeypatch):
+    """Several blocks on both sides, and no vectors fetched by the driver."""
+    monkeypatch.setattr(vectors, "BLOCK", 32)
+    monkeypatch.setattr(type(spark.range(1)), "toPandas", None)
+    r = np.random.default_rng(1)
+    x, y = r.normal(size=(70, 5)), r.normal(size=(50, 5))
+    frame = lambda v, first: spark.createDataFrame([(first + i, row.tolist()) for i, row in enumerate(v)], "vec_id bigint, embedding array<double>")
+    sim = np.round((x / np.linalg.norm(x, axis=1, keepdims=True)) @ (y / np.linalg.norm(y, axis=1, keepdims=True)).T, 6)
+    best = {b.vec_id: b.best for b in vectors.best(frame(x, 0), frame(y, 100)).collect()}
+    assert best == dict(enumerate(sim.max(axis=1)))
+    got = {(b.query_id, b.rank): (b.vec_id, b.sim) for b in vectors.top_k(frame(y, 100), frame(x, 0), 4).collect()}
+    want = {(i, k + 1): (100 + j, row[j]) for i, row in enumerate(sim) for k, j in enumerate(np.argsort(-row, kind="stable")[:4])}
+    assert got == want
