@@ -19,6 +19,8 @@ CLASSES = ((r"[0-9A-Fa-f]{20,}", 2.9), (r"[A-Za-z0-9+/_-]{20,}={0,2}", 3.7))
 WINDOW = 20
 #: A candidate with one of these is no secret: placeholders, counting, one symbol again and again; or no digit or no letter.
 ALLOWED = r"(?i)example|sample|placeholder|dummy|changeme|0123456|1234567|abcdefg|(.)\1{5}|^[^0-9]*$|^[^A-Za-z]*$"
+#: The parts of ALLOWED that a stage which masks asks of each window; no digit or no letter stays a question to the whole candidate.
+PLACEHOLDER, ONE_SORT = "|".join(ALLOWED.split("|")[:-2]), "|".join(ALLOWED.split("|")[-2:])
 GAIN = [(c + 1) * math.log2(c + 1) - (c * math.log2(c) if c else 0.0) for c in range(WINDOW + 1)]
 
 
@@ -41,9 +43,11 @@ def _places(text: Column, pattern: str, group: int = 0) -> Column:
     return F.when(text.rlike(pattern), found).otherwise(empty)
 
 
-def _entropy(hit: Column, least: float) -> Column:
+def _entropy(hit: Column, least: float, by_window: bool) -> Column:
     """struct<lo,hi>: from the first to the last window of `hit` with that many bits a character; -1 if there is none.
 
+    `by_window` leaves out windows that hold a placeholder or a run.
+
     A step of the window changes two counts, and the sum of c*log2(c) by what those two give.
     """
     code = lambda i: F.ascii(F.substr(hit, i, F.lit(1))) - 32
@@ -61,6 +65,8 @@ def _entropy(hit: Column, least: float) -> Column:
 
             def close(s: Column) -> Column:
                 high = (i >= WINDOW) & (math.log2(WINDOW) - s / WINDOW >= least)
+                if by_window:
+                    high = high & ~F.substr(hit, i - (WINDOW - 1), F.lit(WINDOW)).rlike(PLACEHOLDER)
                 return F.struct(n.alias("n"), s.alias("s"), F.when(high & (a["lo"] < 0), i - WINDOW).otherwise(a["lo"]).alias("lo"), F.when(high, i).otherwise(a["hi"]).alias("hi"))
 
             return let(total, close)
@@ -71,21 +77,25 @@ def _entropy(hit: Column, least: float) -> Column:
     return F.aggregate(F.sequence(F.lit(1), F.length(hit)), first, step, lambda a: F.struct(a["lo"].alias("lo"), a["hi"].alias("hi")))
 
 
-def _dense(least: float):
+def _dense(least: float, by_window: bool):
     """What finds a candidate's dense part. F.transform takes a second argument, even one with a default, for the index."""
-    return lambda x: let(_entropy(x["hit"], least), lambda w: F.struct((x["start"] + w["lo"]).alias("start"), (x["start"] + w["hi"]).alias("end"), w["lo"].alias("lo")))
+    return lambda x: let(_entropy(x["hit"], least, by_window), lambda w: F.struct((x["start"] + w["lo"]).alias("start"), (x["start"] + w["hi"]).alias("end"), w["lo"].alias("lo")))
+
 
+def with_spans(df: DataFrame, text: str = "text", by_window: bool = False) -> DataFrame:
+    """`df` and array<struct<start,kind,end>> `secret_spans`: kind is the index in KINDS; sorted by start, then kind. A null text has none.
 
-def with_spans(df: DataFrame, text: str = "text") -> DataFrame:
-    """`df` and array<struct<start,kind,end>> `secret_spans`: kind is the index in KINDS; sorted by start, then kind. A null text has none."""
+    A placeholder or run acquits its whole candidate, or, with `by_window`, only the windows that hold it.
+    """
+    allowed = ONE_SORT if by_window else ALLOWED
     t = F.coalesce(F.col(text), F.lit(""))
     span = lambda kind, s, e: F.struct(s.cast("int").alias("start"), F.lit(kind).alias("kind"), e.cast("int").alias("end"))
     plain = lambda c, kind: F.transform(c, lambda x: span(kind, x["start"], x["end"]))
     out = df.withColumn("_a", _places(t, ASSIGN)).withColumn("_b", _places(t, ACCESS)).withColumn("_c", _places(t, HEX))
     own = []
     for k, (pattern, least) in enumerate(CLASSES):
-        out = out.withColumn(f"_d{k}", F.filter(_places(t, pattern), lambda x: ~x["hit"].rlike(ALLOWED)))
-        dense = F.transform(F.col(f"_d{k}"), _dense(least))
+        out = out.withColumn(f"_d{k}", F.filter(_places(t, pattern), lambda x: ~x["hit"].rlike(allowed)))
+        dense = F.transform(F.col(f"_d{k}"), _dense(least, by_window))
         own.append(F.transform(F.filter(dense, lambda x: x["lo"] >= 0), lambda x: span(3, x["start"], x["end"])))
     kept = F.filter("_a", lambda x: F.length(F.regexp_extract(x["hit"], ASSIGN, 2)) >= 6)
     spans = F.array_sort(F.array_distinct(F.concat(plain(kept, 0), plain(F.col("_b"), 1), plain(F.col("_c"), 2), *own)))
@@ -115,7 +125,7 @@ def scan(documents: DataFrame) -> DataFrame:
 def masked(documents: DataFrame, mask: str = "<secret>") -> DataFrame:
     """`documents` with each secret of `text` (overlapping spans as one) replaced by `mask`; n_chars, if there, follows."""
     packed = documents.select(F.struct(*[F.col(f"`{c}`") for c in documents.columns]).alias("row"), "text")  # other columns can't clash
-    found = with_spans(packed)
+    found = with_spans(packed, by_window=True)
 
     def step(a: Column, x: Column) -> Column:
         new = x["start"] >= a["at"]

@@ -159,3 +159,12 @@ def test_languages_of_many_letters(spark):
     assert own.sum() > 20 and (got.lang_pred == got.lang)[own].all() and (got.lang_pred == got.lang)[~own].mean() > 0.9
     kept = corpus_pipeline.known_language(spark, docs, "")
     assert kept.where("lang LIKE 'x%'").count() == len(rows)
+
+
+def test_placeholders_beside_secrets_are_no_excuse(spark):
+    key = "x9Qk2LmZ7pR4tV8wB3nY6c"
+    rows = [(1, f"a {'A' * 9}{key}{key[::-1]} b"), (2, f"a sample/{key} b"), (3, "a sample_sample_sample_1234567 b"), (4, "a " + "A1" + "A" * 40 + " b")]
+    got = {x.doc_id: x.text for x in secrets.masked(frame(spark, rows)).collect()}
+    assert all(key not in got[i] and "<secret>" in got[i] for i in (1, 2)) and got[4] == rows[3][1]
+    old = {x.doc_id: x.spans for x in secrets.scan(frame(spark, rows)).collect()}
+    assert not any(old.values())  # as in the SQL
