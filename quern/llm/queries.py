@@ -22,7 +22,7 @@ def op3_licenses(spark: SparkSession, d: str) -> DataFrame:
 
 
 def op4_segmentations(spark: SparkSession, d: str) -> DataFrame:
-    return segmentation.encode(table(spark, d, "documents"), digest=True)
+    return segmentation.encode(table(spark, d, "documents"))
 
 
 def op5_secrets(spark: SparkSession, d: str) -> DataFrame:

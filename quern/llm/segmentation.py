@@ -2,25 +2,25 @@
 
 from __future__ import annotations
 
-import hashlib
-import re
-from collections import Counter
+import heapq
+from collections import defaultdict
 from collections.abc import Iterator
+from itertools import islice
+from typing import NamedTuple
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SAMPLES = 2
 SPACE = "▁"
-#: Lattices are built for units: a space and what follows up to the next one or a new line, in parts of at most 64 characters.
-UNIT = re.compile(r" ?[^ \n]{1,64}|[ \n]")
 SUB = 700_000  # characters of the documents walked together
+KEPT = 1_000_000  # characters of units whose lattices a worker keeps; with more, it begins anew
 SMOOTHING = 0.5  # 1: nearly always the likeliest path; 0: all pieces alike
-LIFT = 3.0  # nats that each character adds to a path, alike for all paths, against underflow
 MIX = (np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
+STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -48,45 +48,58 @@ class Pieces:
         import sentencepiece
 
         sp = sentencepiece.SentencePieceProcessor(model_file=model)
-        self.bytes_of: list[bytes] = []
+        own: list[bytes] = []
         self.byte_id: dict[int, int] = {}
         pieces: dict[str, int] = {}
         for i in range(sp.get_piece_size()):
             piece = sp.id_to_piece(i)
             if sp.is_byte(i):
                 self.byte_id[int(piece[1:-1], 16)] = i
-                self.bytes_of.append(bytes([int(piece[1:-1], 16)]))
+                own.append(bytes([int(piece[1:-1], 16)]))
                 continue
-            self.bytes_of.append(piece.replace(SPACE, " ").encode())
+            own.append(piece.replace(SPACE, " ").encode())
             if not (sp.is_control(i) or sp.is_unknown(i) or sp.is_unused(i)):
                 pieces[piece] = i
-        # Characters by class: those in pieces of two or more have one each (the 254 commonest), a lone piece's is found by `single`.
-        often = Counter(c for p in pieces if len(p) > 1 for c in p)
-        chars = sorted(often, key=lambda c: (-often[c], c))[:254]
-        self.klass = np.full(0x110000, 255, np.uint8)
-        for k, c in enumerate(chars):
-            self.klass[ord(c)] = k
+        self.blob = np.frombuffer(b"".join(own), np.uint8)
+        self.size = np.fromiter(map(len, own), np.int64, len(own))
+        self.first = np.cumsum(self.size) - self.size
+        # Characters in pieces of two or more have a class each, all others the last one.
+        chars = sorted({c for p in pieces if len(p) > 1 for c in p})
+        self.classes = len(chars) + 1
+        self.klass = np.full(0x110000, len(chars), np.int32)
+        self.klass[list(map(ord, chars))] = np.arange(len(chars))
+        self.klass[ord(" ")], self.klass[ord(SPACE)] = self.klass[ord(SPACE)], len(chars)
+        at = {c: k for k, c in enumerate(chars)}
+        #: Pairs of classes that are neighbours in a piece; between any others no piece reaches.
+        self.pair = np.zeros((self.classes, self.classes), bool)
         self.single = np.full(0x110000, -1, np.int32)
         nodes: dict[str, int] = {"": 0}
-        known = set(chars)
         for p, i in pieces.items():
             if len(p) == 1:
                 self.single[ord(p)] = i
-            if known.issuperset(p):
-                for n in range(1, len(p) + 1):
-                    nodes.setdefault(p[:n], len(nodes))
+                continue
+            for n in range(1, len(p) + 1):
+                nodes.setdefault(p[:n], len(nodes))
+            for a, b in zip(p, p[1:]):  # noqa: B905
+                self.pair[at[a], at[b]] = True
+        self.single[ord(" ")], self.single[ord(SPACE)] = self.single[ord(SPACE)], -1
         for c in range(128):  # an ASCII character without a piece is one byte's piece
             if self.single[c] < 0:
                 self.single[c] = self.byte_id[c]
-        self.trie = np.full((len(nodes), 256), -1, np.int32)
+        self.root = np.full(self.classes, -1, np.int64)
         self.piece = np.full(len(nodes), -1, np.int32)
+        steps = {}
         for p, k in nodes.items():
-            if p:
-                self.trie[nodes[p[:-1]], self.klass[ord(p[-1])]] = k
+            if len(p) == 1:
+                self.root[at[p]] = k
+            elif p:
+                steps[nodes[p[:-1]] * self.classes + at[p[-1]]] = k
                 self.piece[k] = pieces.get(p, -1)
+        self.keys = np.array(sorted(steps), np.int64)
+        self.next = np.array([steps[k] for k in self.keys.tolist()], np.int64)
         self.longest = max(map(len, nodes))
-        rank = np.arange(len(self.bytes_of))
-        self.weight = np.append((rank + 10.0) ** -SMOOTHING, (len(rank) + 10.0) ** -SMOOTHING)  # the last: a character's bytes
+        rank = np.arange(len(own) + 1)  # the last: a character's bytes
+        self.log_weight = -SMOOTHING * np.log(rank + 10.0)
 
     @classmethod
     def of(cls, model: str) -> Pieces:
@@ -94,192 +107,258 @@ class Pieces:
             cls.loaded = {model: cls(model)}
         return cls.loaded[model]
 
-    def ids_of(self, edge_id: int, char: int) -> list[int]:
-        return [edge_id] if edge_id >= 0 else [self.byte_id[b] for b in chr(char).encode("utf-8", "surrogatepass")]
+    def follow(self, node: np.ndarray, klass: np.ndarray) -> np.ndarray:
+        """The node that each node's class leads to, -1 for none."""
+        key = node * self.classes + klass
+        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+        return np.where(self.keys[at] == key, self.next[at], -1)
+
+    def plain(self, ids: np.ndarray) -> np.ndarray:
+        """ids, with the bytes' pieces for characters without a piece, which are given as -1 - code point."""
+        if not len(ids) or ids.min() >= 0:
+            return ids
+        bytes_of = {i: [self.byte_id[b] for b in chr(-1 - i).encode("utf-8", "surrogatepass")] for i in np.unique(ids[ids < 0]).tolist()}
+        return np.array([x for i in ids.tolist() for x in (bytes_of[i] if i < 0 else (i,))], np.int32)
 
-    def decode(self, ids: list[int]) -> str:
-        """The text of a segmentation; encode's inverse."""
-        return b"".join(map(self.bytes_of.__getitem__, ids)).decode("utf-8", "surrogatepass")[1:]
+    def decode(self, ids: np.ndarray) -> bytes:
+        """The text of a segmentation in UTF-8; encode's inverse."""
+        n = self.size[ids]
+        return self.blob[np.repeat(self.first[ids] - np.cumsum(n) + n, n) + np.arange(int(n.sum()))].tobytes()[1:]
 
 
-class Walks:
-    """The lattices of some documents' distinct units in one table of edges, and walks through them.
+class Lattices:
+    """The lattices of distinct units, in one table of edges, and walks through them.
 
-    Edges stand by their start. `cum` is the number of an edge's start plus the share, of the paths from there, of it and the edges before it.
-    Characters without a piece, U+2581 itself among them, are an edge of their bytes: id -1.
+    A unit is what no piece reaches across: texts are cut wherever two neighbours stand together in no piece. Edges stand by their
+    start, likeliest first; `logp` is an edge's share of the paths from its start, `within` the share of it and those before it; `to` is
+    -1 where the unit ends. A character without a piece, U+2581 itself among them, is one edge for all its bytes.
     """
 
-    def __init__(self, pieces: Pieces, units: list[str]):
+    def __init__(self, pieces: Pieces):
+        self.pieces = pieces
+        self.known: defaultdict[str, int] = defaultdict()
+        self.known.default_factory = self.known.__len__
+        self.unit_count, self.places, self.edges = 0, 0, 0
+        self.start = np.zeros(1 << 12, np.int64)  # by unit: its first place
+        self.first_edge = np.zeros(1 << 15, np.int64)  # by place
+        self.to, self.ids, self.at = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int32), np.zeros(1 << 16, np.int64)
+        self.within, self.logp = np.zeros(1 << 16), np.zeros(1 << 16)
+
+    def _append(self, name: str, at: int, values: np.ndarray) -> None:
+        """Puts `values` at `at` of a table that doubles when it is full."""
+        old = getattr(self, name)
+        if at + len(values) > len(old):
+            new = np.zeros(2 * (at + len(values)), old.dtype)
+            new[:at] = old[:at]
+            setattr(self, name, new)
+        getattr(self, name)[at : at + len(values)] = values
+
+    def units(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Numbers of all units of the texts, each after one space, and how many each text has; new ones' lattices are built."""
+        whole = "".join([" " + t for t in texts])
+        size = np.fromiter(map(len, texts), np.int64, len(texts)) + 1
+        klass = self.pieces.klass[np.frombuffer(whole.encode("utf-32-le", "surrogatepass"), np.uint32)]
+        new = np.concatenate([[True], ~self.pieces.pair[klass[:-1], klass[1:]]])
+        begin = np.cumsum(size) - size
+        new[begin] = True
+        cuts = np.append(np.flatnonzero(new), len(whole))
+        ends = cuts.tolist()
+        before = len(self.known)
+        unit = np.fromiter(map(self.known.__getitem__, [whole[a:b] for a, b in zip(ends, ends[1:])]), np.int64, len(ends) - 1)  # noqa: B905
+        if len(self.known) > before:
+            self._build(list(islice(self.known, before, None)))
+        return unit, np.diff(np.append(np.searchsorted(cuts, begin), len(ends) - 1))
+
+    def _build(self, units: list[str]) -> None:
+        pieces = self.pieces
         size = np.fromiter(map(len, units), np.int64, len(units))
-        self.chars = np.frombuffer("".join(units).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
-        total = len(self.chars)
-        stop = np.repeat(np.cumsum(size), size)  # by place: where its unit ends
-        self.start = np.cumsum(size) - size
-        own = np.where(self.chars == ord(SPACE), 0xFFFF, self.chars)
-        own[self.start] = np.where(own[self.start] == 32, ord(SPACE), own[self.start])
-        klass, single = pieces.klass[own], pieces.single[own]
-        starts, ends, ids = [np.arange(total)], [np.arange(1, total + 1)], [single]
-        at, node = np.arange(total), np.maximum(pieces.trie[0, klass], -1)
+        chars = np.frombuffer("".join(units).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+        total = len(chars)
+        begin = np.cumsum(size) - size
+        stop = np.repeat(begin + size, size)  # by place: where its unit ends
+        klass, single = pieces.klass[chars], pieces.single[chars]
+        starts, ends, ids = [np.arange(total)], [np.arange(1, total + 1)], [np.where(single >= 0, single, -1 - chars)]
+        at = np.arange(total)
+        node = pieces.root[klass]
         for n in range(2, pieces.longest + 1):
             on = (node >= 0) & (at + n <= stop[at])
-            at, node = at[on], node[on]
-            node = pieces.trie[node, klass[at + n - 1]]
-            hit = (node >= 0) & (pieces.piece[node] >= 0)
+            at = at[on]
+            node = pieces.follow(node[on], klass[at + n - 1])
+            hit = node >= 0
+            at, node = at[hit], node[hit]
+            hit = pieces.piece[node] >= 0
             starts.append(at[hit])
             ends.append(at[hit] + n)
             ids.append(pieces.piece[node[hit]])
-        start, end, self.ids = np.concatenate(starts), np.concatenate(ends), np.concatenate(ids).astype(np.int64)
-        order = np.argsort(start, kind="stable")
-        start, end, self.ids = start[order], end[order], self.ids[order]
-        weight = pieces.weight[self.ids] * np.exp(LIFT * (end - start))
-        beta = np.ones(total + 1)
-        left = stop[start] - start  # edges by how far their start is from the unit's end: ends come before
-        back = np.argsort(left.astype(np.int16), kind="stable")
-        cuts = np.searchsorted(left[back], np.arange(1, int(size.max(initial=0)) + 2))
-        first_edge = np.searchsorted(start, np.arange(total))
-        done = np.zeros(total + 1)
+        start, end, ids = np.concatenate(starts), np.concatenate(ends), np.concatenate(ids).astype(np.int32)
+        left = stop[start] - start  # edges by how far their start is from the unit's end: what they lead to comes before
+        wide = pieces.longest + 1
+        order = np.argsort((left * total + start) * wide + (end - start))
+        start, end, ids, left = start[order], end[order], ids[order], left[order]
         inner = end < stop[start]
-        share = np.empty(len(start))
-        for k in range(len(cuts) - 1):
-            e = back[cuts[k] : cuts[k + 1]]
-            w = weight[e] * np.where(inner[e], done[np.minimum(end[e], total)], beta[0])
-            share[e] = w
-            np.add.at(done, start[e], w) if len(e) < 64 else done.__setitem__(start[e], 0)
-            if len(e) >= 64:
-                head = np.flatnonzero(np.diff(start[e], prepend=-1))
-                done[start[e][head]] = np.add.reduceat(w, head)
-        share /= done[start]
-        running = np.cumsum(share)
-        within = running - (running[first_edge] - share[first_edge])[start]
-        last = np.append(first_edge[1:], len(start)) - 1 if total else first_edge
-        within[last] = 1.0
-        self.cum = start + np.minimum(within, 1.0)
-        self.to = np.where(inner, end, -1)
-        self.logp = np.log(np.maximum(share, 1e-300))
-        self.from_ = start
-        self.first_edge = first_edge
-
-    def walk(self, unit: np.ndarray, key: np.ndarray, at: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """For each unit of a text a path, drawn by its key: (number in the text, edge) of all edges in order, and the path's log probability."""
-        at, who, total = self.start[unit] if at is None else at, np.arange(len(unit)), np.zeros(len(unit))
-        whos, edges, step = [], [], 0
+        weight = pieces.log_weight[np.where(ids >= 0, ids, -1)]
+        done = np.zeros(total + 1)  # by place: log of the weight of all paths from there
+        cuts = np.searchsorted(left, np.arange(1, int(size.max(initial=0)) + 2))
+        for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+            if a < b:
+                weight[a:b] += np.where(inner[a:b], done[end[a:b]], 0.0)
+                head = np.flatnonzero(np.diff(start[a:b], prepend=-1))
+                done[start[a:b][head]] = np.logaddexp.reduceat(weight[a:b], head)
+        logp = weight - done[start]
+        order = np.argsort((start * 65_536 + np.minimum(-64 * logp, 65_535).astype(np.int64)) * wide + (end - start))
+        start, end, ids, inner, logp = start[order], end[order], ids[order], inner[order], logp[order]
+        first = np.searchsorted(start, np.arange(total))
+        within = np.exp(logp)
+        rank = np.arange(len(start)) - first[start]
+        by_rank = np.argsort(rank, kind="stable")
+        cuts = np.searchsorted(rank[by_rank], np.arange(1, int(rank.max(initial=0)) + 2))
+        for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+            within[by_rank[a:b]] += within[by_rank[a:b] - 1]
+        within[np.append(first[1:], len(start)) - 1] = 1.0
+        base, edges = self.places, self.edges
+        self._append("start", self.unit_count, begin + base)
+        self._append("first_edge", base, np.append(first, len(start)) + edges)
+        for name, values in (("to", np.where(inner, end + base, -1)), ("at", start + base), ("ids", ids), ("within", within), ("logp", logp)):
+            self._append(name, edges, values)
+        self.unit_count, self.places, self.edges = self.unit_count + len(units), base + total, edges + len(start)
+
+    def walk(self, at: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """From each place (-1: none) a path to its unit's end, drawn by its key: how many edges, all edges, log probabilities."""
+        who, total, count = np.flatnonzero(at >= 0), np.zeros(len(at)), np.zeros(len(at), np.int64)
+        at, steps = at[who], []
         while len(who):
-            step += 1
-            u = uniform(mix(key[who] + np.uint64(step)))
+            u = uniform(mix(key[who] + np.uint64(len(steps) + 1)))
             e = self.first_edge[at]
-            open_ = np.flatnonzero(self.cum[e] < at + u)
-            while len(open_):
-                e[open_] += 1
-                open_ = open_[self.cum[e[open_]] < at[open_] + u[open_]]
+            more = np.flatnonzero(self.within[e] < u)
+            while len(more):
+                e[more] += 1
+                more = more[self.within[e[more]] < u[more]]
             total[who] += self.logp[e]
-            whos.append(who)
-            edges.append(e)
+            count[who] += 1
+            steps.append((who, e))
             at = self.to[e]
             on = at >= 0
             at, who = at[on], who[on]
-        w, e = np.concatenate(whos or [who]), np.concatenate(edges or [who])
-        order = np.argsort(w, kind="stable")
-        return w[order], e[order], total
-
-    def other(self, old: np.ndarray, key: np.uint64) -> tuple[np.ndarray, float]:
-        """Another path of a unit than `old`, in proportion to its probability: where it leaves `old`, by which edge, and freely on."""
-        lp = self.logp[old]
-        mass = np.cumsum(np.concatenate([[0.0], lp[:-1]])) + _rest(lp)
-        u = uniform(mix(key + np.arange(1, 3, dtype=np.uint64)))
-        p = np.cumsum(np.exp(mass - mass.max()))
-        k = int(np.searchsorted(p, u[0] * p[-1]))
-        place = self.from_[old[k]]
-        rivals = np.arange(self.first_edge[place], self.first_edge[place + 1] if place + 1 < len(self.first_edge) else len(self.ids))
-        rivals = rivals[rivals != old[k]]
-        p = np.cumsum(np.exp(self.logp[rivals]))
-        e = int(rivals[min(int(np.searchsorted(p, u[1] * p[-1])), len(rivals) - 1)])
-        tail, more = np.zeros(0, np.int64), 0.0
-        if self.to[e] >= 0:
-            _, tail, q = self.walk(np.zeros(1, np.int64), np.array([key + np.uint64(9)]), self.to[e : e + 1].copy())
-            more = float(q[0])
-        return np.concatenate([old[:k], [e], tail]).astype(np.int64), float(lp[:k].sum() + self.logp[e] + more)
+        offset = np.cumsum(count) - count
+        edges = np.empty(int(count.sum()), np.int64)
+        for k, (who, e) in enumerate(steps):
+            edges[offset[who] + k] = e
+        return count, edges, total
+
+    def free(self, paths: list[list[int]]) -> list[tuple[list[int], int, float]]:
+        """All ways to leave every one of `paths` through a unit: edges shared with some, the first own edge, log probability."""
+        out, open_ = [], [(0, 0.0, paths)]
+        while open_:
+            n, before, own = open_.pop()
+            place = self.at[own[0][n]]
+            by: dict[int, list[list[int]]] = {}
+            for p in own:
+                by.setdefault(p[n], []).append(p)
+            a, b = self.first_edge[place], self.first_edge[place + 1]
+            for e, lp in zip(range(a, b), self.logp[a:b].tolist(), strict=True):
+                if e not in by:
+                    out.append((own[0][:n], e, before + lp))
+                elif self.to[e] >= 0:
+                    open_.append((n + 1, before + lp, by[e]))
+        return out
+
+
+class Sample(NamedTuple):
+    """A segmentation: its edges, how many of them and what log probability stand before each unit and at the end, its perturbed value."""
+
+    edges: np.ndarray
+    cuts: np.ndarray
+    along: np.ndarray
+    value: float
 
 
 def _rest(p: np.ndarray) -> np.ndarray:
     """log(1 - exp(p)), -inf where nothing is left."""
-    left = -np.expm1(np.minimum(p, 0.0))
-    return np.where(left > 1e-12, np.log(np.maximum(left, 1e-300)), -np.inf)
+    with np.errstate(divide="ignore"):
+        return np.log(-np.expm1(np.minimum(p, 0.0)))
 
 
-def _under(bound: float, mass: np.ndarray, key: np.ndarray) -> np.ndarray:
-    """The greatest perturbed value of subsets of these log masses, given that `bound` is the greatest of their union."""
+def _under(bound: np.ndarray, mass: np.ndarray, key: np.ndarray) -> np.ndarray:
+    """The greatest perturbed values of sets of these log masses, given that `bound` is the greatest of their union."""
     return -np.logaddexp(-bound, -(mass + gumbel(key)))
 
 
-def segment(pieces: Pieces, texts: list[str], seeds: np.ndarray) -> list[list[tuple[list[int], float, float, float]]]:
-    """For each text up to SAMPLES distinct segmentations: (ids, log probability, perturbed log probability, inclusion score).
+def segment(lattices: Lattices, texts: list[str], seeds: np.ndarray, k: int) -> list[tuple[list[Sample], float]]:
+    """For each text k distinct segmentations (all, if it has fewer), and the best perturbed value among the others.
 
-    A-star over sets of segmentations, by the greatest perturbed log probability in each: the first sample is drawn from all; the
-    others split into those that leave it first at unit 1, 2, ...; the set with the greatest value holds the next, and is split in
-    turn. The score is the chance that a segmentation has a perturbed value above that of the best set left.
+    A-star over sets of segmentations, by the greatest perturbed log probability in each: each text's queue begins with the set of
+    all. k times its best set is taken out; a segmentation drawn from it is the next sample, and the set's others are split by the
+    unit at which they leave that sample and queued. All texts' sets of a round are walked together.
     """
-    cut = [UNIT.findall(" " + t) for t in texts]
-    known: dict[str, int] = {}
-    unit = np.array([known.setdefault(u, len(known)) for c in cut for u in c], np.int64)
-    size = np.array([len(c) for c in cut], np.int64)
-    base = np.repeat(mix(seeds), size) + (np.arange(len(unit)) - np.repeat(np.cumsum(size) - size, size)).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-    walks = Walks(pieces, list(known))
-    w1, e1, p1 = walks.walk(unit, mix(base + np.uint64(1)))
+    unit, size = lattices.units(texts)
     ends = np.cumsum(size)
-    split1 = np.searchsorted(w1, ends)
-
-    def ids(edges: np.ndarray) -> list[int]:
-        got = walks.ids[edges].tolist()
-        return got if min(got, default=0) >= 0 else [x for k, e in zip(got, edges.tolist(), strict=True) for x in pieces.ids_of(k, int(walks.chars[walks.from_[e]]))]
-
-    out, again = [], []
-    for d in range(len(texts)):
-        a, b = int(ends[d] - size[d]), int(ends[d])
-        lp, key = p1[a:b], base[a:b]
-        g1 = float(gumbel(mix(key[:1] + np.uint64(2)))[0])
-        before = np.concatenate([[0.0], np.cumsum(lp)])
-        value = _under(g1, before[:-1] + _rest(lp), mix(key + np.uint64(3)))
-        at = int(np.argmax(value))
-        lone = not np.isfinite(value[at])
-        out.append([(w1_slice(e1, split1, d), float(before[-1]), g1)])
-        again.append(None if lone else (at, float(value[at]), value))
-    # second samples: as the first before unit `at`, another path there, free after it
-    whole = [k for k, x in enumerate(again) if x]
-    parts = [np.arange(ends[d] - size[d] + again[d][0], ends[d]) for d in whole]
-    tail = np.concatenate(parts) if parts else np.zeros(0, np.int64)
-    w2, e2, p2 = walks.walk(unit[tail], mix(base[tail] + np.uint64(4)))
-    begin = np.cumsum([0, *map(len, parts)])
-    cuts = np.searchsorted(w2, begin)
-    for n, d in enumerate(whole):
-        at, g2, value = again[d]
-        a = int(ends[d] - size[d])
-        first = out[d][0][0]
-        w1d = w1[split1[d - 1] if d else 0 : split1[d]] - a
-        lo, hi = np.searchsorted(w1d, [at, at + 1])
-        old = first[lo:hi]
-        e, p = e2[cuts[n] : cuts[n + 1]], p2[begin[n] : begin[n + 1]].copy()
-        own = np.searchsorted(w2[cuts[n] : cuts[n + 1]] - begin[n], 1)
-        new, p[0] = walks.other(old, mix(base[a + at : a + at + 1] + np.uint64(6))[0])
-        second = np.concatenate([first[:lo], new, e[own:]])
-        before = float(p1[a : a + at].sum())
-        along = before + np.concatenate([[0.0], np.cumsum(p)])
-        left = _rest(p)
-        both = np.logaddexp(p[0], p1[a + at])
-        left[0] = _rest(np.array([both]))[0]
-        mine = _under(g2, along[:-1] + left, mix(base[a + at : ends[d]] + np.uint64(5)))
-        others = np.delete(value, at)
-        edge = max(float(mine.max()), float(others.max()) if len(others) else -np.inf)
-        out[d].append((second, float(along[-1]), g2))
-        again[d] = (edge,)
-    done = []
-    for d, got in enumerate(out):
-        edge = again[d][0] if again[d] else -np.inf
-        done.append([(ids(e), lp, g, 1.0 if not np.isfinite(edge) else float(-np.expm1(-np.exp(min(lp - edge, 700.0))))) for e, lp, g in got])
-    return done
-
-
-def w1_slice(edges: np.ndarray, cuts: np.ndarray, d: int) -> np.ndarray:
-    return edges[cuts[d - 1] if d else 0 : cuts[d]]
+    base = np.repeat(mix(seeds), size) + (np.arange(len(unit)) - np.repeat(ends - size, size)).astype(np.uint64) * STEP
+    salted = lambda keys, r, what: mix(keys + np.uint64(8 * r + what))
+    start = lattices.start[unit]
+    tops = gumbel(salted(base[ends - size], 0, 0)) if len(texts) else np.zeros(0)
+    #: Sets by text: their greatest value, negative; a number; the sample they share all before a unit with; the unit; the paths left out there.
+    queues: list[list[tuple]] = [[(-float(v), 0, None, 0, [])] for v in tops]
+    out: list[list[Sample]] = [[] for _ in texts]
+    for r in range(k):
+        taken, parts, firsts = [], [], []
+        for d, queue in enumerate(queues):
+            if not queue:
+                continue
+            value, _, parent, j, without = heapq.heappop(queue)
+            a = int(ends[d] - size[d])
+            head, lp, at = [], 0.0, start[a + j]
+            if without:
+                ways = lattices.free(without)
+                share = np.cumsum(np.exp([w[2] for w in ways]))
+                u = float(uniform(salted(base[a + j : a + j + 1], r, 1))[0])
+                shared, e, lp = ways[min(int(np.searchsorted(share, u * share[-1])), len(ways) - 1)]
+                head, at = [*shared, e], lattices.to[e]
+            taken.append((d, -value, parent, j, without, head, lp))
+            firsts.append(at)
+            parts.append((a + j, a + int(size[d])))
+        if not taken:
+            break
+        n = np.array([b - a for a, b in parts])
+        begin = np.cumsum(n) - n
+        tail = np.repeat(np.array([a for a, _ in parts]) - begin, n) + np.arange(int(n.sum()))
+        at = start[tail]
+        at[begin] = firsts
+        count, edges, p = lattices.walk(at, salted(base[tail], r, 2))
+        p[begin] += [x[-1] for x in taken]
+        offset = np.concatenate([[0], np.cumsum(count)])
+        before, bound = np.empty(len(tail)), np.repeat(np.array([x[1] for x in taken]), n)
+        rest = _rest(p)
+        for t, (d, value, parent, j, without, head, _) in enumerate(taken):
+            s = slice(int(begin[t]), int(begin[t] + n[t]))
+            own = edges[offset[s.start] : offset[s.stop]]
+            cuts = offset[s.start : s.stop + 1] - offset[s.start]
+            along = np.concatenate([[0.0], np.cumsum(p[s])])
+            if parent:
+                cut = int(parent.cuts[j])
+                own = np.concatenate([parent.edges[:cut], np.array(head, np.int64), own])
+                cuts = np.concatenate([parent.cuts[:j], cuts + (cut + len(head))])
+                cuts[j] = cut
+                along = np.concatenate([parent.along[:j], along + parent.along[j]])
+                ways = lattices.free([*without, own[cut : cuts[j + 1]].tolist()])
+                rest[s.start] = np.log(np.sum(np.exp([w[2] for w in ways]))) if ways else -np.inf
+            before[s] = along[j:-1]
+            out[d].append(Sample(own, cuts, along, value))
+        values = _under(bound, before + rest, salted(base[tail], r, 3))
+        for t, (d, _, _, j, without, _, _) in enumerate(taken):
+            v = values[begin[t] : begin[t] + n[t]]
+            # k - r sets of it are needed at most: for the samples to come and for the best value left.
+            best = np.argpartition(-v, k - r - 1)[: k - r] if len(v) > k - r else np.arange(len(v))
+            new = out[d][-1]
+            for i in best.tolist():
+                if v[i] > -np.inf:
+                    path = new.edges[new.cuts[j + i] : new.cuts[j + i + 1]].tolist()
+                    heapq.heappush(queues[d], (-float(v[i]), len(out[d]) * len(new.cuts) + j + i, new, j + i, [*without, path] if i == 0 else [path]))
+    return [(own, -queue[0][0] if queue else -np.inf) for own, queue in zip(out, queues, strict=True)]
+
+
+def inclusion(log_prob: float, left: float) -> float:
+    """The chance that a segmentation's perturbed value is above `left`, the best value among those not drawn."""
+    return float(-np.expm1(-np.exp(min(log_prob - left, 700.0)))) if left > -np.inf else 1.0
 
 
 def _blocks(texts: list[str]) -> Iterator[slice]:
@@ -293,32 +372,50 @@ def _blocks(texts: list[str]) -> Iterator[slice]:
         yield slice(a, len(texts))
 
 
-def _encode(model: str, digest: bool):
+def _column(values: list[np.ndarray], kind: pa.DataType) -> pa.Array:
+    ends = np.cumsum([0, *map(len, values)]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(values) if values else np.zeros(0), kind))
+
+
+def _encode(model: str, samples: int):
     def run(batches):
         pieces = Pieces.of(model)
+        lattices = Lattices(pieces)
         for b in batches:
-            texts = ["" if t is None else t for t in b["text"]]
-            seeds = b["seed"].to_numpy(np.int64).view(np.uint64)
+            texts = b.column("text").to_pylist()
+            seeds = b.column("seed").to_numpy().view(np.uint64)
             for s in _blocks(texts):
-                rows = []
-                for k, t, got in zip(range(s.start, s.stop), texts[s], segment(pieces, texts[s], seeds[s]), strict=True):
-                    for rank, (ids, lp, g, score) in enumerate(got):
-                        row = (b["doc_id"].iloc[k], rank, len(ids), round(lp, 6), round(g, 6), round(score, 9))
-                        rows.append((*row, hashlib.sha256(np.array(ids, "<i4").tobytes()).hexdigest(), pieces.decode(ids) == t) if digest else (*row, ids, pieces.decode(ids)))
-                yield pd.DataFrame(rows, columns=["doc_id", "sample", "n_pieces", "log_prob", "perturbed", "inclusion", *(("ids_sha256", "round_trip") if digest else ("ids", "decoded"))])
+                if lattices.places > KEPT:
+                    lattices = Lattices(pieces)
+                row, rank, ids, facts, decoded, same = [], [], [], [], [], []
+                for i, text, (own, left) in zip(range(s.start, s.stop), texts[s], segment(lattices, texts[s], seeds[s], samples), strict=True):
+                    raw = text.encode("utf-8", "surrogatepass")
+                    for k, x in enumerate(own):
+                        ids.append(pieces.plain(lattices.ids[x.edges]))
+                        decoded.append(pieces.decode(ids[-1]))
+                        same.append(decoded[-1] == raw)
+                        row.append(i)
+                        rank.append(k)
+                        facts.append((len(ids[-1]), x.along[-1], x.value, inclusion(x.along[-1], left)))
+                n, lp, value, score = zip(*facts, strict=True)
+                out = [
+                    b.column("doc_id").take(pa.array(row)), pa.array(rank, pa.int32()), pa.array(n, pa.int32()), pa.array(np.round(lp, 6)), pa.array(np.round(value, 6)),
+                    pa.array(np.round(score, 9)), _column(ids, pa.int32()), pa.array(decoded, pa.binary()).cast(pa.string()), pa.array(same),
+                ]
+                yield pa.RecordBatch.from_arrays(out, ["doc_id", "sample", "n_pieces", "log_prob", "perturbed", "inclusion", "ids", "decoded", "round_trip"])
 
     return run
 
 
-def encode(documents: DataFrame, model: str = MODEL, digest: bool = False) -> DataFrame:
-    """Up to SAMPLES distinct segmentations of each whole text, sampled without replacement, seeded by doc_id.
+def encode(documents: DataFrame, model: str = MODEL, samples: int = SAMPLES) -> DataFrame:
+    """`samples` distinct segmentations of each whole text, sampled without replacement, seeded by doc_id.
 
-    Returns doc_id, sample (0 first), n_pieces, log_prob, perturbed (falls with sample), inclusion (0 to 1), and either
-    ids and the decoded text or, with `digest`, the SHA-256 of the ids and whether decoding gives the text again.
-    A null or empty text is one space, which has one segmentation, and decodes to the empty text. Rows with the same doc_id
-    and text get the same samples; a null doc_id is seeded as such; other columns are ignored.
+    Returns doc_id, sample (0 first), n_pieces, log_prob, perturbed (falls with sample), inclusion (0 to 1), ids, decoded (the text
+    of the ids) and round_trip (whether that is the text). A text with fewer segmentations gets all it has. A null or empty text is one space,
+    which has one segmentation, and decodes to the empty text. Rows with the same doc_id and text get the same samples; a null
+    doc_id is seeded as such; other columns are ignored.
     """
     kind = documents.schema["doc_id"].dataType.simpleString()
     rows = documents.select("doc_id", F.xxhash64("doc_id").alias("seed"), F.coalesce("text", F.lit("")).alias("text"))
-    tail = "ids_sha256 string, round_trip boolean" if digest else "ids array<int>, decoded string"
-    return rows.mapInPandas(_encode(model, digest), f"doc_id {kind}, sample int, n_pieces int, log_prob double, perturbed double, inclusion double, {tail}")
+    facts = "sample int, n_pieces int, log_prob double, perturbed double, inclusion double, ids array<int>, decoded string, round_trip boolean"
+    return rows.mapInArrow(_encode(model, samples), f"doc_id {kind}, {facts}")

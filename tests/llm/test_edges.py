@@ -41,7 +41,7 @@ def test_others(spark, parts):
     assert decontamination.clean(docs, tests).columns == docs.columns
     assert simhash.one_of_each(docs).columns == docs.columns == secrets.masked(docs).columns
     assert corpus_pipeline.known_language(spark, docs, "").columns == docs.columns
-    assert {r.sample for r in segmentation.encode(docs, digest=True).collect()} == {0, 1}
+    assert {r.sample for r in segmentation.encode(docs).collect()} == {0, 1}
     assert {(r.query_id, r.doc_id) for r in search.top_k(docs, search.every_twentieth(docs)).collect()} == {(40, 40)}
     for op in (decontamination.clean, decontamination.overlaps):
         assert op(docs.limit(0), tests).count() == op(docs.limit(0), tests.limit(0)).count() == 0

@@ -7,7 +7,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from quern.llm import decontamination, language, licenses, quality, secrets, segmentation, simhash, toxicity
+from quern.llm import decontamination, language, licenses, quality, secrets, simhash, toxicity
 from tests.llm import plain
 
 D = "/root/testdata/sf0.001"
@@ -84,17 +84,6 @@ def test_simhash(spark):
     assert got == {i: (f"{fp[i]:016x}", root[i]) for i in fp}
 
 
-def test_segmentation(spark):
-    texts = ["", "a", "▁x  y\n\n z日本\U0001f600", "the the", None, "w" * 500]
-    rows = [(i, t) for i, t in enumerate(texts)]
-    got = {}
-    for x in segmentation.encode(frame(spark, rows)).collect():
-        assert x.decoded == (texts[x.doc_id] or "") and 0 <= x.inclusion <= 1
-        got.setdefault(x.doc_id, []).append((x.sample, tuple(x.ids), x.perturbed))
-    for v in got.values():
-        assert len(v) == len({ids for _, ids, _ in v}) and [g for *_, g in sorted(v)] == sorted((g for *_, g in v), reverse=True)
-
-
 def test_classifiers(spark):
     docs, labels = spark.read.parquet(f"{D}/documents.parquet"), spark.read.parquet(f"{D}/labels.parquet")
     langs = language.identify(docs).join(docs.select("doc_id", "lang"), "doc_id").where("held_out").toPandas()
