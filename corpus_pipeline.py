@@ -39,7 +39,7 @@ def no_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sampled segmentations of each document, and whether they decode to its text."""
-    return segmentation.encode(docs, digest=True)
+    return segmentation.encode(docs)
 
 
 STAGES = [
