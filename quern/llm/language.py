@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 from collections import Counter
 
 import numpy as np
@@ -13,12 +12,12 @@ from pyspark.sql import functions as F
 
 from quern.llm.labels import held_out
 
-#: Bounds of the labelled sample: rows a language, characters of each, characters of a language in all.
-ROWS, ROW_CHARS, CHARS = 64, 4_000, 60_000
-#: A language with less text counts as having so much: pointing into a tiny sample would else be so cheap that it wins where nothing matches.
-LEAST_CHARS = 4_096
-#: A text is parsed in blocks of so many characters; a phrase ends with its block.
-BLOCK = 128
+#: Bound of the labelled sample: rows a language. Rows of up to SHORT characters are taken first; all are learnt from whole.
+ROWS, SHORT = 32, 4_000
+#: Every sample counts as longer by so many characters: pointing into a tiny one would else be so cheap that it wins where nothing matches.
+MORE_CHARS = 4_096
+#: A text is parsed in blocks of so many characters, side by side; a phrase ends with its block.
+BLOCK = 1_024
 #: Symbols: the space between words, then every letter of the samples; any other letter, which matches nothing; no character; the sample's text ends.
 SPACE, OTHER, PAD, BREAK = 0, 0x30000, 0x30001, 0x30002
 #: Columns of a language's table: SPACE and its commonest letters; no character; all else, of which its rarer letters are looked up in a list.
@@ -27,15 +26,15 @@ UNKNOWN = "und"
 
 
 def labelled(documents: DataFrame) -> dict[str, str]:
-    """Text by language: of each, ROWS learnable rows at most, those whose ids hash lowest, cut to the bounds above."""
+    """Whole texts by language: of each, ROWS learnable rows at most: the short ones before the long, those whose ids hash lowest first."""
     can = documents.select("doc_id", "text", "lang").where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & ~held_out("doc_id", 4, 2))
-    rank = F.row_number().over(W.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
-    ids = can.select("lang", "doc_id").withColumn("r", rank).where(F.col("r") <= ROWS).select(F.col("doc_id").alias("k"), F.col("lang").alias("l"), "r")
+    rank = F.row_number().over(W.partitionBy("lang").orderBy(F.length("text") > SHORT, F.xxhash64("doc_id"), "doc_id"))
+    ids = can.withColumn("r", rank).where(F.col("r") <= ROWS).select(F.col("doc_id").alias("k"), F.col("lang").alias("l"), "r")
     texts = can.join(F.broadcast(ids), (F.col("doc_id") == F.col("k")) & (F.col("lang") == F.col("l")))
-    rows = texts.select("l", "r", F.substring("text", 1, ROW_CHARS).alias("t")).distinct().collect()
+    rows = texts.select("l", "r", F.col("text").alias("t")).distinct().collect()
     out: dict[str, str] = {}
     for x in sorted(rows, key=lambda x: (x.l, x.r, x.t)):
-        out[x.l] = f"{out.get(x.l, '')}\0{x.t.lower()}"[:CHARS]
+        out[x.l] = f"{out.get(x.l, '')}\0{x.t.lower()}"
     return out
 
 
@@ -138,7 +137,7 @@ class Model:
         self.tables = [Table(c, self.letters) for c in coded]
         #: Bits a symbol by the frequencies of the sample's symbols alone.
         self.letter_bits = np.array([_entropy(c[c < OTHER]) for c in coded])
-        self.bits = [float(np.log2(max(LEAST_CHARS, len(texts[n])))) for n in self.names]
+        self.bits = [float(np.log2(MORE_CHARS + len(texts[n]))) for n in self.names]
         self.codes[0] = SPACE
 
     @classmethod
@@ -173,7 +172,8 @@ class Model:
         return out / np.maximum(1, size)[:, None], size
 
 
-LETTER = re.compile(r"[^\W\d_]")
+def has_letters(text: str | None) -> bool:
+    return any(map(str.isalpha, text or ""))
 
 
 def _predict(texts: dict[str, str], letter_bits: bool):
@@ -187,7 +187,7 @@ def _predict(texts: dict[str, str], letter_bits: bool):
                 own = b.iloc[part]
                 names, scores, bits, size = np.full(len(part), UNKNOWN, object), np.zeros(len(part)), np.zeros(len(part)), np.zeros(len(part), np.int32)
                 plain = np.zeros(len(part))
-                known = [i for i, t in enumerate(own["text"]) if model and t and LETTER.search(t)]
+                known = [i for i, t in enumerate(own["text"]) if model and has_letters(t)]
                 if known:
                     e, size[known] = model.entropies([own["text"].iloc[i] for i in known])
                     share = (e.min(axis=1, keepdims=True) / e) ** 4

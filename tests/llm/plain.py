@@ -12,10 +12,16 @@ ASSIGN = re.compile(r"((?ai:password|passwd|secret|token|api_?key))[\"']?\x20*[:
 
 
 def bits_of(model, text):
+    """The least bits a symbol and their language; symbols."""
+    every, n = all_bits(model, text)
+    return min(zip(every, model.names, strict=True), key=lambda x: x[0]), n
+
+
+def all_bits(model, text):
     """Bits a symbol by language, by longest matches found as substrings; symbols."""
     code = model.code(text.lower()).tolist()
     out = []
-    for name, own, bits in zip(model.names, model.sources, model.bits, strict=True):
+    for own, bits in zip(model.sources, model.bits, strict=True):
         phrases = 0
         for k in range(0, len(code), language.BLOCK):
             phrases, now = phrases + 1, ""
@@ -25,8 +31,8 @@ def bits_of(model, text):
                     now += chr(c + 1)
                 else:
                     phrases, now = phrases + 1, chr(c + 1) if known else ""
-        out.append((phrases * bits / max(1, len(code)), name))
-    return min(out, key=lambda x: x[0]), len(code)
+        out.append(phrases * bits / max(1, len(code)))
+    return out, len(code)
 
 
 def model_of(texts):

@@ -30,7 +30,7 @@ def test_against_brute_force(spark, tmp_path):
     model = plain.model_of(language.labelled(docs))
 
     def fits(text):
-        if not text or not language.LETTER.search(text):
+        if not language.has_letters(text):
             return False
         (bits, _), n = plain.bits_of(model, text)
         return not (bits > corpus_pipeline.REJECT_BITS and n >= corpus_pipeline.LEAST_SYMBOLS)
