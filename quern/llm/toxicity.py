@@ -49,12 +49,12 @@ def _shard(pdf: pd.DataFrame) -> pd.DataFrame:
 
 
 def fit(documents: DataFrame, labels: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """(features, weights): the mean over shards of what each learned from its part of a bounded sample; sparse by L1."""
+    """(features, weights): the mean over shards of what each learned from its part of a bounded sample; sparse by L1 alone, at most one for each of 2 ** BITS."""
     rows = sample(documents, labels, "toxic", ROWS, 5, 0)
     shards = max(1, -(-min(ROWS, labels.where("toxic IS NOT NULL").count()) // SHARD_ROWS))
     rows = rows.withColumn("shard", F.pmod(F.xxhash64("doc_id"), F.lit(shards)))
     each = rows.groupBy("shard").applyInPandas(_shard, "feature bigint, w double")
-    got = each.groupBy("feature").agg((F.sum("w") / shards).alias("w")).where("abs(w) > 0.02").orderBy("feature").toPandas()
+    got = each.groupBy("feature").agg((F.sum("w") / shards).alias("w")).orderBy("feature").toPandas()
     return got["feature"].to_numpy(np.int64), got["w"].to_numpy(float)
 
 
