@@ -11,6 +11,7 @@ from quern.llm.labels import held_out, sample
 ROWS = 3_000  # bound of the labelled sample, all of it broadcast as vectors
 HASHED, FACTORS, NEIGHBOURS, SHARPNESS = 2_048, 48, 15, 8
 SUB = 512  # documents in a block of products
+PLACES = 6  # of a cosine
 #: Bytes by kind: letters of either case, digits and bytes outside ASCII are four kinds; each other byte is its own.
 KIND = np.array([65 if 65 <= c <= 90 else 97 if 97 <= c <= 122 else 48 if 48 <= c <= 57 else 97 if c > 127 else c for c in range(256)], np.uint32)
 
@@ -61,18 +62,27 @@ def fit(documents: DataFrame, labels: DataFrame):
     return weights, project, _unit(x @ project), got["label"].to_numpy(np.float32)
 
 
+def votes(x: np.ndarray, model) -> np.ndarray:
+    """The weighted share of label 1 among each row's NEIGHBOURS nearest: cosines to PLACES places, ties to the smaller doc_id of the sample.
+
+    A row without any terms is as near to all: it gets the sample's own share.
+    """
+    weights, project, known, labels = model
+    own = _unit((x * weights).astype(float) @ project)
+    near = np.rint(own @ known.T.astype(float) * 10**PLACES).astype(np.int64)
+    n, all_ = min(NEIGHBOURS, near.shape[1]), near.shape[1]
+    top = np.argpartition(-(near * all_ - np.arange(all_)), n - 1, axis=1)[:, :n]
+    top.sort(axis=1)
+    vote = np.maximum(np.take_along_axis(near, top, 1) / 10**PLACES, 1e-3) ** SHARPNESS
+    return np.where(x.any(axis=1), (vote * labels[top]).sum(axis=1) / vote.sum(axis=1), labels.mean())
+
+
 def _score(model):
     def run(batches):
         for b in batches:
             out = np.full(len(b), 0.5)
             for k in range(0, len(b) if model else 0, SUB):
-                weights, project, known, labels = model
-                x = np.stack([counts(t) for t in b["text"].iloc[k : k + SUB]])
-                near = _unit((x * weights) @ project) @ known.T
-                n = min(NEIGHBOURS, near.shape[1])
-                top = np.argpartition(-near, n - 1, axis=1)[:, :n]
-                vote = np.maximum(np.take_along_axis(near, top, 1).astype(float), 1e-3) ** SHARPNESS
-                out[k : k + SUB] = (vote * labels[top]).sum(axis=1) / vote.sum(axis=1)
+                out[k : k + SUB] = votes(np.stack([counts(t) for t in b["text"].iloc[k : k + SUB]]), model)
             p = np.clip(np.round(out, 6), 0, 1)
             yield pd.DataFrame({"doc_id": b["doc_id"], "held_out": b["held_out"], "score": p, "predicted": (p >= 0.3).astype(np.int32)})
 
@@ -82,9 +92,9 @@ def _score(model):
 def classify(documents: DataFrame, labels: DataFrame) -> DataFrame:
     """One row per row of `documents`: doc_id, held_out, score (share of the neighbours' votes for quality 1), predicted.
 
-    Every document is held against every vector of the sample, in blocks. Null and empty texts have a zero vector, are
-    equally near to all and so get some neighbours' share; without labels every score is 0.5. Repeated rows each get a
-    row; other columns are ignored.
+    Every document is held against every vector of the sample, in blocks. Of equally near neighbours those with the smaller doc_id
+    vote. Null and empty texts, and those too short for any term, are as near to all and get the sample's share; without labels every
+    score is 0.5. Repeated rows each get a row, with the same score; other columns are ignored.
     """
     kind = documents.schema["doc_id"].dataType.simpleString()
     rows = documents.select("doc_id", held_out("doc_id", 5, 0).alias("held_out"), "text")
