@@ -18,6 +18,8 @@ SUB = 1_500_000  # bytes taken together in a task
 INDEX_BITS = 27
 #: Segments in a group of the suffix sort; anchors in more segments than HOT are compared string by string, by combinable minima.
 GROUP, HOT = 4_000, 4_000
+SALTS = 16  # tasks that share a string's places
+VERIFY = 100_000  # strings whose bytes are compared at once
 _RNG = np.random.default_rng(20_240_229)
 TABLES = _RNG.integers(1, 2**63, (2, 256), dtype=np.int64).astype(np.uint64) * np.uint64(2) + np.uint64(1)
 BASES = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93))
@@ -78,51 +80,65 @@ def _anchored(texts: list[bytes]) -> tuple[np.ndarray, ...]:
 
 
 def _parts(batch: pd.DataFrame):
-    """Pieces of a batch, by doc_id, of about SUB bytes: ids and texts as bytes."""
+    """Pieces of a batch, by doc_id, of about SUB bytes: (doc_id, version, first byte) of each part of a text, and the parts.
+
+    A text over SUB bytes is cut into parts that share LENGTH - 1 bytes, so that every string is in one of them.
+    """
     b = batch[batch["doc_id"].notna() & batch["text"].notna()].sort_values("doc_id", kind="stable")
-    texts = [t.encode("utf-8", "surrogatepass") for t in b["text"]]
-    ids = b["doc_id"].to_numpy(np.int64)
-    cut = np.flatnonzero(np.diff(np.cumsum([len(t) for t in texts]) // SUB)) + 1 if texts else []
-    for a, e in zip([0, *cut], [*cut, len(texts)], strict=True):
-        if e > a:
-            yield ids[a:e], texts[a:e]
+    names, parts, size = [], [], 0
+    for doc, version, text in zip(b["doc_id"].to_numpy(np.int64).tolist(), b["version"].to_numpy(np.int64).tolist(), b["text"], strict=True):
+        raw = text.encode("utf-8", "surrogatepass")
+        for lo in range(0, max(1, len(raw) - LENGTH + 1), SUB):
+            names.append((doc, version, lo))
+            parts.append(raw[lo : lo + SUB + LENGTH - 1])
+            size += len(parts[-1])
+            if size >= SUB:
+                yield names, parts
+                names, parts, size = [], [], 0
+    if parts:
+        yield names, parts
 
 
 def _segments(batches):
-    """A row for each segment; without hashes if it repeats one of the piece."""
+    """A row for each segment; without hashes if the piece has the same bytes at an earlier place, of which all bytes are compared."""
     for b in batches:
-        for ids, texts in _parts(b):
-            text, lo, n, anchor, whole = _anchored(texts)
-            repeat = np.ones(len(text), bool)
-            repeat[np.unique(_mix(anchor.view(np.uint64)) + whole.view(np.uint64), return_index=True)[1]] = False
+        for names, parts in _parts(b):
+            text, at, n, anchor, whole = _anchored(parts)
+            doc, version, base = (np.array(x, np.int64)[text] for x in zip(*names, strict=True))
+            lo = base + at
+            order = np.lexsort((lo, doc, whole, anchor))
+            new = np.concatenate([[True], (np.diff(anchor[order]) != 0) | (np.diff(whole[order]) != 0)])[: len(order)]
+            first = np.empty(len(order), np.int64)
+            first[order] = order[np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))]
+            repeat = (doc != doc[first]) | (lo != lo[first])
+            for k in np.flatnonzero(repeat).tolist():
+                f, size = first[k], n[k] + LENGTH - 1
+                repeat[k] = parts[text[k]][at[k] : at[k] + size] == parts[text[f]][at[f] : at[f] + size]
             hashes = {"anchor": pd.array(anchor, "Int64"), "whole": pd.array(whole, "Int64")}
             for x in hashes.values():
                 x[repeat] = pd.NA
-            yield pd.DataFrame({**hashes, "doc_id": ids[text], "lo": lo.astype(np.int32), "n": n.astype(np.int32), "is_repeat": repeat})
+            yield pd.DataFrame({**hashes, "doc_id": doc, "version": version, "lo": lo, "n": n.astype(np.int32), "is_repeat": repeat})
 
 
-SEGMENT = "anchor bigint, whole bigint, doc_id bigint, lo int, n int, is_repeat boolean"
-SLICE = "anchor bigint, doc_id bigint, lo int, data binary, w1 bigint, w2 bigint"
+SEGMENT = "anchor bigint, whole bigint, doc_id bigint, version bigint, lo bigint, n int, is_repeat boolean"
+SLICE = "anchor bigint, doc_id bigint, version bigint, lo bigint, data binary, w1 bigint, w2 bigint"
 
 
 def _slices(batches):
-    """The bytes of a document's segments; of hot ones, instead, two hashes of each string."""
+    """The bytes of a text's segments; of hot ones, instead, two hashes of each string."""
     for b in batches:
         rows = []
-        for doc, text, own in zip(b["doc_id"], b["text"], b["own"], strict=True):
+        for doc, version, text, own in zip(b["doc_id"], b["version"], b["text"], b["own"], strict=True):
             raw = text.encode("utf-8", "surrogatepass")
-            hashes = None
             for x in own:
                 lo, n = int(x["lo"]), int(x["n"])
+                data = raw[lo : lo + n + LENGTH - 1]
                 if not x["hot"]:
-                    rows.append((x["anchor"], doc, lo, raw[lo : lo + n + LENGTH - 1], 0, 0))
+                    rows.append((x["anchor"], doc, version, lo, data, 0, 0))
                     continue
-                if hashes is None:
-                    hashes = [Prefixes(np.frombuffer(raw, np.uint8), k) for k in (0, 1)]
-                at = np.arange(lo, lo + n)
-                w = [h.of(at, LENGTH).view(np.int64).tolist() for h in hashes]
-                rows += [(0, doc, p, None, u, v) for p, u, v in zip(at.tolist(), *w, strict=True)]
-        yield pd.DataFrame(rows, columns=["anchor", "doc_id", "lo", "data", "w1", "w2"])
+                w = [Prefixes(np.frombuffer(data, np.uint8), k).of(np.arange(n), LENGTH).view(np.int64).tolist() for k in (0, 1)]
+                rows += [(0, doc, version, lo + p, None, u, v) for p, (u, v) in enumerate(zip(*w, strict=True))]
+        yield pd.DataFrame(rows, columns=["anchor", "doc_id", "version", "lo", "data", "w1", "w2"])
 
 
 def common(p: Prefixes, a: np.ndarray, b: np.ndarray, most: int) -> np.ndarray:
@@ -139,57 +155,73 @@ def _sorted_group(pdf: pd.DataFrame) -> pd.DataFrame:
     """Runs of strings in the group's segments that occur earlier.
 
     The suffixes at the strings' starts are merge-sorted by the hash of their first LENGTH bytes, stably, so earlier
-    ones come first; neighbours' common extension is found by binary search, and what has all LENGTH bytes is verified by a second hash.
+    ones come first; neighbours' common extension is found by binary search on prefix hashes; what has all LENGTH bytes is verified by
+    comparing them with those of the first such string.
     """
     pdf = pdf.sort_values(["doc_id", "lo"], kind="stable")
     data = [bytes(x) for x in pdf["data"]]
     size = np.fromiter(map(len, data), np.int64, len(data))
     n = size - LENGTH + 1
     raw = np.frombuffer(b"".join(data), np.uint8)
-    p, q = Prefixes(raw, 0), Prefixes(raw, 1)
+    p = Prefixes(raw, 0)
     row = np.repeat(np.arange(len(data)), n)
     inner = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
     at = (np.cumsum(size) - size)[row] + inner
-    doc, lo = pdf["doc_id"].to_numpy(np.int64)[row], pdf["lo"].to_numpy(np.int64)[row] + inner
-    key = p.of(at, LENGTH)
-    order = np.argsort(key, kind="stable")
-    near = np.flatnonzero(key[order[1:]] == key[order[:-1]])
-    before, after = order[near], order[near + 1]
-    true = (common(p, at[before], at[after], LENGTH) == LENGTH) & (q.of(at[before], LENGTH) == q.of(at[after], LENGTH))
-    hit = np.sort(after[true])
-    cut = np.flatnonzero(np.concatenate([[True], (np.diff(hit) != 1) | (doc[hit[1:]] != doc[hit[:-1]]) | (lo[hit[1:]] != lo[hit[:-1]] + 1)])[: len(hit)])
-    return pd.DataFrame({"doc_id": doc[hit[cut]], "lo": lo[hit[cut]].astype(np.int32), "n": np.diff(np.append(cut, len(hit))).astype(np.int32)})
+    doc, version, lo = (pdf[c].to_numpy(np.int64)[row] for c in ("doc_id", "version", "lo"))
+    lo = lo + inner
+    earlier = np.lexsort((lo, doc))
+    order = earlier[np.argsort(p.of(at, LENGTH)[earlier], kind="stable")]
+    same = np.concatenate([[False], common(p, at[order[:-1]], at[order[1:]], LENGTH) == LENGTH])[: len(order)]
+    first = order[np.maximum.accumulate(np.where(same, 0, np.arange(len(order))))]
+    later = same & ((doc[order] != doc[first]) | (lo[order] != lo[first]))
+    windows = np.lib.stride_tricks.sliding_window_view(raw, LENGTH) if len(raw) >= LENGTH else raw.reshape(0, 1)
+    hit, first = order[later], first[later]
+    true = np.concatenate([np.zeros(0, bool), *[(windows[at[hit[k : k + VERIFY]]] == windows[at[first[k : k + VERIFY]]]).all(axis=1) for k in range(0, len(hit), VERIFY)]])
+    hit = hit[true]
+    hit = hit[np.lexsort((lo[hit], version[hit], doc[hit]))]
+    cut = np.flatnonzero(np.concatenate([[True], (np.diff(lo[hit]) != 1) | (doc[hit[1:]] != doc[hit[:-1]]) | (version[hit[1:]] != version[hit[:-1]])])[: len(hit)])
+    return pd.DataFrame({"doc_id": doc[hit[cut]], "version": version[hit[cut]], "lo": lo[hit[cut]], "n": np.diff(np.append(cut, len(hit))).astype(np.int32)})
 
 
 def repeated(documents: DataFrame) -> DataFrame:
-    """(doc_id, lo, n): runs of n strings of LENGTH bytes, from byte lo on, each of which also starts earlier in the corpus.
+    """(doc_id, version, lo, n): runs of n strings of LENGTH bytes, from byte lo on, each of which also starts earlier in the corpus.
 
+    `version` is a hash of the text: rows that share a doc_id may have different ones. Earlier is a smaller (doc_id, lo), so equal rows
+    are one place and don't take each other away.
     1. Each string's anchor is content-defined; neighbours with one anchor are a segment. Segments that repeat an earlier one of the same
     piece of a task are runs already; the rest meet by anchor. 2. An anchor with one kind of segment: all but the first are runs.
     3. With several kinds, the segments' bytes are fetched and their suffixes sorted within groups of bounded size; anchors of very many
     segments go string by string through a combinable minimum.
     """
-    docs = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
+    docs = versions(documents).select(F.col("doc_id").cast("bigint").alias("doc_id"), "version", "text")
     segments = written(docs.mapInPandas(_segments, SEGMENT), "all-segments")  # pieces differ between evaluations: there is one
-    here = segments.where("is_repeat").select("doc_id", "lo", "n")
+    run = ["doc_id", "version", "lo", "n"]
+    here = segments.where("is_repeat").select(*run)
     by = W.partitionBy("anchor")
+    place = F.struct("doc_id", "lo")
     firsts = segments.where("NOT is_repeat").drop("is_repeat")
-    met = firsts.select(
-        "*", F.count("*").over(by).alias("c"), (F.min("whole").over(by) != F.max("whole").over(by)).alias("mixed"), F.min(F.struct("doc_id", "lo")).over(by).alias("first")
-    ).where("c > 1")
-    met = written(met.select("anchor", "doc_id", "lo", "n", "mixed", (F.col("c") > HOT).alias("hot"), (F.struct("doc_id", "lo") == F.col("first")).alias("is_first")), "segments")
-    plain = met.where("NOT mixed AND NOT is_first").select("doc_id", "lo", "n")
+    met = firsts.select("*", F.count("*").over(by).alias("c"), (F.min("whole").over(by) != F.max("whole").over(by)).alias("mixed"), F.min(place).over(by).alias("first")).where("c > 1")
+    met = written(met.select("anchor", *run, "mixed", (F.col("c") > HOT).alias("hot"), (place == F.col("first")).alias("is_first")), "segments")
+    plain = met.where("NOT mixed AND NOT is_first").select(*run)
     mixed = met.where("mixed")
-    own = mixed.groupBy("doc_id").agg(F.collect_list(F.struct("anchor", "lo", "n", "hot")).alias("own"))
-    slices = written(docs.where("text IS NOT NULL").join(own, "doc_id").select("doc_id", "text", "own").mapInPandas(_slices, SLICE), "slices")
+    own = mixed.groupBy("doc_id", "version").agg(F.collect_set(F.struct("anchor", "lo", "n", "hot")).alias("own"))
+    texts = docs.where("text IS NOT NULL AND doc_id IS NOT NULL")
+    slices = written(texts.join(own, ["doc_id", "version"]).select("doc_id", "version", "text", "own").mapInPandas(_slices, SLICE), "slices")
     groups = max(1, mixed.count() // GROUP)
-    found = slices.where("data IS NOT NULL").groupBy(F.pmod(F.hash("anchor"), F.lit(groups)).alias("g")).applyInPandas(_sorted_group, "doc_id bigint, lo int, n int")
-    strings = slices.where("data IS NULL").select("w1", "w2", "doc_id", "lo")
-    least = strings.groupBy("w1", "w2").agg(F.min(F.struct("doc_id", "lo")).alias("first"), F.count("*").alias("c")).where("c > 1").select(F.col("w1").alias("a"), F.col("w2").alias("b"), "first")
-    hot = strings.join(least, (F.col("w1") == F.col("a")) & (F.col("w2") == F.col("b"))).where(F.struct("doc_id", "lo") != F.col("first")).select("doc_id", "lo", F.lit(1).alias("n"))
+    found = slices.where("data IS NOT NULL").groupBy(F.pmod(F.hash("anchor"), F.lit(groups)).alias("g")).applyInPandas(_sorted_group, "doc_id bigint, version bigint, lo bigint, n int")
+    # A string may be in very many texts: both sides of the join are dealt to SALTS tasks by text.
+    strings = slices.where("data IS NULL").select("w1", "w2", "doc_id", "version", "lo", F.pmod(F.xxhash64("doc_id", "lo"), F.lit(SALTS)).alias("salt"))
+    least = strings.groupBy("w1", "w2").agg(F.min(place).alias("first"), F.count("*").alias("c")).where("c > 1")
+    least = least.select("w1", "w2", "first", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(SALTS - 1).cast("bigint"))).alias("salt"))
+    hot = strings.join(least, ["w1", "w2", "salt"]).where(place != F.col("first")).select("doc_id", "version", "lo", F.lit(1).alias("n"))
     return here.unionAll(plain).unionAll(found).unionAll(hot)
 
 
+def versions(documents: DataFrame) -> DataFrame:
+    """doc_id, text and a hash of the text."""
+    return documents.select("doc_id", "text", F.xxhash64("text").alias("version"))
+
+
 def _cut(batches):
     for b in batches:
         rows = []
@@ -211,10 +243,11 @@ def deduplicate(documents: DataFrame) -> DataFrame:
     """One row per row of `documents`: doc_id, n_bytes, n_removed, n_spans, kept_sha256.
 
     Every byte covered by a string of LENGTH bytes that also starts earlier (smaller doc_id, or same document) goes; strings are judged
-    on the input. Null texts are empty; texts under LENGTH bytes keep all. doc_id names a document: rows with a null one keep all, and of rows that
-    share one each loses what repeats in any. Other columns are ignored.
+    on the input. Null texts are empty; texts under LENGTH bytes keep all. doc_id names a document: rows with a null one keep all; equal rows
+    are one place and get the same result, whatever task they are in; of rows that share a doc_id but not the text, what starts at a
+    smaller byte in any is the earlier. Other columns are ignored.
     """
     kind = documents.schema["doc_id"].dataType.simpleString()
-    runs = repeated(documents).groupBy("doc_id").agg(F.collect_list(F.struct("lo", "n")).alias("runs")).withColumnRenamed("doc_id", "k")
-    rows = documents.select("doc_id", "text").join(runs, F.col("doc_id") == F.col("k"), "left").select("doc_id", "text", "runs")
+    runs = repeated(documents).groupBy("doc_id", "version").agg(F.collect_list(F.struct("lo", "n")).alias("runs")).withColumnsRenamed({"doc_id": "k", "version": "v"})
+    rows = versions(documents).join(runs, (F.col("doc_id") == F.col("k")) & (F.col("version") == F.col("v")), "left").select("doc_id", "text", "runs")
     return rows.mapInPandas(_cut, f"doc_id {kind}, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string")

@@ -3,23 +3,35 @@ import random
 
 import numpy as np
 import pandas as pd
+import pytest
 
 from quern.llm import repeats
 
 
 def brute(rows):
-    seen, out = set(), {}
-    for doc, text in sorted((r for r in rows if r[0] is not None), key=lambda r: r[0]):
-        raw = (text or "").encode()
-        gone = bytearray(len(raw))
-        for p in range(len(raw) - 99):
+    """By row: what is at a greater (doc_id, start) than an equal string of any row goes."""
+    first, out = {}, {}
+    raws = [(doc, text, (text or "").encode()) for doc, text in rows]
+    for doc, _, raw in raws:
+        for p in range(len(raw) - 99 if doc is not None else 0):
             s = raw[p : p + 100]
-            if s in seen:
+            first[s] = min(first.get(s, (doc, p)), (doc, p))
+    for doc, text, raw in raws:
+        gone = bytearray(len(raw))
+        for p in range(len(raw) - 99 if doc is not None else 0):
+            if first[raw[p : p + 100]] < (doc, p):
                 gone[p : p + 100] = b"\1" * 100
-            seen.add(s)
         spans = sum(1 for i, g in enumerate(gone) if g and (i == 0 or not gone[i - 1]))
-        out[doc] = (len(raw), sum(gone), spans, hashlib.sha256(bytes(c for c, g in zip(raw, gone) if not g)).hexdigest())
-    return out
+        own = (len(raw), sum(gone), spans, hashlib.sha256(bytes(c for c, g in zip(raw, gone) if not g)).hexdigest())
+        out.setdefault(doc, []).append(own)
+    return {doc: sorted(own) for doc, own in out.items()}
+
+
+def results(got):
+    out = {}
+    for r in got:
+        out.setdefault(r.doc_id, []).append(tuple(r)[1:])
+    return {doc: sorted(own) for doc, own in out.items()}
 
 
 def texts():
@@ -37,17 +49,25 @@ def texts():
             w[r.randrange(80)] = "x"
             t.append(" ".join(w[r.randint(0, 20) :]))
         rows.append((i, " ".join(t)))
-    return [*rows, (60, rows[20][1]), (61, rows[20][1]), (62, (passage + " ") * 5)]
+    twice = [(70, prose(60)), (71, prose(9) + passage)]
+    shared = [(72, "q" * 7 + passage), (72, passage + " " + line + line)]
+    return [*rows, (60, rows[20][1]), (61, rows[20][1]), (62, (passage + " ") * 5), *twice, *twice, *shared, (73, twice[0][1]), (None, passage)]
 
 
-def check(spark):
+def check(spark, parts=3):
     rows = texts()
-    random.Random(1).shuffle(rows)
-    got = repeats.deduplicate(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)).collect()
-    assert {r.doc_id: tuple(r)[1:] for r in got} == brute(rows)
+    random.Random(parts).shuffle(rows)
+    got = repeats.deduplicate(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(parts)).collect()
+    assert results(got) == brute(rows)
+
+
+@pytest.mark.parametrize("parts", [1, 2, 7])
+def test_against_brute_force(spark, parts):
+    check(spark, parts)
 
 
-def test_against_brute_force(spark):
+def test_texts_longer_than_a_piece(spark, monkeypatch):
+    monkeypatch.setattr(repeats, "SUB", 150)
     check(spark)
 
 
@@ -80,4 +100,4 @@ def test_pieces_that_differ_between_evaluations(spark):
         got = repeats.deduplicate(docs).collect()
     finally:
         spark.conf.set(size, before)
-    assert {r.doc_id: tuple(r)[1:] for r in got} == brute(rows)
+    assert results(got) == brute(rows)
