@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.words import let
+from quern.llm.words import let, running
 
 # The patterns of the base kinds, in the order in which kinds are listed.
 ASSIGN = r"((?i:password|passwd|secret|token|api_?key))[\x22\x27]?\x20*[:=]\x20*[\x22\x27]?([A-Za-z0-9+/_.=-]+)"
@@ -28,18 +28,9 @@ def _places(text: Column, pattern: str, group: int = 0) -> Column:
     """array<struct<start,end,hit>> of the leftmost non-overlapping matches, in code points; empty if there are none."""
     empty = F.array().cast("array<struct<start:int,end:int,hit:string>>")
     pairs = F.arrays_zip(F.split(text, pattern, -1).alias("gap"), F.regexp_extract_all(text, F.lit(pattern), F.lit(group)).alias("hit"))
-
-    def step(a: Column, x: Column) -> Column:
-        start = a["at"] + F.length(x["gap"])
-        return let(
-            start,
-            lambda s: F.struct(
-                (s + F.length(x["hit"])).alias("at"),
-                F.concat(a["out"], F.array(F.struct(s.cast("int").alias("start"), (s + F.length(x["hit"])).cast("int").alias("end"), x["hit"].alias("hit")))).alias("out"),
-            ),
-        )
-
-    found = F.aggregate(F.filter(pairs, lambda x: x["hit"].isNotNull()), F.struct(F.lit(0).alias("at"), empty.alias("out")), step, lambda a: a["out"])
+    place = lambda x, e: F.struct((e - F.length(x["hit"])).alias("start"), e.alias("end"), x["hit"].alias("hit"))
+    ends = lambda own: running(F.transform(own, lambda x: F.length(x["gap"]) + F.length(x["hit"])))
+    found = let(F.filter(pairs, lambda x: x["hit"].isNotNull()), lambda own: F.zip_with(own, ends(own), place))
     return F.when(text.rlike(pattern), found).otherwise(empty)
 
 
@@ -48,33 +39,31 @@ def _entropy(hit: Column, least: float, by_window: bool) -> Column:
 
     `by_window` leaves out windows that hold a placeholder or a run.
 
-    A step of the window changes two counts, and the sum of c*log2(c) by what those two give.
+    A step of the window changes two counts, those of the character that comes and of the one that goes, and the sum of c*log2(c) by what
+    these give. Both are counted in the characters that stay, so a step's work doesn't grow with the candidate.
     """
-    code = lambda i: F.ascii(F.substr(hit, i, F.lit(1))) - 32
     gain = F.array(*map(F.lit, GAIN))
+    count = lambda stay, c: F.size(F.filter(stay, lambda x: x == c))
 
-    def step(a: Column, i: Column) -> Column:
-        came, went = code(i), F.when(i > WINDOW, code(i - WINDOW)).otherwise(F.lit(-1))
-        moved = F.struct(came.alias("came"), went.alias("went"))
+    def step(chars: Column, a: Column, i: Column) -> Column:
+        stay = F.slice(chars, F.greatest(i - (WINDOW - 1), F.lit(1)), F.least(i - 1, F.lit(WINDOW - 1)))
 
-        def move(m: Column) -> Column:
-            more = F.get(gain, F.get(a["n"], m["came"]))
-            less = F.when(m["went"] >= 0, F.get(gain, F.get(a["n"], m["went"]) - 1)).otherwise(0.0)
-            total = F.when(m["came"] == m["went"], a["s"]).otherwise(a["s"] + more - less)
-            n = F.transform(a["n"], lambda c, k: c + (k == m["came"]).cast("int") - (k == m["went"]).cast("int"))
+        def move(stay: Column) -> Column:
+            less = F.when(i > WINDOW, F.get(gain, count(stay, F.get(chars, i - (WINDOW + 1))))).otherwise(0.0)
 
             def close(s: Column) -> Column:
                 high = (i >= WINDOW) & (math.log2(WINDOW) - s / WINDOW >= least)
                 if by_window:
-                    high = high & ~F.substr(hit, i - (WINDOW - 1), F.lit(WINDOW)).rlike(PLACEHOLDER)
-                return F.struct(n.alias("n"), s.alias("s"), F.when(high & (a["lo"] < 0), i - WINDOW).otherwise(a["lo"]).alias("lo"), F.when(high, i).otherwise(a["hi"]).alias("hi"))
+                    high = high & ~F.array_join(F.slice(chars, i - (WINDOW - 1), WINDOW), "").rlike(PLACEHOLDER)
+                return F.struct(s.alias("s"), F.when(high & (a["lo"] < 0), i - WINDOW).otherwise(a["lo"]).alias("lo"), F.when(high, i).otherwise(a["hi"]).alias("hi"))
 
-            return let(total, close)
+            return let(a["s"] + F.get(gain, count(stay, F.get(chars, i - 1))) - less, close)
 
-        return let(moved, move)
+        return let(stay, move)
 
-    first = F.struct(F.array_repeat(F.lit(0), 96).alias("n"), F.lit(0.0).alias("s"), F.lit(-1).alias("lo"), F.lit(-1).alias("hi"))
-    return F.aggregate(F.sequence(F.lit(1), F.length(hit)), first, step, lambda a: F.struct(a["lo"].alias("lo"), a["hi"].alias("hi")))
+    first = F.struct(F.lit(0.0).alias("s"), F.lit(-1).alias("lo"), F.lit(-1).alias("hi"))
+    walk = lambda chars: F.aggregate(F.sequence(F.lit(1), F.size(chars)), first, lambda a, i: step(chars, a, i), lambda a: F.struct(a["lo"].alias("lo"), a["hi"].alias("hi")))
+    return let(F.split(hit, ""), walk)
 
 
 def _dense(least: float, by_window: bool):
@@ -127,14 +116,19 @@ def masked(documents: DataFrame, mask: str = "<secret>") -> DataFrame:
     packed = documents.select(F.struct(*[F.col(f"`{c}`") for c in documents.columns]).alias("row"), "text")  # other columns can't clash
     found = with_spans(packed, by_window=True)
 
-    def step(a: Column, x: Column) -> Column:
-        new = x["start"] >= a["at"]
-        gap = F.substr(F.col("text"), a["at"] + 1, x["start"] - a["at"])
-        return F.struct(F.when(new, F.concat(a["out"], gap, F.lit(mask))).otherwise(a["out"]).alias("out"), F.greatest(a["at"], x["end"]).alias("at"))
+    piece = lambda chars, at, n: F.array_join(F.slice(chars, at + 1, n), "")
+
+    def done(chars: Column) -> Column:
+        def step(a: Column, x: Column) -> Column:
+            gap = lambda: F.concat(a["out"], F.array(piece(chars, a["at"], x["start"] - a["at"]), F.lit(mask)))
+            return F.struct(F.when(x["start"] >= a["at"], gap()).otherwise(a["out"]).alias("out"), F.greatest(a["at"], x["end"]).alias("at"))
+
+        start = F.struct(F.array().cast("array<string>").alias("out"), F.lit(0).alias("at"))
+        return F.aggregate("secret_spans", start, step, lambda a: F.concat(F.array_join(a["out"], ""), piece(chars, a["at"], F.size(chars) - a["at"])))
 
-    done = F.aggregate("secret_spans", F.struct(F.lit("").alias("out"), F.lit(0).alias("at")), step, lambda a: F.concat(a["out"], F.substr(F.col("text"), a["at"] + 1, F.length("text"))))
-    has = F.size("secret_spans") > 0
-    new = {"text": F.when(has, done).otherwise(F.col("text"))}
+    whole = let(let(F.regexp_extract_all(F.col("text"), F.lit("(?s)."), F.lit(0)), done), lambda t: F.struct(t.alias("text"), F.length(t).alias("n")))
+    out = found.select("row", F.when(F.size("secret_spans") > 0, whole).otherwise(F.struct(F.col("text"), F.lit(None).cast("int").alias("n"))).alias("new"))
+    new = {"text": F.col("new.text")}
     if "n_chars" in documents.columns:
-        new["n_chars"] = F.when(has, F.length(done).cast(documents.schema["n_chars"].dataType)).otherwise(F.col("row.n_chars"))
-    return found.select(*[new.get(c, F.col("row").getField(c)).alias(c) for c in documents.columns])
+        new["n_chars"] = F.coalesce(F.col("new.n").cast(documents.schema["n_chars"].dataType), F.col("row.n_chars"))
+    return out.select(*[new.get(c, F.col("row").getField(c)).alias(c) for c in documents.columns])
