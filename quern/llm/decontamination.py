@@ -8,6 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quern.llm.rows import versions, without
 from quern.llm.words import let, words
 
 #: Five words each, at these offsets; the positions between may differ. At every place each is tried. Together they hit every stretch of up to
@@ -116,6 +117,9 @@ def _judged(hits: DataFrame) -> DataFrame:
 
 
 def clean(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """`documents` without those that overlap a benchmark item; rows with a null doc_id stay."""
-    found = overlaps(documents, benchmark).select("doc_id").distinct()
-    return documents.join(found, "doc_id", "left_anti").select(*[f"`{c}`" for c in documents.columns])
+    """`documents` without those that overlap a benchmark item.
+
+    Each row is judged by its own text, whether its doc_id is null or that of others; null and empty texts stay.
+    """
+    named = versions(documents).select(F.struct("doc_id", "version").alias("doc_id"), "text")
+    return without(documents, overlaps(named, benchmark).select("doc_id.*"))

@@ -6,6 +6,7 @@ from collections import Counter
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -18,6 +19,7 @@ ROWS, SHORT = 32, 4_000
 MORE_CHARS = 4_096
 #: A text is parsed in blocks of so many characters, side by side; a phrase ends with its block.
 BLOCK = 1_024
+TOGETHER = 4_000_000  # characters parsed side by side
 #: Symbols: the space between words, then every letter of the samples; any other letter, which matches nothing; no character; the sample's text ends.
 SPACE, OTHER, PAD, BREAK = 0, 0x30000, 0x30001, 0x30002
 #: Columns of a language's table: SPACE and its commonest letters; no character; all else, of which its rarer letters are looked up in a list.
@@ -176,38 +178,60 @@ def has_letters(text: str | None) -> bool:
     return any(map(str.isalpha, text or ""))
 
 
-def _predict(texts: dict[str, str], letter_bits: bool):
+def judged(model: Model | None, texts: list[str | None]) -> dict[str, np.ndarray]:
+    """lang_pred, score, bits, symbols and letter_bits of some texts."""
+    out = {"lang_pred": np.full(len(texts), UNKNOWN, object), "score": np.zeros(len(texts)), "bits": np.zeros(len(texts)), "symbols": np.zeros(len(texts), np.int32), "letter_bits": np.zeros(len(texts))}
+    known = [i for i, t in enumerate(texts) if model and has_letters(t)]
+    size, part = 0, []
+    for i in known:
+        part.append(i)
+        size += len(texts[i])
+        if size < TOGETHER and i != known[-1]:
+            continue
+        e, out["symbols"][part] = model.entropies([texts[k] for k in part])
+        share = (e.min(axis=1, keepdims=True) / e) ** 4
+        best = e.argmin(axis=1)
+        out["lang_pred"][part] = np.array(model.names, object)[best]
+        out["score"][part], out["bits"][part], out["letter_bits"][part] = 1 / share.sum(axis=1), e.min(axis=1), model.letter_bits[best]
+        size, part = 0, []
+    return out
+
+
+def _predict(texts: dict[str, str]):
+    def run(batches):
+        model = Model.of(texts) if texts else None
+        for b in batches:
+            got = judged(model, list(b["text"]))
+            yield pd.DataFrame({"doc_id": b["doc_id"], "held_out": b["held_out"], **{c: got[c] for c in ("lang_pred", "score", "bits", "symbols")}})
+
+    return run
+
+
+def _fitting(texts: dict[str, str], most: float, over: float, least: int):
     def run(batches):
         model = Model.of(texts) if texts else None
         for b in batches:
-            n = b["text"].fillna("").str.len().to_numpy()
-            for part in np.split(np.arange(len(b)), np.flatnonzero(np.diff(np.cumsum(n) // 4_000_000)) + 1):
-                if not len(part):
-                    continue
-                own = b.iloc[part]
-                names, scores, bits, size = np.full(len(part), UNKNOWN, object), np.zeros(len(part)), np.zeros(len(part)), np.zeros(len(part), np.int32)
-                plain = np.zeros(len(part))
-                known = [i for i, t in enumerate(own["text"]) if model and has_letters(t)]
-                if known:
-                    e, size[known] = model.entropies([own["text"].iloc[i] for i in known])
-                    share = (e.min(axis=1, keepdims=True) / e) ** 4
-                    names[known] = np.array(model.names, object)[e.argmin(axis=1)]
-                    scores[known], bits[known] = 1 / share.sum(axis=1), e.min(axis=1)
-                    plain[known] = model.letter_bits[e.argmin(axis=1)]
-                yield pd.DataFrame({**{c: own[c].to_numpy() for c in own.columns if c != "text"}, "lang_pred": names, "score": scores, "bits": bits, "symbols": size, **({"letter_bits": plain} if letter_bits else {})})
+            got = judged(model, b.column("text").to_pylist())
+            strange = (got["bits"] > np.maximum(most, got["letter_bits"] + over)) & (got["symbols"] >= least)
+            yield b.filter(pa.array((got["lang_pred"] != UNKNOWN) & ~strange))
 
     return run
 
 
-def identify(documents: DataFrame, train: DataFrame | None = None, letter_bits: bool = False) -> DataFrame:
+def fitting(documents: DataFrame, most: float, over: float, least: int) -> DataFrame:
+    """`documents` without texts that no learned language fits: null or without letters, or of `least` symbols or more that take over
+    `most` bits each, and over `over` more than that language's letters alone. Each row is judged by its own text, whatever its doc_id."""
+    return documents.mapInArrow(_fitting(labelled(documents), most, over, least), documents.schema)
+
+
+def identify(documents: DataFrame, train: DataFrame | None = None) -> DataFrame:
     """One row per row of `documents`: doc_id, held_out, lang_pred, score (0 to 1), bits (a symbol), symbols.
 
     Of the languages of `train` (`documents` itself if None) the one needing fewest phrases, normalised by sample size, wins;
     ties go to the first name. `und`, score 0: null text, no letters, or nothing to learn from. Whole texts are parsed;
-    repeated rows each get a row; other columns are ignored. `letter_bits` adds a column: bits a symbol by the letter frequencies of that language.
+    repeated rows each get a row; other columns are ignored.
     """
     texts = labelled(train if train is not None else documents)
     kind = documents.schema["doc_id"].dataType.simpleString()
     rows = documents.select("doc_id", held_out("doc_id", 4, 2).alias("held_out"), "text")
-    more = ", letter_bits double" if letter_bits else ""
-    return rows.mapInPandas(_predict(texts, letter_bits), f"doc_id {kind}, held_out boolean, lang_pred string, score double, bits double, symbols int{more}")
+    return rows.mapInPandas(_predict(texts), f"doc_id {kind}, held_out boolean, lang_pred string, score double, bits double, symbols int")

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from quern.llm.rows import versions
 from quern.sources.tables import written
 
 LENGTH = 100  # bytes of a string
@@ -217,11 +218,6 @@ def repeated(documents: DataFrame) -> DataFrame:
     return here.unionAll(plain).unionAll(found).unionAll(hot)
 
 
-def versions(documents: DataFrame) -> DataFrame:
-    """doc_id, text and a hash of the text."""
-    return documents.select("doc_id", "text", F.xxhash64("text").alias("version"))
-
-
 def _cut(batches):
     for b in batches:
         rows = []

@@ -8,6 +8,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quern.llm.rows import versions, without
 from quern.operators.components import components
 from quern.sources.tables import written
 
@@ -37,15 +38,15 @@ def fingerprint(text: str | None) -> int:
 
 
 def fingerprints(batches):
-    """(doc_id, fp) of batches of (doc_id, text)."""
+    """(doc_id, version, fp) of batches of (doc_id, text, version)."""
     for b in batches:
-        yield pd.DataFrame({"doc_id": b["doc_id"], "fp": np.array([fingerprint(t) for t in b["text"]], "<u8").view("<i8")})
+        yield pd.DataFrame({"doc_id": b["doc_id"], "version": b["version"], "fp": np.array([fingerprint(t) for t in b["text"]], "<u8").view("<i8")})
 
 
 def with_fingerprints(documents: DataFrame) -> DataFrame:
-    """(doc_id, fp) of every row; fp is the fingerprint as a signed bigint."""
+    """(doc_id, version, fp) of every row; fp is the fingerprint as a signed bigint."""
     kind = documents.schema["doc_id"].dataType.simpleString()
-    return documents.select("doc_id", "text").mapInPandas(fingerprints, f"doc_id {kind}, fp bigint")
+    return versions(documents).mapInPandas(fingerprints, f"doc_id {kind}, version bigint, fp bigint")
 
 
 def _variants(fp: Column) -> Column:
@@ -75,6 +76,17 @@ def links(prints: DataFrame) -> DataFrame:
     return a.join(b, near).select("a", "b")
 
 
+def classes(documents: DataFrame) -> DataFrame:
+    """(doc_id, version, fp, first) of every row: first is the struct<none,doc_id,version> of its component that is least, null ids last."""
+    prints = written(with_fingerprints(documents), "fingerprints")
+    roots = components(links(prints))
+    name = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "version")
+    nodes = prints.groupBy("fp").agg(F.min(name).alias("least")).join(roots, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    nodes = written(nodes, "nodes")
+    names = nodes.groupBy("root").agg(F.min("least").alias("first"))
+    return prints.join(nodes.join(names, "root").select(F.col("fp").alias("k"), "first"), F.col("fp") == F.col("k")).select("doc_id", "version", "fp", "first")
+
+
 def near_duplicates(documents: DataFrame) -> DataFrame:
     """One row per row of `documents`: doc_id, fingerprint (hex), component_id (smallest doc_id reachable over links).
 
@@ -82,16 +94,13 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
     node of the graph, so copies give no pairs; repeated rows each get a row; null doc_ids get their component's id, null if it has
     none; other columns are ignored.
     """
-    prints = written(with_fingerprints(documents), "fingerprints")
-    roots = components(links(prints))
-    nodes = prints.groupBy("fp").agg(F.min("doc_id").alias("least")).join(roots, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    nodes = written(nodes, "nodes")
-    names = nodes.groupBy("root").agg(F.min("least").alias("component_id"))
-    classes = nodes.join(names, "root").select(F.col("fp").alias("k"), "component_id")
-    return prints.join(classes, F.col("fp") == F.col("k")).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return classes(documents).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("first.doc_id").alias("component_id"))
 
 
 def one_of_each(documents: DataFrame) -> DataFrame:
-    """`documents` without those that have a component of a smaller doc_id. Null doc_ids stay."""
-    gone = near_duplicates(documents).where("doc_id <> component_id").select("doc_id").distinct()
-    return documents.join(gone, "doc_id", "left_anti").select(*[f"`{c}`" for c in documents.columns])
+    """`documents` without those that aren't the first of their component: of it the smallest doc_id stays, null ids coming last.
+
+    Rows that share a doc_id and differ in their text are told apart, as are those with a null doc_id; equal rows stay or go together.
+    """
+    own = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & F.col("version").eqNullSafe(F.col("first.version"))
+    return without(documents, classes(documents).where(~own))

@@ -1,6 +1,7 @@
 import hashlib
 import random
 import re
+import time
 from itertools import combinations
 
 import xxhash
@@ -57,7 +58,9 @@ def test_decontamination(spark):
     rows = [(1, " ".join([word() for _ in range(50)] + item)), (2, " ".join(changed)), (3, " ".join(word() for _ in range(200))), (4, " ".join(item[:6])), *EDGE]
     tests = spark.createDataFrame([(7, " ".join(item).upper()), (8, None), (9, "short")], "item_id bigint, text string")
     assert {(x.doc_id, x.item_id) for x in decontamination.overlaps(frame(spark, rows), tests).collect()} == {(1, 7), (2, 7)}
-    assert {x.doc_id for x in decontamination.clean(frame(spark, rows), tests).collect()} == {3, 4, 900, 901, 902, None}
+    leak = (None, " ".join(item))
+    assert {x.doc_id for x in decontamination.clean(frame(spark, [*rows, leak, (3, leak[1])]), tests).collect()} == {3, 4, 900, 901, 902, None}
+    assert decontamination.clean(frame(spark, [leak, (3, leak[1]), (3, "kept")]), tests).collect()[0].text == "kept"
     assert decontamination.overlaps(frame(spark, rows), tests.limit(0)).count() == 0
 
 
@@ -150,6 +153,21 @@ def test_languages_of_many_letters(spark):
     assert kept.where("lang LIKE 'x%'").count() == len(rows)
 
 
+def test_long_candidates_take_time_in_proportion(spark):
+    """A megabyte without a break, ten thousand short matches in a row, and characters of several bytes between secrets."""
+    r = random.Random(11)
+    blob = "".join(r.choice("BCFGHJKLNPQRSTVWXYZbcfghjklnpqrstvwxyz0123456789+/") for _ in range(1_000_000))
+    assert not re.search(secrets.ALLOWED, blob)
+    many = "".join(f"é token={i:06d} \n" for i in range(10_000))
+    rows = [(1, blob), (2, many), (3, f"\U0001f600é {blob[:40]}\U0001f600 {blob[40:80]} ü")]
+    began = time.time()
+    got = {x.doc_id: x for x in secrets.scan(frame(spark, rows)).collect()}
+    text = {x.doc_id: x.text for x in secrets.masked(frame(spark, rows)).collect()}
+    assert got[1].spans == "entropy:0:1000000" and got[2].n_assign == 10_000 and got[2].spans.endswith(f"assign:{len(many) - 14}:{len(many) - 2}")
+    assert text[1] == "<secret>" and text[2] == "é <secret> \n" * 10_000 and text[3] == plain.masked(rows[2][1])
+    assert time.time() - began < 150
+
+
 def test_placeholders_beside_secrets_are_no_excuse(spark):
     key = "x9Qk2LmZ7pR4tV8wB3nY6c"
     rows = [(1, f"a {'A' * 9}{key}{key[::-1]} b"), (2, f"a sample/{key} b"), (3, "a sample_sample_sample_1234567 b"), (4, "a " + "A1" + "A" * 40 + " b")]
