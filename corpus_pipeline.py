@@ -15,30 +15,27 @@ OVER_LETTERS = 1.0
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with letters that one of the languages fits. Rows of a rejected doc_id go; null doc_ids stay."""
-    found = language.identify(docs, letter_bits=True)
-    most = F.greatest(F.lit(REJECT_BITS), F.col("letter_bits") + OVER_LETTERS)
-    bad = found.where((F.col("lang_pred") == language.UNKNOWN) | ((F.col("bits") > most) & (F.col("symbols") >= LEAST_SYMBOLS))).select("doc_id").distinct()
-    return docs.join(bad, "doc_id", "left_anti").select(*[f"`{c}`" for c in docs.columns])
+    """Documents with letters that one of the languages fits. Each row is judged by its own text; null and empty ones go."""
+    return language.fitting(docs, REJECT_BITS, OVER_LETTERS, LEAST_SYMBOLS)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates: the one with the smallest doc_id."""
+    """One document of each group of near-duplicates: the one with the smallest doc_id. Equal rows stay or go together."""
     return simhash.one_of_each(docs)
 
 
 def no_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without benchmark passages."""
+    """Documents without benchmark passages. Each row is judged by its own text, those with a null doc_id too."""
     return decontamination.clean(docs, table(spark, sf_dir, "benchmark"))
 
 
 def no_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, their secrets masked."""
+    """All documents, their secrets masked; a null text stays null."""
     return secrets.masked(docs)
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sampled segmentations of each document, and whether they decode to its text."""
+    """Sampled segmentations of each document, the text they decode to, and whether that is the document's; a null text is empty."""
     return segmentation.encode(docs)
 
 
