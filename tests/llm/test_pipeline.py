@@ -1,7 +1,4 @@
-import hashlib
-
 import corpus_pipeline
-import numpy as np
 from pyspark.sql import functions as F
 
 from quern.llm import language, segmentation
@@ -35,11 +32,10 @@ def test_against_brute_force(spark, tmp_path):
         (bits, _), n = plain.bits_of(model, text)
         return not (bits > corpus_pipeline.REJECT_BITS and n >= corpus_pipeline.LEAST_SYMBOLS)
 
-    left = [(i, t) for i, t in left if i is None or fits(t)]
-    first = dict(enumerate(sorted((x for x in left if x[0] is not None))))
-    root = plain.roots({k: plain.fingerprint(t) for k, (_, t) in first.items()})
-    left = [x for k, x in first.items() if root[k] == k] + [x for x in left if x[0] is None]
-    left = [(i, t) for i, t in left if i is None or not any(plain.leaks(t, x) for x in tests)]
+    left = sorted((x for x in left if fits(x[1])), key=lambda x: (x[0] is None, x[0] or 0))
+    root = plain.roots({k: plain.fingerprint(t) for k, (_, t) in enumerate(left)})
+    left = [x for k, x in enumerate(left) if root[k] == k]
+    left = [(i, t) for i, t in left if not any(plain.leaks(t, x) for x in tests)]
     want = {i: plain.masked(t) for i, t in left}
 
     got = corpus_pipeline.run(spark, folder).collect()
@@ -47,5 +43,25 @@ def test_against_brute_force(spark, tmp_path):
     assert all(r.round_trip for r in got)
     rows = segmentation.encode(spark.createDataFrame(list(want.items()), "doc_id bigint, text string")).collect()
     assert all(r.decoded == want[r.doc_id] for r in rows)
-    digest = lambda ids: hashlib.sha256(np.array(ids, "<i4").tobytes()).hexdigest()
-    assert {(r.doc_id, r.sample, r.ids_sha256) for r in got} == {(r.doc_id, r.sample, digest(r.ids)) for r in rows}
+    assert {(r.doc_id, r.sample, tuple(r.ids), r.decoded) for r in got} == {(r.doc_id, r.sample, tuple(r.ids), want[r.doc_id]) for r in rows}
+
+
+def test_edges_of_the_whole_run(spark, tmp_path):
+    """Rows with null ids, shared ids, null and repeated texts through all stages; extra columns; empty tables."""
+    some = spark.read.parquet(f"{D}/documents.parquet").where("doc_id < 60").select("doc_id", "text", "lang")
+    texts = {r.doc_id: r.text for r in some.collect()}
+    item = spark.read.parquet(f"{D}/benchmark.parquet").orderBy(F.length("text").desc()).first().text
+    own = "quiet rivers carry seventeen painted boats toward the northern harbour while children count lanterns"
+    extra = [(None, None, "en"), (None, "", "en"), (None, f"before it {item}", "en"), (8000, f"first {item}", "en"), (8000, own, "en"), (None, own, "en"), (8001, own, "en")]
+    extra += [(8002, "a key token = abcdef123456 is here and more words follow it", None)] * 2
+    docs = some.unionByName(spark.createDataFrame(extra, "doc_id bigint, text string, lang string")).withColumns({c: F.lit(7) for c in ("row", "gone_id", "own_id", "fp", "seed", "own_version")})
+    docs.repartition(3).write.parquet(f"{tmp_path}/a/documents.parquet")
+    spark.read.parquet(f"{D}/benchmark.parquet").write.parquet(f"{tmp_path}/a/benchmark.parquet")
+    got = corpus_pipeline.run(spark, f"{tmp_path}/a").where("sample = 0").select("doc_id", "decoded", "round_trip").collect()
+    out = [(r.doc_id, r.decoded) for r in got if r.doc_id is None or r.doc_id >= 8000]
+    assert all(r.round_trip for r in got) and not any(item in t for _, t in out)
+    assert sorted(out, key=str) == sorted([(8000, own), *[(8002, "a key <secret> is here and more words follow it")] * 2], key=str)
+    assert {r.doc_id for r in got if r.doc_id is not None} <= set(texts) | {8000, 8002}
+    docs.limit(0).write.parquet(f"{tmp_path}/b/documents.parquet")
+    spark.read.parquet(f"{D}/benchmark.parquet").limit(0).write.parquet(f"{tmp_path}/b/benchmark.parquet")
+    assert corpus_pipeline.run(spark, f"{tmp_path}/b").collect() == []
