@@ -17,7 +17,7 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SAMPLES = 2
 SPACE = "▁"
 SUB = 700_000  # characters of the documents walked together
-KEPT = 1_000_000  # characters of units whose lattices a worker keeps; with more, it begins anew
+KEPT = 500_000  # characters of units whose lattices a worker keeps; with more, it begins anew
 SMOOTHING = 0.5  # 1: nearly always the likeliest path; 0: all pieces alike
 MIX = (np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
 STEP = np.uint64(0x9E3779B97F4A7C15)
