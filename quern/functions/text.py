@@ -73,14 +73,31 @@ def terms(c: Column) -> Column:
     return F.regexp_extract_all(c, F.lit(TERM), F.lit(0))
 
 
-def complexity(c: Column, technical: str = r"[A-Z]{2,}|[A-Za-z]+[0-9]+") -> Column:
-    """high / medium / low by technical terms per hundred words and mean sentence length."""
-    words = F.greatest(F.size(plain_words(c)), F.lit(1))
-    density = F.regexp_count(c, F.lit(technical)) * 100.0 / words
-    mean = words / F.greatest(F.size(sentences(c)), F.lit(1))
+# What counts as a technical term, by language.
+TECHNICAL = {
+    "ja": r"[ァ-ヴー]{4,}|[一-龥]{4,}",
+    "en": r"[A-Z][a-z]+(?:[A-Z][a-z]+)+|(?<![\p{L}\p{N}_])[\p{L}\p{N}_]{10,}",
+}
+
+
+def complexity(c: Column, lang: str = "en") -> Column:
+    """high / medium / low by technical terms per hundred tokens and by tokens a sentence; sentences are what the language's full stop parts."""
+    tokens = estimated_tokens(c)
+    density = F.regexp_count(c, F.lit(TECHNICAL[lang])) * 100.0 / F.greatest(tokens, F.lit(1))
+    mean = tokens / F.size(F.split(c, "。" if lang == "ja" else r"\.", -1))
     return F.when((density > 5) | (mean > 30), "high").when((density > 2) | (mean > 20), "medium").otherwise("low")
 
 
+def combined(*columns: Column) -> Column:
+    """Cleaned columns joined by blanks, empty ones left out."""
+    return F.concat_ws(" ", *[F.nullif(clean(c), F.lit("")) for c in columns])
+
+
+def embedding_input(question: Column, answer: Column | None = None) -> Column:
+    """What is embedded of a question, with its answer on the next line if there is one."""
+    return F.concat_ws("\n", question, answer) if answer is not None else question
+
+
 def qa_count(tokens: Column, index: Column, base: int = 3) -> Column:
     """Questions to ask of a chunk: more for longer ones, one more from the sixth chunk on, eight at most."""
     by_size = F.when(tokens < 50, 2).when(tokens < 100, 3).when(tokens < 200, base + 1).when(tokens < 300, base + 2).otherwise(base + 3)

@@ -8,6 +8,30 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
+def tool_success(done: Column, runs: Column, rate: Column) -> Column:
+    """Share of a step's tool runs that succeeded; without runs the rate given."""
+    return F.when(runs == 0, rate).otherwise(done / runs)
+
+
+def penalties(search: Column, found: Column, rate: Column, sources: Column, own: Column) -> tuple[Column, Column]:
+    """(factor, array<string> of names): no results of a search, failed tools, no sources (but for searches with results and sure answers)."""
+    none = search & (found == 0)
+    failed = rate < 1.0
+    bare = (sources == 0) & ~(search & (found > 0)) & ~(~search & (own >= 0.8))
+    factor = F.when(none, 0.5).otherwise(1.0) * F.when(failed, rate * 0.2 + 0.8).otherwise(1.0) * F.when(bare, 0.7).otherwise(1.0)
+    names = F.array(F.when(none, "no_search_results"), F.when(failed, F.format_string("tool_failures(rate=%.2f)", rate)), F.when(bare, "no_sources"))
+    return factor, F.array_compact(names)
+
+
+def score(search: Column, quality: Column, agreement: Column, own: Column, covered: Column, success: Column, sources: Column, factor: Column) -> Column:
+    """A step's confidence, 0 to 1, three places: of a search its quality times its tools' success; else the weighted mean of the factors that hold."""
+    parts = [(quality > 0, quality, 0.6), (F.lit(True), success, 0.4), (sources > 1, agreement, 0.2), (own > 0.6, own, 0.3), (covered > 0.1, covered, 0.1)]
+    total = sum((F.when(on, v * w).otherwise(0.0) for on, v, w in parts), F.lit(0.0))
+    weights = sum((F.when(on, w).otherwise(0.0) for on, _, w in parts), F.lit(0.0))
+    base = F.when(search, quality * F.when(success < 1.0, success).otherwise(1.0)).otherwise(total / weights)
+    return F.round(F.least(F.lit(1.0), F.greatest(F.lit(0.0), base * factor)), 3)
+
+
 def aggregated(steps: DataFrame, plan: str, order: str, score: str) -> DataFrame:
     """(plan, mean, least, weighted, checked, critical): weights are places in the plan; a score under 0.3 cuts the mean by 0.7."""
     place = F.row_number().over(W.partitionBy(plan).orderBy(order))

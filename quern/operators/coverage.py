@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 # Least similarity by level, in the profiles that results are compared under.
@@ -34,6 +34,39 @@ def by_class(best: DataFrame, group, threshold: float) -> DataFrame:
     return best.groupBy(group.alias("class")).agg(F.count("*").alias("chunks"), F.count_if(F.col("best") >= threshold).alias("covered"), F.round(F.avg((F.col("best") >= threshold).cast("double")), 6).alias("rate"))
 
 
+def by_position(best: DataFrame, key: str, threshold: float, ranges: int = 1_000) -> DataFrame:
+    """(class, chunks, covered, mean, rate) of the first 33 %, the next 34 % and the last 33 % of all chunks by `key`, a number without repeats.
+
+    Where the cuts fall is found by counts in equal ranges of keys; only the ranges that hold a cut are ranked, so no window has all rows.
+    """
+    ends = best.agg(F.min(key).alias("lo"), F.max(key).alias("hi"), F.count("*").alias("n")).first()
+    if not ends.n:
+        return by_class(best, F.lit(""), threshold).select("class", "chunks", "covered", F.col("rate").alias("mean"), "rate")
+    width = max(1, -(-(ends.hi - ends.lo + 1) // ranges))
+    placed = best.withColumn("_r", F.floor((F.col(key) - ends.lo) / width))
+    counts = placed.groupBy("_r").count().orderBy("_r").collect()  # `ranges` rows at most
+    cuts = []
+    for share in (0.33, 0.67):
+        before = 0  # keys at a smaller place than share * n are before the cut
+        for r in counts:
+            if before + r["count"] >= share * ends.n:
+                own = placed.where(F.col("_r") == r["_r"]).withColumn("_i", F.row_number().over(Window.orderBy(key)) - 1 + before)
+                last = own.where(F.col("_i") < share * ends.n).agg(F.max(key)).first()[0]
+                cuts.append(ends.lo + int(r["_r"]) * width - 1 if last is None else last)
+                break
+            before += r["count"]
+    b = F.col("best")
+    name = F.when(F.col(key) <= cuts[0], "beginning").when(F.col(key) <= cuts[1], "middle").otherwise("end")
+    return best.groupBy(name.alias("class")).agg(
+        F.count("*").alias("chunks"), F.count_if(b >= threshold).alias("covered"), F.round(F.avg(b), 6).alias("mean"), F.round(F.avg((b >= threshold).cast("double")), 6).alias("rate")
+    )
+
+
+def insights(classes: DataFrame, least: float = 0.7) -> DataFrame:
+    """The classes whose rate is under `least`: where questions are missing."""
+    return classes.where(F.col("rate") < least)
+
+
 def grades(best: DataFrame) -> DataFrame:
     """(grade, chunks) by similarity."""
     b = F.col("best")

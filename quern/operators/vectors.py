@@ -60,16 +60,17 @@ def top_k(points: DataFrame, queries: DataFrame, k: int, key: str = "vec_id", ve
 
 
 def best(chunks: DataFrame, others: DataFrame, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
-    """(key, best): each chunk's greatest cosine with any of `others`, 0 without others. Blocks of both meet as products."""
+    """(key, best): each chunk's greatest cosine with any of `others`; 0 without others or without a vector. Blocks of both meet as products."""
 
     def most(c: pd.DataFrame, o: pd.DataFrame) -> pd.DataFrame:
         return pd.DataFrame({key: c[key], "best": np.round((_unit(c[vector]) @ _unit(o["_vector"]).T).max(axis=1), 6) if len(c) else []})
 
     other = others.where(F.col(vector).isNotNull() & F.col(key).isNotNull()).select(F.col(key).alias("_other"), F.col(vector).alias("_vector"))
-    found = _pairs(chunks.select(key, vector), other, key, "_other", most, f"{key} bigint, best double")
+    have = F.col(vector).isNotNull() & F.col(key).isNotNull()
+    found = _pairs(chunks.where(have).select(key, vector), other, key, "_other", most, f"{key} bigint, best double")
     if found is None:
         return chunks.select(key, F.lit(0.0).alias("best"))
-    return found.groupBy(key).agg(F.max("best").alias("best"))
+    return found.groupBy(key).agg(F.max("best").alias("best")).unionByName(chunks.where(~have).select(key, F.lit(0.0).alias("best")))
 
 
 def fuse(lists: list[DataFrame], k: int, k0: int = 60, key: str = "vec_id") -> DataFrame:

@@ -159,7 +159,11 @@ def keywords_without_contained(s, d):
     return keywords.without_contained(keywords_by_frequency(s, d), "doc_id")
 
 
-@query()
+_TOK = "CASE WHEN length(coalesce(text, '')) = 0 THEN 0 ELSE greatest(floor(length(regexp_replace(text, '[\\x00-\\x7F]', '', 'g')) * 0.5 + (length(text) - length(regexp_replace(text, '[\\x00-\\x7F]', '', 'g'))) * 0.25)::INT, 1) END"
+_TECH = r"len(regexp_extract_all(text, '[A-Z][a-z]+(?:[A-Z][a-z]+)+|[\pL\pN_]{10,}'))"
+
+
+@query(f"SELECT doc_id, CASE WHEN dense > 5 OR mean > 30 THEN 'high' WHEN dense > 2 OR mean > 20 THEN 'medium' ELSE 'low' END AS level FROM (SELECT doc_id, {_TECH} * 100.0::DOUBLE / greatest(t, 1) AS dense, t::DOUBLE / len(string_split(text, '.')) AS mean FROM (SELECT *, {_TOK} AS t FROM documents))")
 def text_complexity(s, d):
     return _docs(s, d).select("doc_id", T.complexity(F.col("text")).alias("level"))
 
@@ -171,7 +175,7 @@ def packed_chunks(s, d):
 
 @query()
 def merged_chunks(s, d):
-    return chunks.merged_small(chunks.chunked(_docs(s, d)))
+    return chunks.chunked_small(_docs(s, d))
 
 
 _WIN = "(SELECT doc_id, n, greatest(ceil((n - 300) / 250.0), 0)::INT AS last FROM (SELECT doc_id, len(" + _WORDS + ") AS n FROM documents) WHERE n > 0)"
@@ -442,7 +446,7 @@ def sparse_weights(s, d):
 
 @query()
 def forward_chunks(s, d):
-    return chunks.merged_forward(chunks.chunked(_docs(s, d)))
+    return chunks.chunked_forward(_docs(s, d))
 
 
 @query()
@@ -535,3 +539,47 @@ def questions_until_covered(s, d):
     tests = table(s, d, "benchmark").withColumnRenamed("item_id", "vec_id")
     asked = tests.where("vec_id % 2 = 0").select(F.col("text").alias("question"), F.lit("").alias("answer"))
     return feedback.until_covered(tests, asked, "vec_id", "text", 0.6)[0]
+
+
+@query()
+def sentence_chunks(s, d):
+    return chunks.with_ids(chunks.chunked_by_sentences(_docs(s, d)), "documents")
+
+
+_POS = f"(SELECT *, CASE WHEN i < n * 0.33::DOUBLE THEN 'beginning' WHEN i < n * 0.67::DOUBLE THEN 'middle' ELSE 'end' END AS class FROM (SELECT *, row_number() OVER (ORDER BY vec_id) - 1 AS i, count(*) OVER () AS n FROM {_BEST}))"
+_BY_POS = f"SELECT class, count(*) AS chunks, count(*) FILTER (best >= 0.7) AS covered, round(avg(best), 6) AS mean, round(avg((best >= 0.7)::INT::DOUBLE), 6) AS rate FROM {_POS} GROUP BY 1"
+
+
+@query(_BY_POS)
+def coverage_by_position(s, d):
+    return coverage.by_position(_best(s, d), "vec_id", 0.7)
+
+
+@query(f"SELECT * FROM ({_BY_POS}) WHERE rate < 0.7")
+def coverage_insights(s, d):
+    return coverage.insights(coverage_by_position(s, d))
+
+
+@query("SELECT doc_id, concat_ws(chr(10), text, nullif(trim(source), '')) AS input FROM documents WHERE length(text) >= 100")
+def embedding_inputs(s, d):
+    docs = _docs(s, d).where(F.length("text") >= 100)
+    return docs.select("doc_id", T.embedding_input(F.col("text"), F.nullif(F.trim("source"), F.lit(""))).alias("input"))
+
+
+_STEP = "SELECT l_orderkey, l_linenumber, l_linenumber % 2 = 0 AS search, l_discount::DOUBLE * 10 AS quality, l_tax::DOUBLE * 12.5 AS agreement, (l_quantity::DOUBLE % 11) / 10 AS own, (l_quantity::DOUBLE % 7) / 10 AS covered, l_suppkey % 3 AS done, (l_suppkey % 3) + (l_partkey % 2) AS runs, l_partkey % 4 AS sources, l_suppkey % 2 AS found FROM lineitem"
+_RATE = "SELECT *, CASE WHEN runs = 0 THEN 1.0::DOUBLE ELSE done::DOUBLE / runs END AS success FROM (" + _STEP + ")"
+_PEN = "SELECT *, (CASE WHEN search AND found = 0 THEN 0.5 ELSE 1.0 END)::DOUBLE * (CASE WHEN success < 1 THEN success * 0.2::DOUBLE + 0.8::DOUBLE ELSE 1.0 END) * (CASE WHEN sources = 0 AND NOT (search AND found > 0) AND NOT (NOT search AND own >= 0.8::DOUBLE) THEN 0.7 ELSE 1.0 END)::DOUBLE AS factor FROM (" + _RATE + ")"
+_PARTS = [("quality > 0", "quality", 0.6), ("true", "success", 0.4), ("sources > 1", "agreement", 0.2), ("own > 0.6::DOUBLE", "own", 0.3), ("covered > 0.1::DOUBLE", "covered", 0.1)]
+_SUM, _WEIGHT = " + ".join(f"CASE WHEN {on} THEN {v} * {w}::DOUBLE ELSE 0::DOUBLE END" for on, v, w in _PARTS), " + ".join(f"CASE WHEN {on} THEN {w}::DOUBLE ELSE 0::DOUBLE END" for on, _, w in _PARTS)
+
+
+@query(f"SELECT l_orderkey, l_linenumber, factor, least(1, greatest(0, (CASE WHEN search THEN quality * CASE WHEN success < 1 THEN success ELSE 1 END ELSE ({_SUM}) / ({_WEIGHT}) END) * factor)) >= 0.5 AS sure FROM ({_PEN})")
+def step_confidences(s, d):
+    steps = table(s, d, "lineitem").selectExpr(
+        "l_orderkey", "l_linenumber", "l_linenumber % 2 = 0 AS search", "CAST(l_discount AS DOUBLE) * 10 AS quality", "CAST(l_tax AS DOUBLE) * 12.5D AS agreement",
+        "(CAST(l_quantity AS DOUBLE) % 11) / 10 AS own", "(CAST(l_quantity AS DOUBLE) % 7) / 10 AS covered", "l_suppkey % 3 AS done", "(l_suppkey % 3) + (l_partkey % 2) AS runs", "l_partkey % 4 AS sources", "l_suppkey % 2 AS found",
+    )
+    steps = steps.withColumn("success", confidence.tool_success(F.col("done"), F.col("runs"), F.lit(1.0)))
+    factor, _ = confidence.penalties(F.col("search"), F.col("found"), F.col("success"), F.col("sources"), F.col("own"))
+    value = confidence.score(*[F.col(c) for c in ("search", "quality", "agreement", "own", "covered", "success", "sources")], factor)
+    return steps.select("l_orderkey", "l_linenumber", factor.alias("factor"), (value >= 0.5).alias("sure"))

@@ -44,6 +44,23 @@ def test_chunks():
     assert [c[0] for c in chunks.pack("あ" * 100 + "。\n\n" + "b" * 240, 200, 50)] == ["paragraph", "paragraph"]
     assert {c[0] for c in chunks.pack("x" * 5000, 200, 50)} == {"forced_split"}
     assert chunks.pack("", 200, 50) == []
+    cut = chunks.pack("あ" * 2000, 200, 50)
+    assert "".join(c[1] for c in cut) == "あ" * 2000 and all(c[2] <= 200 for c in cut) and len(cut) == 5
+    assert chunks.pack("a b.\n\n" + "c" * 40, 200, 50) == [("paragraph", "a b. " + "c" * 40, 11)]
+    assert chunks.pack_sentences("One. Two! " + "x" * 700 + ". End.", 100) == [("One. Two!", 2, 0, 1), ("x" * 700 + ".", 175, 2, 2), ("End.", 1, 3, 3)]
+    assert chunks.joined_small([(0, "a" * 400), (1, "b" * 41), (2, "c" * 41), (3, "d" * 1000), (4, "e")], 150, 400) == [
+        (0, 121, "a" * 400 + "\n\n" + "b" * 41 + "\n\n" + "c" * 41, [0, 1, 2]), (3, 250, "d" * 1000, [3]), (4, 1, "e", [4]),
+    ]
+
+
+def test_confidence_of_a_step(spark):
+    rows = [(True, 0.8, 0.5, 0.9, 0.0, 1.0, 0, 3), (True, 0.8, 0.5, 0.9, 0.0, 0.5, 0, 0), (False, 0.9, 0.8, 0.7, 0.5, 1.0, 2, 0), (False, 0.0, 0.0, 0.5, 0.0, 1.0, 0, 0), (False, 0.0, 0.0, 0.8, 0.0, 1.0, 0, 0)]
+    df = spark.createDataFrame(rows, "search boolean, quality double, agreement double, own double, covered double, success double, sources int, found int")
+    c = F.col
+    factor, names = confidence.penalties(c("search"), c("found"), c("success"), c("sources"), c("own"))
+    got = df.select(confidence.score(c("search"), c("quality"), c("agreement"), c("own"), c("covered"), c("success"), c("sources"), factor).alias("s"), names.alias("n")).collect()
+    assert [r.s for r in got] == [0.8, 0.126, 0.85, 0.7, round((0.4 + 0.24) / 0.7, 3)]
+    assert got[1].n == ["no_search_results", "tool_failures(rate=0.50)", "no_sources"] and got[3].n == ["no_sources"] and not got[0].n
 
 
 def test_vectors(spark):
