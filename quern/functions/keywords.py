@@ -12,6 +12,7 @@ TECHNICAL = r"[ァ-ヴー]{3,}|[A-Z]{2,}|[一-龥]{4,}"
 TECHNICAL_LONG = r"[ァ-ヴー]{3,}|[A-Z]{2,}[A-Z0-9]*|[一-龥]{4,}"
 STOPS = r"[。！？.!?]+"
 WEIGHTS = {"coverage": 0.25, "diversity": 0.15, "technicality": 0.25, "coherence": 0.20, "length_balance": 0.15}
+MODES = {"summary": 5, "standard": 10, "detailed": 15, "exhaustive": 20, "tag": 3}
 NAMES = ["BERT", "GPT", "CNN", "RNN", "LSTM"]
 CORE = "技術|手法|方式|理論|モデル"
 GENERAL = "データ|システム|処理|分析"
@@ -45,6 +46,13 @@ def technicality(term: Column) -> Column:
     return F.when(term.rlike("^[A-Z]{2,}[A-Z0-9]*$"), 1.2).when(term.rlike("^[ァ-ヴー]{3,}$"), 1.0).when(term.rlike("^[一-龥]{4,}$"), 0.9).when(term.rlike("^[A-Za-z]+[A-Za-z0-9]*$"), 0.8).otherwise(0.0)
 
 
+def score(term: Column, text: Column, important: list[str]) -> Column:
+    """0 to 1: places in the text to 3 weigh 0.3, length to 8 weighs 0.2, importance 0.4, script 0.15 or 0.2."""
+    script = F.when(term.rlike("^[ァ-ヴー]{3,}$"), 0.15).when(term.rlike("^[A-Z]{2,}$"), 0.2).when(term.rlike("^[一-龥]{4,}$"), 0.15).otherwise(0.0)
+    often = F.least(occurrences(text, term) / 3, F.lit(1.0)) * 0.3
+    return F.least(F.lit(1.0), often + F.least(F.length(term) / 8, F.lit(1.0)) * 0.2 + F.when(term.isin(important), 0.4).otherwise(0.0) + script)
+
+
 def metrics(terms: Column, text: Column) -> dict[str, Column]:
     """Five qualities of a document's few keywords, each by name; all 0 for an empty list.
 
@@ -78,6 +86,12 @@ def auto_count(text: Column) -> Column:
     return F.when(n < 100, 3).when(n < 300, 5).when(n < 500, F.when(dense, 9).otherwise(7)).when(n < 1000, F.when(many, 12).otherwise(10)).when(n < 2000, 15).otherwise(long).cast("int")
 
 
+def count_by_mode(text: Column, mode: str = "auto", fewest: int = 3, most: int = 20) -> Column:
+    """How many keywords a mode asks for, within the bounds; an unknown mode asks for ten."""
+    n = auto_count(text) if mode == "auto" else F.lit(MODES.get(mode, 10))
+    return F.greatest(F.lit(fewest), F.least(F.lit(most), n))
+
+
 def difficulty(term: Column, text: Column) -> Column:
     """basic / intermediate / advanced, by how often the text has the term and whether it explains it."""
     n = occurrences(text, term)

@@ -63,6 +63,11 @@ def sentences(c: Column) -> Column:
     return F.filter(both, lambda x: x != "")
 
 
+def marked_sentences(c: Column) -> Column:
+    """array<string>: what the marks 。！？!? end, each with its mark, stripped, blanks dropped; an ASCII full stop ends nothing."""
+    return F.filter(F.transform(F.split(c, "(?<=[。！？!?])", -1), strip), lambda x: x != "")
+
+
 def plain_words(c: Column) -> Column:
     """array<string>: what white space parts."""
     return F.filter(F.split(c, r"\s+"), lambda w: w != "")
@@ -88,6 +93,35 @@ def complexity(c: Column, lang: str = "en") -> Column:
     return F.when((density > 5) | (mean > 30), "high").when((density > 2) | (mean > 20), "medium").otherwise("low")
 
 
+def length_level(c: Column) -> Column:
+    """struct<level, sentences, mean, tokens>: high / medium / low by all tokens and by tokens a sentence; an empty or null text is low."""
+    text = F.coalesce(c, F.lit(""))
+    n, tokens = F.size(marked_sentences(text)), estimated_tokens(text)
+    mean = F.when(n > 0, tokens / n).otherwise(0.0)
+    level = F.when((mean > 50) | (tokens > 500), "high").when((mean > 25) | (tokens > 200), "medium").otherwise("low")
+    return F.struct(level.alias("level"), n.alias("sentences"), F.round(mean, 2).alias("mean"), tokens.alias("tokens"))
+
+
+def key_concepts(c: Column, n: int = 5) -> Column:
+    """array<string>: the first n different runs of two or more kanji and kana."""
+    return F.slice(F.array_distinct(F.regexp_extract_all(F.coalesce(c, F.lit("")), F.lit("[一-龯々ぁ-んァ-ン]{2,}"), F.lit(0))), 1, n)
+
+
+def required_terms(query: Column) -> Column:
+    """array<string>: a query's words of kanji and katakana only, and its runs of two or more of them."""
+    own = "[\u4e00-\u9fff\u30a0-\u30ff]"
+    whole = F.filter(plain_words(query), lambda w: w.rlike(f"^{own}+$"))
+    return F.array_distinct(F.concat(whole, F.regexp_extract_all(query, F.lit(own + "{2,}"), F.lit(0))))
+
+
+def batch_count(c: Column, chunks: Column, thorough: bool = True) -> Column:
+    """Questions to ask of a whole text: 8, 6 or 4 by different technical terms in 1,000 characters, half as many again if thorough, half a one a chunk; 15 at most."""
+    terms_ = F.size(F.array_distinct(F.regexp_extract_all(c, F.lit("[ァ-ヴー]{3,}|[A-Z]{2,}|[一-龥]{4,}"), F.lit(0))))
+    dense = F.when(F.length(c) > 0, terms_ / (F.length(c) / 1000)).otherwise(0.0)
+    base = F.when(dense > 10, 8).when(dense > 5, 6).otherwise(4)
+    return F.least(F.floor((F.floor(base * 1.5) if thorough else base) + chunks * 0.5), F.lit(15)).cast("int")
+
+
 def combined(*columns: Column) -> Column:
     """Cleaned columns joined by blanks, empty ones left out."""
     return F.concat_ws(" ", *[F.nullif(clean(c), F.lit("")) for c in columns])

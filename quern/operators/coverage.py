@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from quern.operators.vectors import unit
+
 # Least similarity by level, in the profiles that results are compared under.
 PROFILES = {
     "rule": {"strict": 0.5, "standard": 0.4, "lenient": 0.3},
@@ -78,3 +82,35 @@ def quality(best: DataFrame, strict: float) -> DataFrame:
     b = F.col("best")
     score = F.avg(b) * 0.4 + F.avg((b >= strict).cast("double")) * 0.3 + F.greatest(F.lit(0.0), 1 - F.stddev_pop(b)) * 0.3
     return best.agg(F.round(F.avg(b), 6).alias("mean"), F.round(F.median(b), 6).alias("median"), F.min(b).alias("least"), F.max(b).alias("most"), F.round(score, 6).alias("quality"))
+
+
+def by_document(chunks: DataFrame, pairs: DataFrame, doc: str, key: str, vector: str, threshold: float, block: int = 2_048) -> DataFrame:
+    """(doc, chunks, covered, rate, mean): each document's chunks against its own pairs only; documents without pairs have similarity 0.
+
+    A document's chunks and pairs are cut into blocks of about `block`; blocks meet two by two, so a document of any size is dealt to several tasks.
+    """
+    have = lambda df: df.where(F.col(doc).isNotNull() & F.col(vector).isNotNull())
+    parts = lambda df, name: have(df).groupBy(F.col(doc).alias(f"_{name}")).agg(F.ceil(F.count("*") / block).cast("int").alias(name))
+    sizes = parts(chunks, "_m").join(parts(pairs, "_n"), F.col("__m") == F.col("__n")).select(F.col("__m").alias("_doc"), "_m", "_n")
+    number = lambda of: F.pmod(F.xxhash64(key), F.col(of)).cast("int")
+    every = lambda of: F.explode(F.sequence(F.lit(0), F.col(of) - 1))
+    a, b = ([have(df).join(sizes, F.col(doc) == F.col("_doc")).select(F.col("_doc").alias("_of"), F.col(key).alias("_key"), F.col(vector).alias("_v"), number(own).alias(own), every(other).alias(other)).groupBy("_of", "_m", "_n")
+             for df, own, other in ((chunks, "_m", "_n"), (pairs, "_n", "_m"))])
+
+    def most(c: pd.DataFrame, p: pd.DataFrame) -> pd.DataFrame:
+        if not len(c) or not len(p):
+            return pd.DataFrame({"_key": [], "_best": []})
+        return pd.DataFrame({"_key": c["_key"], "_best": np.round((unit(c["_v"]) @ unit(p["_v"]).T).max(axis=1), 6)})
+
+    best = a.cogroup(b).applyInPandas(most, "_key bigint, _best double").groupBy("_key").agg(F.max("_best").alias("_best"))
+    s = F.coalesce("_best", F.lit(0.0))
+    one = chunks.select(doc, key).join(best, F.col(key) == F.col("_key"), "left").groupBy(doc)
+    return one.agg(F.count("*").alias("chunks"), F.count_if(s >= threshold).alias("covered"), F.round(F.avg((s >= threshold).cast("double")), 6).alias("rate"), F.round(F.avg(s), 9).alias("mean"))
+
+
+def report(best: DataFrame, key: str, profile: str = "default", standard: float = 0.7) -> DataFrame:
+    """One row of all: chunks, covered and rate at the standard, counts at the profile's levels, mean, uncovered, and the positions whose rate is under 0.7."""
+    b = F.col("best")
+    levels_ = F.create_map(*[x for k, v in PROFILES[profile].items() for x in (F.lit(k), F.count_if(b >= v))])
+    weak = ",".join(sorted(r["class"] for r in insights(by_position(best, key, standard)).collect()))  # three rows at most
+    return best.agg(F.count("*").alias("chunks"), F.count_if(b >= standard).alias("covered"), F.round(F.avg((b >= standard).cast("double")), 6).alias("rate"), F.round(F.avg(b), 6).alias("mean"), F.count_if(b < standard).alias("uncovered"), levels_.alias("levels"), F.lit(weak).alias("weak"))

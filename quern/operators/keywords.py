@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from quern.functions import keywords as K
 from quern.functions.keywords import occurrences as places
 from quern.functions.text import terms
 
@@ -96,3 +97,48 @@ def progressive(ranked: DataFrame, key: str, text: str, ends: tuple[int, ...] =
     stop = F.coalesce(*[F.when(b - a < least, e) for a, b, e in zip([F.lit(0.0), *shares], shares, ends, strict=False)], F.lit(ends[-1]))
     last = ranked.groupBy(F.col(key).alias("_k")).agg(stop.alias("_stop"))
     return ranked.join(last, (F.col(key) == F.col("_k")) & (F.col("rank") <= F.col("_stop"))).select(key, "rank", "term")
+
+
+def integrated(df: DataFrame, key: str, text: str, n: int, stop: list[str], important: list[str], more: DataFrame | None = None) -> DataFrame:
+    """(key, rank, term, score): the best n by `K.score` of the 2n most frequent terms and of `more` (key, rank, term), such as an analyser's compound nouns.
+
+    A document's candidates are few and are scored beside its text, which moves once. Ties by the better rank of the two lists.
+    """
+    found = by_frequency(df, key, text, 2 * n, stop).select(key, "rank", "term")
+    if more is not None:
+        other = more.where((F.length("term") > 1) & ~F.lower("term").isin(stop) & (F.col("rank") <= 2 * n))
+        found = found.unionByName(other.select(key, "rank", "term")).groupBy(key, "term").agg(F.min("rank").alias("rank"))
+    return rescored(found, df, key, text, important, n)
+
+
+def rescored(found: DataFrame, df: DataFrame, key: str, text: str, important: list[str], n: int) -> DataFrame:
+    """(key, rank, term, score): the best n of a document's few terms (key, rank, term) by `K.score`; ties by rank, then term."""
+    lists = found.groupBy(F.col(key).alias("_k")).agg(F.collect_list(F.struct("rank", "term")).alias("_l"))
+    both = df.select(key, F.col(text).alias("_text")).join(lists, F.col(key) == F.col("_k"))
+    scored = F.transform("_l", lambda x: F.struct((-F.round(K.score(x["term"], F.col("_text"), important), 6)).alias("s"), x["rank"].alias("r"), x["term"].alias("t")))
+    each = both.select(key, F.posexplode(F.slice(F.array_sort(scored), 1, n)).alias("_i", "_x"))
+    return each.select(key, (F.col("_i") + 1).alias("rank"), F.col("_x.t").alias("term"), (-F.col("_x.s")).alias("score"))
+
+
+def by_all_methods(df: DataFrame, key: str, text: str, n: int, stop: list[str], important: list[str], more: DataFrame | None = None) -> DataFrame:
+    """(key, method, rank, term, score) of the methods side by side, all scored alike: frequency, score, integrated, and analyser if `more` is given."""
+    lists = {"frequency": by_frequency(df, key, text, n, stop), "score": by_score(df, key, text, n, stop, important)}
+    if more is not None:
+        lists = {"analyser": more} | lists
+    found = {m: rescored(x.where(F.col("rank") <= n).select(key, "rank", "term"), df, key, text, important, n) for m, x in lists.items()}
+    found["integrated"] = integrated(df, key, text, n, stop, important, more)
+    out = [x.withColumn("method", F.lit(m)) for m, x in found.items()]
+    for x in out[1:]:
+        out[0] = out[0].unionByName(x)
+    return out[0].select(key, "method", "rank", "term", "score")
+
+
+def best_method(found: DataFrame, df: DataFrame, key: str, text: str, methods: tuple[str, ...] = ("analyser", "frequency", "score", "integrated")) -> DataFrame:
+    """(key, method, total, terms): of `by_all_methods` the list with the greatest total of the five metrics; ties by the order of `methods`."""
+    lists = found.groupBy(F.col(key).alias("_k"), "method").agg(F.sort_array(F.collect_list(F.struct("rank", "term"))).alias("_l"))
+    sets = lists.groupBy("_k").agg(F.collect_list(F.struct("method", F.col("_l.term").alias("terms"))).alias("_sets"))
+    both = df.select(key, F.col(text).alias("_text")).join(sets, F.col(key) == F.col("_k"))
+    order = F.array(*[F.lit(m) for m in methods])
+    each = F.transform("_sets", lambda x: F.struct((-F.round(K.total(K.metrics(x["terms"], F.col("_text"))), 6)).alias("s"), F.array_position(order, x["method"]).alias("o"), x["method"].alias("m"), x["terms"].alias("t")))
+    best = both.select(key, F.array_min(each).alias("_b"))
+    return best.select(key, F.col("_b.m").alias("method"), (-F.col("_b.s")).alias("total"), F.col("_b.t").alias("terms"))

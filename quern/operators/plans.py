@@ -70,3 +70,21 @@ def inherited(steps: DataFrame, results: DataFrame) -> DataFrame:
     idle = (F.coalesce("n_results", F.lit(0)) == 0) & ~F.col("action").isin("rag_search", "web_search") & (F.col("_best") > 0)
     score = F.when(F.coalesce("status", F.lit("failed")) != "success", 0.0).when(idle, F.col("_best")).otherwise(F.col("confidence"))
     return own.join(best, ["plan_id", "step_id"], "left").select("plan_id", "step_id", score.alias("confidence"))
+
+
+def invalid_dependencies(steps: DataFrame) -> DataFrame:
+    """(plan_id, step_id, need, problem): dependencies on a step that the plan hasn't ("unknown") and on a step not before ("backward"); one may be both."""
+    needs = steps.select("plan_id", "step_id", F.explode("depends_on").alias("need"))
+    there = steps.select(F.col("plan_id").alias("_p"), F.col("step_id").alias("_s")).distinct()
+    both = needs.join(there, (F.col("plan_id") == F.col("_p")) & (F.col("need") == F.col("_s")), "left")
+    problems = F.array_compact(F.array(F.when(F.col("_s").isNull(), "unknown"), F.when(F.col("need") >= F.col("step_id"), "backward")))
+    return both.select("plan_id", "step_id", "need", F.explode(problems).alias("problem"))
+
+
+def step_inputs(steps: DataFrame, results: DataFrame) -> DataFrame:
+    """(plan_id, step_id, inputs): the outputs of the steps that a step depends on and that succeeded, by step; an empty array without any."""
+    needs = steps.select("plan_id", "step_id", F.explode_outer("depends_on").alias("_need"))
+    done = results.where("status = 'success'").select(F.col("plan_id").alias("_p"), F.col("step_id").alias("_s"), "output")
+    both = needs.join(done, (F.col("plan_id") == F.col("_p")) & (F.col("_need") == F.col("_s")), "left")
+    found = F.sort_array(F.collect_list(F.when(F.col("output").isNotNull(), F.struct("_s", "output"))))
+    return both.groupBy("plan_id", "step_id").agg(found.alias("_l")).select("plan_id", "step_id", F.col("_l.output").alias("inputs"))

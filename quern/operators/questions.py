@@ -188,3 +188,13 @@ def layered(df: DataFrame, key: str, text: str, japanese: bool = False) -> DataF
     found = F.slice(F.array_distinct(F.regexp_extract_all(t, F.lit(names), F.lit(0))), 1, 6)
     third = F.transform(found, lambda e: row(3, ask(about, e), F.get(F.filter(F.split(t, "[。.!?]"), lambda s: F.contains(s, e)), F.lit(0))))
     return df.where(t.isNotNull()).select(key, F.inline(F.concat(F.array(row(1, F.lit(whole), F.substring(t, 1, 500))), second, third)))
+
+
+def by_quota(items: DataFrame, key: str, level: str, weight: str, ties: list, n: int, shares: dict[str, float]) -> DataFrame:
+    """`items` with rank: n of each key, by levels in the order of `shares`, int(n * share) of each by falling weight; then the rest by falling weight."""
+    order = F.coalesce(*[F.when(F.col(level) == k, i) for i, k in enumerate(shares)])
+    most = F.coalesce(*[F.when(F.col(level) == k, int(n * v)) for k, v in shares.items()], F.lit(0))
+    place = F.row_number().over(W.partitionBy(key, level).orderBy(F.desc(weight), *ties))
+    dealt_ = items.withColumn("_in", place <= most).withColumn("_level", F.when(F.col("_in"), order))
+    rank = F.row_number().over(W.partitionBy(key).orderBy(F.desc("_in"), "_level", F.desc(weight), *ties))
+    return dealt_.withColumn("rank", rank).where(F.col("rank") <= n).drop("_in", "_level")

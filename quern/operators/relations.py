@@ -40,3 +40,10 @@ def relations(df: DataFrame, key: str, text: str, terms: str) -> DataFrame:
     together = F.flatten(F.transform("_t", lambda a, i: F.transform(F.slice("_t", i + 2, F.size("_t")), lambda b: pair(a, b))))
     pairs = own.select(key, "_i", "_s", F.coalesce("_r", F.lit("co_occurs")).alias("relation"), F.inline(F.when(F.col("_r").isNotNull(), nexts).otherwise(together)))
     return pairs.groupBy(key, "source", "target", "relation").agg(F.min_by("_s", "_i").alias("context"))
+
+
+def related(found: DataFrame, edges: DataFrame, key: str) -> DataFrame:
+    """(key, term, others): for each of a document's terms (key, term) the terms at the other end of its relations (key, source, target), in either direction, once, sorted."""
+    ways = [edges.select(F.col(key).alias("_k"), F.col(a).alias("_t"), F.col(b).alias("_o")) for a, b in (("source", "target"), ("target", "source"))]
+    both = found.select(key, "term").join(ways[0].unionByName(ways[1]), (F.col(key) == F.col("_k")) & (F.col("term") == F.col("_t")), "left")
+    return both.groupBy(key, "term").agg(F.sort_array(F.collect_set("_o")).alias("others"))

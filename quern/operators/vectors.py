@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 BLOCK = 4_096  # vectors of a pair of blocks, about, half of them from each side
 
 
-def _unit(rows) -> np.ndarray:
+def unit(rows) -> np.ndarray:
     x = np.stack([np.asarray(v, float) for v in rows])
     n = np.linalg.norm(x, axis=1, keepdims=True)
     return x / np.where(n == 0, 1, n)
@@ -45,7 +45,7 @@ def top_k(points: DataFrame, queries: DataFrame, k: int, key: str = "vec_id", ve
         out = []
         if len(q):
             own = p[key].to_numpy()
-            sim = np.round(_unit(q["_vector"]) @ _unit(p[vector]).T, 6)
+            sim = np.round(unit(q["_vector"]) @ unit(p[vector]).T, 6)
             for i, row in zip(q["query_id"], sim, strict=True):
                 best = np.lexsort((own, -row))[:k]
                 out.append(pd.DataFrame({"query_id": i, key: own[best], "sim": row[best]}))
@@ -63,7 +63,7 @@ def best(chunks: DataFrame, others: DataFrame, key: str = "vec_id", vector: str
     """(key, best): each chunk's greatest cosine with any of `others`; 0 without others or without a vector. Blocks of both meet as products."""
 
     def most(c: pd.DataFrame, o: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({key: c[key], "best": np.round((_unit(c[vector]) @ _unit(o["_vector"]).T).max(axis=1), 6) if len(c) else []})
+        return pd.DataFrame({key: c[key], "best": np.round((unit(c[vector]) @ unit(o["_vector"]).T).max(axis=1), 6) if len(c) else []})
 
     other = others.where(F.col(vector).isNotNull() & F.col(key).isNotNull()).select(F.col(key).alias("_other"), F.col(vector).alias("_vector"))
     have = F.col(vector).isNotNull() & F.col(key).isNotNull()

@@ -1 +1,3 @@
 """Registered queries."""
+
+from quern.plans import registry, workflows  # noqa: F401
