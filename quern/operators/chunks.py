@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 END = re.compile(r"[^。．.！？!?]+[。．.！？!?]\s*")
@@ -142,6 +142,14 @@ SMALL = "chunk_idx_first int, tokens int, text string, original_chunks array<int
 FORWARD = "chunk_idx int, tokens int, text string, last_idx int"
 
 
+def sampled(chunks: DataFrame, most: int) -> DataFrame:
+    """At most so many of each document's chunks, evenly spaced from the first; all of a document that has no more."""
+    own = Window.partitionBy("doc_id")
+    place, n = F.row_number().over(own.orderBy("chunk_idx")) - 1, F.count("*").over(own)
+    step = F.greatest(F.lit(1), F.floor(F.col("_n") / most))
+    return chunks.withColumns({"_i": place, "_n": n}).where((F.col("_i") % step == 0) & (F.floor(F.col("_i") / step) < most)).drop("_i", "_n")
+
+
 def merged_small(chunks: DataFrame, small: int = 150, most: int = 400) -> DataFrame:
     """Neighbouring chunks of a document under `small` tokens joined up to `most`; a larger chunk stands alone. Joined texts are counted anew."""
 

@@ -198,3 +198,24 @@ def by_quota(items: DataFrame, key: str, level: str, weight: str, ties: list, n:
     dealt_ = items.withColumn("_in", place <= most).withColumn("_level", F.when(F.col("_in"), order))
     rank = F.row_number().over(W.partitionBy(key).orderBy(F.desc("_in"), "_level", F.desc(weight), *ties))
     return dealt_.withColumn("rank", rank).where(F.col("rank") <= n).drop("_in", "_level")
+
+
+# An answer by level: what follows the term, how much of the hint, and what stands in for a hint.
+ANSWERS = {
+    "basic": ("は、", 100, "文書内で言及されている重要な概念です。"),
+    "intermediate": ("について、", 150, "文書では詳細に説明されており、その特徴や使用方法が示されています。"),
+    "advanced": ("の", 200, "技術的な詳細や応用例が文書内で議論されています。"),
+}
+
+
+def answer_by_level(term: Column, level: Column, hint: Column) -> Column:
+    """An answer about a term from a hint, such as its best sentence; a null or empty hint is replaced, an unknown level is advanced."""
+    told = {k: F.concat(term, F.lit(join), F.when(F.length(hint) > 0, F.substring(hint, 1, n)).otherwise(other)) for k, (join, n, other) in ANSWERS.items()}
+    return F.when(level == "basic", told["basic"]).when(level == "intermediate", told["intermediate"]).otherwise(told["advanced"])
+
+
+def answer_with_related(term: Column, level: Column, hint: Column, others: Column) -> Column:
+    """The hint, and unless the level is basic the first two related terms; without a hint that it is about the term."""
+    named = F.concat(F.lit("関連する概念として、"), F.array_join(F.slice(others, 1, 2), "、"), F.lit("があります。"))
+    more = F.concat(hint, F.lit(" "), F.when(level != "basic", named).otherwise(""))
+    return F.when(F.length(hint) > 0, F.when(F.size(others) > 0, more).otherwise(hint)).otherwise(F.concat(term, F.lit("に関する説明")))

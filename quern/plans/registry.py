@@ -122,7 +122,11 @@ def paragraph_counts(s, d):
     return _docs(s, d).select("doc_id", F.size(T.paragraphs(F.col("text"))).cast("bigint").alias("n_paragraphs"))
 
 
-@query()
+_ENDS = "。．.！？!?"
+_SENTENCES = f"(SELECT doc_id, list_filter(list_transform(CASE WHEN len(p) = 0 THEN [text] ELSE list_append(p, split_part(text, rtrim(p[-1], ' \t\n\r'), -1)) END, lambda x: trim(x, ' \t\n\r')), lambda x: x <> '') AS l FROM (SELECT doc_id, text, regexp_extract_all(text, '[^{_ENDS}]+[{_ENDS}]\\s*') AS p FROM documents))"
+
+
+@query(f"SELECT doc_id, generate_subscripts(l, 1)::INT - 1 AS i, unnest(l) AS sentence FROM {_SENTENCES}")
 def sentence_rows(s, d):
     return _docs(s, d).select("doc_id", F.posexplode(T.sentences(F.col("text"))).alias("i", "sentence"))
 
@@ -287,9 +291,9 @@ def session_counts(s, d):
     return E.sessions(table(s, d, "events")).select(F.col("session.start").alias("start"), "user_id", "n")
 
 
-@query()
+@query("SELECT time_bucket(INTERVAL 10 second, ts) - INTERVAL 10 second * back AS start, event_type, count(*) AS n, count(*) > 3 AS over FROM events, range(6) t(back) GROUP BY 1, 2")
 def sliding_rates(s, d):
-    return E.rates(table(s, d, "events"), 3).select(F.col("window.start").alias("start"), "event_type", "n", "over")
+    return E.rates(table(s, d, "events"), 3, step="10 seconds").select(F.col("window.start").alias("start"), "event_type", "n", "over")
 
 
 @query("SELECT event_type, mode_n AS n, top FROM (SELECT event_type, count(*) AS mode_n, arg_max(user_id, value) AS top FROM events GROUP BY 1)")
@@ -339,7 +343,11 @@ def keywords_by_coverage(s, d):
     return keywords.enough(both, "doc_id", "text", 0.3)
 
 
-@query()
+_TOLD = " + ".join(f"contains(sentence, '{p}')::INT" for p in K.EXPLANATORY)
+_TELLS = f"least(1, (1 - (strpos(sentence, term) - 1) / length(sentence)) * 0.2::DOUBLE + least(len(regexp_extract_all(sentence, '{K.TECHNICAL}')) / 5, 1) * 0.3::DOUBLE + ({_TOLD}) / {len(K.EXPLANATORY)} * 0.3::DOUBLE + greatest(0, 1 - abs(length(sentence) - 50) / 50) * 0.2::DOUBLE)"
+
+
+@query(f"WITH s AS (SELECT doc_id, unnest(l) AS sentence, generate_subscripts(l, 1) AS i FROM {_SENTENCES}), c AS (SELECT doc_id, term, sentence, i, round({_TELLS}, 6) AS importance FROM {_TOP} k JOIN s USING (doc_id) WHERE contains(sentence, term)) SELECT doc_id, term, sentence, importance FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, term ORDER BY importance DESC, i) AS r FROM c) WHERE r = 1")
 def keyword_sentences(s, d):
     return questions.best_sentences(_docs(s, d), keywords_by_frequency(s, d), "doc_id", "text")
 
@@ -449,7 +457,7 @@ def forward_chunks(s, d):
     return chunks.chunked_forward(_docs(s, d))
 
 
-@query()
+@query(f"WITH c AS (SELECT doc_id, text, term, unnest(range(1, length(text) + 1)) AS i FROM {_TOP} JOIN documents USING (doc_id)), h AS (SELECT doc_id, unnest(range(i, i + length(term))) AS j FROM c WHERE substr(text, i, length(term)) = term), n AS (SELECT doc_id, count(DISTINCT j) AS n FROM h GROUP BY 1) SELECT doc_id, round(coalesce(n::DOUBLE / length(text), 0), 6) AS covered FROM documents LEFT JOIN n USING (doc_id)")
 def keyword_coverage(s, d):
     return keywords.covered_share(_docs(s, d), keywords_by_frequency(s, d), "doc_id", "text")
 

@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from quern.functions import keywords as K
 from quern.functions import text as T
 from quern.operators import coverage, keywords, models, plans, questions, relations, reports, retrieval, vectors
-from quern.plans.registry import _BEST, _HITS, _NEAR, _SCORE, _SPLIT, _STOPPED, _TERMS, _TOKENS, _TOP, IMPORTANT, ORACLES, STOP, _best, _docs, keyword_levels, keywords_by_frequency, query
+from quern.plans.registry import _BEST, _HITS, _NEAR, _SCORE, _SPLIT, _STOPPED, _TERMS, _TOKENS, _TOP, IMPORTANT, ORACLES, STOP, _best, _docs, keyword_levels, keyword_sentences, keywords_by_frequency, query
+from quern.sources import files
 from quern.sources.tables import table
 
 # Keywords by several methods
@@ -139,6 +140,22 @@ def related_terms(s, d):
     return relations.related(k, edges, "doc_id").withColumn("others", F.concat_ws(",", "others"))
 
 
+_HINTS = f"SELECT * FROM ({ORACLES['keyword_levels']}) JOIN ({ORACLES['keyword_sentences']}) USING (doc_id, term)"
+
+
+@query(f"SELECT doc_id, term, CASE difficulty WHEN 'basic' THEN term || 'は、' || substr(sentence, 1, 100) WHEN 'intermediate' THEN term || 'について、' || substr(sentence, 1, 150) ELSE term || 'の' || substr(sentence, 1, 200) END AS answer FROM ({_HINTS})")
+def answers_by_level(s, d):
+    told = keyword_sentences(s, d).select(F.col("doc_id").alias("_k"), F.col("term").alias("_t"), "sentence")
+    both = keyword_levels(s, d).join(told, (F.col("doc_id") == F.col("_k")) & (F.col("term") == F.col("_t")))
+    return both.select("doc_id", "term", questions.answer_by_level(F.col("term"), F.col("difficulty"), F.col("sentence")).alias("answer"))
+
+
+@query("SELECT count(*) AS rows, sum(length(t))::BIGINT AS chars FROM (SELECT DISTINCT source, lang, trim(regexp_replace(text, '\s+', ' ', 'g')) AS t FROM (SELECT DISTINCT source, lang, text FROM documents)) WHERE length(t) >= 50")
+def preprocessed_rows(s, d):
+    rows = files.preprocessed(_docs(s, d).select("source", "lang", "text"), ["text"], 50).distinct()
+    return rows.agg(F.count("*").alias("rows"), F.sum(F.length("Combined_Text")).alias("chars"))
+
+
 # Plans and test cases: an order is a plan, its lines are steps
 
 _STEPS = "SELECT DISTINCT l_orderkey AS plan_id, l_linenumber AS step_id, CASE WHEN l_linenumber = 1 THEN [] ELSE [l_linenumber - 1, 3] END AS depends_on FROM lineitem"

@@ -36,6 +36,14 @@ def points(pairs: DataFrame, order: str, vector: str, of: str, source: str) -> D
     return pairs.select(number.alias("id"), checked.alias("vector"), payload.alias("payload"), F.lit(of).alias("domain"))
 
 
+def matching(rows: DataFrame, **equal: str | None) -> DataFrame:
+    """The points whose payload has all these values, as `matching(points, domain="cc_news")`; a filter of None asks for nothing."""
+    for name, value in equal.items():
+        if value is not None:
+            rows = rows.where(F.col("domain" if name == "domain" else f"payload.{name}") == value)
+    return rows
+
+
 def create(rows: DataFrame, path: str, again: bool = False) -> None:
     """A collection parted by domain; an existing one only if `again`."""
     rows.write.mode("overwrite" if again else "error").partitionBy("domain").parquet(path)

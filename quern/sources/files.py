@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quern.functions.text import clean, strip
 
-#: Columns that may hold a document's text, in order of preference.
+# Columns that may hold a document's text, in order of preference; other names of a question's and an answer's column.
 CANDIDATES = ("text", "content", "body", "document", "answer", "question")
 ALIASES = {"Question": "question", "Response": "answer", "Answer": "answer", "correct_answer": "answer"}
 
@@ -58,3 +58,61 @@ def save(df: DataFrame, folder: str, name: str) -> None:
 def append(df: DataFrame, path: str) -> None:
     """Rows added to a CSV log."""
     df.write.mode("append").csv(path, header=True)
+
+
+def history(spark: SparkSession, folder: str, pattern: str = "*", newest_first: bool = True) -> DataFrame:
+    """(name, modified, bytes, size) of a folder's files by time, the size as text; contents aren't read."""
+    n = F.col("length")
+    size = F.when(n < 1024, F.format_string("%d B", n)).when(n < 1 << 20, F.format_string("%.1f KB", n / 1024)).otherwise(F.format_string("%.1f MB", n / (1 << 20)))
+    files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(folder)
+    name = F.element_at(F.split("path", "/"), -1)
+    at = F.col("modified")
+    return files.select(name.alias("name"), F.col("modificationTime").alias("modified"), n.alias("bytes"), size.alias("size")).orderBy(at.desc() if newest_first else at.asc(), "name")
+
+
+def newest(spark: SparkSession, folder: str, pattern: str, by_time: bool = False) -> str | None:
+    """The path of the file whose name, as with a date in it, is last, or that was written last; None without any."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(folder)
+    last = files.agg(F.max_by("path", F.struct("modificationTime", "path")) if by_time else F.max("path")).first()
+    return last[0]
+
+
+def matching_columns(df: DataFrame, wanted: list[str]) -> list[str]:
+    """The columns whose name contains a wanted name or stands in one, letters in either case."""
+    return [c for c in df.columns if any(w.lower() in c.lower() or c.lower() in w.lower() for w in wanted)]
+
+
+def preprocessed(df: DataFrame, wanted: list[str], least: int = 1) -> DataFrame:
+    """`df` once a row, without rows of nulls only, its matching columns cleaned, with their Combined_Text of `least` characters or more.
+
+    Rows are compared by all columns, so a map column isn't allowed. Without a matching column no row has text.
+    """
+    own = matching_columns(df, wanted)
+    once = df.dropDuplicates().na.drop("all").withColumns({c: clean(F.col(c).cast("string")) for c in own})
+    return once.withColumn("Combined_Text", F.concat_ws(" ", *[F.nullif(F.col(c), F.lit("")) for c in own])).where(F.length("Combined_Text") >= max(least, 1))
+
+
+def complete_pairs(df: DataFrame, question: str = "question", answer: str = "answer") -> DataFrame:
+    """The rows whose question and answer are neither null nor blank."""
+    return df.where((F.trim(question) != "") & (F.trim(answer) != ""))
+
+
+def preview(df: DataFrame, columns: list[str], n: int = 20) -> DataFrame:
+    """The first n rows of a few columns; the others aren't read."""
+    return df.select(*columns).limit(n)
+
+
+def project(spark: SparkSession, path: str, out: str, columns: tuple[str, ...] = ("question", "answer")) -> None:
+    """A file's columns as another CSV."""
+    read(spark, path).select(*columns).write.mode("overwrite").csv(out, header=True, escape='"')
+
+
+def paragraphs_of(spark: SparkSession, path: str) -> DataFrame:
+    """(text) of a text corpus, a row for what blank lines part, blank ones dropped; files are read in parts."""
+    return spark.read.option("lineSep", "\n\n").text(path).select(strip(F.col("value")).alias("text")).where("text <> ''")
+
+
+def entries(df: DataFrame, number: str, columns: tuple[str, ...] = ("question", "answer")) -> DataFrame:
+    """(value): each row as a text of named fields under its number, blank fields left out, to be written as a corpus."""
+    fields = [F.when(strip(F.col(c)) != "", F.concat(F.lit(f"**{c}**: "), strip(F.col(c)))) for c in columns if c in df.columns]
+    return df.select(F.concat_ws("\n", F.concat(F.lit("## Entry "), F.col(number)), *fields, F.lit("\n---\n")).alias("value"))

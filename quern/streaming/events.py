@@ -9,9 +9,9 @@ from pyspark.sql.streaming import StreamingQuery
 from quern.operators.profile import upserted
 
 
-def rates(events: DataFrame, most: int = 50, late: str = "10 minutes") -> DataFrame:
-    """(window, event_type, n, over): events in sliding minutes and whether they pass the limit."""
-    w = F.window("ts", "60 seconds", "10 seconds")
+def rates(events: DataFrame, most: int = 50, late: str = "10 minutes", step: str = "1 second") -> DataFrame:
+    """(window, event_type, n, over): events in minutes that slide by `step` and whether they pass the limit; each event is in a row for each step of a minute."""
+    w = F.window("ts", "60 seconds", step)
     return events.withWatermark("ts", late).groupBy(w, "event_type").agg(F.count("*").alias("n")).withColumn("over", F.col("n") > most)
 
 

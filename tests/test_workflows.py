@@ -1,9 +1,11 @@
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from quern.functions import text as T
-from quern.operators import coverage, keywords, plans, questions, relations, reports, retrieval
+from quern.operators import chunks, coverage, keywords, plans, questions, relations, reports, retrieval
 from quern.operators.models import shared_words
+from quern.sources import collections, files
 
 
 def out(df):
@@ -104,3 +106,53 @@ def test_cases(spark):
     cases = spark.createDataFrame([(1, True, "c", "t", "not_found_response"), (2, False, None, None, None), (3, True, None, None, None)], "id int, expected_tool_use boolean, expected_collection string, expected_tool string, expected_behavior string")
     ran = spark.createDataFrame([(1, True, None, "t", "情報がありません。"), (2, False, "x", None, None)], "id int, tool_used boolean, collection string, tool string, answer string")
     assert sorted(out(reports.compared(cases, ran, "id"))) == [(1, False, "collection"), (2, True, ""), (3, False, "route")]
+
+
+def test_chunks_sampled_evenly(spark):
+    df = spark.createDataFrame([(1, i) for i in range(10)] + [(2, 0)], "doc_id int, chunk_idx int")
+    assert sorted(out(chunks.sampled(df, 4))) == [(1, 0), (1, 2), (1, 4), (1, 6), (2, 0)]
+
+
+def test_answers(spark):
+    df = spark.createDataFrame([("t", "basic", "h", ["a"]), ("t", "advanced", "h", ["a", "b", "c"]), ("t", "advanced", None, []), ("t", "basic", "h", [])], "t string, l string, h string, o array<string>")
+    c = [F.col(x) for x in "tlho"]
+    got = out(df.select(questions.answer_by_level(*c[:3]), questions.answer_with_related(*c)))
+    assert got == [("tは、h", "h "), ("tのh", "h 関連する概念として、a、bがあります。"), ("tの技術的な詳細や応用例が文書内で議論されています。", "tに関する説明"), ("tは、h", "h")]
+
+
+def test_files_by_name_and_time(spark, tmp_path):
+    import os
+
+    for i, (name, n) in enumerate([("b_2.csv", 10), ("b_1.csv", 2048), ("c.txt", 1)]):
+        (tmp_path / name).write_text("x" * n)
+        os.utime(tmp_path / name, (1_000 + i, 1_000 + i))
+    assert [(r["name"], r["size"]) for r in files.history(spark, str(tmp_path)).collect()] == [("c.txt", "1 B"), ("b_1.csv", "2.0 KB"), ("b_2.csv", "10 B")]
+    assert files.newest(spark, str(tmp_path), "b_*").endswith("b_2.csv")
+    assert files.newest(spark, str(tmp_path), "b_*", by_time=True).endswith("b_1.csv")
+    assert files.newest(spark, str(tmp_path), "z*") is None
+
+
+def test_preprocessing(spark):
+    df = spark.createDataFrame([("a  b", "x"), ("a  b", "x"), (None, None), (" ", "y"), ("c", None)], "Question string, other string")
+    assert sorted(out(files.preprocessed(df, ["question"]).select("Combined_Text"))) == [("a b",), ("c",)]
+    assert files.matching_columns(df, ["questions"]) == ["Question"]
+    pairs = spark.createDataFrame([("q", "a"), (" ", "a"), ("q", None)], "question string, answer string")
+    assert out(files.complete_pairs(pairs)) == [("q", "a")]
+    assert out(files.preview(pairs, ["question"], 1)) == [("q",)]
+
+
+def test_corpora(spark, tmp_path):
+    (tmp_path / "t.txt").write_text("one\nline\n\n\n\ntwo ")
+    assert sorted(out(files.paragraphs_of(spark, str(tmp_path / "t.txt")))) == [("one\nline",), ("two",)]
+    df = spark.createDataFrame([(0, "q", " "), (1, "r", "a")], "n int, question string, answer string")
+    assert out(files.entries(df, "n")) == [("## Entry 0\n**question**: q\n\n---\n",), ("## Entry 1\n**question**: r\n**answer**: a\n\n---\n",)]
+    (tmp_path / "p.csv").write_text("id,question,answer\n1,q,a\n")
+    files.project(spark, str(tmp_path / "p.csv"), str(tmp_path / "o"))
+    assert out(spark.read.csv(str(tmp_path / "o"), header=True)) == [("q", "a")]
+    with pytest.raises(ValueError):
+        files.read(spark, "x.bin")
+
+
+def test_points_by_payload(spark):
+    df = spark.createDataFrame([("a", ("m",)), ("a", ("n",)), ("b", ("m",))], "domain string, payload struct<method string>")
+    assert collections.matching(df, domain="a", method="m").count() == 1 and collections.matching(df, domain=None).count() == 3
