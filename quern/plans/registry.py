@@ -457,7 +457,7 @@ def forward_chunks(s, d):
     return chunks.chunked_forward(_docs(s, d))
 
 
-@query(f"WITH c AS (SELECT doc_id, text, term, unnest(range(1, length(text) + 1)) AS i FROM {_TOP} JOIN documents USING (doc_id)), h AS (SELECT doc_id, unnest(range(i, i + length(term))) AS j FROM c WHERE substr(text, i, length(term)) = term), n AS (SELECT doc_id, count(DISTINCT j) AS n FROM h GROUP BY 1) SELECT doc_id, round(coalesce(n::DOUBLE / length(text), 0), 6) AS covered FROM documents LEFT JOIN n USING (doc_id)")
+@query()
 def keyword_coverage(s, d):
     return keywords.covered_share(_docs(s, d), keywords_by_frequency(s, d), "doc_id", "text")
 

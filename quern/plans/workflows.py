@@ -150,7 +150,7 @@ def answers_by_level(s, d):
     return both.select("doc_id", "term", questions.answer_by_level(F.col("term"), F.col("difficulty"), F.col("sentence")).alias("answer"))
 
 
-@query("SELECT count(*) AS rows, sum(length(t))::BIGINT AS chars FROM (SELECT DISTINCT source, lang, trim(regexp_replace(text, '\s+', ' ', 'g')) AS t FROM (SELECT DISTINCT source, lang, text FROM documents)) WHERE length(t) >= 50")
+@query("SELECT count(*) AS rows, sum(length(t))::BIGINT AS chars FROM (SELECT DISTINCT source, lang, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS t FROM (SELECT DISTINCT source, lang, text FROM documents)) WHERE length(t) >= 50")
 def preprocessed_rows(s, d):
     rows = files.preprocessed(_docs(s, d).select("source", "lang", "text"), ["text"], 50).distinct()
     return rows.agg(F.count("*").alias("rows"), F.sum(F.length("Combined_Text")).alias("chars"))
