@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from quern.functions.text import search_quality
+
 
 def tool_success(done: Column, runs: Column, rate: Column) -> Column:
     """Share of a step's tool runs that succeeded; without runs the rate given."""
@@ -50,26 +53,108 @@ def ready(steps: DataFrame, results: DataFrame) -> DataFrame:
     return met.groupBy("plan_id", "step_id").agg(F.bool_and(F.col("need").isNull() | F.coalesce("ok", F.lit(False))).alias("ready"))
 
 
+START = (0.9, 0.7, 0.4)
+
+
+def moved(state: tuple, recent: list, last: int = 10) -> tuple:
+    """Thresholds (silent, notify, confirm) after a record: of the `last` records, the new one included, over 30 % confident but
+    wrong raise all three by 0.05, else over 30 % doubtful but right lower them; fewer records change nothing."""
+    a, b, c = state
+    if len(recent) < last:
+        return state
+    if sum(x > b and not ok for x, ok in recent) / last > 0.3:
+        a, b, c = min(0.95, a + 0.05), min(0.85, b + 0.05), min(0.6, c + 0.05)
+    elif sum(x < c and ok for x, ok in recent) / last > 0.3:
+        a, b, c = max(0.8, a - 0.05), max(0.6, b - 0.05), max(0.3, c - 0.05)
+    return round(a, 6), round(b, 6), round(c, 6)
+
+
+def _states() -> list[tuple]:
+    """All thresholds that can be reached."""
+    found = [START]
+    for s in found:
+        for x, ok in ((1.0, False), (0.0, True)):
+            found += [n for n in [moved(s, [(x, ok)] * 10)] if n not in found]
+    return found
+
+
 def thresholds(feedback: DataFrame, key: str = "user_id", last: int = 10) -> DataFrame:
-    """(key, silent, notify, confirm) after a fold over each key's feedback (ts, confidence, was_correct) in order.
+    """(key, silent, notify, confirm) after a fold by `moved` over each key's feedback (ts, confidence, was_correct) in order.
 
-    Of the last ten records, over 30 % confident but wrong raise all three by 0.05, else over 30 % doubtful but right lower them.
+    Records go by ts, then confidence, then was_correct, nulls first; a null confidence is neither sure nor doubtful, a null
+    was_correct is wrong. Records are sorted over all tasks, so a key may span several: each gives its first records and what the
+    others make of every state the thresholds can be in (they are few), and a second fold takes these, one a task, in order.
     """
+    states = _states()
+    place = {s: i for i, s in enumerate(states)}
+    of = feedback.schema[key].dataType.simpleString()
+    record = "struct<x: double, ok: boolean>"
+
+    def pieces(batches):
+        task, now, head, tail, to = TaskContext.get().partitionId(), None, [], [], []
+        out = lambda: pd.DataFrame({key: pd.Series([now[0]], dtype=object), "_task": [task], "_head": [[{"x": x, "ok": ok} for x, ok in head]], "_tail": [[{"x": x, "ok": ok} for x, ok in tail]], "_to": [to]})
+        for pdf in batches:
+            for k, x, ok in zip(pdf[key], pdf["confidence"], pdf["was_correct"], strict=True):
+                k = None if pd.isna(k) else k
+                if now != (k,):
+                    if now:
+                        yield out()
+                    now, head, tail, to = (k,), [], [], list(range(len(states)))
+                r = (float("nan") if x is None else float(x), ok is not None and not pd.isna(ok) and bool(ok))
+                tail = [*tail, r][-last:]
+                if len(head) < last - 1:
+                    head.append(r)
+                else:
+                    go = {i: place[moved(states[i], tail, last)] for i in set(to)}
+                    to = [go[i] for i in to]
+        if now:
+            yield out()
 
     def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        a, b, c = 0.9, 0.7, 0.4
-        recent: list[tuple[float, bool]] = []
-        for r in pdf.sort_values(["ts", "confidence"]).itertuples():
-            recent = [*recent, (float(r.confidence), bool(r.was_correct))][-last:]
-            if len(recent) < last:
-                continue
-            if sum(x > b and not ok for x, ok in recent) / last > 0.3:
-                a, b, c = min(0.95, a + 0.05), min(0.85, b + 0.05), min(0.6, c + 0.05)
-            elif sum(x < c and ok for x, ok in recent) / last > 0.3:
-                a, b, c = max(0.8, a - 0.05), max(0.6, b - 0.05), max(0.3, c - 0.05)
-        return pd.DataFrame({key: [pdf[key].iloc[0]], "silent": [round(a, 6)], "notify": [round(b, 6)], "confirm": [round(c, 6)]})
-
-    return feedback.groupBy(key).applyInPandas(fold, f"{key} bigint, silent double, notify double, confirm double")
+        state, recent = START, []
+        for _, head, tail, to in sorted(zip(pdf["_task"], pdf["_head"], pdf["_tail"], pdf["_to"], strict=True), key=lambda r: r[0]):
+            for r in head:
+                recent = [*recent, (r["x"], r["ok"])][-last:]
+                state = moved(state, recent, last)
+            state, recent = states[to[place[state]]], [*recent, *[(r["x"], r["ok"]) for r in tail]][-last:]
+        return pd.DataFrame({key: pd.Series([pdf[key].iloc[0]], dtype=object), "silent": [state[0]], "notify": [state[1]], "confirm": [state[2]]})
+
+    rows = feedback.select(key, "ts", F.col("confidence").cast("double").alias("confidence"), "was_correct")
+    order = [key, "ts", "confidence", "was_correct"]
+    ranges = rows.repartitionByRange(*order).sortWithinPartitions(*order)
+    parts = ranges.mapInPandas(pieces, f"`{key}` {of}, _task int, _head array<{record}>, _tail array<{record}>, _to array<int>")
+    return parts.groupBy(key).applyInPandas(fold, f"`{key}` {of}, silent double, notify double, confirm double")
+
+
+def assembled(plans: DataFrame) -> DataFrame:
+    """(plan_id, step_id, confidence) of the steps of each plan, in order of step_id.
+
+    `plans` has a row a step: plan_id, step_id, action, depends_on, status, n_results, top, mean, variance (of its results' scores),
+    n_sources, agreement (null: 1). A failed step has 0. A step that isn't a search and has no results takes the best confidence of
+    the steps it depends on for its results' scores, as one result; so confidences run along the plan, which is folded in the row
+    (a plan is a model's answer, its steps are few). Nulls: no results, no sources, variance 1.
+    """
+    names = ("step_id", "action", "depends_on", "status", "n_results", "top", "mean", "variance", "n_sources", "agreement")
+    one = plans.groupBy("plan_id").agg(F.array_sort(F.collect_list(F.struct(*names))).alias("_steps"))
+    zero = F.lit(0.0)
+
+    def add(done: Column, s: Column) -> Column:
+        search = s["action"].isin("rag_search", "web_search")
+        before = F.coalesce(F.array_max(F.transform(F.filter(done, lambda d: F.array_contains(s["depends_on"], d["step_id"])), lambda d: d["confidence"])), zero)
+        own = F.coalesce(s["n_results"], F.lit(0)) > 0
+        takes = ~own & ~search & (before > 0)
+        top, mean = (F.when(takes, before).otherwise(F.coalesce(s[c], zero)) for c in ("top", "mean"))
+        found = F.when(own, s["n_results"]).when(takes, 1).otherwise(0)
+        quality = F.when(found > 0, search_quality(top, mean, F.coalesce(s["variance"], F.lit(1.0)))).otherwise(zero)
+        n = F.coalesce(s["n_sources"], F.lit(0))
+        factor, _ = penalties(search, found, F.lit(1.0), n, zero)
+        value = score(search, quality, F.coalesce(s["agreement"], F.lit(1.0)), zero, zero, F.lit(1.0), n, factor)
+        right = F.coalesce(s["status"] == "success", F.lit(False))
+        return F.array_append(done, F.struct(s["step_id"].alias("step_id"), F.when(right, value).otherwise(zero).alias("confidence")))
+
+    kind = plans.schema["step_id"].dataType.simpleString()
+    none = F.array().cast(f"array<struct<step_id: {kind}, confidence: double>>")
+    return one.select("plan_id", F.inline(F.aggregate("_steps", none, add)))
 
 
 def overridden(judged: Column, found: Column, searched: Column, sure: float = 0.9) -> Column:
