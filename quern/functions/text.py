@@ -93,6 +93,35 @@ def complexity(c: Column, lang: str = "en") -> Column:
     return F.when((density > 5) | (mean > 30), "high").when((density > 2) | (mean > 20), "medium").otherwise("low")
 
 
+# Signs of Japanese in the first hundred characters of a text; over three of them make it Japanese.
+JAPANESE_SIGNS = ("。", "は", "が", "を", "に", "で", "と", "の")
+
+
+def scored_complexity(c: Column) -> Column:
+    """struct<lang, score, level, statistics>: 3, 2 or 1 for technical terms per hundred tokens, 2, 1 or 0 for tokens a sentence of over
+    five characters, 1 for three or more numbers; high from 5, medium from 3. The language is told by signs; a null text is empty."""
+    text = F.coalesce(c, F.lit(""))
+    japanese = sum((F.contains(F.substring(text, 1, 100), F.lit(x)).cast("int") for x in JAPANESE_SIGNS), F.lit(0)) > 3
+    tokens = estimated_tokens(text)
+    found = F.when(japanese, F.regexp_count(text, F.lit(TECHNICAL["ja"]))).otherwise(F.regexp_count(text, F.lit(TECHNICAL["en"])))
+    parts = F.when(japanese, F.split(text, "。", -1)).otherwise(F.split(text, r"\.", -1))
+    mean = tokens / F.greatest(F.size(F.filter(parts, lambda s: F.length(strip(s)) > 5)), F.lit(1))
+    dense = found * 100.0 / F.greatest(tokens, F.lit(1))
+    numbers = F.regexp_count(text, F.lit(r"[0-9]+\.?[0-9]*%?")) > 2
+    score = F.when(dense > 5, 3).when(dense > 2, 2).otherwise(1) + F.when(mean > 30, 2).when(mean > 20, 1).otherwise(0) + numbers.cast("int")
+    level = F.when(score >= 5, "high").when(score >= 3, "medium").otherwise("low")
+    return F.struct(F.when(japanese, "ja").otherwise("en").alias("lang"), score.alias("score"), level.alias("level"), numbers.alias("statistics"))
+
+
+def looked_up(name: Column, values: dict, default) -> Column:
+    """What `values` gives for a name, such as a model's limits or prices by name (numbers or dicts of numbers, as structs); else the default."""
+    lit = lambda v: F.struct(*[F.lit(x).alias(k) for k, x in v.items()]) if isinstance(v, dict) else F.lit(v)
+    if not values:
+        return lit(default)
+    table = F.create_map(*[x for k, v in values.items() for x in (F.lit(k), lit(v))])
+    return F.coalesce(F.try_element_at(table, name), lit(default))
+
+
 def length_level(c: Column) -> Column:
     """struct<level, sentences, mean, tokens>: high / medium / low by all tokens and by tokens a sentence; an empty or null text is low."""
     text = F.coalesce(c, F.lit(""))

@@ -6,8 +6,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from quern.functions import keywords as K
 from quern.functions.keywords import importance
 from quern.functions.text import plain_words, sentences, strip, terms
+from quern.operators import keywords
 
 # What a definition, a naming and an enumeration look like, and the sentences made of them.
 DEFINED = r"([^。]+)とは([^。]+)(?:である|です)"
@@ -219,3 +221,96 @@ def answer_with_related(term: Column, level: Column, hint: Column, others: Colum
     named = F.concat(F.lit("関連する概念として、"), F.array_join(F.slice(others, 1, 2), "、"), F.lit("があります。"))
     more = F.concat(hint, F.lit(" "), F.when(level != "basic", named).otherwise(""))
     return F.when(F.length(hint) > 0, F.when(F.size(others) > 0, more).otherwise(hint)).otherwise(F.concat(term, F.lit("に関する説明")))
+
+
+# Questions on a named entity by its kind ("" is any other), and on when and where something happens.
+ENTITIES = {
+    "PERSON": ["{}は誰ですか？", "{}は何をしましたか？", "{}の役割は何ですか？"],
+    "ORG": ["{}はどのような組織ですか？", "{}の使命は何ですか？", "{}は何を提供していますか？"],
+    "PRODUCT": ["{}の特徴は何ですか？", "{}はどのように使われますか？", "{}の利点は何ですか？"],
+    "WORK_OF_ART": ["{}の特徴は何ですか？", "{}はどのように使われますか？", "{}の利点は何ですか？"],
+    "": ["{}とは何ですか？", "{}の重要性は何ですか？", "{}の例を挙げてください。"],
+}
+
+
+def by_entity(df: DataFrame, entities: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, entity, question, answer, type, confidence): three questions on each of `entities` (key, entity, kind), answered by the first sentence
+    of the key's text that has it; entities that no sentence has give none. An analyser of the caller tells entities and kinds."""
+    texts = df.select(F.col(key).alias("_k"), F.col(text).alias("_text"))
+    both = entities.where("entity <> ''").join(texts, F.col(key) == F.col("_k"))
+    first = F.get(F.filter(F.split("_text", "[。.!?]"), lambda s: F.contains(s, F.col("entity"))), F.lit(0))
+    filled = {k: F.array(*[F.replace(F.lit(q), F.lit("{}"), F.col("entity")) for q in qs]) for k, qs in ENTITIES.items()}
+    asked = F.coalesce(*[F.when(F.col("kind") == k, v) for k, v in filled.items() if k], filled[""])
+    rows = both.select(key, "entity", asked.alias("_q"), strip(first).alias("answer")).where("answer IS NOT NULL")
+    return rows.select(key, "entity", F.explode("_q").alias("question"), "answer", F.lit("entity_based").alias("type"), F.lit(0.75).alias("confidence"))
+
+
+def by_facts(parsed: DataFrame, key: str) -> DataFrame:
+    """(key, question, answer, type, confidence): when and where, for each sentence of `parsed` (key, subjects, verbs, dates, places: arrays that a
+    parser of the caller found in it) with a subject and a verb; the first of each array is taken."""
+    head = lambda c: F.get(c, F.lit(0))
+    who, does = head("subjects"), head("verbs")
+    one = lambda q, c, kind: F.when(who.isNotNull() & does.isNotNull() & head(c).isNotNull(), F.struct(q.alias("question"), F.concat(head(c), F.lit("です。")).alias("answer"), F.lit(kind).alias("type"), F.lit(0.7).alias("confidence")))
+    when = one(F.concat(who, F.lit("はいつ"), does, F.lit("ましたか？")), "dates", "temporal")
+    where = one(F.concat(who, F.lit("はどこで"), does, F.lit("ますか？")), "places", "location")
+    return parsed.select(key, F.inline(F.array_compact(F.array(when, where))))
+
+
+def for_keywords(df: DataFrame, key: str, text: str, n: int, stop: list[str], important: list[str], shares: dict[str, float]) -> DataFrame:
+    """(key, term, question, answer_length): two questions on each of up to n keywords of a text, by quotas of difficulty.
+
+    Of the 2n best keywords those that can be asked about stay, without ones that others contain or mean; their difficulty and
+    category are told from the text.
+    """
+    found = keywords.integrated(df, key, text, 2 * n, stop, important).where(K.usable(F.col("term"), stop))
+    found = keywords.without_synonyms(keywords.without_contained(found, key), key)
+    both = found.join(df.select(F.col(key).alias("_k"), F.col(text).alias("_text")), F.col(key) == F.col("_k"))
+    levels = both.select(key, "term", "rank", "score", K.difficulty(F.col("term"), F.col("_text")).alias("difficulty"), K.category(F.col("term")).alias("category"))
+    kept = by_quota(levels.withColumnRenamed("rank", "_place"), key, "difficulty", "score", ["_place"], n, shares)
+    return by_template(kept.select(key, "term", "difficulty", "category"), key)
+
+
+def in_phases(df: DataFrame, phases: list[DataFrame], key: str, text: str, n: int = 20, least: float = 0.7) -> DataFrame:
+    """(key, place, question, answer, type, quality): up to n pairs of each text from phases (key, question, answer, type, confidence) in order, such as rules,
+    templates and a model's answers: each fills what those before it left open.
+
+    Rule pairs under `least` confidence are left out, and a question counts once, in its first phase. A pair must stand a check: a question of 5 to
+    200 characters, an answer of 5 to 500, and half or more of the answer's terms in the text. quality is `K.pair_quality` of an intermediate pair; the best stand first.
+    """
+    every = None
+    for i, p in enumerate(phases):
+        one = p.where(F.col("confidence") >= least).select(key, F.lit(i).alias("_phase"), "question", "answer", "type", "confidence")
+        every = one if every is None else every.unionByName(one)
+    first = F.min(F.struct("_phase", -F.col("confidence"), "answer", "type"))
+    once = every.groupBy(key, "question").agg(first.alias("_f")).select(key, "question", "_f._phase", "_f.answer", "_f.type")
+    texts = df.select(F.col(key).alias("_k"), F.col(text).alias("_text"))
+    told = F.array_distinct(terms(F.col("answer")))
+    known = F.size(F.filter(told, lambda w: F.contains(F.col("_text"), w))) * 2 >= F.size(told)
+    sound = F.length("question").between(5, 200) & F.length("answer").between(5, 500) & known
+    good = once.join(texts, F.col(key) == F.col("_k")).where(sound).drop("_k", "_text")
+    quality = F.round(K.pair_quality(F.col("question"), F.col("answer"), F.lit("intermediate"), F.size(terms(F.col("question"))), F.col("type")), 6)
+    scored = good.withColumn("quality", quality)
+    ranked = scored.withColumn("_r", F.row_number().over(W.partitionBy(key).orderBy("_phase", F.desc("quality"), "question"))).where(F.col("_r") <= n)
+    place = F.row_number().over(W.partitionBy(key).orderBy(F.desc("quality"), "_phase", "question"))
+    return ranked.select(key, place.alias("place"), "question", "answer", "type", "quality")
+
+
+def topped_up(chunks: DataFrame, key: str, at: str, text: str, most: int = 300, n: int = 4, more: int = 50) -> DataFrame:
+    """(key, at, i, question, answer, type): questions on a document's chunks by `by_chunk`, those that begin with the same 30 characters once.
+
+    Of a document with over `most` chunks evenly spaced ones are taken (at most `most`; a sampling operator). Where fewer than two questions
+    a chunk come out, the `more` chunks after that number of them give two each.
+    """
+    w = W.partitionBy(key)
+    rows = chunks.select(key, at, text, (F.row_number().over(w.orderBy(at)) - 1).alias("_i"), F.count("*").over(w).alias("_n"))
+    step = F.greatest(F.floor(F.col("_n") / most), F.lit(1))
+    taken = F.least("_n", F.lit(most))
+    ids = rows.withColumn("_id", F.struct(key, at, "_i", "_n"))
+    chosen = ids.where((F.col("_i") % step == 0) & (F.floor(F.col("_i") / step) < most))
+    asked = by_chunk(chosen, "_id", text, n).select("_id.*", "i", "question", "answer", "type")
+    once = asked.withColumn("_r", F.row_number().over(W.partitionBy(key, F.substring("question", 1, 30)).orderBy("_i", "i"))).where("_r = 1").drop("_r", "_i", "_n")
+    counts = once.groupBy(F.col(key).alias("_key")).agg(F.count("*").alias("_have"))
+    late = ids.where(F.col("_i").between(taken, taken + more - 1))
+    short = late.join(counts, F.col(key) == F.col("_key"), "left").where(F.coalesce("_have", F.lit(0)) < 2 * F.col("_n"))
+    extra = by_chunk(short, "_id", text, 2).select("_id.*", "i", "question", "answer", "type").drop("_i", "_n")
+    return once.unionByName(extra)
