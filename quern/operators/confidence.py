@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
@@ -89,24 +90,43 @@ def thresholds(feedback: DataFrame, key: str = "user_id", last: int = 10) -> Dat
     place = {s: i for i, s in enumerate(states)}
     of = feedback.schema[key].dataType.simpleString()
     record = "struct<x: double, ok: boolean>"
+    up, down = (np.array([place[moved(s, [r] * 10)] for s in states]) for r in ((1.0, False), (0.0, True)))
+    sure, low = (np.array([s[i] for s in states]) for i in (1, 2))
+
+    def often(hit: np.ndarray) -> np.ndarray:
+        """For each window of `last` rows and each state, whether over 30 % of the rows hit."""
+        total = np.concatenate([np.zeros((1, hit.shape[1]), int), np.cumsum(hit, axis=0)])
+        return (total[last:] - total[:-last]) / last > 0.3
 
     def pieces(batches):
-        task, now, head, tail, to = TaskContext.get().partitionId(), None, [], [], []
-        out = lambda: pd.DataFrame({key: pd.Series([now[0]], dtype=object), "_task": [task], "_head": [[{"x": x, "ok": ok} for x, ok in head]], "_tail": [[{"x": x, "ok": ok} for x, ok in tail]], "_to": [to]})
+        task, now, head, xs, oks, to = TaskContext.get().partitionId(), None, [], np.empty(0), np.empty(0, bool), None
+
+        def out() -> pd.DataFrame:
+            listed = lambda x, ok: [{"x": float(a), "ok": bool(b)} for a, b in zip(x, ok, strict=True)]
+            tail = listed(xs, oks) if full else []
+            return pd.DataFrame({key: pd.Series([now[0]], dtype=object), "_task": [task], "_head": [listed(*zip(*head, strict=True)) if head else []], "_tail": [tail], "_to": [to.tolist()]})
+
         for pdf in batches:
-            for k, x, ok in zip(pdf[key], pdf["confidence"], pdf["was_correct"], strict=True):
-                k = None if pd.isna(k) else k
+            names = pdf[key]
+            x, ok = pdf["confidence"].to_numpy(float, na_value=np.nan), (pdf["was_correct"] == True).to_numpy(bool)  # noqa: E712
+            cuts = np.flatnonzero(np.diff(pd.factorize(names)[0])) + 1
+            for lo, hi in zip([0, *cuts], [*cuts, len(pdf)], strict=True):
+                if lo == hi:
+                    continue
+                k = None if pd.isna(names.iloc[lo]) else names.iloc[lo]
                 if now != (k,):
                     if now:
                         yield out()
-                    now, head, tail, to = (k,), [], [], list(range(len(states)))
-                r = (float("nan") if x is None else float(x), ok is not None and not pd.isna(ok) and bool(ok))
-                tail = [*tail, r][-last:]
-                if len(head) < last - 1:
-                    head.append(r)
-                else:
-                    go = {i: place[moved(states[i], tail, last)] for i in set(to)}
-                    to = [go[i] for i in to]
+                    now, head, xs, oks, to, full = (k,), [], np.empty(0), np.empty(0, bool), np.arange(len(states)), False
+                take = min(last - 1 - len(head), hi - lo)
+                full = full or hi - lo > take
+                head += list(zip(x[lo : lo + take], ok[lo : lo + take], strict=True))
+                xs, oks = np.concatenate([xs, x[lo:hi]]), np.concatenate([oks, ok[lo:hi]])
+                if len(xs) >= last:
+                    more, less = often((xs[:, None] > sure) & ~oks[:, None]), often((xs[:, None] < low) & oks[:, None])
+                    for r in np.flatnonzero(more.any(axis=1) | less.any(axis=1)):
+                        to = np.where(more[r][to], up[to], np.where(less[r][to], down[to], to))
+                xs, oks = xs[-(last - 1) :], oks[-(last - 1) :]
         if now:
             yield out()
 
@@ -116,7 +136,8 @@ def thresholds(feedback: DataFrame, key: str = "user_id", last: int = 10) -> Dat
             for r in head:
                 recent = [*recent, (r["x"], r["ok"])][-last:]
                 state = moved(state, recent, last)
-            state, recent = states[to[place[state]]], [*recent, *[(r["x"], r["ok"]) for r in tail]][-last:]
+            if len(tail):
+                state, recent = states[to[place[state]]], [(r["x"], r["ok"]) for r in tail]
         return pd.DataFrame({key: pd.Series([pdf[key].iloc[0]], dtype=object), "silent": [state[0]], "notify": [state[1]], "confirm": [state[2]]})
 
     rows = feedback.select(key, "ts", F.col("confidence").cast("double").alias("confidence"), "was_correct")

@@ -22,7 +22,7 @@ def feedback(seed, n):
     return [(i // 2, round(r.random(), 2), r.random() < (0.1 if i // 40 % 2 else 0.95)) for i in range(n)]
 
 
-@pytest.mark.parametrize("parts", [1, 2, 7, 40])
+@pytest.mark.parametrize("parts", [1, 2, 7, 40, 90])
 def test_thresholds_do_not_depend_on_the_cut(spark, parts):
     rows = {1: feedback(1, 400), 2: feedback(2, 9), 3: feedback(3, 30), None: feedback(4, 12)}
     df = spark.createDataFrame([(k, *r) for k, of in rows.items() for r in of], "user_id bigint, ts int, confidence double, was_correct boolean")
