@@ -25,7 +25,7 @@ def _total(values: Column) -> Column:
     return F.aggregate(values, F.lit(0.0), lambda a, x: a + x)
 
 
-def _let(value: Column, body) -> Column:
+def let(value: Column, body) -> Column:
     """`body(value)` with `value` computed once."""
     return F.element_at(F.transform(F.array(value), body), 1)
 
@@ -59,9 +59,9 @@ def metrics(terms: Column, text: Column) -> dict[str, Column]:
     coherence is the share of pairs with two neighbouring characters in common; diversity is best at a deviation of three characters.
     """
     n = F.size(terms)
-    spread = _let(_moments(F.transform(terms, F.length)), lambda m: F.sqrt((m["n"] * m["q"] - m["s"] * m["s"]) / (m["n"] * (m["n"] - 1))))
+    spread = let(_moments(F.transform(terms, F.length)), lambda m: F.sqrt((m["n"] * m["q"] - m["s"] * m["s"]) / (m["n"] * (m["n"] - 1))))
     pairs = F.transform(terms, lambda t: F.when(F.length(t) >= 2, F.transform(F.sequence(F.lit(1), F.length(t) - 1), lambda i: F.substr(t, i, F.lit(2)))).otherwise(F.array().cast("array<string>")))
-    shared = _let(pairs, lambda all_: _total(F.transform(all_, lambda p, i: F.size(F.filter(all_, lambda q, j: (j > i) & F.arrays_overlap(p, q))).cast("double"))))
+    shared = let(pairs, lambda all_: _total(F.transform(all_, lambda p, i: F.size(F.filter(all_, lambda q, j: (j > i) & F.arrays_overlap(p, q))).cast("double"))))
     found = {
         "coverage": F.size(F.filter(terms, lambda t: text.contains(t))) / n,
         "diversity": F.when(n < 2, 0.5).otherwise(F.least(F.lit(1.0), F.when(spread < 3, spread / 3).otherwise((6 - spread) / 3))),
@@ -134,7 +134,7 @@ def text_difficulty(text: Column) -> Column:
         uneven = F.when(m["n"] > 1, F.least(F.lit(1.0), F.sqrt((m["n"] * m["q"] - m["s"] * m["s"]).cast("double")) / m["s"])).otherwise(0.0)
         return F.least(F.lit(1.0), uneven * 0.3 + dense * 0.4 + F.least(F.lit(1.0), marks / F.greatest(m["n"], F.lit(1))) * 0.3)
 
-    return _let(_moments(F.transform(sentence_parts(text), F.length)), score)
+    return let(_moments(F.transform(sentence_parts(text), F.length)), score)
 
 
 def question_difficulty(question: Column, hints: dict[str, float] = HINTS) -> Column:
@@ -170,7 +170,7 @@ def question_budget(text: Column) -> Column:
         own = F.greatest(F.lit(3), F.floor(base * more))
         return F.greatest(F.lit(3), F.least(F.lit(50), F.floor((own + needed) / 2))).cast("int")
 
-    return _let(text_difficulty(text), count)
+    return let(text_difficulty(text), count)
 
 
 def json_object(answer: Column) -> Column:

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from quern.functions.keywords import let
 from quern.functions.text import search_quality
 
 
@@ -163,15 +164,22 @@ def assembled(plans: DataFrame) -> DataFrame:
         search = s["action"].isin("rag_search", "web_search")
         before = F.coalesce(F.array_max(F.transform(F.filter(done, lambda d: F.array_contains(s["depends_on"], d["step_id"])), lambda d: d["confidence"])), zero)
         own = F.coalesce(s["n_results"], F.lit(0)) > 0
-        takes = ~own & ~search & (before > 0)
-        top, mean = (F.when(takes, before).otherwise(F.coalesce(s[c], zero)) for c in ("top", "mean"))
-        found = F.when(own, s["n_results"]).when(takes, 1).otherwise(0)
-        quality = F.when(found > 0, search_quality(top, mean, F.coalesce(s["variance"], F.lit(1.0)))).otherwise(zero)
         n = F.coalesce(s["n_sources"], F.lit(0))
-        factor, _ = penalties(search, found, F.lit(1.0), n, zero)
-        value = score(search, quality, F.coalesce(s["agreement"], F.lit(1.0)), zero, zero, F.lit(1.0), n, factor)
         right = F.coalesce(s["status"] == "success", F.lit(False))
-        return F.array_append(done, F.struct(s["step_id"].alias("step_id"), F.when(right, value).otherwise(zero).alias("confidence")))
+
+        def seen(best: Column) -> Column:
+            takes = ~own & ~search & (best > 0)
+            top, mean = (F.when(takes, best).otherwise(F.coalesce(s[c], zero)) for c in ("top", "mean"))
+            found = F.when(own, s["n_results"]).when(takes, 1).otherwise(0)
+            quality = F.when(found > 0, search_quality(top, mean, F.coalesce(s["variance"], F.lit(1.0)))).otherwise(zero)
+            return F.struct(found.alias("found"), quality.alias("quality"))
+
+        def judged(x: Column) -> Column:
+            factor, _ = penalties(search, x["found"], F.lit(1.0), n, zero)
+            value = score(search, x["quality"], F.coalesce(s["agreement"], F.lit(1.0)), zero, zero, F.lit(1.0), n, factor)
+            return F.struct(s["step_id"].alias("step_id"), F.when(right, value).otherwise(zero).alias("confidence"))
+
+        return F.array_append(done, let(let(before, seen), judged))
 
     kind = plans.schema["step_id"].dataType.simpleString()
     none = F.array().cast(f"array<struct<step_id: {kind}, confidence: double>>")

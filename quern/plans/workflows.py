@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quern.functions import keywords as K
 from quern.functions import text as T
-from quern.operators import coverage, keywords, models, plans, questions, relations, reports, retrieval, vectors
+from quern.operators import confidence, coverage, keywords, models, plans, questions, relations, reports, retrieval, vectors
 from quern.plans.registry import _BEST, _HITS, _NEAR, _SCORE, _SPLIT, _STOPPED, _TERMS, _TOKENS, _TOP, IMPORTANT, ORACLES, STOP, _best, _docs, keyword_levels, keyword_sentences, keywords_by_frequency, query
 from quern.sources import files
 from quern.sources.tables import table
@@ -236,3 +236,55 @@ def domain_checks(s, d):
 @query("SELECT sum(n - 1)::BIGINT AS repeats FROM (SELECT count(*) AS n FROM documents GROUP BY text)")
 def repeated_texts(s, d):
     return reports.repeated_values(_docs(s, d), "text")
+
+
+# Complexity by score, questions on entities and keywords, confidences along plans
+
+_SIGNS = " + ".join(f"contains(substr(text, 1, 100), '{x}')::INT" for x in T.JAPANESE_SIGNS)
+_MARKS = r"CASE WHEN ja THEN len(regexp_extract_all(text, '[ァ-ヴー]{4,}|[一-龥]{4,}')) ELSE len(regexp_extract_all(text, '[A-Z][a-z]+(?:[A-Z][a-z]+)+|[\pL\pN_]{10,}')) END"
+_PARTS = "len(list_filter(string_split(text, CASE WHEN ja THEN '。' ELSE '.' END), lambda x: length(trim(x, ' \t\n\r')) > 5))"
+
+
+@query(f"SELECT doc_id, lang, score, CASE WHEN score >= 5 THEN 'high' WHEN score >= 3 THEN 'medium' ELSE 'low' END AS level, statistics FROM (SELECT doc_id, CASE WHEN ja THEN 'ja' ELSE 'en' END AS lang, CASE WHEN dense > 5 THEN 3 WHEN dense > 2 THEN 2 ELSE 1 END + CASE WHEN mean > 30 THEN 2 WHEN mean > 20 THEN 1 ELSE 0 END + statistics::INT AS score, statistics FROM (SELECT doc_id, ja, ({_MARKS}) * 100.0::DOUBLE / greatest({_TOKENS}, 1) AS dense, ({_TOKENS})::DOUBLE / greatest({_PARTS}, 1) AS mean, len(regexp_extract_all(text, '[0-9]+\\.?[0-9]*%?')) > 2 AS statistics FROM (SELECT doc_id, coalesce(text, '') AS text, {_SIGNS.replace('text', 'coalesce(text, chr(32))')} > 3 AS ja FROM documents)))")
+def scored_complexity(s, d):
+    return _docs(s, d).select("doc_id", T.scored_complexity(F.col("text")).alias("x")).select("doc_id", "x.*")
+
+
+_KINDS = ["PERSON", "ORG", "PRODUCT", "other"]
+_ASKED = " ".join(f"WHEN kind = {i} THEN [{', '.join(repr(q).replace('{}', chr(39) + ' || entity || ' + chr(39)) for q in questions.ENTITIES.get(k, questions.ENTITIES['']))}]" for i, k in enumerate(_KINDS))
+
+
+@query(f"SELECT doc_id, entity, unnest(CASE {_ASKED} END) AS question, answer FROM (SELECT doc_id, entity, length(entity) % 4 AS kind, trim(list_filter(string_split_regex(text, '[。.!?]'), lambda x: contains(x, entity))[1], ' \t\n\r') AS answer FROM (SELECT doc_id, text, unnest(list_distinct(regexp_extract_all(text, '[A-Z][a-z]{{3,}}'))) AS entity FROM documents)) WHERE answer IS NOT NULL")
+def entity_questions(s, d):
+    names = F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit("[A-Z][a-z]{3,}"), F.lit(0))))
+    found = _docs(s, d).select("doc_id", names.alias("entity"))
+    kinds = F.get(F.array(*[F.lit(k) for k in _KINDS]), F.length("entity") % 4)
+    return questions.by_entity(_docs(s, d), found.withColumn("kind", kinds), "doc_id", "text").select("doc_id", "entity", "question", "answer")
+
+
+_TWENTY = _again(_TOP.replace("rank <= 10", "rank <= 20"), 10)
+_ALONE = f"(SELECT doc_id, rank, term, score AS n FROM ({_TWENTY}) k WHERE NOT regexp_matches(term, '^[0-9]+$') AND NOT EXISTS (SELECT 1 FROM ({_TWENTY}) j WHERE j.doc_id = k.doc_id AND contains(j.term, k.term) AND length(j.term) > length(k.term)))"
+_PLACED = f"(WITH l AS (SELECT doc_id, term, difficulty, category, a.rank, a.n FROM ({ORACLES['keyword_levels'].replace(_TOP, _ALONE)}) JOIN {_ALONE} a USING (doc_id, term)), p AS (SELECT *, row_number() OVER (PARTITION BY doc_id, difficulty ORDER BY n DESC, rank) <= CASE difficulty WHEN 'basic' THEN 1 WHEN 'intermediate' THEN 2 ELSE 1 END AS quota FROM l), r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY quota DESC, CASE WHEN NOT quota THEN 3 WHEN difficulty = 'basic' THEN 0 WHEN difficulty = 'intermediate' THEN 1 ELSE 2 END, n DESC, rank) AS r FROM p) SELECT doc_id, term, difficulty, category FROM r WHERE r <= 5)"
+
+
+@query(ORACLES["question_templates"].replace(f"({ORACLES['keyword_levels']})", _PLACED))
+def questions_for_keywords(s, d):
+    return questions.for_keywords(_docs(s, d), "doc_id", "text", 5, STOP, IMPORTANT, _SHARES)
+
+
+_PLAN = "SELECT plan_id, row_number() OVER (PARTITION BY plan_id ORDER BY line)::INT AS step_id, acts, bad, n, top, mean, variance, sources, agreement FROM (SELECT l_orderkey AS plan_id, l_linenumber AS line, min(l_suppkey) % 2 = 0 AS acts, min(l_returnflag) = 'R' AS bad, min(l_quantity)::INT % 4 AS n, round(min(l_discount)::DOUBLE * 10, 2) AS top, round(min(l_discount)::DOUBLE * 6, 2) AS mean, round(min(l_tax)::DOUBLE, 2) AS variance, min(l_linenumber) % 3 AS sources, round(min(l_tax)::DOUBLE * 10, 2) AS agreement FROM lineitem GROUP BY 1, 2)"
+_QUALITY = "CASE WHEN found = 0 THEN 0 WHEN top >= 0.6 THEN top ELSE greatest(0, top * 0.7::DOUBLE + mean * 0.3::DOUBLE - least(0.15::DOUBLE, variance * 0.3::DOUBLE)) END"
+_NEXT = f"""SELECT plan_id, step_id, CASE WHEN bad THEN 0 ELSE round(least(1, greatest(0, CASE WHEN NOT acts THEN quality ELSE (quality * CASE WHEN quality > 0 THEN 0.6::DOUBLE ELSE 0 END + 0.4::DOUBLE + CASE WHEN sources > 1 THEN agreement * 0.2::DOUBLE ELSE 0 END) / (CASE WHEN quality > 0 THEN 0.6::DOUBLE ELSE 0 END + 0.4::DOUBLE + CASE WHEN sources > 1 THEN 0.2::DOUBLE ELSE 0 END) END
+* CASE WHEN NOT acts AND found = 0 THEN 0.5::DOUBLE ELSE 1 END * CASE WHEN sources = 0 AND NOT (NOT acts AND found > 0) THEN 0.7::DOUBLE ELSE 1 END)), 3) END AS confidence FROM (SELECT *, {_QUALITY} AS quality FROM (SELECT s.plan_id, s.step_id, acts, bad, variance, sources, agreement, CASE WHEN n = 0 AND acts AND c.confidence > 0 THEN 1 ELSE n END AS found, CASE WHEN n = 0 AND acts AND c.confidence > 0 THEN c.confidence ELSE top END AS top, CASE WHEN n = 0 AND acts AND c.confidence > 0 THEN c.confidence ELSE mean END AS mean FROM s JOIN c ON s.plan_id = c.plan_id AND s.step_id = c.step_id + 1))"""
+
+
+@query(f"WITH RECURSIVE s AS ({_PLAN}), c AS (SELECT DISTINCT plan_id, 0 AS step_id, 0::DOUBLE AS confidence FROM s UNION ALL {_NEXT}) SELECT plan_id, step_id, confidence FROM c WHERE step_id > 0")
+def plan_confidences(s, d):
+    least = lambda c: F.min(c).cast("double")
+    one = table(s, d, "lineitem").groupBy(F.col("l_orderkey").alias("plan_id"), F.col("l_linenumber").alias("line")).agg(
+        F.when(F.min("l_suppkey") % 2 == 0, "reasoning").otherwise("rag_search").alias("action"), F.when(F.min("l_returnflag") == "R", "failed").otherwise("success").alias("status"),
+        (F.min("l_quantity").cast("int") % 4).alias("n_results"), F.round(least("l_discount") * 10, 2).alias("top"), F.round(least("l_discount") * 6, 2).alias("mean"), F.round(least("l_tax"), 2).alias("variance"),
+        (F.min("l_linenumber") % 3).alias("n_sources"), F.round(least("l_tax") * 10, 2).alias("agreement"),
+    )
+    place = F.row_number().over(W.partitionBy("plan_id").orderBy("line"))
+    return confidence.assembled(one.withColumn("step_id", place).withColumn("depends_on", F.array(F.col("step_id") - 1)))
