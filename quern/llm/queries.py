@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quern.llm import decontamination, language, licenses, quality, repeats, search, secrets, segmentation, simhash, toxicity
+from quern.llm import decontamination, language, licenses, lines, quality, repeats, search, secrets, segmentation, simhash, toxicity
 from quern.sources.tables import table
 
 
@@ -49,7 +49,11 @@ def op10_quality(spark: SparkSession, d: str) -> DataFrame:
     return quality.classify(table(spark, d, "documents"), table(spark, d, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op1_search, op2_repeats, op3_licenses, op4_segmentations, op5_secrets, op6_decontamination, op7_simhash, op8_language, op9_toxicity, op10_quality)}
+def op11_lines(spark: SparkSession, d: str) -> DataFrame:
+    return lines.deduplicate(table(spark, d, "documents")).drop("kept")
+
+
+QUERIES = {f.__name__: f for f in (op1_search, op2_repeats, op3_licenses, op4_segmentations, op5_secrets, op6_decontamination, op7_simhash, op8_language, op9_toxicity, op10_quality, op11_lines)}
 
 _WORDS = r"list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda w: w <> '')"
 _TEMPLATES = ", ".join(f"({i}, '{label}', string_split('{words}', ' '))" for i, (label, words) in enumerate(licenses.TEMPLATES))
@@ -86,4 +90,9 @@ x AS (SELECT row, kind, s, s + length(hit) AS e FROM b WHERE kind <> 0 OR length
 y AS (SELECT *, ({list(secrets.KINDS)})[kind + 1] || ':' || s || ':' || e AS t FROM x),
 g AS (SELECT row, count(*) FILTER (kind = 0) AS a, count(*) FILTER (kind = 1) AS b, count(*) FILTER (kind = 2) AS c, string_agg(t, ',' ORDER BY s, kind, e) FILTER (kind < 3) AS base, string_agg(t, ',' ORDER BY s, kind, e) AS spans FROM y GROUP BY 1)
 SELECT doc_id, coalesce(a, 0) AS n_assign, coalesce(b, 0) AS n_access, coalesce(c, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM d LEFT JOIN g USING (row)"""
-ORACLES: dict[str, str] = {"op3_licenses": _LICENSES, "op5_secrets": _SECRETS}
+_LINES = f"""WITH d AS (SELECT row_number() OVER () AS row, doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents),
+e AS (SELECT row, doc_id, i, l[i] AS line, translate(trim(l[i], ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), '{lines.UPPER}', '{lines.LOWER}') AS k FROM (SELECT *, unnest(range(1, len(l) + 1)) AS i FROM d)),
+o AS (SELECT k, min(doc_id) AS owner FROM e WHERE length(k) >= {lines.LEAST} GROUP BY 1),
+g AS (SELECT row, e.doc_id, i, line, o.owner IS NOT NULL AND (e.doc_id IS NULL OR e.doc_id > o.owner) AS gone FROM e LEFT JOIN o USING (k))
+SELECT any_value(doc_id) AS doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped, sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT gone), '')) AS kept_sha256 FROM g GROUP BY row"""
+ORACLES: dict[str, str] = {"op3_licenses": _LICENSES, "op5_secrets": _SECRETS, "op11_lines": _LINES}
