@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quern.llm import decontamination, language, licenses, lines, quality, repeats, search, secrets, segmentation, simhash, toxicity
+from quern.llm import decontamination, language, licenses, lines, quality, repeats, search, secrets, segmentation, simhash, toxicity, trie
 from quern.sources.tables import table
 
 
@@ -53,7 +53,11 @@ def op11_lines(spark: SparkSession, d: str) -> DataFrame:
     return lines.deduplicate(table(spark, d, "documents")).drop("kept")
 
 
-QUERIES = {f.__name__: f for f in (op1_search, op2_repeats, op3_licenses, op4_segmentations, op5_secrets, op6_decontamination, op7_simhash, op8_language, op9_toxicity, op10_quality, op11_lines)}
+def op12_trie(spark: SparkSession, d: str) -> DataFrame:
+    return trie.of_conversations(table(spark, d, "conversations"))
+
+
+QUERIES = {f.__name__: f for f in (op1_search, op2_repeats, op3_licenses, op4_segmentations, op5_secrets, op6_decontamination, op7_simhash, op8_language, op9_toxicity, op10_quality, op11_lines, op12_trie)}
 
 _WORDS = r"list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda w: w <> '')"
 _TEMPLATES = ", ".join(f"({i}, '{label}', string_split('{words}', ' '))" for i, (label, words) in enumerate(licenses.TEMPLATES))
@@ -95,4 +99,14 @@ e AS (SELECT row, doc_id, i, l[i] AS line, translate(trim(l[i], ' ' || chr(9) ||
 o AS (SELECT k, min(doc_id) AS owner FROM e WHERE length(k) >= {lines.LEAST} GROUP BY 1),
 g AS (SELECT row, e.doc_id, i, line, o.owner IS NOT NULL AND (e.doc_id IS NULL OR e.doc_id > o.owner) AS gone FROM e LEFT JOIN o USING (k))
 SELECT any_value(doc_id) AS doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped, sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT gone), '')) AS kept_sha256 FROM g GROUP BY row"""
-ORACLES: dict[str, str] = {"op3_licenses": _LICENSES, "op5_secrets": _SECRETS, "op11_lines": _LINES}
+_BITS = "list_reduce([xor(a, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, y: xor(x >> 1, (x & 1) * 3988292384))"
+_TRIE = f"""WITH t AS (SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS pos FROM conversations WHERE conv_id IS NOT NULL),
+c AS (SELECT conv_id, xor(list_reduce(list_prepend(4294967295, list_transform(string_split(conv_id::VARCHAR, ''), lambda x: ascii(x)::BIGINT)), lambda a, b: {_BITS}), 4294967295) % {trie.HEADS} AS h FROM (SELECT DISTINCT conv_id FROM t)),
+b AS (SELECT c.conv_id, pos, role, text FROM c JOIN t ON t.conv_id = c.conv_id - c.conv_id % {trie.GROUP} AND pos <= h UNION ALL SELECT conv_id, pos, role, text FROM t JOIN c USING (conv_id) WHERE pos > h),
+w AS (SELECT conv_id, coalesce(w, []) AS w FROM c LEFT JOIN (SELECT conv_id, list({{'role': role, 'text': text}} ORDER BY pos) AS w FROM b GROUP BY 1) USING (conv_id)),
+p AS (SELECT conv_id, len(w) AS size, depth, w[1:depth] AS k FROM (SELECT *, unnest(range(0, len(w) + 1)) AS depth FROM w)),
+n AS (SELECT k, depth, min(conv_id) AS conv_id, count(*) AS n_convs, (count(*) - 1) * CASE WHEN depth = 0 THEN 0 ELSE strlen(k[depth].text) END AS saved, sha256(coalesce(string_agg(conv_id, ',' ORDER BY conv_id) FILTER (size = depth), '')) AS ends_sha256 FROM p GROUP BY k, depth),
+x AS (SELECT n.*, (SELECT count(*) FROM n m WHERE m.depth = n.depth + 1 AND m.k[1:n.depth] = n.k) AS n_children, q.conv_id AS parent_conv_id FROM n LEFT JOIN n q ON n.depth > 0 AND q.depth = n.depth - 1 AND q.k = n.k[1:n.depth - 1]),
+u AS (SELECT k[1:d] AS k, count(*) FILTER (n_children = 0) AS n_leaves, sum(saved)::BIGINT AS saved_tokens FROM (SELECT *, unnest(range(0, depth + 1)) AS d FROM x) GROUP BY 1)
+SELECT conv_id, depth, parent_conv_id, n_convs, n_children, n_leaves, saved_tokens, ends_sha256 FROM x JOIN u USING (k)"""
+ORACLES: dict[str, str] = {"op3_licenses": _LICENSES, "op5_secrets": _SECRETS, "op11_lines": _LINES, "op12_trie": _TRIE}
