@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quern.llm import decontamination, language, licenses, lines, quality, repeats, search, secrets, segmentation, simhash, toxicity, trie
+from quern.llm import collocations, decontamination, language, licenses, lines, quality, repeats, search, secrets, segmentation, simhash, toxicity, trie
 from quern.sources.tables import table
 
 
@@ -57,7 +57,11 @@ def op12_trie(spark: SparkSession, d: str) -> DataFrame:
     return trie.of_conversations(table(spark, d, "conversations"))
 
 
-QUERIES = {f.__name__: f for f in (op1_search, op2_repeats, op3_licenses, op4_segmentations, op5_secrets, op6_decontamination, op7_simhash, op8_language, op9_toxicity, op10_quality, op11_lines, op12_trie)}
+def op13_collocations(spark: SparkSession, d: str) -> DataFrame:
+    return collocations.mined(table(spark, d, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_search, op2_repeats, op3_licenses, op4_segmentations, op5_secrets, op6_decontamination, op7_simhash, op8_language, op9_toxicity, op10_quality, op11_lines, op12_trie, op13_collocations)}
 
 _WORDS = r"list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda w: w <> '')"
 _TEMPLATES = ", ".join(f"({i}, '{label}', string_split('{words}', ' '))" for i, (label, words) in enumerate(licenses.TEMPLATES))
@@ -109,4 +113,14 @@ n AS (SELECT k, depth, min(conv_id) AS conv_id, count(*) AS n_convs, (count(*) -
 x AS (SELECT n.*, (SELECT count(*) FROM n m WHERE m.depth = n.depth + 1 AND m.k[1:n.depth] = n.k) AS n_children, q.conv_id AS parent_conv_id FROM n LEFT JOIN n q ON n.depth > 0 AND q.depth = n.depth - 1 AND q.k = n.k[1:n.depth - 1]),
 u AS (SELECT k[1:d] AS k, count(*) FILTER (n_children = 0) AS n_leaves, sum(saved)::BIGINT AS saved_tokens FROM (SELECT *, unnest(range(0, depth + 1)) AS d FROM x) GROUP BY 1)
 SELECT conv_id, depth, parent_conv_id, n_convs, n_children, n_leaves, saved_tokens, ends_sha256 FROM x JOIN u USING (k)"""
-ORACLES: dict[str, str] = {"op3_licenses": _LICENSES, "op5_secrets": _SECRETS, "op11_lines": _LINES, "op12_trie": _TRIE}
+_COLLOCATIONS = f"""WITH p AS (SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(translate(coalesce(text, ''), '{lines.UPPER}', '{lines.LOWER}'), '[.,;:!?\\x0A-\\x0D]')) AS piece FROM documents),
+w AS (SELECT lang, list_filter(string_split_regex(piece, '[\\x20\\x09]+'), lambda x: x <> '') AS w FROM p),
+f AS (SELECT lang, k, array_to_string(w[i:i + k - 1], ' ') AS phrase, count(*) AS f, any_value(w[i:i + k - 1]) AS v FROM (SELECT *, unnest(range(1, len(w) - k + 2)) AS i FROM w, range(1, 4) t(k)) GROUP BY 1, 2, 3),
+n AS (SELECT lang, sum(f)::BIGINT AS n FROM f WHERE k = 1 GROUP BY 1),
+c AS (SELECT lang, k, phrase, f AS a, v, unnest(range(1, k)) AS cut FROM f WHERE k > 1 AND f >= {collocations.LEAST}),
+s AS (SELECT c.lang, c.k, c.phrase, a, cut, x.f AS l, y.f AS r, ((1000000::HUGEINT * a * a) // (x.f::HUGEINT * y.f))::BIGINT AS score FROM c JOIN f x ON x.lang = c.lang AND x.phrase = array_to_string(c.v[1:cut], ' ') JOIN f y ON y.lang = c.lang AND y.phrase = array_to_string(c.v[cut + 1:c.k], ' ')),
+b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1),
+o AS (SELECT lang, sub, max(a) AS longer FROM (SELECT lang, a, unnest([array_to_string(v[1:2], ' '), array_to_string(v[2:3], ' ')]) AS sub FROM c WHERE k = 3) GROUP BY 1, 2),
+d AS (SELECT b.* FROM b LEFT JOIN o ON o.lang = b.lang AND o.sub = b.phrase WHERE longer IS NULL OR 100 * longer < {collocations.INSIDE} * a)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score FROM d JOIN n USING (lang) QUALIFY rank <= {collocations.TOP}"""
+ORACLES: dict[str, str] = {"op3_licenses": _LICENSES, "op5_secrets": _SECRETS, "op11_lines": _LINES, "op12_trie": _TRIE, "op13_collocations": _COLLOCATIONS}
