@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections import Counter, defaultdict
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from operator import itemgetter
 
 import ahocorasick
@@ -21,8 +21,8 @@ WORDS, LEAST, TOP = (2, 3), 10, 2_000  # words of a phrase, its least count, phr
 INSIDE = 50  # percent of a phrase's count at which a longer one takes its place
 BITS = 26  # the sketch has 2 ** BITS counters of one byte
 CHUNK = 1 << 18  # counters that are sent together
-SHARD = 4 << 20  # characters of text that one automaton is for, or one document
-KEYS = 500_000  # phrases or words that a task holds before it gives out their counts
+SHARD = 2 << 20  # characters of text that one automaton is for, or one document
+KEYS = 200_000  # phrases or words that a task holds before it gives out their counts
 SALTS = 64
 # Bytes that end a piece, and those between its words.
 ENDS, GAPS = b".,;:!?\n\x0b\x0c\r", b" \t"
@@ -30,32 +30,31 @@ _TABLE = bytes(10 if c in ENDS else 32 if c in GAPS else c + 32 if 65 <= c <= 90
 UND = "und"
 
 
-def pieces(text: str | None) -> list[list[str]]:
-    """The words of each piece of a text, A-Z lower-cased; null: none."""
-    flat = (text or "").encode("utf-8", "surrogatepass").translate(_TABLE).decode("utf-8", "surrogatepass")
-    return [w for p in flat.split("\n") if (w := [x for x in p.split(" ") if x])]
-
-
-class _Hashes(dict):
-    def __missing__(self, word: str) -> int:
-        if len(self) > KEYS:
-            self.clear()
-        h = self[word] = xxhash.xxh64_intdigest(word.encode("utf-8", "surrogatepass"))
-        return h
-
-
-def cells(words: list[list[str]], salt: int, known: _Hashes) -> dict[int, np.ndarray]:
-    """By the number of words: the counter of the phrase that starts at each place of the joined pieces, -1 where it leaves its piece. salt: of the language."""
-    flat = [w for p in words for w in p]
-    h = np.fromiter(map(known.__getitem__, flat), np.uint64, len(flat))
-    piece = np.repeat(np.arange(len(words)), [len(p) for p in words])
-    out, now = {}, h + np.uint64(salt)
+def tokens(texts: list[str | None]) -> list[str]:
+    """The words of texts, A-Z lower-cased, with a line feed wherever a piece ends. No word has a space or a line feed."""
+    flat = "\n".join(x or "" for x in texts).encode("utf-8", "surrogatepass").translate(_TABLE).decode("utf-8", "surrogatepass")
+    return list(filter(None, flat.replace("\n", " \n ").split(" ")))
+
+
+def cells(words: list[str], distinct: Iterable[str], salt: int, known: dict[str, int]) -> dict[int, np.ndarray]:
+    """By the number of words: the counter of the phrase that starts at each place, -1 where it leaves its piece. salt: of the language; known: hashes so far."""
+    if len(known) > KEYS:
+        known.clear()
+    own = {}
+    for w in distinct:
+        h = known.get(w)
+        if h is None:
+            h = known[w] = xxhash.xxh64_intdigest(w.encode("utf-8", "surrogatepass")) or 1
+        own[w] = h
+    own["\n"] = 0
+    h = np.fromiter(map(own.__getitem__, words), np.uint64, len(words))
+    inside = h != 0
+    out, now, on = {}, h + np.uint64(salt), inside
     for n in range(2, max(WORDS) + 1):
-        now = now[: len(h) - n + 1] * np.uint64(0x9E3779B97F4A7C15)
+        now, on = now[: len(h) - n + 1] * np.uint64(0x9E3779B97F4A7C15), on[: len(h) - n + 1] & inside[n - 1 :]
         now = (now ^ (now >> np.uint64(29))) + h[n - 1 :]
         mixed = (now ^ (now >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
-        at = (mixed >> np.uint64(64 - BITS)).astype(np.int64)
-        out[n] = np.where(piece[n - 1 :] == piece[: len(piece) - n + 1], at, -1)
+        out[n] = np.where(on, (mixed >> np.uint64(64 - BITS)).astype(np.int64), -1)
     return out
 
 
@@ -63,18 +62,19 @@ def _salt(lang: str) -> int:
     return xxhash.xxh64_intdigest(lang.encode("utf-8", "surrogatepass"))
 
 
-def _shards(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, list[list[str]]]]:
-    """(lang, pieces) of documents of one language: of SHARD characters or a document that is longer, less where many languages come by."""
+def _shards(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, list[str]]]:
+    """(lang, tokens) of documents of one language: of SHARD characters or a document that is longer, less where many languages come by."""
     held, size = defaultdict(list), Counter()
     for batch in batches:
         for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist(), strict=True):
-            held[lang] += pieces(text)
+            held[lang].append(text)
             size[lang] += len(text or "")
             if size[lang] >= SHARD or size.total() >= 4 * SHARD:
                 for k in [lang] if size[lang] >= SHARD else list(held):
-                    yield k, held.pop(k)
+                    yield k, tokens(held.pop(k))
                     del size[k]
-    yield from held.items()
+    for k in list(held):
+        yield k, tokens(held.pop(k))
 
 
 def _packed(bytes_: np.ndarray) -> bytes:
@@ -95,12 +95,13 @@ _COUNTED = pa.schema([("lang", pa.string()), ("phrase", pa.string()), ("n", pa.i
 
 def learned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Counts of words (lang, word, n) and chunks of a sketch of phrases (chunk, data) of a task's documents. A counter stops at 255."""
-    counts, known, sketch = defaultdict(Counter), _Hashes(), np.zeros(1 << BITS, np.uint8)
+    counts, known, sketch = defaultdict(Counter), {}, np.zeros(1 << BITS, np.uint8)
     flush = lambda: _rows(_LEARNED, [(k, w, n, None, None) for k, c in counts.items() for w, n in c.items()])
     for lang, words in _shards(batches):
-        for p in words:
-            counts[lang].update(p)
-        for at in cells(words, _salt(lang), known).values():
+        each = Counter(words)
+        del each["\n"]
+        counts[lang].update(each)
+        for at in cells(words, each, _salt(lang), known).values():
             own, n = np.unique(at[at >= 0], return_counts=True)
             sketch[own] = np.minimum(sketch[own] + n, 255)
         if sum(map(len, counts.values())) >= KEYS:
@@ -145,32 +146,28 @@ def frequent(sketches: DataFrame, least: int) -> np.ndarray:
     return bits.reshape(-1)
 
 
-def matches(words: list[list[str]], phrases: set[str]) -> dict[str, int]:
-    """How often each of the phrases stands in the pieces, overlaps included.
-
-    Words are guarded by a space on both sides, which no word has; pieces by a line feed.
-    """
+def matches(words: list[str], phrases: set[str]) -> dict[str, int]:
+    """How often each of the phrases stands in a text of these tokens, overlaps included. Words are guarded by a space on both sides."""
     names, automaton = list(phrases), ahocorasick.Automaton(ahocorasick.STORE_INTS)
     if not names:
         return {}
     for k, p in enumerate(names):
         automaton.add_word(f" {p} ", k)
     automaton.make_automaton()
-    text = "\n".join(f" {' '.join(p)} " for p in words)
-    n = np.bincount(np.fromiter(map(itemgetter(1), automaton.iter(text)), np.int64), minlength=len(names))
+    n = np.bincount(np.fromiter(map(itemgetter(1), automaton.iter(f" {' '.join(words)} ")), np.int64), minlength=len(names))
     return dict(zip(names, n.tolist(), strict=True))
 
 
 def counted(batches: Iterator[pa.RecordBatch], bits: np.ndarray) -> Iterator[pa.RecordBatch]:
     """(lang, phrase, n) of the phrases in a task's documents whose counter is in `bits`: every shard gets an automaton of those it has."""
-    counts, known = defaultdict(Counter), _Hashes()
+    counts, known = defaultdict(Counter), {}
     flush = lambda: _rows(_COUNTED, [(k, w, n) for k, c in counts.items() for w, n in c.items()])
     for lang, words in _shards(batches):
-        flat, some = [w for p in words for w in p], set()
-        for n, at in cells(words, _salt(lang), known).items():
+        some = set()
+        for n, at in cells(words, set(words), _salt(lang), known).items():
             if n in WORDS:
-                hit = np.flatnonzero((at >= 0) & ((bits[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1).astype(bool))
-                some.update(" ".join(flat[i : i + n]) for i in hit.tolist())
+                hit = np.flatnonzero((at >= 0) & ((bits[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1).astype(bool)).tolist()
+                some.update(map(" ".join, zip(*([words[i + o] for i in hit] for o in range(n)), strict=True)))
         counts[lang].update(matches(words, some))
         if sum(map(len, counts.values())) >= KEYS:
             yield flush()

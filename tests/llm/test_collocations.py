@@ -72,12 +72,12 @@ def test_sketch_is_an_upper_bound_over_tasks(spark):
     docs = spark.createDataFrame(rows, "lang string, text string").repartition(20)
     found = docs.mapInArrow(collocations.learned, "lang string, word string, n bigint, chunk int, data binary").where("chunk IS NOT NULL").select("chunk", "data")
     bits = np.unpackbits(collocations.frequent(found, 40))
-    at = collocations.cells([["common", "pair", "here"]], collocations._salt("en"), collocations._Hashes())
+    at = collocations.cells(["common", "pair", "here"], {"common", "pair", "here"}, collocations._salt("en"), {})
     assert bits[at[2]].all() and bits[at[3]].all() and bits.sum() == 3
 
 
 def test_matches_overlap():
-    assert collocations.matches([["a", "a", "a"], ["a"], ["b", "a", "a"]], {"a a", "a a a", "a b"}) == {"a a": 3, "a a a": 1, "a b": 0}
+    assert collocations.matches(collocations.tokens(["A a\ta.a", "b  a a"]), {"a a", "a a a", "a b"}) == {"a a": 3, "a a a": 1, "a b": 0}
 
 
 def test_empty(spark):
