@@ -21,8 +21,9 @@ WORDS, LEAST, TOP = (2, 3), 10, 2_000  # words of a phrase, its least count, phr
 INSIDE = 50  # percent of a phrase's count at which a longer one takes its place
 BITS = 26  # the sketch has 2 ** BITS counters of one byte
 CHUNK = 1 << 18  # counters that are sent together
-SHARD = 2 << 20  # characters of text that one automaton is for, or one document
-KEYS = 200_000  # phrases or words that a task holds before it gives out their counts
+SHARD = 1 << 20  # characters of text that one automaton is for, or one document
+ROWS = 256  # of a batch that are Python objects at once
+KEYS = 100_000  # phrases or words that a task holds before it gives out their counts
 SALTS = 64
 # Bytes that end a piece, and those between its words.
 ENDS, GAPS = b".,;:!?\n\x0b\x0c\r", b" \t"
@@ -30,9 +31,9 @@ _TABLE = bytes(10 if c in ENDS else 32 if c in GAPS else c + 32 if 65 <= c <= 90
 UND = "und"
 
 
-def tokens(texts: list[str | None]) -> list[str]:
+def tokens(texts: list[str]) -> list[str]:
     """The words of texts, A-Z lower-cased, with a line feed wherever a piece ends. No word has a space or a line feed."""
-    flat = "\n".join(x or "" for x in texts).encode("utf-8", "surrogatepass").translate(_TABLE).decode("utf-8", "surrogatepass")
+    flat = "\n".join(texts).encode("utf-8", "surrogatepass").translate(_TABLE).decode("utf-8", "surrogatepass")
     return list(filter(None, flat.replace("\n", " \n ").split(" ")))
 
 
@@ -66,13 +67,15 @@ def _shards(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, list[str]]
     """(lang, tokens) of documents of one language: of SHARD characters or a document that is longer, less where many languages come by."""
     held, size = defaultdict(list), Counter()
     for batch in batches:
-        for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist(), strict=True):
-            held[lang].append(text)
-            size[lang] += len(text or "")
-            if size[lang] >= SHARD or size.total() >= 4 * SHARD:
-                for k in [lang] if size[lang] >= SHARD else list(held):
-                    yield k, tokens(held.pop(k))
-                    del size[k]
+        for k0 in range(0, len(batch), ROWS):
+            rows = batch.slice(k0, ROWS)
+            for lang, text in zip(rows.column("lang").to_pylist(), rows.column("text").to_pylist(), strict=True):
+                held[lang].append(text)
+                size[lang] += len(text)
+                if size[lang] >= SHARD or size.total() >= 2 * SHARD:
+                    for k in [lang] if size[lang] >= SHARD else list(held):
+                        yield k, tokens(held.pop(k))
+                        del size[k]
     for k in list(held):
         yield k, tokens(held.pop(k))
 
@@ -93,10 +96,18 @@ _LEARNED = pa.schema([("lang", pa.string()), ("word", pa.string()), ("n", pa.int
 _COUNTED = pa.schema([("lang", pa.string()), ("phrase", pa.string()), ("n", pa.int64())])
 
 
+def _table(schema: pa.Schema, counts: dict[str, Counter]) -> pa.RecordBatch:
+    """(lang, key, n) of counts; further columns are null."""
+    langs = pa.concat_arrays([pa.array([], pa.string()), *(pa.repeat(k, len(c)) for k, c in counts.items())])
+    keys = pa.array([w for c in counts.values() for w in c], pa.string())
+    n = pa.array([n for c in counts.values() for n in c.values()], pa.int64())
+    return pa.RecordBatch.from_arrays([langs, keys, n, *(pa.nulls(len(n), t) for t in schema.types[3:])], schema=schema)
+
+
 def learned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Counts of words (lang, word, n) and chunks of a sketch of phrases (chunk, data) of a task's documents. A counter stops at 255."""
     counts, known, sketch = defaultdict(Counter), {}, np.zeros(1 << BITS, np.uint8)
-    flush = lambda: _rows(_LEARNED, [(k, w, n, None, None) for k, c in counts.items() for w, n in c.items()])
+    flush = lambda: _table(_LEARNED, counts)
     for lang, words in _shards(batches):
         each = Counter(words)
         del each["\n"]
@@ -161,7 +172,7 @@ def matches(words: list[str], phrases: set[str]) -> dict[str, int]:
 def counted(batches: Iterator[pa.RecordBatch], bits: np.ndarray) -> Iterator[pa.RecordBatch]:
     """(lang, phrase, n) of the phrases in a task's documents whose counter is in `bits`: every shard gets an automaton of those it has."""
     counts, known = defaultdict(Counter), {}
-    flush = lambda: _rows(_COUNTED, [(k, w, n) for k, c in counts.items() for w, n in c.items()])
+    flush = lambda: _table(_COUNTED, counts)
     for lang, words in _shards(batches):
         some = set()
         for n, at in cells(words, set(words), _salt(lang), known).items():
