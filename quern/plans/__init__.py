@@ -1,3 +1,3 @@
 """Registered queries."""
 
-from quern.plans import registry, workflows  # noqa: F401
+from quern.plans import features, registry, workflows  # noqa: F401

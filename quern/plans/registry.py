@@ -581,7 +581,7 @@ _PARTS = [("quality > 0", "quality", 0.6), ("true", "success", 0.4), ("sources >
 _SUM, _WEIGHT = " + ".join(f"CASE WHEN {on} THEN {v} * {w}::DOUBLE ELSE 0::DOUBLE END" for on, v, w in _PARTS), " + ".join(f"CASE WHEN {on} THEN {w}::DOUBLE ELSE 0::DOUBLE END" for on, _, w in _PARTS)
 
 
-@query(f"SELECT l_orderkey, l_linenumber, factor, least(1, greatest(0, (CASE WHEN search THEN quality * CASE WHEN success < 1 THEN success ELSE 1 END ELSE ({_SUM}) / ({_WEIGHT}) END) * factor)) >= 0.5 AS sure FROM ({_PEN})")
+@query(f"SELECT l_orderkey, l_linenumber, factor, round(least(1, greatest(0, (CASE WHEN search THEN quality * CASE WHEN success < 1 THEN success ELSE 1 END ELSE ({_SUM}) / ({_WEIGHT}) END) * factor)), 3) >= 0.5 AS sure FROM ({_PEN})")
 def step_confidences(s, d):
     steps = table(s, d, "lineitem").selectExpr(
         "l_orderkey", "l_linenumber", "l_linenumber % 2 = 0 AS search", "CAST(l_discount AS DOUBLE) * 10 AS quality", "CAST(l_tax AS DOUBLE) * 12.5D AS agreement",
