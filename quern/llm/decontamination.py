@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-import math
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quern.llm.rows import versions, without
 from quern.llm.words import let, words
+from quern.sources.tables import written
 
 #: Five words each, at these offsets; the positions between may differ. At every place each is tried. Together they hit every stretch of up to
 #: 16 words that begins and ends with equal words and has LEAST_WORDS of them and LEAST_SHARE or more.
@@ -19,8 +17,10 @@ SPAN = 1 + max(max(m) for m in MASKS)
 AROUND, LEAST_WORDS, LEAST_SHARE = 5, 8, 0.8
 #: A differing word takes away what so many equal ones add: a stretch of LEAST_SHARE weighs 0.
 COST = round(LEAST_SHARE / (1 - LEAST_SHARE))
-#: So many test seeds are held against all documents at once; more are taken in blocks.
-BLOCK_SEEDS = 50_000
+#: Test seeds (24 bytes each) that are broadcast; more meet the documents' seeds by a shuffle.
+BROADCAST_SEEDS = 1_000_000
+#: A document's hits go on in so many parts, by item.
+PARTS = 16
 
 
 def seeds(tokens: Column, k: int) -> Column:
@@ -65,54 +65,61 @@ def stretches(same: Column) -> Column:
     return F.aggregate(same, F.struct(*[v.alias(c) for c, v in zero.items()]), step)
 
 
-def overlaps(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """Verified overlaps of documents with benchmark items, those changed by substitutions included.
+def overlooked(benchmark: DataFrame) -> DataFrame:
+    """(item_id, n_words): the items that are never looked for, as they have under LEAST_WORDS words; null texts have 0."""
+    return benchmark.select("item_id", F.size(words(F.col("text"))).alias("n_words")).where(F.col("n_words") < LEAST_WORDS)
 
-    Both sides' seeds of all masks meet by an equality join. All words that a hit aligns are compared: a stretch of them
-    with LEAST_WORDS equal ones, at a share of LEAST_SHARE at least, is an overlap. Test seeds are broadcast in
-    blocks of bounded size; a document's seeds that a block lacks are dropped in the row, before the join. Returns per
-    (doc_id, item_id): words equal at best, their share, and the first and last word of the document concerned. Texts
-    that are null or have under 8 words give no rows; a null doc_id is kept; repeated rows give one
-    pair; without test seeds there are no rows; other columns are ignored.
-    """
-    items = benchmark.select("item_id", words(F.col("text")).alias("b")).where(F.size("b") >= LEAST_WORDS)
-    placed = lambda k: F.transform(seeds(F.col("b"), k), lambda h, j: F.struct(F.lit(k).alias("k"), j.alias("j"), h.alias("h")))
-    tests = items.select("item_id", "b", F.inline(F.concat(*map(placed, range(len(MASKS))))))
-    blocks = max(1, math.ceil(tests.count() / BLOCK_SEEDS))
-    docs = documents.select("doc_id", words(F.col("text")).alias("d")).select("*", *[seeds(F.col("d"), k).alias(f"s{k}") for k in range(len(MASKS))])
-    found = [_against(docs, tests.where(F.pmod(F.hash("h"), F.lit(blocks)) == k)) for k in range(blocks)]
-    return (
-        reduce(DataFrame.unionAll, found)
-        .groupBy("doc_id", "item_id")
-        .agg(F.max("equal").alias("equal"), F.max("share").alias("share"), F.min("first").alias("first_word"), F.max("last").alias("last_word"))
-    )
 
+def _placed(tokens: Column) -> Column:
+    """array<struct<h,at>>: the seeds of all masks and their places."""
+    return F.concat(*[F.transform(seeds(tokens, k), lambda h, i: F.struct(h.alias("h"), i.alias("at"))) for k in range(len(MASKS))])
 
-def _hit(k: int, before: int = 0) -> Column:
-    """Whether mask k hits where the document's place `at` meets the item's place `j`, or so many places before."""
-    return F.coalesce(reduce(Column.__and__, [F.get("d", F.col("at") + (o - before)) == F.get("b", F.col("j") + (o - before)) for o in MASKS[k]]), F.lit(False))
 
+def hits(documents: DataFrame, items: DataFrame) -> DataFrame:
+    """(doc_id, version, part, hits): for each document the items and diagonals (place in the document less place in the item) that a seed of both tells.
+
+    Only seeds meet here, no texts: a test seed is its hash, its item's number and its place. documents: doc_id, version, d; items: item, b.
+    """
+    tests = items.select("item", F.size("b").alias("n"), F.inline(_placed(F.col("b")))).select(F.col("h").alias("test"), "item", "n", F.col("at").alias("j"))
+    if tests.count() <= BROADCAST_SEEDS:
+        tests = F.broadcast(tests)
+    each = documents.select("doc_id", "version", F.inline(_placed(F.col("d")))).join(tests, F.col("h") == F.col("test"))
+    diagonals = each.groupBy("doc_id", "version", "item", "n", (F.col("at") - F.col("j")).alias("diagonal")).agg(F.lit(1).alias("_one"))
+    return diagonals.groupBy("doc_id", "version", F.pmod(F.xxhash64("item"), F.lit(PARTS)).alias("part")).agg(F.collect_list(F.struct("item", "n", "diagonal")).alias("hits"))
 
-def _against(docs: DataFrame, tests: DataFrame) -> DataFrame:
-    hashes: dict[int, list[int]] = {k: [] for k in range(len(MASKS))}
-    for r in tests.select("k", "h").distinct().collect():  # about BLOCK_SEEDS at most
-        hashes[r.k].append(r.h)
-    none = F.array().cast("array<struct<h:bigint,at:int>>")
-    known = lambda k, own: F.filter(F.transform(f"s{k}", lambda h, i: F.when(h.isin(own), F.struct(h.alias("h"), i.alias("at")))), lambda x: x.isNotNull())
-    hits = docs.select("doc_id", "d", F.inline(F.concat(none, *[known(k, own) for k, own in hashes.items() if own]))).join(F.broadcast(tests), "h")
-    return _judged(hits)
 
+def overlaps(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """Verified overlaps of documents with benchmark items, those changed by substitutions included.
 
-def _judged(hits: DataFrame) -> DataFrame:
-    # Of hits that follow each other on one diagonal, by any mask, the first is enough. Blocks part hits by hash, so it may be in another block.
-    again = reduce(Column.__or__, [_hit(k, 1) | ((F.col("k") > k) & _hit(k)) for k in range(len(MASKS))])
-    back = F.least("at", "j")
-    size = back + F.least(F.size("d") - F.col("at"), F.size("b") - F.col("j"))
-    same = F.zip_with(F.slice("d", F.col("at") - back + 1, size), F.slice("b", F.col("j") - back + 1, size), lambda p, q: p == q)
-    rows = hits.where(~again).select("doc_id", "item_id", (F.col("at") - back).alias("from"), same.alias("same")).where(F.size(F.filter("same", lambda e: e)) >= LEAST_WORDS)
-    best = rows.select("doc_id", "item_id", "from", F.inline(F.array(stretches(F.col("same")))))
-    return best.where(F.col("equal") >= LEAST_WORDS).select(
-        "doc_id", "item_id", (F.col("from") + F.col("first")).alias("first"), (F.col("from") + F.col("last")).alias("last"), "equal", (F.col("equal") / F.col("size")).alias("share")
+    Both sides' seeds of all masks meet by an equality join (see `hits`); then a document's words and an item's are laid together as each hit tells:
+    a stretch of them with LEAST_WORDS equal ones, at a share of LEAST_SHARE at least, is an overlap. A document goes to its hits once for each part of the items, and
+    of it only what lies along the item goes to the item. Returns per
+    (doc_id, item_id): words equal at best, their share, and the first and last word of the document concerned. Texts
+    that are null or have under 8 words give no rows, nor do items (see `overlooked`); a null doc_id or item_id is kept; repeated rows give one
+    pair; without test seeds there are no rows; other columns are ignored.
+    """
+    named = benchmark.select("item_id", words(F.col("text")).alias("b")).where(F.size("b") >= LEAST_WORDS).select("item_id", "b", F.xxhash64("item_id", F.col("item_id").isNull(), "b").alias("item")).dropDuplicates(["item"])
+    items = written(named, "items")
+    texts = documents.select("doc_id", F.xxhash64("text").alias("version"), "text")
+    found = hits(texts.select("doc_id", "version", words(F.col("text")).alias("d")), items)
+    found = found.select(F.col("doc_id").alias("hit_id"), F.col("version").alias("hit_version"), "hits")
+    own = F.col("doc_id").eqNullSafe(F.col("hit_id")) & (F.col("version") == F.col("hit_version"))
+    met = texts.join(found, own)
+
+    def along(d: Column) -> Column:
+        def one(h: Column) -> Column:
+            begin = F.greatest(h["diagonal"], F.lit(0))
+            return F.struct(h["item"].alias("hit"), begin.alias("from"), (begin - h["diagonal"]).alias("j"), F.slice(d, begin + 1, F.least(F.size(d) - begin, h["n"] + h["diagonal"] - begin)).alias("p"))
+
+        return F.transform("hits", one)
+
+    pieces = met.select("doc_id", F.inline(let(words(F.col("text")), along)))
+    laid = pieces.join(items, F.col("hit") == F.col("item"))
+    same = F.zip_with("p", F.slice("b", F.col("j") + 1, F.size("p")), lambda p, q: p == q)
+    rows = laid.select("doc_id", "item_id", "from", same.alias("same")).where(F.size(F.filter("same", lambda e: e)) >= LEAST_WORDS)
+    best = rows.select("doc_id", "item_id", "from", F.inline(F.array(stretches(F.col("same"))))).where(F.col("equal") >= LEAST_WORDS)
+    return best.groupBy("doc_id", "item_id").agg(
+        F.max("equal").alias("equal"), F.max(F.col("equal") / F.col("size")).alias("share"), F.min(F.col("from") + F.col("first")).alias("first_word"), F.max(F.col("from") + F.col("last")).alias("last_word")
     )
 
 
