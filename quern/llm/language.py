@@ -15,11 +15,13 @@ from quern.llm.labels import held_out
 
 #: Bound of the labelled sample: rows a language. Rows of up to SHORT characters are taken first; all are learnt from whole.
 ROWS, SHORT = 32, 4_000
+#: Characters learnt from in all languages together, which share them alike, and those of a language at least: more than CHARS // LEAST_CHARS languages aren't learnt.
+CHARS, LEAST_CHARS = 1_000_000, 4_000
 #: Every sample counts as longer by so many characters: pointing into a tiny one would else be so cheap that it wins where nothing matches.
 MORE_CHARS = 4_096
-#: A text is parsed in blocks of so many characters, side by side; a phrase ends with its block.
+#: A text is parsed in blocks of so many characters, side by side; a phrase that is open at the end of one goes on in the next.
 BLOCK = 1_024
-TOGETHER = 4_000_000  # characters parsed side by side
+TOGETHER = 2_000_000  # characters parsed side by side
 #: Symbols: the space between words, then every letter of the samples; any other letter, which matches nothing; no character; the sample's text ends.
 SPACE, OTHER, PAD, BREAK = 0, 0x30000, 0x30001, 0x30002
 #: Columns of a language's table: SPACE and its commonest letters; no character; all else, of which its rarer letters are looked up in a list.
@@ -28,14 +30,25 @@ UNKNOWN = "und"
 
 
 def labelled(documents: DataFrame) -> dict[str, str]:
-    """Whole texts by language: of each, ROWS learnable rows at most: the short ones before the long, those whose ids hash lowest first."""
+    """Whole texts by language: of each, ROWS learnable rows at most and as many characters as `most` says: the short ones before the long, those whose ids hash lowest first.
+
+    Rows are told apart by doc_id and a hash of the text. Where even the first text is longer than that, its first characters are learnt from. What
+    is collected is bounded by CHARS, in rows, characters and languages.
+    """
     can = documents.select("doc_id", "text", "lang").where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & ~held_out("doc_id", 4, 2))
-    rank = F.row_number().over(W.partitionBy("lang").orderBy(F.length("text") > SHORT, F.xxhash64("doc_id"), "doc_id"))
-    ids = can.withColumn("r", rank).where(F.col("r") <= ROWS).select(F.col("doc_id").alias("k"), F.col("lang").alias("l"), "r")
-    texts = can.join(F.broadcast(ids), (F.col("doc_id") == F.col("k")) & (F.col("lang") == F.col("l")))
-    rows = texts.select("l", "r", F.col("text").alias("t")).distinct().collect()
+    can = can.select("doc_id", "lang", "text", F.xxhash64("text").alias("version"))
+    each = can.groupBy("lang", "doc_id", "version").agg(F.max(F.length("text")).alias("size"))
+    order = [F.col("size") > SHORT, F.xxhash64("doc_id"), "doc_id", "version"]
+    first = each.withColumn("r", F.row_number().over(W.partitionBy("lang").orderBy(*order))).where(F.col("r") <= ROWS)
+    names = first.select("lang").distinct().orderBy(F.xxhash64("lang"), "lang").limit(CHARS // LEAST_CHARS).collect()
+    most = min(ROWS * SHORT, CHARS // max(1, len(names)))
+    before = F.sum("size").over(W.partitionBy("lang").orderBy("r").rowsBetween(W.unboundedPreceding, 0)) - F.col("size")
+    some = first.where(F.col("lang").isin([x.lang for x in names])).withColumn("before", before)
+    some = some.where((F.col("before") + F.col("size") <= most) | (F.col("r") == 1)).select(F.col("lang").alias("l"), F.col("doc_id").alias("k"), F.col("version").alias("v"), "r")
+    met = can.join(F.broadcast(some), (F.col("doc_id") == F.col("k")) & (F.col("lang") == F.col("l")) & (F.col("version") == F.col("v")))
+    rows = met.groupBy("l", "r").agg(F.min(F.substring("text", 1, most)).alias("t")).collect()
     out: dict[str, str] = {}
-    for x in sorted(rows, key=lambda x: (x.l, x.r, x.t)):
+    for x in sorted(rows, key=lambda x: (x.l, x.r)):
         out[x.l] = f"{out.get(x.l, '')}\0{x.t.lower()}"
     return out
 
@@ -100,21 +113,50 @@ class Table:
         self.keys = np.array(sorted(sparse), np.int64)
         self.to = np.array([sparse[k] for k in self.keys.tolist()], np.int32)
 
-    def phrases(self, grid: np.ndarray) -> np.ndarray:
-        """Phrases of each column of a grid of symbols."""
-        state, phrases = np.zeros(grid.shape[1], np.int32), np.ones(grid.shape[1], np.int32)
-        for row in grid:
-            row = self.column[row]
-            to = self.flat[state * np.int32(WIDTH) + (np.minimum(row, np.int32(WIDTH - 1)) if self.rare else row)]
-            if self.rare:
-                seldom = np.flatnonzero(row >= WIDTH)
-                key = state[seldom].astype(np.int64) * self.rare + (row[seldom] - WIDTH)
-                at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
-                to[seldom] = np.where(self.keys[at] == key, self.to[at], -1)
-            failed = to < 0
-            phrases += failed
-            state = np.where(failed, self.start[row], to)
-        return phrases
+    def _step(self, state: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The states after one more symbol each, and where no longer match goes on: there a new phrase begins."""
+        row = self.column[row]
+        to = self.flat[state * np.int32(WIDTH) + (np.minimum(row, np.int32(WIDTH - 1)) if self.rare else row)]
+        if self.rare:
+            seldom = np.flatnonzero(row >= WIDTH)
+            key = state[seldom].astype(np.int64) * self.rare + (row[seldom] - WIDTH)
+            at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+            to[seldom] = np.where(self.keys[at] == key, self.to[at], -1)
+        failed = to < 0
+        return np.where(failed, self.start[row], to), failed
+
+    def breaks(self, grid: np.ndarray, follows: np.ndarray) -> np.ndarray:
+        """How often a new phrase begins in each column of a grid of symbols. A column that follows the one before goes on with its open phrase.
+
+        All columns are parsed side by side as if each began a text. Then those that follow are parsed again from the state in which the one before ends,
+        only until both parses are in one state: from there they are the same. Where the end of a column changes thereby, the next one is parsed again.
+        """
+        state, count = np.zeros(grid.shape[1], np.int32), np.zeros(grid.shape[1], np.int32)
+        states, counts = np.empty(grid.shape, np.int32), np.empty(grid.shape, np.uint16)
+        for r, row in enumerate(grid):
+            state, failed = self._step(state, row)
+            count += failed
+            states[r], counts[r] = state, count
+        own, end, todo = count.copy(), state.copy(), np.flatnonzero(follows)
+        while len(todo):
+            on, now, more = np.arange(len(todo)), end[todo - 1], np.zeros(len(todo), np.int32)
+            last, total = state[todo], own[todo].copy()
+            for r in range(len(grid)):
+                now, failed = self._step(now, grid[r, todo[on]])
+                more += failed
+                met = now == states[r, todo[on]]
+                if met.any():
+                    total[on[met]] = more[met] + own[todo[on[met]]] - counts[r, todo[on[met]]]
+                    on, now, more = on[~met], now[~met], more[~met]
+                    if not len(on):
+                        break
+            total[on], last[on] = more, now
+            count[todo] = total
+            moved = todo[last != end[todo]]
+            end[todo] = last
+            todo = moved[moved + 1 < len(follows)] + 1
+            todo = todo[follows[todo]]
+        return count
 
 
 def _entropy(symbols: np.ndarray) -> float:
@@ -167,9 +209,10 @@ class Model:
             grid[at : at + len(c)] = c
         grid = np.ascontiguousarray(grid.reshape(-1, BLOCK).T)
         owner = np.repeat(np.arange(len(texts)), blocks)
+        follows = np.concatenate([[False], owner[1:] == owner[:-1]])[: len(owner)]
         out = np.zeros((len(texts), len(self.names)))
         for k, table in enumerate(self.tables):
-            out[:, k] = np.bincount(owner, table.phrases(grid), len(texts)) * self.bits[k]
+            out[:, k] = ((blocks > 0) + np.bincount(owner, table.breaks(grid, follows), len(texts))) * self.bits[k]
         size = np.array([len(c) for c in coded])
         return out / np.maximum(1, size)[:, None], size
 

@@ -22,15 +22,13 @@ def all_bits(model, text):
     code = model.code(text.lower()).tolist()
     out = []
     for own, bits in zip(model.sources, model.bits, strict=True):
-        phrases = 0
-        for k in range(0, len(code), language.BLOCK):
-            phrases, now = phrases + 1, ""
-            for c in code[k : k + language.BLOCK]:
-                known = c < language.OTHER and chr(c + 1) in own
-                if known and now + chr(c + 1) in own:
-                    now += chr(c + 1)
-                else:
-                    phrases, now = phrases + 1, chr(c + 1) if known else ""
+        phrases, now = int(bool(code)), ""
+        for c in code:
+            known = c < language.OTHER and chr(c + 1) in own
+            if known and now + chr(c + 1) in own:
+                now += chr(c + 1)
+            else:
+                phrases, now = phrases + 1, chr(c + 1) if known else ""
         out.append(phrases * bits / max(1, len(code)))
     return out, len(code)
 
