@@ -70,20 +70,35 @@ def overlooked(benchmark: DataFrame) -> DataFrame:
     return benchmark.select("item_id", F.size(words(F.col("text"))).alias("n_words")).where(F.col("n_words") < LEAST_WORDS)
 
 
-def _placed(tokens: Column) -> Column:
-    """array<struct<h,at>>: the seeds of all masks and their places."""
-    return F.concat(*[F.transform(seeds(tokens, k), lambda h, i: F.struct(h.alias("h"), i.alias("at"))) for k in range(len(MASKS))])
+def _hashes(tokens: Column) -> Column:
+    """array<bigint>: a hash of each word. Seeds are hashes of these; the words themselves are compared at the hits."""
+    return F.transform(tokens, lambda w: F.xxhash64(w))
+
+
+def _exploded(rows: DataFrame, tokens: str, *keep: str) -> DataFrame:
+    """(keep, h, at): the seeds of all masks and their places; one flat array a row, from whose places the masks follow."""
+    sized = rows.withColumn("size", F.size(tokens))  # beforehand, or every seed's row would carry the words along
+    flat = sized.select(*keep, "size", F.posexplode_outer(F.concat(*[seeds(F.col(tokens), k) for k in range(len(MASKS))])).alias("pos", "h"))  # not posexplode: its inferred filters would make the array again
+    return flat.select(*keep, "h", _place(F.col("pos"), F.col("size"), 0).alias("at"))
+
+
+def _place(pos: Column, size: Column, k: int) -> Column:
+    """The place in its mask's seeds of what stands at `pos` from where those of mask k begin."""
+    if k == len(MASKS) - 1:
+        return pos
+    own = F.greatest(size - max(MASKS[k]), F.lit(0))
+    return F.when(pos < own, pos).otherwise(_place(pos - own, size, k + 1))
 
 
 def hits(documents: DataFrame, items: DataFrame) -> DataFrame:
     """(doc_id, version, part, hits): for each document the items and diagonals (place in the document less place in the item) that a seed of both tells.
 
-    Only seeds meet here, no texts: a test seed is its hash, its item's number and its place. documents: doc_id, version, d; items: item, b.
+    Only seeds meet here, no texts: a test seed is its hash, its item's number and its place. documents: doc_id, version, d; items: item, b; d and b are hashes of words.
     """
-    tests = items.select("item", F.size("b").alias("n"), F.inline(_placed(F.col("b")))).select(F.col("h").alias("test"), "item", "n", F.col("at").alias("j"))
+    tests = _exploded(items.withColumn("n", F.size("b")), "b", "item", "n").select(F.col("h").alias("test"), "item", "n", F.col("at").alias("j"))
     if tests.count() <= BROADCAST_SEEDS:
         tests = F.broadcast(tests)
-    each = documents.select("doc_id", "version", F.inline(_placed(F.col("d")))).join(tests, F.col("h") == F.col("test"))
+    each = _exploded(documents, "d", "doc_id", "version").join(tests, F.col("h") == F.col("test"))
     diagonals = each.groupBy("doc_id", "version", "item", "n", (F.col("at") - F.col("j")).alias("diagonal")).agg(F.lit(1).alias("_one"))
     return diagonals.groupBy("doc_id", "version", F.pmod(F.xxhash64("item"), F.lit(PARTS)).alias("part")).agg(F.collect_list(F.struct("item", "n", "diagonal")).alias("hits"))
 
@@ -101,7 +116,7 @@ def overlaps(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
     named = benchmark.select("item_id", words(F.col("text")).alias("b")).where(F.size("b") >= LEAST_WORDS).select("item_id", "b", F.xxhash64("item_id", F.col("item_id").isNull(), "b").alias("item")).dropDuplicates(["item"])
     items = written(named, "items")
     texts = documents.select("doc_id", F.xxhash64("text").alias("version"), "text")
-    found = hits(texts.select("doc_id", "version", words(F.col("text")).alias("d")), items)
+    found = hits(texts.select("doc_id", "version", _hashes(words(F.col("text"))).alias("d")), items.select("item", _hashes(F.col("b")).alias("b")))
     found = found.select(F.col("doc_id").alias("hit_id"), F.col("version").alias("hit_version"), "hits")
     own = F.col("doc_id").eqNullSafe(F.col("hit_id")) & (F.col("version") == F.col("hit_version"))
     met = texts.join(found, own)
@@ -113,11 +128,11 @@ def overlaps(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
 
         return F.transform("hits", one)
 
-    pieces = met.select("doc_id", F.inline(let(words(F.col("text")), along)))
+    pieces = met.select("doc_id", F.inline_outer(let(words(F.col("text")), along)))
     laid = pieces.join(items, F.col("hit") == F.col("item"))
     same = F.zip_with("p", F.slice("b", F.col("j") + 1, F.size("p")), lambda p, q: p == q)
     rows = laid.select("doc_id", "item_id", "from", same.alias("same")).where(F.size(F.filter("same", lambda e: e)) >= LEAST_WORDS)
-    best = rows.select("doc_id", "item_id", "from", F.inline(F.array(stretches(F.col("same"))))).where(F.col("equal") >= LEAST_WORDS)
+    best = rows.select("doc_id", "item_id", "from", F.inline_outer(F.array(stretches(F.col("same"))))).where(F.col("equal") >= LEAST_WORDS)
     return best.groupBy("doc_id", "item_id").agg(
         F.max("equal").alias("equal"), F.max(F.col("equal") / F.col("size")).alias("share"), F.min(F.col("from") + F.col("first")).alias("first_word"), F.max(F.col("from") + F.col("last")).alias("last_word")
     )

@@ -34,7 +34,8 @@ def hashed(documents: DataFrame, *more: Column) -> DataFrame:
 
     version is a hash of the text: it tells rows apart that share a doc_id.
     """
-    lines = documents.select("doc_id", F.xxhash64("text").alias("version"), *more, F.posexplode(F.transform(split(F.col("text")), key)).alias("pos", "line"))
+    named = documents.select("doc_id", "text", F.xxhash64("text").alias("version"), *more)  # beforehand, or every line's row would carry the text along
+    lines = named.select(*[c for c in named.columns if c != "text"], F.posexplode_outer(F.transform(split(F.col("text")), key)).alias("pos", "line"))
     return lines.where(F.length("line") >= LEAST).select(
         "doc_id", "version", "pos", F.xxhash64("line").alias("h"), F.xxhash64(F.lit(LEAST), "line").alias("g"), *[c for c in lines.columns if c not in ("doc_id", "version", "pos", "line")]
     )
