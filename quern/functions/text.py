@@ -57,10 +57,14 @@ def sentences(c: Column) -> Column:
     The text is cut after its last mark first: matching the unmarked rest over and over would be quadratic.
     """
     head = F.regexp_extract(c, f"(?s)^.*[{ENDS}]", 0)
-    parts = F.regexp_extract_all(head, F.lit(rf"[^{ENDS}]+[{ENDS}]\s*"), F.lit(0))
-    rest = F.call_function("substring_index", c, F.element_at(parts, -1), F.lit(-1))
-    both = F.when(F.size(parts) == 0, F.array(strip(c))).otherwise(F.concat(F.transform(parts, strip), F.array(strip(rest))))
-    return F.filter(both, lambda x: x != "")
+    found = F.regexp_extract_all(head, F.lit(rf"[^{ENDS}]+[{ENDS}]\s*"), F.lit(0))
+
+    def stripped(parts: Column) -> Column:
+        rest = F.call_function("substring_index", c, F.element_at(parts, -1), F.lit(-1))
+        both = F.when(F.size(parts) == 0, F.array(strip(c))).otherwise(F.concat(F.transform(parts, strip), F.array(strip(rest))))
+        return F.filter(both, lambda x: x != "")
+
+    return F.element_at(F.transform(F.array(found), stripped), 1)  # the pattern runs once
 
 
 def marked_sentences(c: Column) -> Column:

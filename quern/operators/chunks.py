@@ -13,8 +13,8 @@ SCHEMA = "doc_id bigint, chunk_idx int, type string, tokens int, text string"
 
 
 def tokens_of(text: str) -> int:
-    other = sum(1 for c in text if ord(c) > 127)
-    return max(1, int(other * 0.5 + (len(text) - other) * 0.25)) if text else 0
+    plain = len(text) if text.isascii() else len(text.encode("ascii", "ignore"))
+    return max(1, (2 * len(text) - plain) // 4) if text else 0
 
 
 def split_sentences(text: str) -> list[str]:
