@@ -7,9 +7,9 @@ import uuid
 from pyspark.sql import functions as F
 
 from quern.functions import text as T
-from quern.operators import cells, coverage, entities, samples, windows
-from quern.plans.registry import _NEAR, _TOKENS, _docs, _levels, query
-from quern.sources import buckets
+from quern.operators import cells, compounds, coverage, entities, keywords, samples, windows
+from quern.plans.registry import _NEAR, _TOKENS, IMPORTANT, STOP, _docs, _levels, query
+from quern.sources import buckets, named, points
 from quern.sources.tables import shared_folder, table
 from quern.streaming import limits
 
@@ -107,3 +107,36 @@ SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY hits DESC, first,
 def named_in_dictionary(s, d):
     names = table(s, d, "benchmark").select(F.explode(F.regexp_extract_all("text", F.lit(_NAMES), F.lit(0))).alias("name"))
     return entities.most_named(entities.by_dictionary(_docs(s, d), names, "doc_id", "text"), "doc_id")
+
+
+@query()
+def compound_keywords(s, d):
+    words = table(s, d, "benchmark").select(F.explode_outer(F.regexp_extract_all("text", F.lit("[a-z]{2,5}"), F.lit(0))).alias("surface")).distinct()
+    dictionary = words.select("surface", F.when(F.length("surface") > 2, "noun").otherwise("other").alias("pos"), (8.0 - F.length("surface")).alias("cost"))
+    more = compounds.ranked(compounds.compounds(_docs(s, d), dictionary, "doc_id", "text", connections={("other", "noun"): 1.0}), "doc_id", 20)
+    return keywords.integrated(_docs(s, d), "doc_id", "text", 10, STOP, IMPORTANT, more)
+
+
+@query("SELECT vec_id, label, len(embedding)::INT AS size FROM embeddings WHERE label = 3")
+def paged_points(s, d):
+    points.register(s)
+    folder = f"{shared_folder(s)}/quern-points-{uuid.uuid4().hex}"
+    table(s, d, "embeddings").write.parquet(folder)
+    read = s.read.format(points.NAME).option("key", "vec_id").option("partitions", 4).load(folder.removeprefix("file://"))
+    return read.where("label = 3").select("vec_id", "label", F.size("embedding").alias("size"))
+
+
+_NAMED = "SELECT vec_id, embedding::DOUBLE[] AS e, [x * (CASE WHEN i % 2 = 0 THEN -1 ELSE 1 END) for x, i in embedding::DOUBLE[]][1:16] AS f FROM embeddings"
+
+
+@query(f"SELECT query_id, rank, vec_id, sim FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY sim DESC, vec_id) AS rank FROM (SELECT q.vec_id AS query_id, p.vec_id, round(list_cosine_similarity(q.f, p.f), 6) AS sim FROM ({_NAMED}) q, ({_NAMED}) p WHERE q.vec_id % 50 = 0)) WHERE rank <= 3")
+def named_vectors(s, d):
+    v = table(s, d, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("whole"))
+    part = F.slice(F.transform("whole", lambda x, i: F.when(i % 2 == 1, -x).otherwise(x)), 1, 16)
+    both, root = v.withColumn("part", part), f"{shared_folder(s)}/quern-named-{uuid.uuid4().hex}"
+    kinds = {"whole": named.Vector(64), "part": named.Vector(16)}
+    for k in range(2):
+        named.create(s, f"{root}/{k}", kinds)
+        named.put(both.where(F.col("vec_id") % 2 == k), f"{root}/{k}", 0, "vec_id")
+    named.merged(s, [f"{root}/0", f"{root}/1"], f"{root}/all", "vec_id")
+    return named.search(s, f"{root}/all", both.where("vec_id % 50 = 0"), "part", 3, "vec_id")
