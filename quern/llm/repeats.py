@@ -152,12 +152,61 @@ def common(p: Prefixes, a: np.ndarray, b: np.ndarray, most: int) -> np.ndarray:
     return lo
 
 
+def compared(p: Prefixes, raw: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """-1, 0 or 1 as the string of LENGTH bytes at a is less than, equal to or greater than that at b: by the byte after their common extension, which
+    takes the logarithm of LENGTH in steps. What the hashes call equal is settled by the bytes themselves, so 0 is always true."""
+    out = np.zeros(len(a), np.int8)
+    for k in range(0, len(a), VERIFY):
+        x, y = a[k : k + VERIFY], b[k : k + VERIFY]
+        e = np.minimum(common(p, x, y, LENGTH), LENGTH - 1)
+        u, v = raw[x + e].astype(np.int16), raw[y + e].astype(np.int16)
+        out[k : k + VERIFY] = np.sign(u - v)
+        doubt = np.flatnonzero(u == v)
+        windows = np.lib.stride_tricks.sliding_window_view(raw, LENGTH)
+        differ = windows[x[doubt]] != windows[y[doubt]]
+        at = differ.argmax(axis=1)
+        some = differ.any(axis=1)
+        out[k + doubt[some]] = np.sign(raw[x[doubt[some]] + at[some]].astype(np.int16) - raw[y[doubt[some]] + at[some]])
+    return out
+
+
+def merge_sorted(p: Prefixes, raw: np.ndarray, at: np.ndarray, group: np.ndarray) -> np.ndarray:
+    """The order of the strings at `at`, by group (which rises), then by their bytes; equal strings keep theirs.
+
+    A merge sort from runs of one string: all pairs of runs of all groups are merged at once, each string finding its place in the other run by binary
+    search, so a string is compared as often as the square of the logarithm of its group's size.
+    """
+    order = np.arange(len(at))
+    head = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]])[: len(group)])
+    size = np.diff(np.append(head, len(group)))
+    begin, count = np.repeat(head, size), np.repeat(size, size)
+    place, width = np.arange(len(at)) - begin, 1
+    while width < count.max(initial=0):
+        own = np.flatnonzero(count > width)  # groups that are one run are done
+        run = place[own] // width
+        other = begin[own] + (run ^ 1) * width  # where the other run of the pair begins
+        end = np.minimum(other + width, begin[own] + count[own])
+        right = run % 2 == 1
+        lo, hi = other.copy(), np.maximum(end, other)
+        mine = at[order[own]]
+        while len(on := np.flatnonzero(lo < hi)):
+            mid = (lo[on] + hi[on]) // 2
+            c = compared(p, raw, at[order[mid]], mine[on])
+            before = (c < 0) | ((c == 0) & right[on])  # of equal ones those of the left run come first
+            lo[on], hi[on] = np.where(before, mid + 1, lo[on]), np.where(before, hi[on], mid)
+        new = begin[own] + (run // 2) * 2 * width + place[own] % width + (lo - other)
+        merged = order.copy()
+        merged[new] = order[own]
+        order, width = merged, 2 * width
+    return order
+
+
 def _sorted_group(pdf: pd.DataFrame) -> pd.DataFrame:
     """Runs of strings in the group's segments that occur earlier.
 
-    The suffixes at the strings' starts are merge-sorted by the hash of their first LENGTH bytes, stably, so earlier
-    ones come first; neighbours' common extension is found by binary search on prefix hashes; what has all LENGTH bytes is verified by
-    comparing them with those of the first such string.
+    Equal strings have their anchor, the gram with the least hash, at one place; so strings are apart by anchor and its place in
+    them. The suffixes at the strings' starts are merge-sorted within these (see `merge_sorted`), earlier ones first among equals; then what equals its
+    neighbour, by their common extension and by bytes, is held against the first of its kind.
     """
     pdf = pdf.sort_values(["doc_id", "lo"], kind="stable")
     data = [bytes(x) for x in pdf["data"]]
@@ -165,20 +214,24 @@ def _sorted_group(pdf: pd.DataFrame) -> pd.DataFrame:
     n = size - LENGTH + 1
     raw = np.frombuffer(b"".join(data), np.uint8)
     p = Prefixes(raw, 0)
+    base = np.cumsum(size) - size
     row = np.repeat(np.arange(len(data)), n)
     inner = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
-    at = (np.cumsum(size) - size)[row] + inner
+    at = base[row] + inner
     doc, version, lo = (pdf[c].to_numpy(np.int64)[row] for c in ("doc_id", "version", "lo"))
     lo = lo + inner
-    earlier = np.lexsort((lo, doc))
-    order = earlier[np.argsort(p.of(at, LENGTH)[earlier], kind="stable")]
-    same = np.concatenate([[False], common(p, at[order[:-1]], at[order[1:]], LENGTH) == LENGTH])[: len(order)]
+    grams = p.of(np.arange(max(len(raw) - GRAM + 1, 0)), GRAM) >> np.uint64(INDEX_BITS)
+    anchor = np.concatenate([np.zeros(0, np.int64), *[grams[base[k : k + 10_000, None] + np.arange(LENGTH - GRAM + 1)].argmin(axis=1) for k in range(0, len(base), 10_000)]])
+    gram = grams[base + anchor][row] if len(base) else np.zeros(0, np.uint64)
+    earlier = np.lexsort((lo, doc, anchor[row] - inner, gram))
+    kind = np.stack([gram.view(np.int64), anchor[row] - inner])[:, earlier]
+    group = np.cumsum(np.concatenate([[False], (kind[:, 1:] != kind[:, :-1]).any(axis=0)])[: len(earlier)])
+    sort = merge_sorted(p, raw, at[earlier], group)
+    order = earlier[sort]
+    same = np.concatenate([[False], (group[1:] == group[:-1]) & (compared(p, raw, at[order[:-1]], at[order[1:]]) == 0)])[: len(order)]
     first = order[np.maximum.accumulate(np.where(same, 0, np.arange(len(order))))]
     later = same & ((doc[order] != doc[first]) | (lo[order] != lo[first]))
-    windows = np.lib.stride_tricks.sliding_window_view(raw, LENGTH) if len(raw) >= LENGTH else raw.reshape(0, 1)
-    hit, first = order[later], first[later]
-    true = np.concatenate([np.zeros(0, bool), *[(windows[at[hit[k : k + VERIFY]]] == windows[at[first[k : k + VERIFY]]]).all(axis=1) for k in range(0, len(hit), VERIFY)]])
-    hit = hit[true]
+    hit = order[later]
     hit = hit[np.lexsort((lo[hit], version[hit], doc[hit]))]
     cut = np.flatnonzero(np.concatenate([[True], (np.diff(lo[hit]) != 1) | (doc[hit[1:]] != doc[hit[:-1]]) | (version[hit[1:]] != version[hit[:-1]])])[: len(hit)])
     return pd.DataFrame({"doc_id": doc[hit[cut]], "version": version[hit[cut]], "lo": lo[hit[cut]], "n": np.diff(np.append(cut, len(hit))).astype(np.int32)})

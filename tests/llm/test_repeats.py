@@ -101,3 +101,26 @@ def test_pieces_that_differ_between_evaluations(spark):
     finally:
         spark.conf.set(size, before)
     assert results(got) == brute(rows)
+
+
+def test_merge_sort_by_common_extensions():
+    r = np.random.default_rng(2)
+    pool = [bytes(r.integers(97, 99, 30, dtype=np.uint8)) * 4 for _ in range(6)] + [b"a" * 120]
+    raw = np.frombuffer(b"".join(pool[k] for k in r.integers(0, len(pool), 60)), np.uint8)
+    p = repeats.Prefixes(raw, 0)
+    at = r.integers(0, len(raw) - repeats.LENGTH + 1, 900)
+    group = np.sort(r.integers(0, 25, 900))
+    order = repeats.merge_sorted(p, raw, at, group)
+    text = raw.tobytes()
+    assert order.tolist() == sorted(range(900), key=lambda i: (group[i], text[at[i] : at[i] + 100]))
+    assert repeats.merge_sorted(p, raw, at[:0], group[:0]).tolist() == []
+
+
+def test_hashes_that_clash_make_nothing_equal(monkeypatch):
+    """With hashes that call all substrings of one size equal, strings are equal only if their bytes are."""
+    raw = np.frombuffer(b"".join(bytes([97 + k % 3]) * 37 + bytes([100 + k % 2]) for k in range(40)), np.uint8)
+    monkeypatch.setattr(repeats.Prefixes, "of", lambda self, start, size: np.broadcast_to(np.asarray(size, np.uint64), np.shape(start)))
+    a, b = (x.ravel() for x in np.meshgrid(np.arange(0, len(raw) - 100, 19), np.arange(0, len(raw) - 100, 19)))
+    same = repeats.compared(repeats.Prefixes(raw, 0), raw, a, b) == 0
+    text = raw.tobytes()
+    assert same.tolist() == [text[i : i + 100] == text[j : j + 100] for i, j in zip(a, b, strict=True)] and len(a) > same.sum() > len(set(a.tolist()))
