@@ -21,6 +21,8 @@ WINDOW = 20
 ALLOWED = r"(?i)example|sample|placeholder|dummy|changeme|0123456|1234567|abcdefg|(.)\1{5}|^[^0-9]*$|^[^A-Za-z]*$"
 #: The parts of ALLOWED that a stage which masks asks of each window; no digit or no letter stays a question to the whole candidate.
 PLACEHOLDER, ONE_SORT = "|".join(ALLOWED.split("|")[:-2]), "|".join(ALLOWED.split("|")[-2:])
+#: All characters of candidates; the counts of PER_WORD of them are in one integer.
+SYMBOLS, PER_WORD = "0123456789abcdefABCDEFghijklmnopqrstuvwxyzGHIJKLMNOPQRSTUVWXYZ+/_-=", 12
 GAIN = [(c + 1) * math.log2(c + 1) - (c * math.log2(c) if c else 0.0) for c in range(WINDOW + 1)]
 
 
@@ -34,36 +36,46 @@ def _places(text: Column, pattern: str, group: int = 0) -> Column:
     return F.when(text.rlike(pattern), found).otherwise(empty)
 
 
+def _symbols(hit: Column) -> Column:
+    """array<struct<word,bit,one>>: of each character of a candidate, where its count is: five bits of one of a few integers."""
+    place = F.transform(F.split(hit, ""), lambda c: F.instr(F.lit(SYMBOLS), c) - 1)
+    bit = lambda k: (k % PER_WORD * 5).cast("int")
+    one = lambda k: F.call_function("shiftleft", F.lit(1).cast("bigint"), bit(k))
+    return F.transform(place, lambda k: F.struct(F.floor(k / PER_WORD).cast("int").alias("word"), bit(k).alias("bit"), one(k).alias("one")))
+
+
 def _entropy(hit: Column, least: float, by_window: bool) -> Column:
     """struct<lo,hi>: from the first to the last window of `hit` with that many bits a character; -1 if there is none.
 
     `by_window` leaves out windows that hold a placeholder or a run.
 
-    A step of the window changes two counts, those of the character that comes and of the one that goes, and the sum of c*log2(c) by what
-    these give. Both are counted in the characters that stay, so a step's work doesn't grow with the candidate.
+    The counts of the window's characters are kept. A step changes two of them, that of the character that goes and of the one that comes, and the sum of c*log2(c) by what
+    these give, so its work grows neither with the window nor with the candidate.
     """
     gain = F.array(*map(F.lit, GAIN))
-    count = lambda stay, c: F.size(F.filter(stay, lambda x: x == c))
+    count = lambda n, c: F.call_function("shiftright", F.get(n, c["word"]), c["bit"]).bitwiseAND(F.lit(31)).cast("int")
+    changed = lambda n, c, sign: F.transform(n, lambda x, k: F.when(k == c["word"], x + sign * c["one"]).otherwise(x))
 
-    def step(chars: Column, a: Column, i: Column) -> Column:
-        stay = F.slice(chars, F.greatest(i - (WINDOW - 1), F.lit(1)), F.least(i - 1, F.lit(WINDOW - 1)))
+    def step(codes: Column, a: Column, i: Column) -> Column:
+        gone, new = F.get(codes, i - (WINDOW + 1)), F.get(codes, i - 1)
 
-        def move(stay: Column) -> Column:
-            less = F.when(i > WINDOW, F.get(gain, count(stay, F.get(chars, i - (WINDOW + 1))))).otherwise(0.0)
+        def come(n: Column) -> Column:
+            less = F.when(i > WINDOW, F.get(gain, count(n, gone))).otherwise(0.0)
 
             def close(s: Column) -> Column:
                 high = (i >= WINDOW) & (math.log2(WINDOW) - s / WINDOW >= least)
                 if by_window:
-                    high = high & ~F.array_join(F.slice(chars, i - (WINDOW - 1), WINDOW), "").rlike(PLACEHOLDER)
-                return F.struct(s.alias("s"), F.when(high & (a["lo"] < 0), i - WINDOW).otherwise(a["lo"]).alias("lo"), F.when(high, i).otherwise(a["hi"]).alias("hi"))
+                    high = high & ~F.substring(hit, i - (WINDOW - 1), WINDOW).rlike(PLACEHOLDER)
+                return F.struct(changed(n, new, 1).alias("n"), s.alias("s"), F.when(high & (a["lo"] < 0), i - WINDOW).otherwise(a["lo"]).alias("lo"), F.when(high, i).otherwise(a["hi"]).alias("hi"))
 
-            return let(a["s"] + F.get(gain, count(stay, F.get(chars, i - 1))) - less, close)
+            return let(a["s"] + F.get(gain, count(n, new)) - less, close)
 
-        return let(stay, move)
+        return let(F.when(i > WINDOW, changed(a["n"], gone, -1)).otherwise(a["n"]), come)
 
-    first = F.struct(F.lit(0.0).alias("s"), F.lit(-1).alias("lo"), F.lit(-1).alias("hi"))
-    walk = lambda chars: F.aggregate(F.sequence(F.lit(1), F.size(chars)), first, lambda a, i: step(chars, a, i), lambda a: F.struct(a["lo"].alias("lo"), a["hi"].alias("hi")))
-    return let(F.split(hit, ""), walk)
+    none = F.array_repeat(F.lit(0).cast("bigint"), -(-len(SYMBOLS) // PER_WORD))
+    first = F.struct(none.alias("n"), F.lit(0.0).alias("s"), F.lit(-1).alias("lo"), F.lit(-1).alias("hi"))
+    walk = lambda codes: F.aggregate(F.sequence(F.lit(1), F.size(codes)), first, lambda a, i: step(codes, a, i), lambda a: F.struct(a["lo"].alias("lo"), a["hi"].alias("hi")))
+    return let(_symbols(hit), walk)
 
 
 def _dense(least: float, by_window: bool):
