@@ -189,3 +189,8 @@ def assembled(plans: DataFrame) -> DataFrame:
 def overridden(judged: Column, found: Column, searched: Column, sure: float = 0.9) -> Column:
     """A judge's confidence, or a search's best score if that is higher and over `sure`."""
     return F.when(searched & (found > sure), F.greatest(judged, found)).otherwise(judged)
+
+
+def level(score: Column, silent: Column, notify: Column, confirm: Column) -> Column:
+    """What to do at a confidence under thresholds of one's own, such as those of `thresholds`; a null score is escalated."""
+    return F.when(score >= silent, "silent").when(score >= notify, "notify").when(score >= confirm, "confirm").otherwise("escalate")

@@ -114,3 +114,13 @@ def report(best: DataFrame, key: str, profile: str = "default", standard: float
     levels_ = F.create_map(*[x for k, v in PROFILES[profile].items() for x in (F.lit(k), F.count_if(b >= v))])
     weak = ",".join(sorted(r["class"] for r in insights(by_position(best, key, standard)).collect()))  # three rows at most
     return best.agg(F.count("*").alias("chunks"), F.count_if(b >= standard).alias("covered"), F.round(F.avg((b >= standard).cast("double")), 6).alias("rate"), F.round(F.avg(b), 6).alias("mean"), F.count_if(b < standard).alias("uncovered"), levels_.alias("levels"), F.lit(weak).alias("weak"))
+
+
+def bands(best: DataFrame, threshold: float = 0.65) -> DataFrame:
+    """One row: chunks, covered and rate at the threshold, mean, least and most similarity, and how many are high (0.7 or more), medium (0.5 or more) and low."""
+    b = F.col("best")
+    rate = F.coalesce(F.round(F.avg((b >= threshold).cast("double")), 6), F.lit(0.0))
+    return best.agg(
+        F.count("*").alias("chunks"), F.count_if(b >= threshold).alias("covered"), rate.alias("rate"), F.round(F.avg(b), 6).alias("mean"), F.min(b).alias("least"), F.max(b).alias("most"),
+        F.count_if(b >= 0.7).alias("high"), F.count_if((b >= 0.5) & (b < 0.7)).alias("medium"), F.count_if(b < 0.5).alias("low"),
+    )

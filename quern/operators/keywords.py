@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from quern.functions import keywords as K
 from quern.functions.keywords import occurrences as places
-from quern.functions.text import terms
+from quern.functions.text import TECHNICAL, terms
 
 # Terms that mean the same, the shorter one first.
 SYNONYMS = {"AI": "人工知能", "ML": "機械学習", "DL": "深層学習", "NLP": "自然言語処理", "DX": "デジタルトランスフォーメーション"}
@@ -142,3 +142,22 @@ def best_method(found: DataFrame, df: DataFrame, key: str, text: str, methods: t
     each = F.transform("_sets", lambda x: F.struct((-F.round(K.total(K.metrics(x["terms"], F.col("_text"))), 6)).alias("s"), F.array_position(order, x["method"]).alias("o"), x["method"].alias("m"), x["terms"].alias("t")))
     best = both.select(key, F.array_min(each).alias("_b"))
     return best.select(key, F.col("_b.m").alias("method"), (-F.col("_b.s")).alias("total"), F.col("_b.t").alias("terms"))
+
+
+def potential(found: DataFrame, df: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, keywords, coverage, compound, technical): of a text's keywords (key, term) the shares that stand in it, that have four characters or more, and that are technical terms."""
+    lists = found.groupBy(F.col(key).alias("_k")).agg(F.collect_list("term").alias("_l"))
+    both = df.select(key, F.col(text).alias("_t")).join(lists, F.col(key) == F.col("_k"))
+    share = lambda test: F.round(F.size(F.filter("_l", test)) / F.size("_l"), 6)
+    return both.select(
+        key, F.size("_l").alias("keywords"), share(lambda t: F.contains(F.col("_t"), t)).alias("coverage"), share(lambda t: F.length(t) >= 4).alias("compound"), share(lambda t: t.rlike(f"^({K.TECHNICAL})$")).alias("technical")
+    )
+
+
+def concepts(ranked: DataFrame, df: DataFrame, key: str, text: str, lang: str = "ja", n: int = 5) -> DataFrame:
+    """(key, concepts): of each text its keywords (key, rank, term) in order, then its first three technical terms, each once, n at most."""
+    lists = ranked.groupBy(F.col(key).alias("_k")).agg(F.sort_array(F.collect_list(F.struct("rank", "term"))).alias("_l"))
+    both = df.select(key, F.col(text).alias("_t")).join(lists, F.col(key) == F.col("_k"), "left")
+    technical = F.slice(F.array_distinct(F.regexp_extract_all(F.coalesce("_t", F.lit("")), F.lit(TECHNICAL[lang]), F.lit(0))), 1, 3)
+    own = F.coalesce(F.col("_l.term"), F.array().cast("array<string>"))
+    return both.select(key, F.slice(F.array_distinct(F.concat(own, technical)), 1, n).alias("concepts"))

@@ -88,6 +88,21 @@ def negated(pairs: DataFrame) -> DataFrame:
     return pairs.withColumns({"question": F.replace("question", F.lit("何ですか"), F.lit("何ではありませんか")), "answer": F.concat("answer", F.lit("ではないものを指します。"))})
 
 
+# Questions that a text can't answer, their answers and kinds.
+UNANSWERABLE = [
+    ("この文書に書かれていない情報は何ですか？", "文書には含まれていない情報です。", "out_of_context"),
+    ("それは何を指していますか？", "文脈により異なります。", "ambiguous_reference"),
+]
+
+
+def adversarial(pairs: DataFrame, key: str, order: str, most: int = 5) -> DataFrame:
+    """(key, question, answer, type): of each key's pairs (key, order, question, answer) the first `most` turned into their opposites, and two that no text can answer."""
+    first = F.row_number().over(W.partitionBy(key).orderBy(order))
+    own = negated(pairs.withColumn("_r", first).where(F.col("_r") <= most)).select(key, "question", "answer", F.lit("adversarial_negation").alias("type"))
+    fixed = F.array(*[F.struct(F.lit(q).alias("question"), F.lit(a).alias("answer"), F.lit(t).alias("type")) for q, a, t in UNANSWERABLE])
+    return own.unionByName(pairs.select(key).distinct().select(key, F.inline(fixed)))
+
+
 # Signs of English and of Japanese text, a capitalised phrase, and the questions asked of a chunk.
 ENGLISH = ("the ", "The ", " is ", " are ", " was ", " were ", " have ", " has ", "and ", "for ")
 JAPANESE = ("。", "は", "が", "を", "に", "で", "と", "の")

@@ -92,3 +92,10 @@ def compared(cases: DataFrame, results: DataFrame, case: str) -> DataFrame:
     }
     failures = F.array_compact(F.array(*[F.when(~c, k) for k, c in ok.items()]))
     return both.select(case, (F.size(failures) == 0).alias("passed"), F.concat_ws("; ", failures).alias("failures"))
+
+
+def source_shares(sample: DataFrame, source: str, total: int) -> DataFrame:
+    """(source, sampled, percent, estimated): each source's rows in a sample, their share, and how many of `total` rows that makes, cut to a whole number; a null source is unknown."""
+    counts = sample.groupBy(F.coalesce(F.col(source), F.lit("unknown")).alias("source")).agg(F.count("*").alias("sampled"))
+    n = max(counts.agg(F.sum("sampled")).first()[0] or 0, 1)
+    return counts.select("source", "sampled", F.round(100 * F.col("sampled") / n, 6).alias("percent"), F.floor(total * F.col("sampled") / n).cast("bigint").alias("estimated"))

@@ -7,8 +7,8 @@ import uuid
 from pyspark.sql import functions as F
 
 from quern.functions import text as T
-from quern.operators import cells, compounds, coverage, entities, keywords, samples, windows
-from quern.plans.registry import _NEAR, _TOKENS, IMPORTANT, STOP, _docs, _levels, query
+from quern.operators import cells, compounds, confidence, coverage, entities, keywords, questions, reports, samples, windows
+from quern.plans.registry import _BEST, _NEAR, _TOKENS, IMPORTANT, ORACLES, STOP, _best, _docs, _levels, query
 from quern.sources import buckets, named, points
 from quern.sources.tables import shared_folder, table
 from quern.streaming import limits
@@ -140,3 +140,44 @@ def named_vectors(s, d):
         named.put(both.where(F.col("vec_id") % 2 == k), f"{root}/{k}", 0, "vec_id")
     named.merged(s, [f"{root}/0", f"{root}/1"], f"{root}/all", "vec_id")
     return named.search(s, f"{root}/all", both.where("vec_id % 50 = 0"), "part", 3, "vec_id")
+
+
+@query(f"SELECT count(*) AS chunks, count(*) FILTER (best >= 0.4) AS covered, round(avg((best >= 0.4)::INT::DOUBLE), 6) AS rate, round(avg(best), 6) AS mean, min(best) AS least, max(best) AS most, count(*) FILTER (best >= 0.7) AS high, count(*) FILTER (best >= 0.5 AND best < 0.7) AS medium, count(*) FILTER (best < 0.5) AS low FROM {_BEST}")
+def coverage_bands(s, d):
+    return coverage.bands(_best(s, d), 0.4)
+
+
+@query("WITH s AS (SELECT source FROM documents ORDER BY md5('42:' || doc_id) LIMIT 200), n AS (SELECT count(*) AS n FROM s), t AS (SELECT count(*) AS total FROM documents) SELECT coalesce(source, 'unknown') AS source, count(*) AS sampled, round(100 * count(*)::DOUBLE / any_value(n), 6) AS percent, floor(any_value(total) * count(*)::DOUBLE / any_value(n))::BIGINT AS estimated FROM s, n, t GROUP BY 1")
+def sampled_sources(s, d):
+    docs = _docs(s, d).select("doc_id", "source")
+    return reports.source_shares(samples.sampled(docs, 200, ["doc_id"]), "source", docs.count())
+
+
+_KEYS = ORACLES["keywords_by_score"]
+
+
+@query(f"SELECT doc_id, count(*)::INT AS keywords, round(avg(contains(text, term)::INT::DOUBLE), 6) AS coverage, round(avg((length(term) >= 4)::INT::DOUBLE), 6) AS compound, round(avg(regexp_matches(term, '^([ァ-ヴー]{{3,}}|[A-Z]{{2,}}|[一-龥]{{4,}})$')::INT::DOUBLE), 6) AS technical FROM ({_KEYS}) JOIN documents USING (doc_id) GROUP BY 1")
+def keyword_potential(s, d):
+    found = keywords.by_score(_docs(s, d), "doc_id", "text", 10, STOP, IMPORTANT)
+    return keywords.potential(found, _docs(s, d), "doc_id", "text")
+
+
+@query()
+def concept_terms(s, d):
+    found = keywords.by_score(_docs(s, d), "doc_id", "text", 5, STOP, IMPORTANT)
+    return keywords.concepts(found, _docs(s, d), "doc_id", "text", "en", 7).select("doc_id", F.explode_outer("concepts").alias("term"))
+
+
+@query("SELECT event_id, CASE WHEN c >= 0.8 + user_id % 3 * 0.05 THEN 'silent' WHEN c >= 0.6 + user_id % 3 * 0.05 THEN 'notify' WHEN c >= 0.3 + user_id % 3 * 0.05 THEN 'confirm' ELSE 'escalate' END AS level FROM (SELECT event_id, user_id, value / (1 + abs(value)) AS c FROM events)")
+def levels_by_thresholds(s, d):
+    events = table(s, d, "events").withColumn("c", F.col("value") / (1 + F.abs("value")))
+    least = lambda x: F.lit(x) + F.col("user_id") % 3 * 0.05
+    return events.select("event_id", confidence.level(F.col("c"), least(0.8), least(0.6), least(0.3)).alias("level"))
+
+
+@query("""WITH p AS (SELECT doc_id % 10 AS batch, doc_id, source || '何ですか' AS question, lang AS answer, row_number() OVER (PARTITION BY doc_id % 10 ORDER BY doc_id) AS r FROM documents)
+SELECT batch, source || '何ではありませんか' AS question, answer || 'ではないものを指します。' AS answer, 'adversarial_negation' AS type FROM (SELECT p.*, d.source FROM p JOIN documents d USING (doc_id)) WHERE r <= 5
+UNION ALL SELECT DISTINCT batch, unnest(['この文書に書かれていない情報は何ですか？', 'それは何を指していますか？']), unnest(['文書には含まれていない情報です。', '文脈により異なります。']), unnest(['out_of_context', 'ambiguous_reference']) FROM p""")
+def adversarial_questions(s, d):
+    pairs = _docs(s, d).select((F.col("doc_id") % 10).alias("batch"), "doc_id", F.concat("source", F.lit("何ですか")).alias("question"), F.col("lang").alias("answer"))
+    return questions.adversarial(pairs, "batch", "doc_id")

@@ -443,13 +443,16 @@ def newest_events(s, d):
 
 @query()
 def hashed_vectors(s, d):
-    return models.embedded(table(s, d, "benchmark"), "item_id", "text")
+    return models.embedded(_docs(s, d), "doc_id", "text")
 
 
-@query(f"SELECT doc_id, sum(n)::DOUBLE AS total FROM {_TERMS} GROUP BY 1")
+@query(f"SELECT doc_id, lower(term) AS term, sum(n)::FLOAT AS weight FROM {_TERMS} GROUP BY ALL")
 def sparse_weights(s, d):
-    w = models.sparse(_docs(s, d), "doc_id", "text").select("doc_id", F.map_values("weights").alias("w")).where(F.size("w") > 0)
-    return w.select("doc_id", F.aggregate("w", F.lit(0.0), lambda a, x: a + x).alias("total"))
+    size = 1 << 30
+    found = models.sparse(_docs(s, d), "doc_id", "text", size).withColumnRenamed("doc_id", "k")
+    asked = _docs(s, d).select("doc_id", F.explode_outer(F.array_distinct(F.transform(T.terms(F.col("text")), F.lower))).alias("term")).where("term IS NOT NULL")
+    at = F.pmod(F.xxhash64("term"), F.lit(size)).cast("int")
+    return asked.join(found, F.col("doc_id") == F.col("k")).select("doc_id", "term", F.try_element_at("weights", at).alias("weight"))
 
 
 @query()
@@ -568,10 +571,9 @@ def coverage_insights(s, d):
     return coverage.insights(coverage_by_position(s, d))
 
 
-@query("SELECT doc_id, concat_ws(chr(10), text, nullif(trim(source), '')) AS input FROM documents WHERE length(text) >= 100")
+@query("SELECT doc_id, concat_ws(chr(10), text, nullif(trim(source), '')) AS input FROM documents")
 def embedding_inputs(s, d):
-    docs = _docs(s, d).where(F.length("text") >= 100)
-    return docs.select("doc_id", T.embedding_input(F.col("text"), F.nullif(F.trim("source"), F.lit(""))).alias("input"))
+    return _docs(s, d).select("doc_id", T.embedding_input(F.col("text"), F.nullif(F.trim("source"), F.lit(""))).alias("input"))
 
 
 _STEP = "SELECT l_orderkey, l_linenumber, l_linenumber % 2 = 0 AS search, l_discount::DOUBLE * 10 AS quality, l_tax::DOUBLE * 12.5 AS agreement, (l_quantity::DOUBLE % 11) / 10 AS own, (l_quantity::DOUBLE % 7) / 10 AS covered, l_suppkey % 3 AS done, (l_suppkey % 3) + (l_partkey % 2) AS runs, l_partkey % 4 AS sources, l_suppkey % 2 AS found FROM lineitem"

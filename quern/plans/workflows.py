@@ -57,10 +57,17 @@ def length_levels(s, d):
     return _docs(s, d).select("doc_id", T.length_level(F.col("text")).alias("x")).select("doc_id", "x.*")
 
 
-@query("SELECT doc_id, len(list_distinct(regexp_extract_all(coalesce(text, ''), '[一-龯々ぁ-んァ-ン]{2,}'))) > 0 AS has_concepts, len(list_distinct(list_concat(list_filter(string_split_regex(coalesce(text, ''), '\\s+'), lambda w: regexp_matches(w, '^[一-鿿゠-ヿ]+$')), regexp_extract_all(coalesce(text, ''), '[一-鿿゠-ヿ]{2,}')))) AS n_required FROM documents")
+# Letters of the texts as kana, so that runs of kana are found in every text.
+_LATIN, _KANA = "abcdefghijklmnopqrstuvwxyz", "アイウエオカキクケコサシスセソタチツテトナニヌネノハ"
+_AS_KANA = f"translate(lower(coalesce(text, '')), '{_LATIN}', '{_KANA}')"
+
+
+@query(f"""WITH r AS (SELECT doc_id, unnest(l) AS e, generate_subscripts(l, 1) AS i FROM (SELECT doc_id, regexp_extract_all({_AS_KANA}, '[一-龯々ぁ-んァ-ン]{{2,}}') AS l FROM documents)),
+f AS (SELECT doc_id, e, min(i) AS i FROM r GROUP BY doc_id, e QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY min(i)) <= 5), c AS (SELECT doc_id, string_agg(e, ',' ORDER BY i) AS concepts FROM f GROUP BY 1)
+SELECT doc_id, coalesce(concepts, '') AS concepts, array_to_string(list_sort(list_distinct(list_concat(list_filter(string_split_regex({_AS_KANA}, '\\s+'), lambda w: regexp_matches(w, '^[一-鿿゠-ヿ]+$')), regexp_extract_all({_AS_KANA}, '[一-鿿゠-ヿ]{{2,}}')))), ',') AS required FROM documents LEFT JOIN c USING (doc_id)""")
 def key_concepts(s, d):
-    text = F.coalesce("text", F.lit(""))
-    return _docs(s, d).select("doc_id", (F.size(T.key_concepts(text)) > 0).alias("has_concepts"), F.size(T.required_terms(text)).alias("n_required"))
+    docs = _docs(s, d).select("doc_id", F.translate(F.lower(F.coalesce("text", F.lit(""))), _LATIN, _KANA).alias("text"))
+    return docs.select("doc_id", F.array_join(T.key_concepts(F.col("text")), ",").alias("concepts"), F.array_join(F.array_sort(T.required_terms(F.col("text"))), ",").alias("required"))
 
 
 @query("SELECT doc_id, least(15, floor(floor(1.5::DOUBLE * CASE WHEN dense > 10 THEN 8 WHEN dense > 5 THEN 6 ELSE 4 END) + n * 0.5::DOUBLE))::INT AS questions FROM (SELECT doc_id, len(list_filter(string_split_regex(text, '\\n\\s*\\n'), lambda x: trim(x, ' \t\n\r') <> '')) AS n, CASE WHEN length(text) > 0 THEN len(list_distinct(regexp_extract_all(text, '[ァ-ヴー]{3,}|[A-Z]{2,}|[一-龥]{4,}'))) / (length(text) / 1000.0::DOUBLE) ELSE 0 END AS dense FROM documents)")
