@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections import Counter, defaultdict
 from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
 from operator import itemgetter
 
 import ahocorasick
@@ -11,7 +12,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 import zstandard
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -22,7 +23,7 @@ INSIDE = 50  # percent of a phrase's count at which a longer one takes its place
 BITS = 26  # the sketch has 2 ** BITS counters of one byte
 CHUNK = 1 << 18  # counters that are sent together
 SHARD = 1 << 20  # characters of text that one automaton is for, or one document
-ROWS = 256  # of a batch that are Python objects at once
+BATCH, ROWS = 1_000, 256  # rows that come to a task together, and those of them that are Python objects at once
 KEYS = 100_000  # phrases or words that a task holds before it gives out their counts
 SALTS = 64
 # Bytes that end a piece, and those between its words.
@@ -186,6 +187,18 @@ def counted(batches: Iterator[pa.RecordBatch], bits: np.ndarray) -> Iterator[pa.
     yield flush()
 
 
+@contextmanager
+def _small_batches(spark: SparkSession):
+    """Texts come to the tasks in batches of BATCH rows, so that those of a batch take little memory beside the tables."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(min(BATCH, int(before)) if int(before) > 0 else BATCH))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def counts(documents: DataFrame, least: int = LEAST) -> tuple[DataFrame, DataFrame]:
     """(lang, word, n) of all words, and (lang, phrase, n) of the phrases of WORDS words that stand `least` times or more.
 
@@ -194,12 +207,15 @@ def counts(documents: DataFrame, least: int = LEAST) -> tuple[DataFrame, DataFra
     """
     spark = documents.sparkSession
     texts = documents.select(F.coalesce("lang", F.lit(UND)).alias("lang"), "text").where("text IS NOT NULL")
-    found = written(texts.mapInArrow(learned, "lang string, word string, n bigint, chunk int, data binary"), "words")
+    with _small_batches(spark):
+        found = written(texts.mapInArrow(learned, "lang string, word string, n bigint, chunk int, data binary"), "words")
     words = found.where("word IS NOT NULL").groupBy("lang", "word").agg(F.sum("n").alias("n"))
     bits = spark.sparkContext.broadcast(frequent(found.where("chunk IS NOT NULL").select("chunk", "data"), least))
     each = texts.mapInArrow(lambda b: counted(b, bits.value), "lang string, phrase string, n bigint")
     phrases = each.groupBy("lang", "phrase").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
-    return written(words, "word-counts"), written(phrases, "phrases")
+    with _small_batches(spark):
+        phrases = written(phrases, "phrases")
+    return written(words, "word-counts"), phrases
 
 
 def _score(a: Column, x: Column, y: Column) -> Column:
