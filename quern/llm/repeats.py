@@ -201,6 +201,13 @@ def merge_sorted(p: Prefixes, raw: np.ndarray, at: np.ndarray, group: np.ndarray
     return order
 
 
+def _copies(pdf: pd.DataFrame) -> np.ndarray:
+    """Which of the segments, sorted by place, have all bytes of one at an earlier place: each of their strings is there too, so they needn't be sorted."""
+    first: dict[bytes, tuple[int, int]] = {}
+    places = zip(pdf["doc_id"].tolist(), pdf["lo"].tolist(), strict=True)
+    return np.fromiter((first.setdefault(bytes(d), at) != at for d, at in zip(pdf["data"], places, strict=True)), bool, len(pdf))
+
+
 def _sorted_group(pdf: pd.DataFrame) -> pd.DataFrame:
     """Runs of strings in the group's segments that occur earlier.
 
@@ -209,6 +216,9 @@ def _sorted_group(pdf: pd.DataFrame) -> pd.DataFrame:
     neighbour, by their common extension and by bytes, is held against the first of its kind.
     """
     pdf = pdf.sort_values(["doc_id", "lo"], kind="stable")
+    copied = _copies(pdf)
+    whole = pdf[copied]
+    pdf = pdf[~copied]
     data = [bytes(x) for x in pdf["data"]]
     size = np.fromiter(map(len, data), np.int64, len(data))
     n = size - LENGTH + 1
@@ -234,7 +244,9 @@ def _sorted_group(pdf: pd.DataFrame) -> pd.DataFrame:
     hit = order[later]
     hit = hit[np.lexsort((lo[hit], version[hit], doc[hit]))]
     cut = np.flatnonzero(np.concatenate([[True], (np.diff(lo[hit]) != 1) | (doc[hit[1:]] != doc[hit[:-1]]) | (version[hit[1:]] != version[hit[:-1]])])[: len(hit)])
-    return pd.DataFrame({"doc_id": doc[hit[cut]], "version": version[hit[cut]], "lo": lo[hit[cut]], "n": np.diff(np.append(cut, len(hit))).astype(np.int32)})
+    out = pd.DataFrame({"doc_id": doc[hit[cut]], "version": version[hit[cut]], "lo": lo[hit[cut]], "n": np.diff(np.append(cut, len(hit))).astype(np.int32)})
+    n = np.fromiter(map(len, whole["data"]), np.int32, len(whole)) - np.int32(LENGTH - 1)
+    return pd.concat([out, pd.DataFrame({"doc_id": whole["doc_id"].to_numpy(np.int64), "version": whole["version"].to_numpy(np.int64), "lo": whole["lo"].to_numpy(np.int64), "n": n})])
 
 
 def repeated(documents: DataFrame) -> DataFrame:
