@@ -154,11 +154,19 @@ def covered_share(df: DataFrame, found: DataFrame, key: str, text: str) -> DataF
 
 
 def progressive(ranked: DataFrame, key: str, text: str, ends: tuple[int, ...] = (5, 10, 20, 30, 40), least: float = 0.05) -> DataFrame:
-    """(key, rank, term) of `ranked` (key, rank, term, text) by batches up to these ranks, until one adds under `least` to the share of the text covered."""
+    """(key, rank, term) of `ranked` (key, rank, term, text) by batches up to these ranks, until one adds under `least` to the share of the text covered.
+
+    Shares are added up in order of rank, as a sum of doubles near `least` depends on it. A key's terms are few: a top-n.
+    """
     own = F.length("term") * places(F.col(text), F.col("term")) / F.length(text)
-    shares = [F.coalesce(F.sum(F.when(F.col("rank") <= e, own)), F.lit(0.0)) for e in ends]
+    lists = ranked.groupBy(F.col(key).alias("_k")).agg(F.sort_array(F.collect_list(F.struct("rank", own.alias("own")))).alias("_l"))
+
+    def share(end: int) -> Column:
+        return F.aggregate(F.filter("_l", lambda x: x["rank"] <= end), F.lit(0.0), lambda a, x: a + F.coalesce(x["own"], F.lit(0.0)))
+
+    shares = [share(e) for e in ends]
     stop = F.coalesce(*[F.when(b - a < least, e) for a, b, e in zip([F.lit(0.0), *shares], shares, ends, strict=False)], F.lit(ends[-1]))
-    last = ranked.groupBy(F.col(key).alias("_k")).agg(stop.alias("_stop"))
+    last = lists.select("_k", stop.alias("_stop"))
     return ranked.join(last, (F.col(key) == F.col("_k")) & (F.col("rank") <= F.col("_stop"))).select(key, "rank", "term")
 
 
