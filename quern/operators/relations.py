@@ -2,10 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import re
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.functions.keywords import sentence_parts
+from quern.functions.keywords import STOPS, sentence_parts
+from quern.functions.text import BLANKS
+from quern.operators.keywords import apart
+
+PIECES = 256  # texts of a batch that are Python objects at once
 
 # What a sentence looks like, and the relation it states; the first that matches counts.
 PATTERNS = [
@@ -20,26 +28,61 @@ PATTERNS = [
 ]
 
 
+def _linear(pattern: str) -> tuple[list[str], re.Pattern]:
+    """A pattern's words, and the same test without backtracking: after a line's begin each word is taken where it first stands, a character or more on."""
+    words = pattern.split(".+?")[1:]
+    return [w for w in words if w], re.compile("(?m)^" + "".join(f"(?>.+?{re.escape(w)})" if w else "." for w in words))
+
+
+def _stated(sentence: str, tests: list) -> str | None:
+    return next((name for words, test, name in tests if all(w in sentence for w in words) and test.search(sentence)), None)
+
+
+def _pairs(text: str | None, terms: list[str] | None, tests: list) -> list[tuple[str, str, str, int]]:
+    """(source, target, relation, sentence from 0) of a text's terms, each relation once, by its first sentence."""
+    found: dict[tuple[str, str, str], int] = {}
+    parts = (p.strip(BLANKS) for p in re.split(STOPS, text or ""))
+    for i, s in enumerate(p for p in parts if p):
+        own = [t for t in terms or [] if t is not None and t in s]
+        told = _stated(s, tests) if len(own) > 1 else None
+        if told:
+            for a, b in zip(own, own[1:], strict=False):
+                found.setdefault((a, b, told) if s.index(a) < s.index(b) else (b, a, told), i)
+        else:
+            for k, a in enumerate(own):
+                for b in own[k + 1 :]:
+                    found.setdefault((a, b, "co_occurs"), i)
+    return [(*k, i) for k, i in found.items()]
+
+
 def relations(df: DataFrame, key: str, text: str, terms: str) -> DataFrame:
     """(key, source, target, relation, context) of terms that stand in one sentence, each relation once, by its first sentence.
 
     `terms` is an array in order of rank. Where a pattern states the relation, each term goes with the next one, in order of place;
-    else all terms of the sentence occur together, in order of rank. All in the row, but for the last grouping.
+    else all terms of the sentence occur together, in order of rank. All in the row, but for rows that share their key.
     """
-    told = F.coalesce(*[F.when(F.col("_s").rlike(p), name) for p, name in PATTERNS])
-    each = df.select(key, F.col(terms).alias("_all"), F.posexplode(sentence_parts(F.col(text))).alias("_i", "_s"))
-    own = each.select(key, "_i", "_s", F.filter("_all", lambda t: F.contains("_s", t)).alias("_t"), told.alias("_r")).where(F.size("_t") > 1)
-    place = lambda t: F.instr("_s", t)
-    pair = lambda a, b: F.struct(a.alias("source"), b.alias("target"))
-
-    def in_order(i: Column) -> Column:
-        a, b = F.get("_t", i), F.get("_t", i + 1)
-        return F.when(place(a) < place(b), pair(a, b)).otherwise(pair(b, a))
-
-    nexts = F.transform(F.sequence(F.lit(0), F.size("_t") - 2), in_order)
-    together = F.flatten(F.transform("_t", lambda a, i: F.transform(F.slice("_t", i + 2, F.size("_t")), lambda b: pair(a, b))))
-    pairs = own.select(key, "_i", "_s", F.coalesce("_r", F.lit("co_occurs")).alias("relation"), F.inline(F.when(F.col("_r").isNotNull(), nexts).otherwise(together)))
-    return pairs.groupBy(key, "source", "target", "relation").agg(F.min_by("_s", "_i").alias("context"))
+    tests = [(*_linear(p), name) for p, name in PATTERNS]
+    names, kinds = ["source", "target", "relation", "i"], (pa.string(), pa.string(), pa.string(), pa.int32())
+
+    def run(texts: pa.Array, lists: pa.Array) -> pa.Array:
+        out = []
+        for at in range(0, max(len(texts), 1), PIECES):
+            rows = [_pairs(t, own, tests) for t, own in zip(texts.slice(at, PIECES).to_pylist(), lists.slice(at, PIECES).to_pylist(), strict=True)]
+            flat = [x for r in rows for x in r]
+            columns = [pa.array(c, t) for c, t in zip(zip(*flat, strict=True) if flat else [[]] * 4, kinds, strict=True)]
+            out.append(pa.ListArray.from_arrays(pa.array(np.cumsum([0] + [len(r) for r in rows]), pa.int32()), pa.StructArray.from_arrays(columns, names)))
+        return pa.concat_arrays(out)
+
+    def found(rows: DataFrame) -> DataFrame:
+        pairs = F.arrow_udf(run, "array<struct<source: string, target: string, relation: string, i: int>>")(F.col(text), F.col(terms))
+        both = rows.select(key, sentence_parts(F.col(text)).alias("_p"), pairs.alias("_q"))
+        return both.select(key, F.inline(F.transform("_q", lambda x: F.struct(x["source"].alias("source"), x["target"].alias("target"), x["relation"].alias("relation"), x["i"].alias("_i"), F.get("_p", x["i"]).alias("context")))))
+
+    alone, shared = apart(df, key)
+    out = found(alone).drop("_i")
+    if shared is None:
+        return out
+    return out.unionByName(found(shared).groupBy(key, "source", "target", "relation").agg(F.min_by("context", "_i").alias("context")))
 
 
 def related(found: DataFrame, edges: DataFrame, key: str) -> DataFrame:

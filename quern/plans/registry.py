@@ -12,7 +12,7 @@ from quern.functions import keywords as K
 from quern.functions import text as T
 from quern.operators import chunks, confidence, coverage, feedback, keywords, models, plans, profile, questions, relations, results, vectors
 from quern.sources import collections
-from quern.sources.tables import table
+from quern.sources.tables import table, written
 from quern.streaming import events as E
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -480,7 +480,7 @@ p AS (SELECT doc_id, i, s, r, t[a] AS a, t[b] AS b FROM (SELECT *, unnest(range(
 o AS (SELECT doc_id, i, s, coalesce(r, 'co_occurs') AS relation, CASE WHEN r IS NULL OR instr(s, a) < instr(s, b) THEN a ELSE b END AS source, CASE WHEN r IS NULL OR instr(s, a) < instr(s, b) THEN b ELSE a END AS target FROM p)
 SELECT doc_id, source, target, relation, arg_min(s, i) AS context FROM o GROUP BY 1, 2, 3, 4""")
 def term_relations(s, d):
-    return relations.relations(_lists(s, d), "doc_id", "text", "t")
+    return relations.relations(written(_lists(s, d), "lists"), "doc_id", "text", "t")
 
 
 @query()
