@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from quern.operators import vectors
 from quern.sources.tables import written
 
 CELLS, PER_CELL = 1_024, 16  # cells at most, and vectors of the fit's sample for each
@@ -20,6 +21,8 @@ FIT_BYTES = 64_000_000  # of vectors in that sample
 ROUNDS = 4  # of the fit
 BLOCK = 4_096  # vectors of a cell that one task holds at once
 TOGETHER = 256  # queries multiplied with a block at once
+OUT = 4_096  # rows of a batch of queries on their way to cells
+COPIES = 2 * vectors.SIDE  # of the vectors of both sides: where queries would be copied more often, blocks meet blocks
 PLACES, SLACK = 6, 1e-6  # similarities are rounded; a bound that comes so near to the k-th one doesn't prune
 
 
@@ -96,13 +99,13 @@ def built(points: DataFrame, key: str = "vec_id", vector: str = "embedding", cel
             angle = np.where(cell < len(centroids), np.arccos(np.clip(cos.max(axis=1), -1, 1)), 0.0)
             yield pa.RecordBatch.from_arrays([pa.array(cell, pa.int32()), pa.array(angle), b.column("key"), b.column("vector")], ["cell", "angle", "key", "vector"])
 
-    vectors = written(have.mapInArrow(dealt, "cell int, angle double, key bigint, vector array<double>"), "cells")
+    placed = written(have.mapInArrow(dealt, "cell int, angle double, key bigint, vector array<double>"), "cells")
     size, low, high = np.zeros(len(centroids) + 1, np.int64), np.zeros(len(centroids) + 1), np.zeros(len(centroids) + 1)
-    for r in vectors.groupBy("cell").agg(F.count("*").alias("n"), F.min("angle").alias("low"), F.max("angle").alias("high")).collect():  # a row for each cell
+    for r in placed.groupBy("cell").agg(F.count("*").alias("n"), F.min("angle").alias("low"), F.max("angle").alias("high")).collect():  # a row for each cell
         size[r.cell], low[r.cell], high[r.cell] = r.n, r.low, r.high
     blocks = -(-size // BLOCK)
     counts = F.get(F.array(*[F.lit(int(x)) for x in blocks]), F.col("cell"))
-    return Index(Shape(centroids, size, blocks, low, high), vectors.withColumn("block", F.pmod(F.xxhash64("key"), counts).cast("int")).select("cell", "block", "key", "vector"))
+    return Index(Shape(centroids, size, blocks, low, high), placed.withColumn("block", F.pmod(F.xxhash64("key"), counts).cast("int")).select("cell", "block", "key", "vector"))
 
 
 def bounds(shape: Shape, x: np.ndarray) -> np.ndarray:
@@ -124,6 +127,30 @@ def first_cells(shape: Shape, most: np.ndarray, k: int) -> np.ndarray:
     return out & (shape.size > 0)
 
 
+def _places(shape: Shape, b: pa.RecordBatch, k: int, second: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(row, cell) that the queries of a batch go to, TOGETHER queries at once."""
+    for i in range(0, len(b), TOGETHER):
+        part = b.slice(i, TOGETHER)
+        most = bounds(shape, unit(_matrix(part.column("vector"))))
+        to = first_cells(shape, most, k)
+        if second:
+            kth = np.array([-2.0 if x is None else x for x in part.column("kth").to_pylist()])
+            to = ~to & (shape.size > 0) & (most + SLACK >= kth[:, None])
+        at, cell = np.nonzero(to)
+        yield at + i, cell
+
+
+def _visited(shape: Shape, k: int):
+    """(n): how many blocks the queries of a batch would go to the second time."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            n = sum(int(shape.blocks[cell].sum()) for _, cell in _places(shape, b, k, True)) if len(b) else 0
+            yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64())], ["n"])
+
+    return run
+
+
 def _routed(shape: Shape, k: int, second: bool):
     """(cell, block, query_id, vector) of queries (query_id, vector, kth): to the first cells, or to all others that can have one of the k best."""
 
@@ -131,15 +158,13 @@ def _routed(shape: Shape, k: int, second: bool):
         for b in batches:
             if not len(b):
                 continue
-            most = bounds(shape, unit(_matrix(b.column("vector"))))
-            to = first_cells(shape, most, k)
-            if second:
-                kth = np.array([-2.0 if x is None else x for x in b.column("kth").to_pylist()])
-                to = ~to & (shape.size > 0) & (most + SLACK >= kth[:, None])
-            at, cell = np.nonzero(to)
-            n = shape.blocks[cell]
-            at, block = np.repeat(at, n), np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(cell, n), pa.int32()), pa.array(block, pa.int32()), b.column("query_id").take(pa.array(at)), b.column("vector").take(pa.array(at))], ["cell", "block", "query_id", "vector"])
+            for at, cell in _places(shape, b, k, second):
+                n = shape.blocks[cell]
+                at, block = np.repeat(at, n), np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+                cell = np.repeat(cell, n)
+                for i in range(0, len(at), OUT):
+                    own = pa.array(at[i : i + OUT])
+                    yield pa.RecordBatch.from_arrays([pa.array(cell[i : i + OUT], pa.int32()), pa.array(block[i : i + OUT], pa.int32()), b.column("query_id").take(own), b.column("vector").take(own)], ["cell", "block", "query_id", "vector"])
 
     return run
 
@@ -203,13 +228,18 @@ def search(index: Index, queries: DataFrame, k: int, key: str = "vec_id", vector
     """(query_id, rank, key, sim): the k nearest vectors of the index for each query, exactly; ties by the smaller key. A zero vector is at 0 from all.
 
     A query first goes to the cells that may have the nearest vectors and have k of them; the k-th best there is a bound. Then it goes to
-    the cells that its angle to the centroid and the cell's range of angles don't rule out. Null keys and vectors are left out;
+    the cells that its angle to the centroid and the cell's range of angles don't rule out; if those are so many that the queries would be copied
+    more than COPIES times over all vectors, blocks of queries meet blocks of vectors instead (`vectors.top_k`). Null keys and vectors are left out;
     other columns are ignored; queries have different keys. With an empty index there are no rows.
     """
     asked = _asked(queries, key, vector)
     near = written(_met(index, asked.withColumn("kth", F.lit(None).cast("double")), k, False), "near")
     kth = _best(near, k).groupBy(F.col("query_id").alias("q")).agg(F.min("sim").alias("kth"), F.count("*").alias("n"))
-    known = asked.join(kth, F.col("query_id") == F.col("q"), "left").select("query_id", "vector", F.when(F.col("n") >= k, F.col("kth")).alias("kth"))
+    known = written(asked.join(kth, F.col("query_id") == F.col("q"), "left").select("query_id", "vector", F.when(F.col("n") >= k, F.col("kth")).alias("kth")), "asked")
+    visits_, n = known.mapInArrow(_visited(index.shape, k), "n bigint").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0], known.count()
+    if visits_ > COPIES * (n + int(index.shape.size.sum())):
+        points = index.vectors.select(F.col("key").alias(key), F.col("vector").alias(vector))
+        return vectors.top_k(points, known.select(F.col("query_id").alias(key), F.col("vector").alias(vector)), k, key, vector)
     return _best(near.unionAll(_met(index, known, k, True)), k).select("query_id", "rank", F.col("key").alias(key), "sim")
 
 

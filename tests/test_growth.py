@@ -2,8 +2,11 @@
 
 import random
 
+import numpy as np
+import pyarrow as pa
 import pytest
-from quern.operators import retrieval, vectors
+
+from quern.operators import cells, retrieval, vectors
 
 
 def plan(df):
@@ -45,3 +48,19 @@ def test_copies_of_vectors_are_bounded(spark, monkeypatch):
     assert [(r.query_id, r.rank, r.vec_id) for r in got] == [(q, i + 1, p) for q in near for i, (_, p) in enumerate(near[q])]
     best = {r.vec_id: r.best for r in vectors.best(v.where("vec_id < 50"), v.where("vec_id >= 50")).collect()}
     assert best == {c: pytest.approx(max(round(float(x[c] @ x[p]), 6) for p in range(50, 200)), abs=2e-6) for c in range(50)}
+
+
+def test_queries_leave_for_their_cells_in_small_batches(spark, monkeypatch):
+    rng = np.random.default_rng(7)
+    x = rng.normal(size=(900, 4))
+    v = spark.createDataFrame([(i, [float(a) for a in row]) for i, row in enumerate(x)], "vec_id bigint, embedding array<double>")
+    index = cells.built(v, cells=20)
+    batch = pa.RecordBatch.from_arrays([pa.array(range(900)), pa.array(x.tolist()), pa.array([None] * 900, pa.float64())], ["query_id", "vector", "kth"])
+    monkeypatch.setattr(cells, "OUT", 500)
+    sizes = [len(b) for b in cells._routed(index.shape, 1, True)(iter([batch]))]
+    assert max(sizes) <= 500 and sum(sizes) == sum(b.column("n")[0].as_py() for b in cells._visited(index.shape, 1)(iter([batch]))) == 900 * (int(index.shape.blocks.sum()) - 1)
+    by_cells = cells.search(index, v, 3).collect()
+    monkeypatch.setattr(cells, "COPIES", 0)
+    by_blocks = cells.search(index, v, 3)
+    assert "FlatMapCoGroups" in plan(by_blocks)
+    assert sorted(map(tuple, by_blocks.collect())) == sorted(map(tuple, by_cells))
