@@ -109,14 +109,18 @@ def usable(term: Column, stop: list[str]) -> Column:
     return ~term.isin(stop) & (F.length(term) >= 2) & ~term.rlike(r"^\d+$") & ~term.startswith("第") & ~term.endswith("等") & ~term.endswith("的")
 
 
-def importance(sentence: Column, term: Column) -> Column:
-    """0 to 1: 0.2 for an early place, 0.3 for technical terms (five), 0.3 for explanatory phrases (all), 0.2 for about 50 characters."""
-    n = F.length(sentence)
-    at = F.position(term, sentence)
-    place = F.when(at > 0, 1 - (at - 1) / n).otherwise(0.0)
-    near = F.least(F.regexp_count(sentence, F.lit(TECHNICAL)) / 5, F.lit(1.0))
+def telling(sentence: Column) -> dict[str, Column]:
+    """What a sentence's `importance` has whatever the term: technical terms (five are 1), explanatory phrases (all are 1), and a length of about 50 characters."""
     told = sum((sentence.contains(p).cast("int") for p in EXPLANATORY), F.lit(0)) / len(EXPLANATORY)
-    return F.least(F.lit(1.0), place * 0.2 + near * 0.3 + told * 0.3 + F.greatest(F.lit(0.0), 1 - F.abs(n - 50) / 50) * 0.2)
+    return {"near": F.least(F.regexp_count(sentence, F.lit(TECHNICAL)) / 5, F.lit(1.0)), "told": told, "fit": F.greatest(F.lit(0.0), 1 - F.abs(F.length(sentence) - 50) / 50)}
+
+
+def importance(sentence: Column, term: Column, own: dict[str, Column] | None = None) -> Column:
+    """0 to 1: 0.2 for an early place, 0.3 for technical terms (five), 0.3 for explanatory phrases (all), 0.2 for about 50 characters; `own` is its `telling`, if known."""
+    own = own or telling(sentence)
+    at = F.position(term, sentence)
+    place = F.when(at > 0, 1 - (at - 1) / F.length(sentence)).otherwise(0.0)
+    return F.least(F.lit(1.0), place * 0.2 + own["near"] * 0.3 + own["told"] * 0.3 + own["fit"] * 0.2)
 
 
 def sentence_parts(text: Column) -> Column:

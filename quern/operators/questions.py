@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import re
+from bisect import bisect_left
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -46,12 +51,29 @@ def by_rule(df: DataFrame, key: str, text: str) -> DataFrame:
 
 
 def best_sentences(df: DataFrame, found: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, term, sentence, importance): for each term of `found` (key, term) the sentence that tells most about it; ties go to the first."""
-    each = df.select(F.col(key).alias("_k"), F.posexplode(sentences(F.col(text))).alias("_i", "sentence"))
-    both = found.select(key, "term").join(each, (F.col(key) == F.col("_k")) & F.col("sentence").contains(F.col("term")))
-    scored = both.withColumn("importance", F.round(importance(F.col("sentence"), F.col("term")), 6))
-    best = F.max_by(F.struct("sentence", "importance"), F.struct("importance", -F.col("_i")))
-    return scored.groupBy(key, "term").agg(best.alias("_b")).select(key, "term", "_b.*")
+    """(key, term, sentence, importance): for each term of `found` (key, term) the sentence that tells most about it; ties go to the first.
+
+    A text's terms meet its sentences within its row, where all that doesn't follow from the term is told once; texts that share a key are compared afterwards.
+    """
+    lists = found.groupBy(F.col(key).alias("_k")).agg(F.collect_set("term").alias("_l"))
+
+    def told(s: Column, i: Column) -> Column:
+        return F.struct(s.alias("s"), i.alias("i"), *[c.alias(k) for k, c in K.telling(s).items()])
+
+    def of(all_: Column) -> Column:
+        value = lambda x, t: F.struct(F.round(importance(x["s"], t, {k: x[k] for k in ("near", "told", "fit")}), 6).alias("v"), (-x["i"]).alias("i"), x["s"].alias("s"))
+        best = lambda t: F.array_max(F.transform(F.filter(all_, lambda x: F.contains(x["s"], t)), lambda x: value(x, t)))
+        return F.filter(F.transform("_l", lambda t: F.struct(t.alias("term"), best(t).alias("b"))), lambda x: x["b"].isNotNull())
+
+    def each(rows: DataFrame) -> DataFrame:
+        both = rows.select(key, F.col(text).alias("_text")).join(lists, F.col(key) == F.col("_k"))
+        return both.select(key, F.inline(K.let(F.transform(sentences(F.col("_text")), told), of)))
+
+    alone, shared = keywords.apart(df, key)
+    out = each(alone)
+    if shared is not None:
+        out = out.unionByName(each(shared).groupBy(key, "term").agg(F.max("b").alias("b")))
+    return out.select(key, "term", F.col("b.s").alias("sentence"), F.col("b.v").alias("importance"))
 
 
 def asked_twice(df: DataFrame, key: str, text: str, least: float = 0.7) -> DataFrame:
@@ -248,15 +270,31 @@ ENTITIES = {
 }
 
 
+def _first_sentences(texts: pa.Array, names: pa.Array) -> pa.Array:
+    """For each name of a text the first sentence that has it, else null. A name without a stop stands in one sentence wherever it stands."""
+    out = []
+    for text, own in zip(texts, names, strict=True):
+        whole = text.as_py() or ""
+        ends = [*(m.start() for m in re.finditer("[。.!?]", whole)), len(whole)]
+        found = []
+        for name in own.as_py() or []:
+            at = -1 if re.search("[。.!?]", name) else whole.find(name)
+            k = bisect_left(ends, at)
+            found.append(whole[ends[k - 1] + 1 if k else 0 : ends[k]] if at >= 0 else None)
+        out.append(pa.array(found, pa.string()))
+    return pa.ListArray.from_arrays(pa.array(np.cumsum([0] + [len(x) for x in out]), pa.int32()), pa.concat_arrays(out)) if out else pa.array([], pa.list_(pa.string()))
+
+
 def by_entity(df: DataFrame, entities: DataFrame, key: str, text: str) -> DataFrame:
     """(key, entity, question, answer, type, confidence): three questions on each of `entities` (key, entity, kind), answered by the first sentence
     of the key's text that has it; entities that no sentence has give none. An analyser of the caller tells entities and kinds."""
-    texts = df.select(F.col(key).alias("_k"), F.col(text).alias("_text"))
-    both = entities.where("entity <> ''").join(texts, F.col(key) == F.col("_k"))
-    first = F.get(F.filter(F.split("_text", "[。.!?]"), lambda s: F.contains(s, F.col("entity"))), F.lit(0))
+    names = entities.where("entity <> ''").groupBy(F.col(key).alias("_k")).agg(F.collect_list(F.struct("entity", "kind")).alias("_l"))
+    both = df.select(key, F.col(text).alias("_text")).join(names, F.col(key) == F.col("_k"))
+    told = F.arrow_udf(_first_sentences, "array<string>")(F.col("_text"), F.col("_l.entity"))
+    each = both.select(key, F.inline(F.arrays_zip(F.col("_l").alias("e"), told.alias("first")))).select(key, "e.*", "first")
     filled = {k: F.array(*[F.replace(F.lit(q), F.lit("{}"), F.col("entity")) for q in qs]) for k, qs in ENTITIES.items()}
     asked = F.coalesce(*[F.when(F.col("kind") == k, v) for k, v in filled.items() if k], filled[""])
-    rows = both.select(key, "entity", asked.alias("_q"), strip(first).alias("answer")).where("answer IS NOT NULL")
+    rows = each.select(key, "entity", asked.alias("_q"), strip(F.col("first")).alias("answer")).where("answer IS NOT NULL")
     return rows.select(key, "entity", F.explode("_q").alias("question"), "answer", F.lit("entity_based").alias("type"), F.lit(0.75).alias("confidence"))
 
 
