@@ -46,10 +46,10 @@ def technicality(term: Column) -> Column:
     return F.when(term.rlike("^[A-Z]{2,}[A-Z0-9]*$"), 1.2).when(term.rlike("^[ァ-ヴー]{3,}$"), 1.0).when(term.rlike("^[一-龥]{4,}$"), 0.9).when(term.rlike("^[A-Za-z]+[A-Za-z0-9]*$"), 0.8).otherwise(0.0)
 
 
-def score(term: Column, text: Column, important: list[str]) -> Column:
-    """0 to 1: places in the text to 3 weigh 0.3, length to 8 weighs 0.2, importance 0.4, script 0.15 or 0.2."""
+def score(term: Column, n: Column, important: list[str]) -> Column:
+    """0 to 1: places in the text (n) to 3 weigh 0.3, length to 8 weighs 0.2, importance 0.4, script 0.15 or 0.2."""
     script = F.when(term.rlike("^[ァ-ヴー]{3,}$"), 0.15).when(term.rlike("^[A-Z]{2,}$"), 0.2).when(term.rlike("^[一-龥]{4,}$"), 0.15).otherwise(0.0)
-    often = F.least(occurrences(text, term) / 3, F.lit(1.0)) * 0.3
+    often = F.least(n / 3, F.lit(1.0)) * 0.3
     return F.least(F.lit(1.0), often + F.least(F.length(term) / 8, F.lit(1.0)) * 0.2 + F.when(term.isin(important), 0.4).otherwise(0.0) + script)
 
 
@@ -94,9 +94,13 @@ def count_by_mode(text: Column, mode: str = "auto", fewest: int = 3, most: int =
 
 def difficulty(term: Column, text: Column) -> Column:
     """basic / intermediate / advanced, by how often the text has the term and whether it explains it."""
-    n = occurrences(text, term)
     told = text.contains(F.concat(term, F.lit("とは"))) | (text.contains(F.concat(term, F.lit("は"))) & text.contains("である")) | text.contains(F.concat(term, F.lit("（")))
-    return F.when(told & (n >= 3), "basic").when(term.rlike("^[A-Z]{2,}[A-Z0-9]*$") & ~told, "advanced").when((F.length(term) >= 8) | (n == 1), "advanced").when(n >= 5, "basic").otherwise("intermediate")
+
+    def level(x: Column) -> Column:
+        n, known = x["n"], x["told"]
+        return F.when(known & (n >= 3), "basic").when(term.rlike("^[A-Z]{2,}[A-Z0-9]*$") & ~known, "advanced").when((F.length(term) >= 8) | (n == 1), "advanced").when(n >= 5, "basic").otherwise("intermediate")
+
+    return let(F.struct(occurrences(text, term).alias("n"), told.alias("told")), level)
 
 
 def category(term: Column) -> Column:

@@ -182,11 +182,18 @@ def integrated(df: DataFrame, key: str, text: str, n: int, stop: list[str], impo
     return rescored(found, df, key, text, important, n)
 
 
+def _hits(texts: pa.Array, lists: pa.Array) -> pa.Array:
+    """How often each of a text's terms stands in it without overlap."""
+    rows = [[t.count(x) if t is not None and x else None for x in own.as_py() or []] for t, own in zip((t.as_py() for t in texts), lists, strict=True)]
+    return pa.array(rows, pa.list_(pa.int32()))
+
+
 def rescored(found: DataFrame, df: DataFrame, key: str, text: str, important: list[str], n: int) -> DataFrame:
     """(key, rank, term, score): the best n of a document's few terms (key, rank, term) by `K.score`; ties by rank, then term."""
     lists = found.groupBy(F.col(key).alias("_k")).agg(F.collect_list(F.struct("rank", "term")).alias("_l"))
     both = df.select(key, F.col(text).alias("_text")).join(lists, F.col(key) == F.col("_k"))
-    scored = F.transform("_l", lambda x: F.struct((-F.round(K.score(x["term"], F.col("_text"), important), 6)).alias("s"), x["rank"].alias("r"), x["term"].alias("t")))
+    both = both.select(key, "_l", F.arrow_udf(_hits, "array<int>")(F.col("_text"), F.col("_l.term")).alias("_n"))
+    scored = F.zip_with("_l", "_n", lambda x, c: F.struct((-F.round(K.score(x["term"], c, important), 6)).alias("s"), x["rank"].alias("r"), x["term"].alias("t")))
     each = both.select(key, F.posexplode(F.slice(F.array_sort(scored), 1, n)).alias("_i", "_x"))
     return each.select(key, (F.col("_i") + 1).alias("rank"), F.col("_x.t").alias("term"), (-F.col("_x.s")).alias("score"))
 
