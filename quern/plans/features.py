@@ -113,7 +113,7 @@ def named_in_dictionary(s, d):
 def compound_keywords(s, d):
     words = table(s, d, "benchmark").select(F.explode_outer(F.regexp_extract_all("text", F.lit("[a-z]{2,5}"), F.lit(0))).alias("surface")).distinct()
     dictionary = words.select("surface", F.when(F.length("surface") > 2, "noun").otherwise("other").alias("pos"), (8.0 - F.length("surface")).alias("cost"))
-    more = compounds.ranked(compounds.compounds(_docs(s, d), dictionary, "doc_id", "text", connections={("other", "noun"): 1.0}), "doc_id", 20)
+    more = compounds.ranked(compounds.compounds(_docs(s, d), dictionary, "doc_id", "text", connections={("other", "noun"): 1.0}, most=20), "doc_id", 20)
     return keywords.integrated(_docs(s, d), "doc_id", "text", 10, STOP, IMPORTANT, more)
 
 

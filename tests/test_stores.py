@@ -104,3 +104,33 @@ def test_compounds_feed_keywords(spark):
     assert [(r["rank"], r.term) for r in more.orderBy("rank").collect()] == [(1, "東京"), (2, "東京京都")]
     assert {"東京", "東京京都"} <= {r.term for r in keywords.integrated(df, "doc_id", "text", 5, [], [], more).collect()}
     assert compounds.compounds(df, dictionary.where(F.lit(False)), "doc_id", "text").count() == 0
+
+
+def test_compounds_by_stretches_are_those_of_whole_texts(spark):
+    r = random.Random(7)
+    texts = [(i, "".join(r.choice("東京都にab zé\n") for _ in range(r.randint(0, 40)))) for i in range(300)] + [(300, "ab" * 50 + " b"), (301, "z]-^ab")]
+    df = spark.createDataFrame(texts, "doc_id int, text string").repartition(3)
+    rows = [*DICTIONARY, ("-", "other", 1.0), ("]", "noun", 1.0), ("^", "noun", 1.0)]
+    dictionary = spark.createDataFrame(rows, "surface string, pos string, cost double")
+    links = LINKS | {("noun", "unknown"): 2.0, ("unknown", "verb"): -1.5, ("unknown", "noun"): 0.5}
+    for nouns in (("noun",), ("noun", "unknown")):
+        expect = []
+        for i, t in texts:
+            ending = {e: [(s, p, c) for s, p, c in rows if t[:e].endswith(s)] for e in range(1, len(t) + 1)} if i < 20 or i > 299 else None
+            if ending and any(ending.values()):
+                expect += [(i, c, p) for c, p in compounds.joined(compounds.cheapest(t, ending, links), frozenset(nouns))]
+        firsts = {}
+        for i, c, p in expect:
+            firsts.setdefault((i, c), []).append(p)
+        got = compounds.compounds(df, dictionary, "doc_id", "text", nouns, links)
+        assert {(x.doc_id, x.term): (x.n, x["at"]) for x in got.collect() if x.doc_id < 20 or x.doc_id > 299} == {k: (len(v), v[0]) for k, v in firsts.items()}
+        top = compounds.ranked(compounds.compounds(df, dictionary, "doc_id", "text", nouns, links, most=2), "doc_id", 2)
+        assert sorted(map(tuple, top.collect())) == sorted(map(tuple, compounds.ranked(got, "doc_id", 2).collect()))
+
+
+def test_stretches_that_come_again_are_walked_once(spark, monkeypatch):
+    walked = []
+    monkeypatch.setattr(compounds, "cheapest", lambda *a, f=compounds.cheapest: walked.append(a[0]) or f(*a))
+    lexicon = compounds.Lexicon([("ab", "noun", 1.0)], frozenset(["noun"]), {}).ready()
+    found = [lexicon.known(m[0], compounds.UNKNOWN, compounds.UNKNOWN) for m in lexicon.stretches(" ab" * 1_000 + " ")]
+    assert found == [[("ab", 0)]] * 1_000 and walked == ["ab"]
