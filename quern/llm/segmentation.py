@@ -16,8 +16,8 @@ from pyspark.sql import functions as F
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SAMPLES = 2
 SPACE = "▁"
-SUB = 700_000  # characters of the documents walked together
-KEPT = 500_000  # characters of units whose lattices a worker keeps; with more, it begins anew
+SUB, ROWS = 200_000, 500  # characters and rows of the documents walked together
+KEPT = 1_000_000  # characters of units whose lattices a worker keeps; with more, it begins anew
 SMOOTHING = 0.5  # 1: nearly always the likeliest path; 0: all pieces alike
 MIX = (np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
 STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -95,8 +95,14 @@ class Pieces:
             elif p:
                 steps[nodes[p[:-1]] * self.classes + at[p[-1]]] = k
                 self.piece[k] = pieces.get(p, -1)
-        self.keys = np.array(sorted(steps), np.int64)
-        self.next = np.array([steps[k] for k in self.keys.tolist()], np.int64)
+        # The steps as a hash table of places that follow each other, a quarter of them taken at most.
+        bits = (4 * len(steps)).bit_length()
+        self.shift, self.keys, self.next = np.uint64(64 - bits), np.full(1 << bits, -1, np.int64), np.full(1 << bits, -1, np.int64)
+        keys = np.fromiter(steps, np.int64, len(steps))
+        for key, at in zip(keys.tolist(), self._at(keys).tolist(), strict=True):
+            while self.keys[at] >= 0:
+                at = (at + 1) % len(self.keys)
+            self.keys[at], self.next[at] = key, steps[key]
         self.longest = max(map(len, nodes))
         rank = np.arange(len(own) + 1)  # the last: a character's bytes
         self.log_weight = -SMOOTHING * np.log(rank + 10.0)
@@ -110,8 +116,18 @@ class Pieces:
     def follow(self, node: np.ndarray, klass: np.ndarray) -> np.ndarray:
         """The node that each node's class leads to, -1 for none."""
         key = node * self.classes + klass
-        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
-        return np.where(self.keys[at] == key, self.next[at], -1)
+        at = self._at(key)
+        found = self.keys[at]
+        on = np.flatnonzero((found != key) & (found >= 0))
+        while len(on):
+            at[on] = (at[on] + 1) % len(self.keys)
+            found[on] = self.keys[at[on]]
+            on = on[(found[on] != key[on]) & (found[on] >= 0)]
+        return np.where(found == key, self.next[at], -1)
+
+    def _at(self, key: np.ndarray) -> np.ndarray:
+        """Where the search for each key begins."""
+        return ((key.astype(np.uint64) * STEP) >> self.shift).astype(np.int64)
 
     def plain(self, ids: np.ndarray) -> np.ndarray:
         """ids, with the bytes' pieces for characters without a piece, which are given as -1 - code point."""
@@ -120,10 +136,14 @@ class Pieces:
         bytes_of = {i: [self.byte_id[b] for b in chr(-1 - i).encode("utf-8", "surrogatepass")] for i in np.unique(ids[ids < 0]).tolist()}
         return np.array([x for i in ids.tolist() for x in (bytes_of[i] if i < 0 else (i,))], np.int32)
 
-    def decode(self, ids: np.ndarray) -> bytes:
-        """The text of a segmentation in UTF-8; encode's inverse."""
-        n = self.size[ids]
-        return self.blob[np.repeat(self.first[ids] - np.cumsum(n) + n, n) + np.arange(int(n.sum()))].tobytes()[1:]
+    def decode(self, ids: list[np.ndarray]) -> list[bytes]:
+        """The texts of segmentations in UTF-8; encode's inverse."""
+        each = np.concatenate([np.zeros(0, np.int32), *ids])
+        n = self.size[each]
+        to = np.concatenate([[0], np.cumsum(n)])
+        whole = self.blob[np.repeat(self.first[each] - to[:-1], n) + np.arange(to[-1])].tobytes()
+        ends = to[np.cumsum([0, *map(len, ids)])].tolist()
+        return [whole[a + 1 : b] for a, b in zip(ends, ends[1:])]  # noqa: B905
 
 
 class Lattices:
@@ -141,14 +161,14 @@ class Lattices:
         self.unit_count, self.places, self.edges = 0, 0, 0
         self.start = np.zeros(1 << 12, np.int64)  # by unit: its first place
         self.first_edge = np.zeros(1 << 15, np.int64)  # by place
-        self.to, self.ids, self.at = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int32), np.zeros(1 << 16, np.int64)
+        self.to, self.ids = np.zeros(1 << 16, np.int32), np.zeros(1 << 16, np.int32)
         self.within, self.logp = np.zeros(1 << 16), np.zeros(1 << 16)
 
     def _append(self, name: str, at: int, values: np.ndarray) -> None:
-        """Puts `values` at `at` of a table that doubles when it is full."""
+        """Puts `values` at `at` of a table that grows by a quarter when it is full."""
         old = getattr(self, name)
         if at + len(values) > len(old):
-            new = np.zeros(2 * (at + len(values)), old.dtype)
+            new = np.zeros((at + len(values)) * 5 // 4, old.dtype)
             new[:at] = old[:at]
             setattr(self, name, new)
         getattr(self, name)[at : at + len(values)] = values
@@ -190,27 +210,40 @@ class Lattices:
             starts.append(at[hit])
             ends.append(at[hit] + n)
             ids.append(pieces.piece[node[hit]])
-        start, end, ids = np.concatenate(starts), np.concatenate(ends), np.concatenate(ids).astype(np.int32)
-        left = stop[start] - start  # edges by how far their start is from the unit's end: what they lead to comes before
-        wide = pieces.longest + 1
-        order = np.argsort((left * total + start) * wide + (end - start))
-        start, end, ids, left = start[order], end[order], ids[order], left[order]
-        inner = end < stop[start]
-        weight = pieces.log_weight[np.where(ids >= 0, ids, -1)]
+        # Edges by start and length; `starts` go by length, and none has a place twice.
+        n_edges = np.bincount(np.concatenate(starts), minlength=total)
+        first = np.cumsum(n_edges) - n_edges
+        start, free = np.repeat(np.arange(total), n_edges), first.copy()
+        end, own = np.empty(len(start), np.int64), np.empty(len(start), np.int32)
+        for s, e, i in zip(starts, ends, ids, strict=True):
+            end[free[s]], own[free[s]] = e, i
+            free[s] += 1
+        ids, inner = own, end < stop[start]
+        # What an edge leads to comes before it: places by how far they are from the unit's end.
+        far = stop - np.arange(total)
+        most = int(size.max(initial=0))
+        by_far = np.argsort(far.astype(np.uint16) if most < 1 << 16 else far, kind="stable")
+        n = n_edges[by_far]
+        to = np.append(0, np.cumsum(n))
+        order = np.repeat(first[by_far] - to[:-1], n) + np.arange(len(start))
+        inside, ends, head = inner[order], end[order], to[:-1]
+        weight = pieces.log_weight[np.where(ids >= 0, ids, -1)][order]
         done = np.zeros(total + 1)  # by place: log of the weight of all paths from there
-        cuts = np.searchsorted(left, np.arange(1, int(size.max(initial=0)) + 2))
-        for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
-            if a < b:
-                weight[a:b] += np.where(inner[a:b], done[end[a:b]], 0.0)
-                head = np.flatnonzero(np.diff(start[a:b], prepend=-1))
-                done[start[a:b][head]] = np.logaddexp.reduceat(weight[a:b], head)
-        logp = weight - done[start]
-        order = np.argsort((start * 65_536 + np.minimum(-64 * logp, 65_535).astype(np.int64)) * wide + (end - start))
-        start, end, ids, inner, logp = start[order], end[order], ids[order], inner[order], logp[order]
-        first = np.searchsorted(start, np.arange(total))
+        cuts = np.searchsorted(far[by_far], np.arange(1, most + 2))
+        for i, j in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+            if i < j:
+                a, b = to[i], to[j]
+                weight[a:b] += np.where(inside[a:b], done[ends[a:b]], 0.0)
+                done[by_far[i:j]] = np.logaddexp.reduceat(weight[a:b], head[i:j] - a)
+        logp = np.empty(len(start))
+        logp[order] = weight
+        logp -= done[start]
+        some, order = np.flatnonzero(n_edges[start] > 1), np.arange(len(start))
+        order[some] = some[np.argsort((start[some] * 65_536 + np.minimum(-64 * logp[some], 65_535).astype(np.int64)) * (pieces.longest + 1) + (end[some] - start[some]))]
+        end, ids, inner, logp = end[order], ids[order], inner[order], logp[order]
         within = np.exp(logp)
         rank = np.arange(len(start)) - first[start]
-        by_rank = np.argsort(rank, kind="stable")
+        by_rank = np.argsort(rank.astype(np.uint16), kind="stable")  # a place has an edge for each length of a piece at most
         cuts = np.searchsorted(rank[by_rank], np.arange(1, int(rank.max(initial=0)) + 2))
         for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
             within[by_rank[a:b]] += within[by_rank[a:b] - 1]
@@ -218,7 +251,7 @@ class Lattices:
         base, edges = self.places, self.edges
         self._append("start", self.unit_count, begin + base)
         self._append("first_edge", base, np.append(first, len(start)) + edges)
-        for name, values in (("to", np.where(inner, end + base, -1)), ("at", start + base), ("ids", ids), ("within", within), ("logp", logp)):
+        for name, values in (("to", np.where(inner, end + base, -1)), ("ids", ids), ("within", within), ("logp", logp)):
             self._append(name, edges, values)
         self.unit_count, self.places, self.edges = self.unit_count + len(units), base + total, edges + len(start)
 
@@ -250,7 +283,7 @@ class Lattices:
         out, open_ = [], [(0, 0.0, paths)]
         while open_:
             n, before, own = open_.pop()
-            place = self.at[own[0][n]]
+            place = int(np.searchsorted(self.first_edge[: self.places], own[0][n], "right")) - 1
             by: dict[int, list[list[int]]] = {}
             for p in own:
                 by.setdefault(p[n], []).append(p)
@@ -381,22 +414,22 @@ def _encode(model: str, samples: int):
     def run(batches):
         pieces = Pieces.of(model)
         lattices = Lattices(pieces)
-        for b in batches:
+        for b in (whole.slice(k, ROWS) for whole in batches for k in range(0, len(whole), ROWS)):
             texts = b.column("text").to_pylist()
             seeds = b.column("seed").to_numpy().view(np.uint64)
             for s in _blocks(texts):
                 if lattices.places > KEPT:
                     lattices = Lattices(pieces)
-                row, rank, ids, facts, decoded, same = [], [], [], [], [], []
-                for i, text, (own, left) in zip(range(s.start, s.stop), texts[s], segment(lattices, texts[s], seeds[s], samples), strict=True):
-                    raw = text.encode("utf-8", "surrogatepass")
+                row, rank, ids, facts = [], [], [], []
+                for i, (own, left) in zip(range(s.start, s.stop), segment(lattices, texts[s], seeds[s], samples), strict=True):
                     for k, x in enumerate(own):
                         ids.append(pieces.plain(lattices.ids[x.edges]))
-                        decoded.append(pieces.decode(ids[-1]))
-                        same.append(decoded[-1] == raw)
                         row.append(i)
                         rank.append(k)
                         facts.append((len(ids[-1]), x.along[-1], x.value, inclusion(x.along[-1], left)))
+                decoded = pieces.decode(ids)
+                raw = [t.encode("utf-8", "surrogatepass") for t in texts[s]]
+                same = [d == raw[i - s.start] for i, d in zip(row, decoded, strict=True)]
                 n, lp, value, score = zip(*facts, strict=True)
                 out = [
                     b.column("doc_id").take(pa.array(row)), pa.array(rank, pa.int32()), pa.array(n, pa.int32()), pa.array(np.round(lp, 6)), pa.array(np.round(value, 6)),

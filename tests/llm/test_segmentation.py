@@ -3,6 +3,7 @@ import random
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import sentencepiece
 
@@ -108,3 +109,22 @@ def test_same_whatever_stands_beside():
         fresh = segmentation.Lattices(pieces)
         alone = facts(fresh, segmentation.segment(fresh, texts[i : i + 1], seeds[i : i + 1], 3)) + alone
     assert whole == again == alone
+
+
+def test_few_rows_are_walked_together_and_none_is_left_out(monkeypatch):
+    rows, sizes = 3 * segmentation.ROWS + 7, []
+    batch = pa.record_batch({"doc_id": range(rows), "seed": pa.array(range(rows), pa.int64()), "text": [f"row {i} of many" for i in range(rows)]})
+    monkeypatch.setattr(segmentation, "segment", lambda l, t, *a, f=segmentation.segment: sizes.append(len(t)) or f(l, t, *a))
+    out = pa.Table.from_batches(segmentation._encode(segmentation.MODEL, 2)(iter([batch])))
+    assert sum(sizes) == rows and max(sizes) <= segmentation.ROWS
+    assert out["doc_id"].to_pylist() == [i for i in range(rows) for _ in range(2)] and all(out["round_trip"].to_pylist())
+
+
+def test_trie_steps_are_found():
+    pieces = segmentation.Pieces.of(segmentation.MODEL)
+    node = np.arange(len(pieces.piece))[:4_000]
+    for klass in range(0, pieces.classes, 7):
+        key = node * pieces.classes + klass
+        steps = {k: n for k, n in zip(pieces.keys.tolist(), pieces.next.tolist(), strict=True) if k >= 0} if not klass else steps
+        assert pieces.follow(node, np.full(len(node), klass)).tolist() == [steps.get(k, -1) for k in key.tolist()]
+    assert len(steps) <= len(pieces.keys) // 4
