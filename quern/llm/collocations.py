@@ -24,7 +24,7 @@ BITS = 26  # the sketch has 2 ** BITS counters of one byte
 CHUNK = 1 << 18  # counters that are sent together
 SHARD = 1 << 20  # characters of text that one automaton is for, or one document
 BATCH, ROWS = 1_000, 256  # rows that come to a task together, and those of them that are Python objects at once
-KEYS = 100_000  # phrases or words that a task holds before it gives out their counts
+KEYS = 300_000  # phrases or words that a task holds before it gives out their counts
 SALTS = 64
 # Bytes that end a piece, and those between its words.
 ENDS, GAPS = b".,;:!?\n\x0b\x0c\r", b" \t"
@@ -175,10 +175,16 @@ def counted(batches: Iterator[pa.RecordBatch], bits: np.ndarray) -> Iterator[pa.
     counts, known = defaultdict(Counter), {}
     flush = lambda: _table(_COUNTED, counts)
     for lang, words in _shards(batches):
-        some = set()
+        some, on = set(), None
         for n, at in cells(words, set(words), _salt(lang), known).items():
+            # A phrase stands as often as it does only if the two shorter ones in it do: their counters are asked first.
+            maybe = np.flatnonzero((at >= 0) if on is None else (at >= 0) & on[:-1] & on[1:])
+            own = at[maybe]
+            maybe = maybe[((bits[own >> 3] >> (7 - (own & 7)).astype(np.uint8)) & 1).astype(bool)]
+            on = np.zeros(len(at), bool)
+            on[maybe] = True
             if n in WORDS:
-                hit = np.flatnonzero((at >= 0) & ((bits[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1).astype(bool)).tolist()
+                hit = maybe.tolist()
                 some.update(map(" ".join, zip(*([words[i + o] for i in hit] for o in range(n)), strict=True)))
         counts[lang].update(matches(words, some))
         if sum(map(len, counts.values())) >= KEYS:

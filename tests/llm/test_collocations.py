@@ -3,6 +3,7 @@ import re
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -82,3 +83,20 @@ def test_matches_overlap():
 
 def test_empty(spark):
     assert collocations.mined(spark.createDataFrame([], "lang string, text string")).count() == 0
+
+
+def test_rows_are_summed_and_longer_phrases_need_the_shorter_ones(monkeypatch):
+    texts = [f"word{i % 40_000} of{i % 40_000} many" for i in range(120_000)]
+    batch = pa.record_batch({"lang": ["en"] * len(texts), "text": texts})
+    monkeypatch.setattr(collocations, "SHARD", 1 << 18)
+    bits = np.full((1 << collocations.BITS) // 8, 255, np.uint8)
+    found = pa.Table.from_batches(collocations.counted(iter([batch]), bits))
+    assert found.num_rows == 120_000 and sum(found["n"].to_pylist()) == 360_000
+    words = collocations.tokens(["a b c"])
+    at = collocations.cells(words, set(words), collocations._salt("en"), {})
+    few = np.zeros(1 << collocations.BITS, np.uint8)
+    few[[at[2][0], at[3][0]]] = 1  # not the counter of "b c"
+    seen = []
+    monkeypatch.setattr(collocations, "matches", lambda w, p: seen.append(p) or {})
+    list(collocations.counted(iter([pa.record_batch({"lang": ["en"], "text": ["a b c"]})]), np.packbits(few)))
+    assert seen == [{"a b"}]
