@@ -22,9 +22,12 @@ WORDS, LEAST, TOP = (2, 3), 10, 2_000  # words of a phrase, its least count, phr
 INSIDE = 50  # percent of a phrase's count at which a longer one takes its place
 BITS = 26  # the sketch has 2 ** BITS counters of one byte
 CHUNK = 1 << 18  # counters that are sent together
-SHARD = 1 << 20  # characters of text that one automaton is for, or one document
+SHARD = 1 << 18  # characters of text that one automaton is for, or one document
 BATCH, ROWS = 1_000, 256  # rows that come to a task together, and those of them that are Python objects at once
-KEYS = 300_000  # phrases or words that a task holds before it gives out their counts
+KEYS, PHRASES = 150_000, 300_000  # words, phrases that a task holds before it gives out their counts
+KEY_BYTES = 16_000_000  # and bytes of them
+KNOWN = 50_000  # words whose hashes a task keeps
+PACKED = 16  # chunks of a sketch that leave a task together
 SALTS = 64
 # Bytes that end a piece, and those between its words.
 ENDS, GAPS = b".,;:!?\n\x0b\x0c\r", b" \t"
@@ -40,7 +43,7 @@ def tokens(texts: list[str]) -> list[str]:
 
 def cells(words: list[str], distinct: Iterable[str], salt: int, known: dict[str, int]) -> dict[int, np.ndarray]:
     """By the number of words: the counter of the phrase that starts at each place, -1 where it leaves its piece. salt: of the language; known: hashes so far."""
-    if len(known) > KEYS:
+    if len(known) > KNOWN:
         known.clear()
     own = {}
     for w in distinct:
@@ -97,31 +100,54 @@ _LEARNED = pa.schema([("lang", pa.string()), ("word", pa.string()), ("n", pa.int
 _COUNTED = pa.schema([("lang", pa.string()), ("phrase", pa.string()), ("n", pa.int64())])
 
 
-def _table(schema: pa.Schema, counts: dict[str, Counter]) -> pa.RecordBatch:
-    """(lang, key, n) of counts; further columns are null."""
-    langs = pa.concat_arrays([pa.array([], pa.string()), *(pa.repeat(k, len(c)) for k, c in counts.items())])
-    keys = pa.array([w for c in counts.values() for w in c], pa.string())
-    n = pa.array([n for c in counts.values() for n in c.values()], pa.int64())
-    return pa.RecordBatch.from_arrays([langs, keys, n, *(pa.nulls(len(n), t) for t in schema.types[3:])], schema=schema)
+class Sums:
+    """A task's counts (lang, key, n), in Arrow: the keys that wait are no Python objects.
+
+    Those of the shards are added up when they have 2 * keys rows or 2 * KEY_BYTES bytes, and given out if that leaves half as much or more. Further columns are null.
+    """
+
+    def __init__(self, schema: pa.Schema, keys: int = KEYS):
+        self.keys, self.schema, self.parts, self.rows, self.size = keys, schema, [], 0, 0
+
+    def add(self, lang: str, counts: dict[str, int]) -> Iterator[pa.RecordBatch]:
+        part = pa.table([pa.repeat(lang, len(counts)), pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], self.schema.names[:3])
+        self._hold([*self.parts, part])
+        if self.rows >= 2 * self.keys or self.size >= 2 * KEY_BYTES:
+            self._hold([self._summed()])
+            if self.rows >= self.keys or self.size >= KEY_BYTES:
+                yield from self.rest()
+
+    def _hold(self, parts: list[pa.Table]) -> None:
+        self.parts, self.rows, self.size = parts, sum(p.num_rows for p in parts), sum(p.nbytes for p in parts)
+
+    def _summed(self) -> pa.Table:
+        lang, key, n = self.schema.names[:3]
+        table = pa.concat_tables(self.parts).group_by([lang, key], use_threads=False).aggregate([(n, "sum")])
+        return table.select([lang, key, f"{n}_sum"]).rename_columns([lang, key, n])
+
+    def rest(self) -> Iterator[pa.RecordBatch]:
+        if self.parts:
+            table = self._summed() if len(self.parts) > 1 else self.parts[0]
+            self._hold([])
+            for b in table.combine_chunks().to_batches():
+                yield pa.RecordBatch.from_arrays([*b.columns, *(pa.nulls(len(b), t) for t in self.schema.types[3:])], schema=self.schema)
 
 
 def learned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Counts of words (lang, word, n) and chunks of a sketch of phrases (chunk, data) of a task's documents. A counter stops at 255."""
-    counts, known, sketch = defaultdict(Counter), {}, np.zeros(1 << BITS, np.uint8)
-    flush = lambda: _table(_LEARNED, counts)
+    sums, known, sketch = Sums(_LEARNED), {}, np.zeros(1 << BITS, np.uint8)
     for lang, words in _shards(batches):
         each = Counter(words)
         del each["\n"]
-        counts[lang].update(each)
+        yield from sums.add(lang, each)
         for at in cells(words, each, _salt(lang), known).values():
             own, n = np.unique(at[at >= 0], return_counts=True)
             sketch[own] = np.minimum(sketch[own] + n, 255)
-        if sum(map(len, counts.values())) >= KEYS:
-            yield flush()
-            counts.clear()
-    yield flush()
+    yield from sums.rest()
     parts = sketch.reshape(-1, CHUNK)
-    yield _rows(_LEARNED, [(None, None, None, k, _packed(parts[k])) for k in np.flatnonzero(parts.any(axis=1)).tolist()])
+    full = np.flatnonzero(parts.any(axis=1)).tolist()
+    for k0 in range(0, len(full), PACKED):
+        yield _rows(_LEARNED, [(None, None, None, k, _packed(parts[k])) for k in full[k0 : k0 + PACKED]])
 
 
 def _added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -172,8 +198,7 @@ def matches(words: list[str], phrases: set[str]) -> dict[str, int]:
 
 def counted(batches: Iterator[pa.RecordBatch], bits: np.ndarray) -> Iterator[pa.RecordBatch]:
     """(lang, phrase, n) of the phrases in a task's documents whose counter is in `bits`: every shard gets an automaton of those it has."""
-    counts, known = defaultdict(Counter), {}
-    flush = lambda: _table(_COUNTED, counts)
+    sums, known = Sums(_COUNTED, PHRASES), {}
     for lang, words in _shards(batches):
         some, on = set(), None
         for n, at in cells(words, set(words), _salt(lang), known).items():
@@ -186,11 +211,8 @@ def counted(batches: Iterator[pa.RecordBatch], bits: np.ndarray) -> Iterator[pa.
             if n in WORDS:
                 hit = maybe.tolist()
                 some.update(map(" ".join, zip(*([words[i + o] for i in hit] for o in range(n)), strict=True)))
-        counts[lang].update(matches(words, some))
-        if sum(map(len, counts.values())) >= KEYS:
-            yield flush()
-            counts.clear()
-    yield flush()
+        yield from sums.add(lang, matches(words, some))
+    yield from sums.rest()
 
 
 @contextmanager

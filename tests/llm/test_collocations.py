@@ -1,5 +1,6 @@
 import random
 import re
+import tracemalloc
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -100,3 +101,19 @@ def test_rows_are_summed_and_longer_phrases_need_the_shorter_ones(monkeypatch):
     monkeypatch.setattr(collocations, "matches", lambda w, p: seen.append(p) or {})
     list(collocations.counted(iter([pa.record_batch({"lang": ["en"], "text": ["a b c"]})]), np.packbits(few)))
     assert seen == [{"a b"}]
+
+
+def test_sums_of_a_task_are_no_python_objects(monkeypatch):
+    """Many keys wait in little memory, are added up over shards, and leave by number and by bytes."""
+    sums = collocations.Sums(collocations._COUNTED)
+    tracemalloc.start()
+    for k in range(25):
+        assert not list(sums.add("en", {f"w{i} x{k % 2}": 1 for i in range(10_000)}))
+    held = tracemalloc.get_traced_memory()[0]
+    tracemalloc.stop()
+    assert held < 2_000_000  # 20,000 keys as Python objects take more
+    found = pa.Table.from_batches(sums.rest())
+    assert found.num_rows == 20_000 and sorted(set(found["n"].to_pylist())) == [12, 13] and not list(sums.rest())
+    monkeypatch.setattr(collocations, "KEY_BYTES", 1_000_000)
+    out = [b for k in range(4) for b in sums.add("en", {f"{k} {'y' * 700_000}": 1})]
+    assert sum(b.num_rows for b in out) == 3 and sum(b.num_rows for b in sums.rest()) == 1
