@@ -153,13 +153,13 @@ def covered_share(df: DataFrame, found: DataFrame, key: str, text: str) -> DataF
     return out.select(key, F.round(F.coalesce(F.col("_n") / F.nullif("_size", F.lit(0)), F.lit(0.0)), 6).alias("covered"))
 
 
-def progressive(ranked: DataFrame, key: str, text: str, ends: tuple[int, ...] = (5, 10, 20, 30, 40), least: float = 0.05) -> DataFrame:
+def progressive(ranked: DataFrame, key: str, text: str, ends: tuple[int, ...] = (5, 10, 20, 30, 40), least: float = 0.05, falling: bool = False) -> DataFrame:
     """(key, rank, term) of `ranked` (key, rank, term, text) by batches up to these ranks, until one adds under `least` to the share of the text covered.
 
-    Shares are added up in order of rank, as a sum of doubles near `least` depends on it. A key's terms are few: a top-n.
+    Shares are added up in order of rank (`falling`: from the last rank of a batch to the first), as a sum of doubles near `least` depends on it. A key's terms are few: a top-n.
     """
     own = F.length("term") * places(F.col(text), F.col("term")) / F.length(text)
-    lists = ranked.groupBy(F.col(key).alias("_k")).agg(F.sort_array(F.collect_list(F.struct("rank", own.alias("own")))).alias("_l"))
+    lists = ranked.groupBy(F.col(key).alias("_k")).agg(F.sort_array(F.collect_list(F.struct("rank", own.alias("own"))), not falling).alias("_l"))
 
     def share(end: int) -> Column:
         return F.aggregate(F.filter("_l", lambda x: x["rank"] <= end), F.lit(0.0), lambda a, x: a + F.coalesce(x["own"], F.lit(0.0)))

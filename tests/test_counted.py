@@ -1,6 +1,9 @@
 """Terms are counted within a row, and rows that share a key are one text."""
 
+import duckdb
+
 from quern.operators import keywords
+from quern.plans import registry
 
 
 def plan(df):
@@ -43,3 +46,15 @@ def test_batches_add_up_in_order_of_rank(spark):
         got = keywords.progressive(df.orderBy("term", ascending=False).repartition(parts), "k", "x", (3, 6, 10)).count()
         assert got == stop
     assert "collect_list" in plan(keywords.progressive(df, "k", "x", (3, 6, 10)))  # one order, however the rows come
+
+
+def test_batches_equal_their_sql_where_the_order_of_sums_tells(spark, tmp_path):
+    """Of 960 characters the second batch covers 48: added up by falling rank that is under 0.05, in order of rank it isn't."""
+    sizes = [40, 62, 12, 12, 16, 20, 10, 16, 22, 16]
+    text = " ".join(chr(97 + i) * n for i, n in enumerate(sizes)).ljust(960, "-")
+    spark.createDataFrame([(1, text)], "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    want = con.sql(registry.ORACLES["keywords_by_batches"]).fetchall()
+    got = [(r.doc_id, r["rank"], r.term) for r in registry.QUERIES["keywords_by_batches"](spark, str(tmp_path)).collect()]
+    assert len(want) == 6 and sorted(got) == sorted(want)
