@@ -167,7 +167,7 @@ def contains_any(content: Column, asked: str) -> Column:
 
 
 def question_budget(text: Column) -> Column:
-    """How many questions a document deserves: by its length, more where dense and difficult, averaged with what its tokens need; 3 to 50."""
+    """How many questions a document deserves: by its length, more where dense and difficult, averaged with what its tokens need; 3 to 50. Difficulty counts to six places."""
     n = F.length(text)
     base = F.when(n < 500, 3).when(n < 1000, 5).when(n < 2000, 8).when(n < 5000, 12).when(n < 10000, 18).otherwise(F.least(F.lit(30), 18 + F.floor(F.log2(n / 10000) * 3)))
     dense = F.regexp_count(text, F.lit(TECHNICAL_LONG)) / F.greatest(F.lit(1.0), n / 100)
@@ -178,7 +178,7 @@ def question_budget(text: Column) -> Column:
         own = F.greatest(F.lit(3), F.floor(base * more))
         return F.greatest(F.lit(3), F.least(F.lit(50), F.floor((own + needed) / 2))).cast("int")
 
-    return let(text_difficulty(text), count)
+    return let(F.round(text_difficulty(text), 6), count)
 
 
 def json_object(answer: Column) -> Column:

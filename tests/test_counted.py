@@ -58,3 +58,13 @@ def test_batches_equal_their_sql_where_the_order_of_sums_tells(spark, tmp_path):
     want = con.sql(registry.ORACLES["keywords_by_batches"]).fetchall()
     got = [(r.doc_id, r["rank"], r.term) for r in registry.QUERIES["keywords_by_batches"](spark, str(tmp_path)).collect()]
     assert len(want) == 6 and sorted(got) == sorted(want)
+
+
+def test_budgets_judge_the_rounded_difficulty(spark, tmp_path):
+    """Three sentences whose difficulty is 0.29999963: their SQL rounds it to 0.3, which isn't under 0.3."""
+    text = "".join("a" * n + "." for n in (886, 104, 111))
+    spark.createDataFrame([(1, text)], "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    got = registry.QUERIES["question_budgets"](spark, str(tmp_path)).collect()
+    assert [tuple(r) for r in got] == con.sql(registry.ORACLES["question_budgets"]).fetchall() == [(1, 4)]
