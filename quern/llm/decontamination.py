@@ -96,8 +96,7 @@ def hits(documents: DataFrame, items: DataFrame) -> DataFrame:
     Only seeds meet here, no texts: a test seed is its hash, its item's number and its place. documents: doc_id, version, d; items: item, b; d and b are hashes of words.
     """
     tests = _exploded(items.withColumn("n", F.size("b")), "b", "item", "n").select(F.col("h").alias("test"), "item", "n", F.col("at").alias("j"))
-    if tests.count() <= BROADCAST_SEEDS:
-        tests = F.broadcast(tests)
+    tests = F.broadcast(tests) if tests.count() <= BROADCAST_SEEDS else tests.hint("merge")  # by itself Spark would size them before they are exploded
     each = _exploded(documents, "d", "doc_id", "version").join(tests, F.col("h") == F.col("test"))
     diagonals = each.groupBy("doc_id", "version", "item", "n", (F.col("at") - F.col("j")).alias("diagonal")).agg(F.lit(1).alias("_one"))
     return diagonals.groupBy("doc_id", "version", F.pmod(F.xxhash64("item"), F.lit(PARTS)).alias("part")).agg(F.collect_list(F.struct("item", "n", "diagonal")).alias("hits"))

@@ -68,12 +68,13 @@ def links(prints: DataFrame) -> DataFrame:
     """(a, b), a < b: pairs of distinct values of `fp` that differ in 1 to DISTANCE bits, each once.
 
     Of the segments, one differs in a bit at most, so that the pair shares a variant; it is verified, and given out by its first one.
+    Variants are joined by a shuffle whatever their number: Spark sizes a table before its arrays are exploded, and would broadcast 64 times what it reckons.
     """
     each = prints.select("fp").distinct().select("fp", F.explode(_variants(F.col("fp"))).alias("v"))
     a, b = each.select(F.col("fp").alias("a"), "v"), each.select(F.col("fp").alias("b"), F.col("v").alias("u"))
     x = F.col("a").bitwiseXOR(F.col("b"))
     near = (F.col("v") == F.col("u")) & (F.col("a") < F.col("b")) & (F.bit_count(x) <= DISTANCE) & (_first_shared(x) == F.shiftrightunsigned("v", 32))
-    return a.join(b, near).select("a", "b")
+    return a.join(b.hint("merge"), near).select("a", "b")
 
 
 def classes(documents: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from quern.llm import labels, language
+from quern.llm import decontamination, labels, language, simhash
 from tests.llm import plain
 
 
@@ -57,3 +57,19 @@ def test_parse_goes_on_over_blocks(monkeypatch, block):
     for row, size, t in zip(got, n, asked, strict=True):
         every, symbols = plain.all_bits(model, t)
         assert symbols == size and np.allclose(row, every)
+
+
+def test_exploded_tables_are_not_broadcast(spark, monkeypatch, tmp_path):
+    """Spark sizes a table before its arrays are exploded: 64 variants a fingerprint, and seeds beyond their limit, would all come to the driver."""
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+
+    def table(name, rows, schema):
+        spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/{name}")
+        return spark.read.parquet(f"{tmp_path}/{name}")
+
+    prints = table("prints", [(0,), (1,), (7,), (-1,)], "fp bigint")
+    assert "Broadcast" not in plan(simhash.links(prints))
+    assert sorted(map(tuple, simhash.links(prints).collect())) == [(0, 1), (0, 7), (1, 7)]
+    monkeypatch.setattr(decontamination, "BROADCAST_SEEDS", 0)
+    docs, items = table("docs", [(1, 2, [3] * 9)], "doc_id int, version bigint, d array<bigint>"), table("items", [(1, [3] * 9)], "item int, b array<bigint>")
+    assert "Broadcast" not in plan(decontamination.hits(docs, items))
