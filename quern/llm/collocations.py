@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections import Counter, defaultdict
 from collections.abc import Iterable, Iterator
 from contextlib import contextmanager
@@ -20,14 +21,16 @@ from quern.sources.tables import written
 
 WORDS, LEAST, TOP = (2, 3), 10, 2_000  # words of a phrase, its least count, phrases given out for each language
 INSIDE = 50  # percent of a phrase's count at which a longer one takes its place
-BITS = 26  # the sketch has 2 ** BITS counters of one byte
-CHUNK = 1 << 18  # counters that are sent together
+BITS, MOST_BITS = 26, 30  # the sketch has 2 ** BITS counters of one byte, more in a larger corpus
+LOAD = 3.75  # bytes of text for each counter, at most: about 1.25 places of phrases
+CHUNK = 1 << 18  # counters that are added up together
+HELD = 1 << 22  # places of phrases that a task holds before it gives out their counters
 SHARD = 1 << 18  # characters of text that one automaton is for, or one document
 BATCH, ROWS = 1_000, 256  # rows that come to a task together, and those of them that are Python objects at once
 KEYS, PHRASES = 150_000, 300_000  # words, phrases that a task holds before it gives out their counts
 KEY_BYTES = 16_000_000  # and bytes of them
 KNOWN = 50_000  # words whose hashes a task keeps
-PACKED = 16  # chunks of a sketch that leave a task together
+PACKED = 256  # chunks of a sketch that leave a task together
 SALTS = 64
 # Bytes that end a piece, and those between its words.
 ENDS, GAPS = b".,;:!?\n\x0b\x0c\r", b" \t"
@@ -41,8 +44,8 @@ def tokens(texts: list[str]) -> list[str]:
     return list(filter(None, flat.replace("\n", " \n ").split(" ")))
 
 
-def cells(words: list[str], distinct: Iterable[str], salt: int, known: dict[str, int]) -> dict[int, np.ndarray]:
-    """By the number of words: the counter of the phrase that starts at each place, -1 where it leaves its piece. salt: of the language; known: hashes so far."""
+def cells(words: list[str], distinct: Iterable[str], salt: int, known: dict[str, int], bits: int = BITS) -> dict[int, np.ndarray]:
+    """By the number of words: which of 2 ** bits counters the phrase that starts at each place has, -1 where it leaves its piece. salt: of the language; known: hashes so far."""
     if len(known) > KNOWN:
         known.clear()
     own = {}
@@ -59,7 +62,7 @@ def cells(words: list[str], distinct: Iterable[str], salt: int, known: dict[str,
         now, on = now[: len(h) - n + 1] * np.uint64(0x9E3779B97F4A7C15), on[: len(h) - n + 1] & inside[n - 1 :]
         now = (now ^ (now >> np.uint64(29))) + h[n - 1 :]
         mixed = (now ^ (now >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
-        out[n] = np.where(on, (mixed >> np.uint64(64 - BITS)).astype(np.int64), -1)
+        out[n] = np.where(on, (mixed >> np.uint64(64 - bits)).astype(np.int64), -1)
     return out
 
 
@@ -133,55 +136,66 @@ class Sums:
                 yield pa.RecordBatch.from_arrays([*b.columns, *(pa.nulls(len(b), t) for t in self.schema.types[3:])], schema=self.schema)
 
 
-def learned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Counts of words (lang, word, n) and chunks of a sketch of phrases (chunk, data) of a task's documents. A counter stops at 255."""
-    sums, known, sketch = Sums(_LEARNED), {}, np.zeros(1 << BITS, np.uint8)
+def _parts(held: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+    """These places' counters, each once with its count, by chunk: their differences in order by bytes (lowest first), then the counts, 255 at most."""
+    flat = np.sort(np.concatenate(held))
+    head = np.flatnonzero(np.concatenate([[True], flat[1:] != flat[:-1]]))
+    n, own = np.minimum(np.diff(np.append(head, len(flat))), 255).astype(np.uint8), flat[head]
+    chunk = own // np.uint32(CHUNK)
+    first = np.flatnonzero(np.concatenate([[True], chunk[1:] != chunk[:-1]])).tolist()
+    rows = []
+    for lo, hi in zip(first, [*first[1:], len(own)], strict=True):
+        step = np.diff(own[lo:hi], prepend=chunk[lo] * np.uint32(CHUNK)).astype("<u4")
+        rows.append((None, None, None, int(chunk[lo]), _packed(np.concatenate([step.view(np.uint8).reshape(-1, 4).T.ravel(), n[lo:hi]]))))
+        if len(rows) == PACKED or hi == len(own):
+            yield _rows(_LEARNED, rows)
+            rows = []
+
+
+def learned(batches: Iterator[pa.RecordBatch], bits: int = BITS) -> Iterator[pa.RecordBatch]:
+    """Counts of words (lang, word, n) and parts of a sketch of phrases (chunk, data) of a task's documents. Only counters that are met are held and sent, whatever the sketch's size."""
+    sums, known, held, size = Sums(_LEARNED), {}, [], 0
     for lang, words in _shards(batches):
         each = Counter(words)
         del each["\n"]
         yield from sums.add(lang, each)
-        for at in cells(words, each, _salt(lang), known).values():
-            own, n = np.unique(at[at >= 0], return_counts=True)
-            sketch[own] = np.minimum(sketch[own] + n, 255)
+        for at in cells(words, each, _salt(lang), known, bits).values():
+            held.append(at[at >= 0].astype(np.uint32))
+            size += len(held[-1])
+        if size >= HELD:
+            yield from _parts(held)
+            held, size = [], 0
     yield from sums.rest()
-    parts = sketch.reshape(-1, CHUNK)
-    full = np.flatnonzero(parts.any(axis=1)).tolist()
-    for k0 in range(0, len(full), PACKED):
-        yield _rows(_LEARNED, [(None, None, None, k, _packed(parts[k])) for k in full[k0 : k0 + PACKED]])
+    if size:
+        yield from _parts(held)
 
 
-def _added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The sums of chunks, sorted by chunk: one is held at a time."""
+def _flags(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
+    """(chunk, data): whether each counter of a chunk is `least` or more. Parts come sorted by chunk: one chunk is held at a time."""
     schema, last, total = pa.schema([("chunk", pa.int32()), ("data", pa.binary())]), None, None
     for batch in batches:
         for chunk, data in zip(batch.column("chunk").to_pylist(), batch.column("data").to_pylist(), strict=True):
-            if chunk != last and last is not None:
-                yield _rows(schema, [(last, _packed(total))])
-            own = _unpacked(data)
-            total, last = own if chunk != last else np.minimum(total.astype(np.uint16) + own, 255).astype(np.uint8), chunk
+            if chunk != last:
+                if last is not None:
+                    yield _rows(schema, [(last, _packed(np.packbits(total >= least)))])
+                last, total = chunk, np.zeros(CHUNK, np.uint8)
+            own = _unpacked(data).reshape(5, -1)
+            at = np.cumsum(own[:4].T.copy().view("<u4").ravel(), dtype=np.int64)
+            total[at] = np.minimum(total[at].astype(np.uint16) + own[4], 255)
     if last is not None:
-        yield _rows(schema, [(last, _packed(total))])
+        yield _rows(schema, [(last, _packed(np.packbits(total >= least)))])
 
 
-def frequent(sketches: DataFrame, least: int) -> np.ndarray:
-    """2 ** BITS bits: whether the counter of all tasks' sketches together is `least` or more. That many bits come to the driver, whatever the input.
+def frequent(sketches: DataFrame, least: int, bits: int = BITS) -> np.ndarray:
+    """2 ** bits bits: whether the counter of all tasks' sketches together is `least` or more. That many bits come to the driver, at most 2 ** MOST_BITS.
 
-    A chunk's parts are added in two steps, so that no task reads those of all tasks.
+    A chunk's parts are of all tasks, but those of a counter are few bytes, and chunks get alike many.
     """
-    spread = sketches.withColumn("salt", F.pmod(F.xxhash64("data"), F.lit(16)))
-    for key in (["chunk", "salt"], ["chunk"]):
-        spread = spread.repartition(*key).sortWithinPartitions(*key).select("chunk", "data").mapInArrow(_added, "chunk int, data binary")
-        spread = spread.withColumn("salt", F.lit(0))
-    bits = np.zeros((1 << BITS) // CHUNK * (CHUNK // 8), np.uint8).reshape(-1, CHUNK // 8)
-
-    def flags(batches):
-        for batch in batches:
-            rows = [(k, _packed(np.packbits(_unpacked(x) >= least))) for k, x in zip(batch.column("chunk").to_pylist(), batch.column("data").to_pylist(), strict=True)]
-            yield _rows(pa.schema([("chunk", pa.int32()), ("data", pa.binary())]), rows)
-
-    for r in spread.select("chunk", "data").mapInArrow(flags, "chunk int, data binary").collect():
-        bits[r.chunk] = _unpacked(bytes(r.data))
-    return bits.reshape(-1)
+    out = np.zeros((1 << bits) // 8, np.uint8).reshape(-1, CHUNK // 8)
+    parts = sketches.repartition("chunk").sortWithinPartitions("chunk").select("chunk", "data")
+    for r in parts.mapInArrow(lambda b: _flags(b, least), "chunk int, data binary").collect():
+        out[r.chunk] = _unpacked(bytes(r.data))
+    return out.reshape(-1)
 
 
 def matches(words: list[str], phrases: set[str]) -> dict[str, int]:
@@ -198,10 +212,10 @@ def matches(words: list[str], phrases: set[str]) -> dict[str, int]:
 
 def counted(batches: Iterator[pa.RecordBatch], bits: np.ndarray) -> Iterator[pa.RecordBatch]:
     """(lang, phrase, n) of the phrases in a task's documents whose counter is in `bits`: every shard gets an automaton of those it has."""
-    sums, known = Sums(_COUNTED, PHRASES), {}
+    sums, known, size = Sums(_COUNTED, PHRASES), {}, (8 * len(bits)).bit_length() - 1
     for lang, words in _shards(batches):
         some, on = set(), None
-        for n, at in cells(words, set(words), _salt(lang), known).items():
+        for n, at in cells(words, set(words), _salt(lang), known, size).items():
             # A phrase stands as often as it does only if the two shorter ones in it do: their counters are asked first.
             maybe = np.flatnonzero((at >= 0) if on is None else (at >= 0) & on[:-1] & on[1:])
             own = at[maybe]
@@ -230,15 +244,18 @@ def _small_batches(spark: SparkSession):
 def counts(documents: DataFrame, least: int = LEAST) -> tuple[DataFrame, DataFrame]:
     """(lang, word, n) of all words, and (lang, phrase, n) of the phrases of WORDS words that stand `least` times or more.
 
-    The sketch bounds a phrase's count from above, so no phrase that does is missed; those that don't are dropped by their exact sums. Its size is fixed:
-    in a larger corpus more phrases pass its bound and are counted, and the result is the same.
+    The sketch bounds a phrase's count from above, so no phrase that does is missed; those that don't are dropped by their exact sums. It grows with
+    the corpus up to 2 ** MOST_BITS counters; in a larger one more phrases pass its bound and are counted, and the result is the same.
     """
     spark = documents.sparkSession
     texts = documents.select(F.coalesce("lang", F.lit(UND)).alias("lang"), "text").where("text IS NOT NULL")
+    size = texts.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).head()[0]
+    wide = min(MOST_BITS, max(BITS, math.ceil(math.log2(max(size / LOAD, 1)))))
     with _small_batches(spark):
-        found = written(texts.mapInArrow(learned, "lang string, word string, n bigint, chunk int, data binary"), "words")
+        found = written(texts.mapInArrow(lambda b: learned(b, wide), "lang string, word string, n bigint, chunk int, data binary"), "words")
     words = found.where("word IS NOT NULL").groupBy("lang", "word").agg(F.sum("n").alias("n"))
-    bits = spark.sparkContext.broadcast(frequent(found.where("chunk IS NOT NULL").select("chunk", "data"), least))
+    sketches = found.where("chunk IS NOT NULL").select("chunk", "data")
+    bits = spark.sparkContext.broadcast(frequent(sketches, least) if wide == BITS else frequent(sketches, least, wide))
     each = texts.mapInArrow(lambda b: counted(b, bits.value), "lang string, phrase string, n bigint")
     phrases = each.groupBy("lang", "phrase").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
     with _small_batches(spark):

@@ -5,6 +5,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 import pytest
 from pyspark.sql import functions as F
 
@@ -117,3 +118,28 @@ def test_sums_of_a_task_are_no_python_objects(monkeypatch):
     monkeypatch.setattr(collocations, "KEY_BYTES", 1_000_000)
     out = [b for k in range(4) for b in sums.add("en", {f"{k} {'y' * 700_000}": 1})]
     assert sum(b.num_rows for b in out) == 3 and sum(b.num_rows for b in sums.rest()) == 1
+
+
+def test_sketch_grows_with_the_corpus(spark, monkeypatch):
+    """A larger sketch, given out by a task in many parts, gives the same result."""
+    rows = made(300)
+    docs = spark.createDataFrame(rows, "lang string, text string").repartition(3)
+    sizes = []
+    monkeypatch.setattr(collocations, "LOAD", 1e-4)  # as a corpus of 37,500 times the bytes
+    monkeypatch.setattr(collocations, "HELD", 500)
+    whole = collocations.frequent
+    monkeypatch.setattr(collocations, "frequent", lambda *a: sizes.append(a[2:]) or whole(*a))
+    assert got(collocations.mined(docs)) == plain(rows, 10, 50, 2_000)
+    assert sizes[0][0] > collocations.BITS
+
+
+def test_a_task_holds_counters_it_meets_only():
+    """Whatever the size of the sketch, no table of it is made in a task."""
+    batch = pa.record_batch({"lang": ["en"] * 3, "text": ["a b c", "a b", "c d. a b"]})
+    tracemalloc.start()
+    found = pa.Table.from_batches(collocations.learned(iter([batch]), collocations.MOST_BITS))
+    assert tracemalloc.get_traced_memory()[1] < 5_000_000
+    tracemalloc.stop()
+    chunks = found.filter(pa.compute.is_valid(found["chunk"])).select(["chunk", "data"]).sort_by("chunk")
+    bits = [np.unpackbits(collocations._unpacked(x)).sum() for t in (1, 3, 4) for b in collocations._flags(iter(chunks.to_batches()), t) for x in b["data"].to_pylist()]
+    assert sum(bits) == 4 + 1 + 0
